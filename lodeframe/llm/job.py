@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,12 @@ BATCH_BYTES = 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds the Arrow batches and has the shuffle files of each finished query deleted; both are session settings."""
+    """Bounds the Arrow batches, has the shuffle files of each finished query deleted, and lets Python workers find this package where they share the driver's disk; all are session settings."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if here not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (here, env.get("PYTHONPATH")) if x)
 
 
 def shared_dir(spark: SparkSession) -> str:
