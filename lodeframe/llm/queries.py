@@ -15,6 +15,30 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_audio(table(spark, sf_dir, "documents"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_count import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0])))
