@@ -27,6 +27,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup_suffixes
+
+    return dedup_suffixes(table(spark, sf_dir, "documents"))
+
+
+def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .window_dedup import dedup_windows
+
+    return dedup_windows(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import round_trip
 
