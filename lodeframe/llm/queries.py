@@ -39,6 +39,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the chain flags, with the probability of each category."""
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).filter("flagged = 1")
+
+
 def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .window_dedup import dedup_windows
 

@@ -98,22 +98,36 @@ def rolling(buf: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): the words ``[^\\x20\\x09-\\x0D]+`` of all documents; words first[d]:first[d+1] are document d's."""
-    n = len(buf)
+def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): the runs of bytes that are ``inside``, cut at documents' borders; runs first[d]:first[d+1] are document d's."""
+    n = len(inside)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    space = SPACE[buf]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
-    start = ~space
-    start[1:] &= space[:-1] | edge[1:n]
-    end = ~space
-    end[:-1] &= space[1:] | edge[1:n]
+    start, end = inside.copy(), inside.copy()
+    start[1:] &= ~inside[:-1] | edge[1:n]
+    end[:-1] &= ~inside[1:] | edge[1:n]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
     return starts, ends, np.searchsorted(starts, off)
 
 
+def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of all documents."""
+    return spans(~SPACE[buf], off)
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_NAME = np.zeros(256, bool)
+_NAME[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def plain_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower, starts, ends, first): runs of letters and digits, A to Z as small letters in ``lower``."""
+    return _LOWER[buf], *spans(_NAME[buf], off)
+
+
 def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n words in a row, from the words' hashes; runs may cross documents."""
     m = len(words) - n + 1
