@@ -1,7 +1,7 @@
 """Chunks of whole documents, and votes on hashes between chunks.
 
 ``chunk_table`` writes the texts once as a bucketed table of chunks, each a row
-with some 8 MB of whole documents. Later passes read it in place: only what a
+with some 4 MB of whole documents. Later passes read it in place: only what a
 pass has found out is shuffled, by chunk, to the chunks' buckets.
 
 In a vote each chunk sends its distinct 64-bit hashes, sorted. They are dealt
@@ -27,7 +27,7 @@ from .job import shared_dir, written
 from .textops import arrow_bytes
 
 #: Bytes of texts in a chunk; a longer document is a chunk of its own.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Bytes of texts for each bucket of a vote.
 SHARE = 8 << 20
 #: Buckets at most: packets are chunks times buckets, so they mustn't grow with the square of the input.
@@ -81,9 +81,11 @@ def chunk_table(docs: DataFrame, in_order: bool = False) -> DataFrame:
     return chunks
 
 
-def buckets_for(chunks: DataFrame) -> int:
+def scale(chunks: DataFrame) -> tuple[int, np.uint64]:
+    """(buckets, mask) for a vote over the chunks. The mask keeps some 8 bits of a hash more than are needed to count the bytes: enough to choose candidates, which a later vote decides on."""
     total = chunks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    return int(min(MOST_BUCKETS, max(16, total // SHARE)))
+    kept = min(64, total.bit_length() + 8)
+    return int(min(MOST_BUCKETS, max(16, total // SHARE))), np.uint64(2**64 - 2 ** (64 - kept))
 
 
 def pack_sorted(h: np.ndarray) -> tuple[int, bytes]:

@@ -30,14 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import answers, buckets_for, chunk_table, rows, vote
+from .exchange import answers, scale, chunk_table, rows, vote
 from .job import documents, tune
 from .textops import covered, rolling
 
 # A perfect difference set of 10 modulo 91, and one of 5 modulo 21 for narrow windows.
 COVERS = {91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81), 21: (0, 1, 4, 14, 16)}
-#: The sample's ranks only choose candidates: their leading bits pack into fewer bytes.
-COARSE = np.uint64(2**64 - 2**24)
 
 
 def modulus(width: int) -> int:
@@ -54,8 +52,8 @@ def _inside(off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at - np.repeat(off[:-1].astype(np.int32), size), np.repeat(off[1:].astype(np.int32), size) - at
 
 
-def sample(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, keys) of the cover sample."""
+def sample(row: dict, width: int, coarse: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys) of the cover sample. Its ranks only choose candidates, so the keys are cut to the leading bits that the mask ``coarse`` keeps, which pack into fewer bytes."""
     v, buf = modulus(width), row["payload"]
     at, left = _inside(row["off"], len(buf))
     member = np.zeros(v, bool)
@@ -63,13 +61,13 @@ def sample(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
     span = width - v + 1
     # Only documents that can hold a whole window have a sample.
     places = np.flatnonzero(member[at % v] & (left >= span) & (at + left >= width))
-    return places, rolling(buf, span)[places] & COARSE if len(places) else np.zeros(0, np.uint64)
+    return places, rolling(buf, span)[places] & coarse if len(places) else np.zeros(0, np.uint64)
 
 
-def candidates(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
+def candidates(row: dict, width: int, coarse: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """(places, keys) of the suffixes whose cover sample is ranked with another."""
     buf, v = row["payload"], modulus(width)
-    places, keys = sample(row, width)
+    places, keys = sample(row, width, coarse)
     if not len(places):
         return places, keys
     _, group, times = np.unique(keys, return_inverse=True, return_counts=True)
@@ -82,9 +80,9 @@ def candidates(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
     return found, rolling(buf, width)[found]
 
 
-def removed(row: dict, width: int) -> np.ndarray:
+def removed(row: dict, width: int, coarse: np.uint64) -> np.ndarray:
     """Which bytes of the chunk go."""
-    at, h = candidates(row, width)
+    at, h = candidates(row, width, coarse)
     if not len(at):
         return np.zeros(len(row["payload"]), bool)
     _, group, times = np.unique(h, return_inverse=True, return_counts=True)
@@ -96,15 +94,15 @@ def dedup_suffixes(docs: DataFrame, width: int = 200, with_text: bool = False, i
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document; with_text: its kept bytes as text, too (parts of characters are dropped)."""
     tune(docs.sparkSession)
     chunks = chunk_table(documents(docs, id_col, text_col))
-    buckets = buckets_for(chunks)
-    ranks = vote(chunks, lambda row: np.unique(sample(row, width)[1]), buckets, [])
-    order = vote(chunks, lambda row: np.unique(candidates(row, width)[1]), buckets, ["bits0"], ranks)
+    buckets, coarse = scale(chunks)
+    ranks = vote(chunks, lambda row: np.unique(sample(row, width, coarse)[1]), buckets, [])
+    order = vote(chunks, lambda row: np.unique(candidates(row, width, coarse)[1]), buckets, ["bits0"], ranks)
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in rows(b):
                 off, buf = row["off"], row["payload"]
-                gone = removed(row, width)
+                gone = removed(row, width, coarse)
                 start = gone.copy()
                 start[1:] &= ~gone[:-1]
                 start[off[:-1][off[:-1] < len(buf)]] |= gone[off[:-1][off[:-1] < len(buf)]]

@@ -25,13 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import answers, buckets_for, chunk_table, rows, vote
+from .exchange import answers, scale, chunk_table, rows, vote
 from .job import documents, tune
 from .textops import covered, grams, span_hashes, word_spans
 
-#: The levels before the last keep only this many leading bits, which pack into fewer bytes.
-COARSE = np.uint64(2**64 - 2**24)
-
 
 def levels(width: int) -> list[int]:
     out = [width]
@@ -43,8 +40,8 @@ def levels(width: int) -> list[int]:
 class Chunk:
     """The words of a chunk, and what the levels so far have left of it."""
 
-    def __init__(self, row: dict, width: int):
-        self.buf, self.row, self.width = row["payload"], row, width
+    def __init__(self, row: dict, width: int, coarse: np.uint64):
+        self.buf, self.row, self.width, self.coarse = row["payload"], row, width, coarse
         self.starts, self.ends, self.first = word_spans(self.buf, row["off"])
         self.words = span_hashes(self.buf, self.starts, self.ends)
 
@@ -61,7 +58,7 @@ class Chunk:
             at = np.flatnonzero(left[:n] & (room >= size))
             h = grams(self.words, size)[at] if len(at) else np.zeros(0, np.uint64)
             if k < len(steps) - 1:
-                h &= COARSE
+                h &= self.coarse
             if k == upto:
                 return at, h
             _, group, times = np.unique(h, return_inverse=True, return_counts=True)
@@ -72,13 +69,13 @@ class Chunk:
         raise ValueError(upto)
 
 
-def _hashes(width: int, level: int):
-    return lambda row: np.unique(Chunk(row, width).candidates(level)[1])
+def _hashes(width: int, coarse: np.uint64, level: int):
+    return lambda row: np.unique(Chunk(row, width, coarse).candidates(level)[1])
 
 
-def repeated(row: dict, width: int) -> tuple[Chunk, np.ndarray]:
+def repeated(row: dict, width: int, coarse: np.uint64) -> tuple[Chunk, np.ndarray]:
     """The chunk and which of its words go."""
-    c = Chunk(row, width)
+    c = Chunk(row, width, coarse)
     last = len(levels(width)) - 1
     at, h = c.candidates(last)
     _, group = np.unique(h, return_inverse=True)
@@ -88,24 +85,26 @@ def repeated(row: dict, width: int) -> tuple[Chunk, np.ndarray]:
     return c, covered(at[again], width, len(c.words))
 
 
-def judged(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunks with the votes of all levels."""
+def judged(docs: DataFrame, width: int) -> tuple[DataFrame, np.uint64]:
+    """Chunks with the votes of all levels, and the mask of the levels before the last."""
     tune(docs.sparkSession)
-    chunks = chunk_table(documents(docs, id_col, text_col), in_order=True)
-    buckets, votes, names = buckets_for(chunks), None, []
+    chunks = chunk_table(docs, in_order=True)
+    (buckets, coarse), votes, names = scale(chunks), None, []
     for level in range(len(levels(width))):
-        votes = vote(chunks, _hashes(width, level), buckets, names, votes)
+        votes = vote(chunks, _hashes(width, coarse, level), buckets, names, votes)
         names = [*names, f"bits{level}"]
-    return chunks.join(votes.hint("shuffle_hash"), "chunk", "left").select("chunk", "doc_ids", "sizes", "payload", *names)
+    return chunks.join(votes.hint("shuffle_hash"), "chunk", "left").select("chunk", "doc_ids", "sizes", "payload", *names), coarse
 
 
 def dedup_windows(docs: DataFrame, width: int = 20, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document; with_text: its kept words joined by one space, too."""
 
+    found, coarse = judged(documents(docs, id_col, text_col), width)
+
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in rows(b):
-                c, gone = repeated(row, width)
+                c, gone = repeated(row, width, coarse)
                 keep = ~gone
                 spaced = np.flatnonzero(keep)
                 size = c.ends[spaced] - c.starts[spaced] + 1
@@ -123,4 +122,4 @@ def dedup_windows(docs: DataFrame, width: int = 20, with_text: bool = False, id_
                     columns["text"] = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return judged(docs, width, id_col, text_col).mapInArrow(out, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    return found.mapInArrow(out, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
