@@ -27,6 +27,8 @@ _CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
 _CLASS[48:58] = _DIGIT
 #: Stretches whose ids a worker remembers.
 REMEMBERED = 1 << 20
+#: Stretches that the library encodes at once.
+SLICE = 1 << 13
 
 
 def cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -63,8 +65,9 @@ class Encoder:
         self.ids = np.zeros(0, np.int32)
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = [e.ids for e in encoded]
+        ids: list[list[int]] = []
+        for a in range(0, len(texts), SLICE):  # the library's results are large
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + SLICE], add_special_tokens=False)]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for row in ids for x in row), np.int32, int(length.sum()))
         if len(self.keys) + len(keys) > REMEMBERED:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches that go to Python hold about this many bytes, so that a worker's memory doesn't grow with the length of the texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def tune(spark: SparkSession) -> None:
