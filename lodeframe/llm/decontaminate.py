@@ -163,7 +163,8 @@ def align(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, items: Items, item:
 _PAIRS = "doc_id long, item_id long, score double, begin_byte long, end_byte long"
 
 
-def _block(docs: DataFrame, items: Items, min_score: float) -> DataFrame:
+def _prepare(docs: DataFrame, items: Items):
+    """Chooses the items' seeds by counts over all documents; the items as a broadcast."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(items.known)
 
@@ -182,17 +183,25 @@ def _block(docs: DataFrame, items: Items, min_score: float) -> DataFrame:
     count_of = np.zeros(len(items.known.grams), np.int64)
     count_of[found["gram"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     items.choose(count_of)
-    shared = spark.sparkContext.broadcast(items)
+    return spark.sparkContext.broadcast(items)
+
+
+def matches(batch: Batch, own: Items, min_score: float) -> pd.DataFrame:
+    """doc, item, score, begin and end (words) of a batch's pairs."""
+    doc, item, lo, hi = windows(batch, own)
+    score, begin, end = align(batch.words, lo, hi, own, item)
+    rows = pd.DataFrame({"doc": doc, "item": item, "score": score / (MATCH * np.maximum(np.diff(own.first)[item], 1)), "begin": begin, "end": end})
+    return rows[rows["score"] >= min_score].sort_values(["doc", "item", "score", "begin"], ascending=[True, True, False, True]).drop_duplicates(["doc", "item"])
+
+
+def _pairs(docs: DataFrame, items: Items, min_score: float) -> DataFrame:
+    shared = _prepare(docs, items)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        size = np.diff(own.first)
         for b in batches:
             batch = Batch(b.column("text"))
-            doc, item, lo, hi = windows(batch, own)
-            score, begin, end = align(batch.words, lo, hi, own, item)
-            rows = pd.DataFrame({"doc": doc, "item": item, "score": score / (MATCH * np.maximum(size[item], 1)), "begin": begin, "end": end})
-            rows = rows[rows["score"] >= min_score].sort_values(["doc", "item", "score", "begin"], ascending=[True, True, False, True]).drop_duplicates(["doc", "item"])
+            rows = matches(batch, own, min_score)
             d = rows["doc"].to_numpy(np.int64)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -207,24 +216,39 @@ def _block(docs: DataFrame, items: Items, min_score: float) -> DataFrame:
     return docs.mapInArrow(match, _PAIRS)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, score (0 to 1) and the place in the text (bytes) of every pair of a document and a test item it holds."""
-    spark = docs.sparkSession
-    tune(spark)
-    docs = documents(docs, id_col, text_col)
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Items]:
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
     blocks = -(-items.count() // BLOCK)
-    out = None
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # one block
         part = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
         if len(part.at):
-            found = _block(docs, part, min_score)
-            out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], _PAIRS)
+            yield part
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a test item."""
-    bad = contaminated(docs, benchmark, min_score, id_col, text_col).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__id"], "left_anti")
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, score (0 to 1) and the place in the text (bytes) of every pair of a document and a test item it holds."""
+    tune(docs.sparkSession)
+    docs = documents(docs, id_col, text_col)
+    out = None
+    for part in _blocks(benchmark, item_col, item_text_col):
+        found = _pairs(docs, part, min_score)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], _PAIRS)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that hold a test item; all columns are kept, and nothing is shuffled."""
+    tune(docs.sparkSession)
+    texts, out = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")), docs
+    for part in _blocks(benchmark, item_col, item_text_col):
+        shared = _prepare(texts, part)
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                good = np.ones(len(b), bool)
+                good[matches(Batch(b.column(text_col)), shared.value, min_score)["doc"].to_numpy(np.int64)] = False
+                yield b.filter(pa.array(good))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out

@@ -214,6 +214,17 @@ def score(docs: DataFrame, field: Field, threshold: float = 0.3, with_lines: boo
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["line_good"] * with_lines)
 
 
+def reject(docs: DataFrame, field: Field, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that score under the threshold; all columns are kept, and nothing is shuffled."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f, size, first = line_features(*arrow_bytes(b.column(text_col)))
+            yield b.filter(pa.array(field.score(f, size, first) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Trains on the labels and scores all documents."""
     tune(docs.sparkSession)
