@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function as the query of its name, with the SQL of the same result."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            from .views import with_views
+
+            ORACLES[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import event_queries, geometry_queries, image_queries, recon_queries, simulation_queries  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)
