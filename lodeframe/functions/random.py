@@ -7,18 +7,17 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The linear congruential generator modulo 2^31 with these two constants.
+# Constants of two well-known congruential generators, and their moduli 2^31 and 2^31 - 1.
 MULTIPLIER, INCREMENT, MODULUS = 1103515245, 12345, 2147483648
-
-
-def _state(id: Column, salt: int) -> Column:
-    first = F.pmod(id.cast("long") * MULTIPLIER + INCREMENT + salt * 7919, F.lit(MODULUS))
-    return F.pmod(first * MULTIPLIER + INCREMENT, F.lit(MODULUS))
+SECOND, PRIME = 48271, 2147483647
 
 
 def uniform(id: Column, salt: int = 0) -> Column:
-    """In (0, 1). Ids up to 2^31 keep the product within 64 bits."""
-    return (_state(id, salt) + 0.5) / MODULUS
+    """In (0, 1): a linear step modulo 2^31, then two quadratic ones modulo a prime, so that salts give unrelated numbers. Ids up to 2^32 keep all products within 64 bits."""
+    s = F.pmod(id.cast("long") * MULTIPLIER + (INCREMENT + salt * 7919), F.lit(MODULUS))
+    for k in (1, 2):
+        s = (s * s + s * SECOND + (salt * 104729 + k)) % PRIME
+    return (s + 0.5) / PRIME
 
 
 def normal(id: Column, salt: int = 0) -> Column:
@@ -28,7 +27,10 @@ def normal(id: Column, salt: int = 0) -> Column:
 
 def sql_uniform(id: str, salt: int = 0) -> str:
     """DuckDB SQL of ``uniform``."""
-    return f"(((({id}::BIGINT * {MULTIPLIER} + {INCREMENT} + {salt * 7919}) % {MODULUS}) * {MULTIPLIER} + {INCREMENT}) % {MODULUS} + 0.5e0) / {MODULUS}e0"
+    s = f"(({id}::BIGINT * {MULTIPLIER} + {INCREMENT + salt * 7919}) % {MODULUS})"
+    for k in (1, 2):
+        s = f"(({s} * {s} + {s} * {SECOND} + {salt * 104729 + k}) % {PRIME})"
+    return f"(({s} + 0.5e0) / {PRIME}.0e0)"
 
 
 def sql_normal(id: str, salt: int = 0) -> str:
