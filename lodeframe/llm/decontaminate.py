@@ -2,11 +2,12 @@
 
 Words are runs of letters and digits, A to Z as small letters. Every 3-gram of
 the test items is looked up in all documents and the documents that have it are
-counted. The rarer half of each item's n-grams, at least ``SEEDS``, become its
-seeds. Where a seed occurs in a document, the words around it are aligned with
-the item by Smith-Waterman on words (match 2, mismatch -1, gap -1), and the best
-score is divided by that of a perfect copy, so edited and paraphrased copies are
-found and measured, too. Pairs from ``MIN_SCORE`` on are contaminated.
+counted. Of the n-grams of an item that any document has, the rarer half, at
+least ``SEEDS``, become its seeds, with all that are as rare as the last of them.
+Where a seed occurs in a document, the words around it are aligned with the item
+by Smith-Waterman on words (match 2, mismatch -1, gap -1), and the best score is
+divided by that of a perfect copy, so edited and paraphrased copies are found and
+measured, too. Pairs from ``MIN_SCORE`` on are contaminated.
 
 The items are the query set. They go through in blocks of at most ``BLOCK``
 items, each block's n-grams and words being what is broadcast.
@@ -82,11 +83,14 @@ class Items:
 
     def choose(self, count: np.ndarray) -> None:
         """Keeps each item's rarest n-grams as ``seeds``: hashes, with a list of (item, place) each."""
-        order = np.lexsort((self.place, count[self.gram], self.item))
-        n = np.bincount(self.item, minlength=len(self.ids))
+        seen = np.flatnonzero(count[self.gram] > 0)  # what no document has can't lead to one
+        order = seen[np.lexsort((self.place[seen], count[self.gram[seen]], self.item[seen]))]
+        n = np.bincount(self.item[seen], minlength=len(self.ids))
         begin = np.concatenate([[0], np.cumsum(n)])[:-1]
         rank = np.arange(len(order)) - begin[self.item[order]]
-        keep = order[rank < np.maximum(SEEDS, -(-n // 2))[self.item[order]]]
+        last = np.minimum(np.maximum(SEEDS, -(-n // 2)), n)[self.item[order]] - 1
+        most = count[self.gram[order[begin[self.item[order]] + last]]]
+        keep = order[(rank <= last) | (count[self.gram[order]] <= most)]  # equally rare ones stay together
         keep = keep[np.argsort(self.gram[keep], kind="stable")]
         self.seeds = Known(self.known.grams[self.gram[keep]])
         self.post_item, self.post_place = self.item[keep], self.place[keep]

@@ -168,7 +168,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: list[str], most:
     if where is not None:
         marked = marked.filter(where)
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.join(F.broadcast(chosen), "doc_id")  # bounded by ``most``
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by ``most``
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str = "quality") -> Field:
