@@ -172,3 +172,10 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys((1, 2, 3, 4), 1), **dict.fromkeys((7, 8, 9), 7), 20: 20, 21: 20, **dict.fromkeys(range(100, 140), 100)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_merged_components(spark):
+    known = components.components(spark.createDataFrame([(1, 2), (5, 6), (8, 9)], "a long, b long"))
+    more = spark.createDataFrame([(6, 2), (9, 30), (40, 41)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components.merged(known, more).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 30: 8, 40: 40, 41: 40}
