@@ -26,8 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir, which driver and executors share. Only where that isn't set, as in tests, a temporary folder serves."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.gettempdir() + "/lodeframe-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = "file://" + tempfile.gettempdir() + "/lodeframe-checkpoints"
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
