@@ -18,8 +18,13 @@ by their exact similarity, on the texts. While a bucket still has members of
 different classes, further rounds compare those outside its largest class with
 ``LEADERS`` other members of that class, drawn anew each round and for each band,
 until a round has nothing new to compare or has linked under one in a thousand
-pairs. So the work in a bucket grows with its size and the number of rounds, not
-with its square.
+pairs. These rounds only make classes large at little cost; what they leave is
+compared in whole: of every bucket, all pairs of members that are still in
+different classes (``rest``). Small buckets' pairs are listed. A larger bucket is
+dealt into blocks, and a task takes two of them, its largest class being never
+compared with itself. There an upper bound from sums over shared runs, which are
+matrix products, leaves the pairs whose exact similarity is computed. That work
+grows with a bucket's size times the number of members outside its largest class.
 
 Cases: texts without words are equal to each other only if the texts are, null
 being the empty text; repeated rows fall in one class; null ids are kept, with a
@@ -49,8 +54,10 @@ SLICE = 1 << 20
 ORDERS = 3
 #: Leaders of a bucket in each further round.
 LEADERS = 4
-#: Rounds end after one that has linked a smaller share of the pairs it compared.
+#: Rounds end after one that has linked a smaller share of the pairs it compared; the pairs they leave are compared by blocks.
 LEAST_YIELD = 0.001
+#: Members of a bucket whose pairs are listed; those of larger ones are compared by blocks of so many members and bytes.
+SMALL, BLOCK, BLOCK_BYTES = 8, 1024, 8 << 20
 #: Documents that one copy of a leader's text is compared with; leaders of more are copied.
 SALT = 256
 
@@ -173,8 +180,90 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return np.bincount(doc, weights=part, minlength=n)
 
 
+def bounds(runs: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(len(a), len(b)) upper bounds of the similarities between the documents a and b of ``runs`` (doc, hash, weight).
+
+    With the weights X and Y of two documents, of which x and y are on runs that
+    both have, the index is at most 1 / (X/x + Y/y - 1), and equal to it where
+    these runs' weights are in proportion, as when no run repeats. For, run i adds
+    1 / sum of max(x_j/x_i, y_j/y_i), which is at most 1 / (X/x_i + (Y-y)/y_i); that
+    is concave and homogeneous in (x_i, y_i), so the sum is at most its value at (x, y).
+    """
+    doc, h, w = runs
+    weight = np.bincount(doc, weights=w, minlength=n)
+    _, col = np.unique(h, return_inverse=True)
+    sides = []
+    for side in (a, b):
+        place = np.full(n, -1)
+        place[side] = np.arange(len(side))
+        at = np.flatnonzero(place[doc] >= 0)
+        sides.append((place[doc[at]], col[at], w[at].astype(np.float32)))
+    size = int(col.max(initial=-1)) + 1
+    many = [np.bincount(c, minlength=size) for _, c, _ in sides]
+    x, y = np.zeros((2, len(a), len(b)), np.float32)
+    dense = many[0] * many[1] * 256 >= len(a) * len(b)
+    dense &= (many[0] > 0) & (many[1] > 0)
+    number, wide = np.cumsum(dense) - 1, int(dense.sum())
+    for lo in range(0, wide, 1024):  # runs that many documents have: products of matrices
+        m = []
+        for (r, c, v), k in zip(sides, (len(a), len(b)), strict=True):
+            at = np.flatnonzero(dense[c] & (number[c] >= lo) & (number[c] < lo + 1024))
+            m.append(np.zeros((k, min(1024, wide - lo)), np.float32))
+            m[-1][r[at], number[c[at]] - lo] = v[at]
+        x += m[0] @ (m[1] > 0).astype(np.float32).T
+        y += (m[0] > 0).astype(np.float32) @ m[1].T
+    rare = (many[0] > 0) & (many[1] > 0) & ~dense
+    (ra, ca, va), (rb, cb, vb) = [tuple(z[at][np.argsort(c[at], kind="stable")] for z in (r, c, v)) for r, c, v in sides for at in [np.flatnonzero(rare[c])]]
+    first = np.searchsorted(cb, ca)
+    count = np.searchsorted(cb, ca, side="right") - first
+    total = np.concatenate([[0], np.cumsum(count)])
+    lo = 0
+    while lo < len(ca):  # others: their pairs, some millions at a time
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 22), side="right")) - 1)
+        i = np.repeat(np.arange(lo, hi), count[lo:hi])
+        j = first[i] + np.arange(total[lo], total[hi]) - total[i]
+        cell = ra[i] * len(b) + rb[j]
+        x += np.bincount(cell, weights=va[i], minlength=x.size).reshape(x.shape)
+        y += np.bincount(cell, weights=vb[j], minlength=y.size).reshape(y.shape)
+        lo = hi
+    out = np.zeros(x.shape)
+    i, j = np.nonzero(x)
+    out[i, j] = 1 / (weight[a[i]] / x[i, j] + weight[b[j]] / y[i, j] - 1)
+    return out
+
+
+def block_links(table: pa.Table) -> pa.Table:
+    """Links between the members of two blocks (side 0 and 1), or of one, that tie all classes which a similar pair ties."""
+    side, doc, component = (table.column(c).to_numpy() for c in ("side", "doc", "component"))
+    text = table.column("text").combine_chunks()
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1) if side.any() else a
+    names, own = np.unique(component, return_inverse=True)
+    out = []
+    if len(a) and len(names) > 1:
+        bound = bounds(shingles(*arrow_bytes(text)), len(doc), a, b)
+        i, j = np.nonzero((bound >= SIMILARITY - 1e-6) & (own[a][:, None] != own[b][None]))
+        order = np.argsort(-bound[i, j], kind="stable")
+        i, j = a[i[order]], b[j[order]]
+        while len(i):  # of each two classes the likeliest pair, until no pair is left between different ones
+            two = np.minimum(own[i], own[j]) * len(names) + np.maximum(own[i], own[j])
+            pick = np.unique(two, return_index=True)[1]
+            for k in range(0, len(pick), 256):
+                p = pick[k : k + 256]
+                s = similarity(arrow_bytes(text.take(pa.array(i[p]))), arrow_bytes(text.take(pa.array(j[p]))))
+                for q, v in zip(p, s, strict=True):
+                    if v >= SIMILARITY - 1e-9 and own[i[q]] != own[j[q]]:
+                        out.append((doc[i[q]], doc[j[q]], v))
+                        own[own == own[j[q]]] = own[i[q]]
+            left = np.ones(len(i), bool)
+            left[pick] = False
+            left &= own[i] != own[j]
+            i, j = i[left], j[left]
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "similarity": pa.array([x[2] for x in out], pa.float64())})
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, two 64-bit hashes of the text, and the band keys."""
+    """doc_id, the text's length in bytes and two 64-bit hashes of it, and the band keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +279,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
     out = docs.mapInArrow(sketch, "doc_id long, text string, bands array<long>")
     text = F.coalesce("text", F.lit(""))
-    return written(out.select("doc_id", F.xxhash64(text, F.lit(1)).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"), "bands"), "sketches")
+    return written(out.select("doc_id", F.octet_length(text).alias("size"), F.xxhash64(text, F.lit(1)).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"), "bands"), "sketches")
 
 
 class Verifier:
@@ -220,19 +309,48 @@ class Verifier:
 
         return written(rows.mapInArrow(verify, "a long, b long, similarity double"), "links")
 
+    def block_links(self, members: DataFrame) -> DataFrame:
+        """The links within the units of ``members`` (key, unit, side, doc, component)."""
+        rows = members.join(self.texts.withColumnRenamed("doc_id", "doc"), "doc")
+        return written(rows.groupBy("key", "unit").applyInArrow(block_links, "a long, b long, similarity double"), "links")
+
+
+def rest(buckets: DataFrame, known: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs of a bucket's members in different classes that may be untested: as pairs (a, b), and as units of one or two blocks (key, unit, side, doc, component).
+
+    Every member has been compared with the bucket's leader, which is left out.
+    """
+    named = buckets.filter("doc <> lead").join(known.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "size", F.coalesce("component", "doc").alias("component"))
+    each = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    main = each.groupBy("key").agg(F.max(F.struct("n", "component", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES, F.lit(1))).cast("long")
+    main = main.select("key", "n", F.col("main.component").alias("main"), blocks(F.col("main.n"), F.col("main.bytes")).alias("p"), blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("q"))
+    named = written(named.join(main, "key"), "rest")
+    few = named.filter(F.col("n") <= SMALL).select("key", "doc", "component")
+    pairs = few.select("key", F.col("doc").alias("a"), "component").join(few.select("key", F.col("doc").alias("b"), F.col("component").alias("other")), "key").filter("a < b and component <> other").select("a", "b").distinct()
+    pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    # p blocks of the largest class and q of the others: units (other, main), then (other, other).
+    dealt = named.filter(F.col("n") > SMALL).withColumn("i", F.pmod(F.xxhash64("doc"), F.when(F.col("component") == F.col("main"), F.col("p")).otherwise(F.col("q"))))
+    units = F.expr(
+        "if(component = main, transform(sequence(0l, q - 1), o -> struct(o * p + i as unit, 1 as side)), "
+        "concat(transform(sequence(0l, p - 1), m -> struct(i * p + m as unit, 0 as side)), "
+        "transform(sequence(0l, q - 1), o -> struct(q * p + least(i, o) * q + greatest(i, o) as unit, if(i <= o, 0, 1) as side))))"
+    )
+    return pairs, dealt.select("key", "doc", "component", F.explode(units).alias("u")).select("key", "u.unit", "u.side", "doc", "component")
+
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class) and representative (the smallest doc_id with the same text)."""
     tune(docs.sparkSession)
     docs = documents(docs, id_col, text_col)
     sketches = _sketches(docs)
-    texts = sketches.groupBy("t1", "t2").agg(F.min("doc_id").alias("representative"), F.first("bands").alias("bands"))
+    texts = sketches.groupBy("t1", "t2").agg(F.min("doc_id").alias("representative"), F.first("bands").alias("bands"), F.first("size").alias("size"))
     texts = written(texts, "texts")
     member = sketches.select("doc_id", "t1", "t2").join(texts.select("t1", "t2", "representative"), ["t1", "t2"]).select("doc_id", "representative")
-    rows = texts.filter("representative is not null").select(F.col("representative").alias("doc"), F.posexplode("bands").alias("band", "key"))
+    rows = texts.filter("representative is not null").select(F.col("representative").alias("doc"), "size", F.posexplode("bands").alias("band", "key"))
     place = F.struct(F.xxhash64("doc", F.col("band") % ORDERS).alias("h"), "doc")
     shared = rows.groupBy("key").agg(F.min(place).alias("lead"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("key", F.col("lead.doc").alias("lead"))
-    buckets = written(rows.join(shared, "key").select("key", "doc", "lead"), "buckets")
+    buckets = written(rows.join(shared, "key").select("key", "doc", "size", "lead"), "buckets")
     pairs = written(buckets.filter("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     if pairs.isEmpty():
         return member.withColumn("class_id", F.col("representative")).select("doc_id", "class_id", "representative")
@@ -256,9 +374,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         linked = more.count()
         if linked:
             known = merged(known, more)
+        tested = tested.unionByName(new)
         if linked < new.count() * LEAST_YIELD:
             break
-        tested = tested.unionByName(new)
+    listed, units = rest(buckets, known, tested)
+    more = written(verifier.links(listed).unionByName(verifier.block_links(units)), "links")
+    if not more.isEmpty():
+        known = merged(known, more)
     named = member.join(known.select(F.col("node").alias("representative"), "component"), "representative", "left")
     return named.select("doc_id", F.coalesce("component", "representative").alias("class_id"), "representative")
 

@@ -1,6 +1,7 @@
 """Window, suffix and near-duplicate operators against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -179,3 +180,44 @@ def test_merged_components(spark):
     more = spark.createDataFrame([(6, 2), (9, 30), (40, 41)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.merged(known, more).collect()}
     assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 30: 8, 40: 40, 41: 40}
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(8)
+    pool = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(pool, rng.integers(5, 60), p=[0.7, *[0.3 / 11] * 11])) for _ in range(50)]
+    texts += [texts[0] + " " + texts[0], "one", ""]
+    sets = [brute_sets(t) for t in texts]
+    a, b = np.arange(0, 53, 2), np.arange(1, 53, 2)
+    got = near_dedup.bounds(near_dedup.shingles(*arrow_bytes(pa.array(texts))), len(texts), a, b)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            exact = brute_similarity(sets[x], sets[y])
+            assert got[i, j] >= exact - 1e-6
+            if max([*sets[x].values(), *sets[y].values(), 1]) == 1:
+                assert got[i, j] == pytest.approx(exact, abs=1e-6)
+
+
+def test_no_link_within_a_bucket_is_lost(spark, monkeypatch):
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(240):
+        w = list(base)
+        for e in r.sample(range(120), r.randint(2, 7)):
+            w[e] = f"edit{k}x{e}"
+        rows.append((k, " ".join(w)))
+    texts = [t for _, t in rows]
+    keys, _ = near_dedup.bands(*arrow_bytes(pa.array(texts)))
+    sets = [set(brute_sets(t)) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if want[i] != want[j] and (keys[i] == keys[j]).any() and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if x == old else x for x in want]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (near_dedup.BLOCK, 16):
+        monkeypatch.setattr(near_dedup, "BLOCK", size)
+        got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(df).collect()}
+        assert got == dict(enumerate(want))
