@@ -1,11 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, A to Z as small letters. Every 3-gram of
-the test items is looked up in all documents and the documents that have it are
-counted. Of the n-grams of an item that any document has, the rarer half, at
-least ``SEEDS``, become its seeds, with all that are as rare as the last of them.
-Where a seed occurs in a document, the words around it are aligned with the item
-by Smith-Waterman on words (match 2, mismatch -1, gap -1), and the best score is
+the test items is a seed: rarity would pick what edited copies have lost.
+Where a seed occurs in a document, the words around it, if enough of them are
+words of the item for a score of ``MIN_SCORE``, are aligned with the item by Smith-Waterman on words (match 2, mismatch -1, gap -1), and the best score is
 divided by that of a perfect copy, so edited and paraphrased copies are found and
 measured, too. Pairs from ``MIN_SCORE`` on are contaminated.
 
@@ -31,7 +29,7 @@ from pyspark.sql import functions as F
 from .job import documents, tune
 from .textops import arrow_bytes, grams, plain_words, span_hashes
 
-N, SEEDS, MIN_SCORE, BLOCK = 3, 8, 0.5, 20_000
+N, MIN_SCORE, BLOCK = 3, 0.5, 20_000
 MATCH, MISS, GAP = 2, -1, -1
 _CELLS = 1 << 19
 
@@ -70,7 +68,7 @@ class Known:
 
 
 class Items:
-    """The words of a block of test items; seeds are chosen once their document counts are known."""
+    """The words of a block of test items, and their n-grams as seeds."""
 
     def __init__(self, ids: list, texts: list):
         b = Batch(pa.array(texts, pa.string()))
@@ -80,21 +78,14 @@ class Items:
         self.gram = np.searchsorted(self.known.grams, b.grams[self.at])
         self.item = b.doc[self.at]
         self.place = self.at - b.first[self.item]
+        self.choose()
 
-    def choose(self, count: np.ndarray) -> None:
-        """Keeps each item's rarest n-grams as ``seeds``: hashes, with a list of (item, place) each."""
-        seen = np.flatnonzero(count[self.gram] > 0)  # what no document has can't lead to one
-        order = seen[np.lexsort((self.place[seen], count[self.gram[seen]], self.item[seen]))]
-        n = np.bincount(self.item[seen], minlength=len(self.ids))
-        begin = np.concatenate([[0], np.cumsum(n)])[:-1]
-        rank = np.arange(len(order)) - begin[self.item[order]]
-        last = np.minimum(np.maximum(SEEDS, -(-n // 2)), n)[self.item[order]] - 1
-        most = count[self.gram[order[begin[self.item[order]] + last]]]
-        keep = order[(rank <= last) | (count[self.gram[order]] <= most)]  # equally rare ones stay together
-        keep = keep[np.argsort(self.gram[keep], kind="stable")]
-        self.seeds = Known(self.known.grams[self.gram[keep]])
+    def choose(self) -> None:
+        """Makes all n-grams ``seeds``: hashes, with a list of (item, place) each."""
+        keep = np.argsort(self.gram, kind="stable")
+        self.seeds = self.known
         self.post_item, self.post_place = self.item[keep], self.place[keep]
-        self.post_first = np.searchsorted(self.gram[keep], np.append(np.unique(self.gram[keep]), np.iinfo(np.int64).max))
+        self.post_first = np.searchsorted(self.gram[keep], np.arange(len(self.known.grams) + 1))
 
 
 def windows(b: Batch, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -164,35 +155,42 @@ def align(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, items: Items, item:
     return score, begin, end
 
 
-_PAIRS = "doc_id long, item_id long, score double, begin_byte long, end_byte long"
+def reachable(b: Batch, items: Items, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, min_score: float) -> np.ndarray:
+    """Which stretches have as many words of their item as ``min_score`` needs: a score is at most MATCH for each of them."""
+    names = np.unique(items.words)
+    number = np.searchsorted(names, items.words)
+    owner = np.repeat(np.arange(len(items.ids)), np.diff(items.first))
+    own = np.unique(owner * len(names) + number)
+    at = np.minimum(np.searchsorted(names, b.words), max(0, len(names) - 1))
+    known = names[at] == b.words if len(names) else np.zeros(len(b.words), bool)
+    before = np.concatenate([[0], np.cumsum(known)])
+    size = np.diff(items.first)[item]
+    good = before[hi] - before[lo] >= min_score * size - 1e-9
+    left, at_known = np.flatnonzero(good), np.flatnonzero(known)
+    for k in range(0, len(left), 4096):  # the words of some stretches at a time
+        i = left[k : k + 4096]
+        n = before[hi[i]] - before[lo[i]]
+        stretch = np.repeat(np.arange(len(i)), n)
+        place = at_known[np.repeat(before[lo[i]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        key = item[i][stretch] * len(names) + at[place]
+        hit = own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key
+        good[i] = np.bincount(stretch[hit], minlength=len(i)) >= min_score * size[i] - 1e-9
+    return good
 
 
-def _prepare(docs: DataFrame, items: Items):
-    """Chooses the items' seeds by counts over all documents; the items as a broadcast."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(items.known)
+_PAIRS = "doc_id long, item_id long, score double, begin_byte long, end_byte long"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known.value.grams), np.int64)
-        for b in batches:
-            batch = Batch(b.column("text"))
-            at, gram = batch.hits(known.value)
-            pair = np.unique(batch.doc[at].astype(np.int64) * len(total) + gram)
-            total += np.bincount(pair % len(total), minlength=len(total)) if len(pair) else 0
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"gram": used, "n": total[used]})
 
-    # A row for each n-gram of the block's items that occurs.
-    found = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    count_of = np.zeros(len(items.known.grams), np.int64)
-    count_of[found["gram"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    items.choose(count_of)
-    return spark.sparkContext.broadcast(items)
+def _prepare(docs: DataFrame, items: Items):
+    """The items as a broadcast."""
+    return docs.sparkSession.sparkContext.broadcast(items)
 
 
 def matches(batch: Batch, own: Items, min_score: float) -> pd.DataFrame:
     """doc, item, score, begin and end (words) of a batch's pairs."""
     doc, item, lo, hi = windows(batch, own)
+    keep = reachable(batch, own, item, lo, hi, min_score)
+    doc, item, lo, hi = doc[keep], item[keep], lo[keep], hi[keep]
     score, begin, end = align(batch.words, lo, hi, own, item)
     rows = pd.DataFrame({"doc": doc, "item": item, "score": score / (MATCH * np.maximum(np.diff(own.first)[item], 1)), "begin": begin, "end": end})
     return rows[rows["score"] >= min_score].sort_values(["doc", "item", "score", "begin"], ascending=[True, True, False, True]).drop_duplicates(["doc", "item"])

@@ -164,6 +164,20 @@ def test_alignment_equals_plain_smith_waterman():
         assert score[k] == brute_align(own, pool.words[begin[k] : end[k]].tolist()) and lo[k] <= begin[k] <= end[k] <= hi[k]
 
 
+def test_edited_copies_beside_a_whole_one(spark):
+    item = [f"i{k}" for k in range(40)]
+    rows = [(0, " ".join(item))]
+    for d in range(1, 6):  # the first 21 words, and every third of the others is another
+        rows.append((d, " ".join(w if k < 21 or (k + d) % 3 else f"x{d}y{k}" for k, w in enumerate(item))))
+    rows.append((9, " ".join(item[:4] + [f"z{k}" for k in range(60)])))
+    docs = spark.createDataFrame(rows[:2] + rows[-1:], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs, items).collect()} == {0, 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs, items).collect()} == set(range(6))
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [9]
+
+
 def test_decontamination_cases(spark, docs, null_docs, no_docs):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (None, "some text here and there")], "item_id long, text string")
     for df in (docs, null_docs, no_docs):
