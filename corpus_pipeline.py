@@ -29,8 +29,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of 200 bytes go. Rows are told apart by their place in the stage's input, a written table."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    """Repeated passages of 200 bytes go. Rows are told apart by numbers that are written with them."""
+    tune(spark)
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # numbers follow the splits of a scan, so they are given once
     kept = suffix_dedup.dedup_suffixes(numbered, with_text=True, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("text").alias("__kept"))
     text = F.when(F.col("text").isNotNull(), F.col("__kept"))
     changed = {"text": text, "n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)}

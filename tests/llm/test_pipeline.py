@@ -77,6 +77,29 @@ def test_stages_on_odd_tables(spark, corpus, docs, null_docs, no_docs):
         assert df.count() >= 0
 
 
+def test_rows_keep_their_numbers(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    texts = {i: f"text {i} " + "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(40)) for i in range(40)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("n_chars", pipeline.F.length("text").cast("long")).repartition(8).write.parquet(f"{tmp_path}/t")
+    docs, old, dedup = spark.read.parquet(f"{tmp_path}/t"), spark.conf.get("spark.sql.files.maxPartitionBytes"), pipeline.suffix_dedup.dedup_suffixes
+
+    def then_other_splits(*args, **kwargs):
+        out = pipeline.written(dedup(*args, **kwargs))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return out
+
+    monkeypatch.setattr(pipeline.suffix_dedup, "dedup_suffixes", then_other_splits)
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        got = {r["doc_id"]: r["text"] for r in pipeline.suffix_dedup_stage(spark, docs, "").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert got == texts
+
+
 def test_names():
     import corpus_pipeline as pipeline
 
