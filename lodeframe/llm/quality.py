@@ -32,6 +32,8 @@ from .textops import arrow_bytes
 
 #: Labelled documents that the fit takes at most.
 SAMPLE = 3000
+#: Lines of a document from which on forward-backward goes by doubling.
+LONG = 512
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,20 +57,39 @@ def neighbours(f: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def scan(psi: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward vectors of one long document: products of all its steps' matrices by doubling, so the number of numpy calls is the logarithm of its lines."""
+    step = m[None] * psi[:, None, :]
+    ahead, back = step.copy(), step.copy()
+    ahead[0] = np.diag(psi[0])
+    back[:-1], back[-1] = step[1:], np.eye(2)
+    k, unit = 1, lambda x: x / x.sum(axis=(1, 2), keepdims=True)
+    while k < len(psi):
+        ahead[k:] = unit(ahead[:-k] @ ahead[k:])
+        back[:-k] = unit(back[:-k] @ back[k:])
+        k *= 2
+    alpha, beta = ahead.sum(axis=1), back.sum(axis=2)
+    return alpha / alpha.sum(axis=1, keepdims=True), beta / beta.sum(axis=1, keepdims=True)
+
+
 def marginals(score: np.ndarray, pair: np.ndarray, first: np.ndarray, with_pairs: bool = False):
     """P(good) of each line by forward-backward over all documents side by side; with_pairs: the expected pair counts, too.
 
     score: log odds of good for each line by itself; pair[a, b]: weight of label b after a.
     """
     size = np.diff(first)
-    order = np.argsort(-size, kind="stable")
-    begin, size = first[:-1][order], size[order]
-    longest = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")  # documents with over t lines
     m = np.exp(pair - pair.max())
     odds = np.clip(score, -30, 30)
     psi = np.stack([1 / (1 + np.exp(odds)), 1 / (1 + np.exp(-odds))], axis=1)
     alpha, beta = np.empty_like(psi), np.ones_like(psi)
+    for d in np.flatnonzero(size > LONG):
+        here = slice(first[d], first[d + 1])
+        alpha[here], beta[here] = scan(psi[here], m)
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] <= LONG]
+    begin, size = first[:-1][order], size[order]
+    longest = int(size[0]) if len(size) else 0
+    live = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")  # documents with over t lines
     for t in range(longest):
         i = begin[: live[t]] + t
         x = psi[i] if t == 0 else psi[i] * (alpha[i - 1] @ m)
