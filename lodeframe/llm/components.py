@@ -11,18 +11,23 @@ from .job import written
 def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node it is tied to) for every node of links (a, b).
 
-    Each round sends every node to its smallest neighbour, follows that once
-    more, and replaces the links' ends; rounds end when no link is left between
-    different nodes. Tables between rounds are written.
+    Each round orders the nodes anew, by a hash of the node and the round. Every
+    node goes to the first of its neighbours and itself, twice more follows that
+    one, and the links' ends are replaced. In a random order a chain of steps is
+    short, whatever the ids, so a round leaves a fixed share of the nodes and the
+    number of rounds is logarithmic. Tables between rounds are written.
     """
     links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    found = None
+    found, turn = None, 0
     while not links.isEmpty():
+        turn += 1
+        place = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to"))
-        low = written(low.select(F.col("a").alias("node"), "to"), "low")
-        again = low.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        step = written(low.join(again, "to").select("node", F.col("far").alias("to")), "step")
+        low = both.groupBy("a").agg(F.least(F.min(place("b")), F.first(place("a"))).alias("to"))
+        step = written(low.select(F.col("a").alias("node"), F.col("to.node").alias("to")), "low")
+        for _ in range(2):
+            again = step.select(F.col("node").alias("to"), F.col("to").alias("far"))
+            step = written(step.join(again, "to").select("node", F.col("far").alias("to")), "step")
         if found is None:
             found = step.select("node", F.col("to").alias("component"))
         else:
@@ -35,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
         links = written(ends, "links")
     if found is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return found
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    return written(found.join(least, "component").select("node", F.col("least").alias("component")), "found")
 
 
 def merged(known: DataFrame, links: DataFrame) -> DataFrame:

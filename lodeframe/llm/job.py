@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches that go to Python hold about this many bytes, so that a worker's memory doesn't grow with the length of the texts.
@@ -23,9 +23,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share. Only where that isn't set, as in tests, a temporary folder serves."""
+    """A new path below spark.checkpoint.dir, which driver and executors share. Only where that isn't set and all runs in one machine, a temporary folder serves."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.gettempdir() + "/lodeframe-checkpoints"
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
@@ -47,12 +49,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that an operator reads, under fixed names, whatever else the table holds."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-
-
-def attach(docs: DataFrame, extra: DataFrame, id_col: str, keep: Column | None = None) -> DataFrame:
-    """``docs`` with the columns of ``extra`` by the id, nulls equal; columns of docs with the same names give way."""
-    names = {c.lower() for c in extra.columns if c != "doc_id"}
-    left = docs.drop(*[c for c in docs.columns if c.lower() in names and c != id_col])
-    right = extra.withColumnRenamed("doc_id", "__id")
-    out = left.join(right, left[id_col].eqNullSafe(right["__id"]), "left").drop("__id")
-    return out.filter(keep) if keep is not None else out
