@@ -4,8 +4,9 @@ A byte-level BPE first splits a text into runs of letters, digits, other signs
 and white space, and never merges across them. ``cuts`` finds places that are
 surely such borders; between two cuts the ids don't depend on what is around.
 So a batch's stretches are hashed, each new one goes through the tokenizers
-library once, and the ids of the texts are gathered by numpy. The ids equal
-those of encoding the whole texts (tests/llm/test_bpe.py).
+library once, and the ids of the texts are gathered by numpy. A stretch takes the
+ids of a remembered one only if their bytes are equal, too; others go through the
+library. The ids equal those of encoding the whole texts (tests/llm/test_tokens.py).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import os
 
 import numpy as np
 
-from .textops import SPACE, span_hashes
+from .textops import SPACE, same_spans, span_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -62,23 +63,29 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys, self.at, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.raw_at, self.raw_length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.raw = np.zeros(0, np.int32), np.zeros(0, np.uint8)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) by the library."""
         ids: list[list[int]] = []
         for a in range(0, len(texts), SLICE):  # the library's results are large
-            ids += [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + SLICE], add_special_tokens=False)]
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts[a : a + SLICE]], add_special_tokens=False)]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for row in ids for x in row), np.int32, int(length.sum()))
+        return np.fromiter((x for row in ids for x in row), np.int32, int(length.sum())), length
+
+    def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        flat, length = self._encode(texts)
         if len(self.keys) + len(keys) > REMEMBERED:
             self._forget()
-        at = len(self.ids) + np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = lambda before, n: before + np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+        new = (keys, begin(len(self.ids), length), length, begin(len(self.raw), size), size)
         self.ids = np.concatenate([self.ids, flat])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.at = np.concatenate([self.at, at])[order]
-        self.length = np.concatenate([self.length, length])[order]
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(texts), np.uint8)])
+        order = np.argsort(np.concatenate([self.keys, keys]))
+        old = (self.keys, self.at, self.length, self.raw_at, self.raw_length)
+        self.keys, self.at, self.length, self.raw_at, self.raw_length = (np.concatenate(x)[order] for x in zip(old, new, strict=True))
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of all documents and the n+1 offsets of the documents in them."""
@@ -97,14 +104,20 @@ class Encoder:
             if len(self.keys) + new.sum() > REMEMBERED:
                 self._forget()
                 new[:] = True
-            self._learn(distinct[new], [raw[starts[i] : ends[i]].decode() for i in first[new]])
-        slot = np.searchsorted(self.keys, distinct)
-        length = self.length[slot][which]
+            self._learn(distinct[new], [raw[starts[i] : ends[i]] for i in first[new]])
+        slot = np.searchsorted(self.keys, distinct)[which]
+        length, at, ids = self.length[slot], self.at[slot], self.ids
+        known = self.raw_at[slot]
+        other = np.flatnonzero(~same_spans((buf, starts, ends), (self.raw, known, known + self.raw_length[slot])))
+        if len(other):  # stretches with another's hash
+            own, n = self._encode([raw[starts[i] : ends[i]] for i in other])
+            at[other], length[other] = len(ids) + np.cumsum(n) - n, n
+            ids = np.concatenate([ids, own])
         place = np.zeros(len(length) + 1, np.int64)
         np.cumsum(length, out=place[1:])
         source = np.arange(place[-1])
-        source += np.repeat(self.at[slot][which] - place[:-1], length)
-        return self.ids[source], place[np.searchsorted(starts, off)]
+        source += np.repeat(at - place[:-1], length)
+        return ids[source], place[np.searchsorted(starts, off)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

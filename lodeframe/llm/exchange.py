@@ -4,7 +4,8 @@
 with some 4 MB of whole documents. Later passes read it in place: only what a
 pass has found out is shuffled, by chunk, to the chunks' buckets.
 
-In a vote each chunk sends its distinct 64-bit hashes, sorted. They are dealt
+In a vote each chunk sends its distinct hashes, sorted: of 64 bits, or of 128 where
+the vote decides and doesn't only choose candidates. They are dealt
 by their leading bits into buckets, so a bucket holds one contiguous range of
 the sorted order of all hashes, as packets of differences (a few bytes a hash).
 Each bucket is sorted by itself, and each packet gets back two bits a hash:
@@ -103,13 +104,25 @@ def unpack_sorted(width: int, data: bytes) -> np.ndarray:
     return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
 
 
-def packets(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, width, data) of the sorted, distinct hashes; bucket b holds those from b/buckets of the range on."""
+def distinct(h: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one, group, times): of the hashes in order, each once, a place; of each hash its number in that order, and of each number how often it comes."""
+    order = np.argsort(h, kind="stable") if second is None else np.lexsort((second, h))
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    if second is not None:
+        new[1:] |= second[order][1:] != second[order][:-1]
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[new], group, np.bincount(group, minlength=int(new.sum()))
+
+
+def packets(hashes: np.ndarray, buckets: int, second: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(bucket, width, data, second) of the sorted, distinct hashes; bucket b holds those from b/buckets of the range on."""
     edges = edge_hashes(buckets)
     at = np.searchsorted(hashes, edges)
     for b, (a, z) in enumerate(zip(at, np.append(at[1:], len(hashes)), strict=True)):
         if z > a:
-            yield b, *pack_sorted(hashes[a:z])
+            yield b, *pack_sorted(hashes[a:z]), b"" if second is None else second[a:z].astype("<u8").tobytes()
 
 
 def edge_hashes(buckets: int) -> np.ndarray:
@@ -124,10 +137,13 @@ def count_bucket(table: pa.Table) -> pa.Table:
     sender = np.repeat(np.argsort(np.argsort(chunk)).astype(np.int32), size)
     h = np.concatenate(parts)
     parts.clear()
-    order = np.argsort(h)
+    second = np.frombuffer(b"".join(table.column("second").to_pylist()), "<u8")
+    order = np.lexsort((second, h)) if len(second) else np.argsort(h)
     s = h[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
+    if len(second):
+        new[1:] |= second[order[1:]] != second[order[:-1]]
     group = np.cumsum(new) - 1
     begin = np.flatnonzero(new)
     many = np.diff(np.append(begin, len(s))) > 1
@@ -140,21 +156,22 @@ def count_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": chunk, "bucket": table.column("bucket"), "n": size, "elsewhere": pa.array(bits(elsewhere), pa.binary()), "earlier": pa.array(bits(earlier), pa.binary())})
 
 
-_PACKETS = "chunk long, bucket int, width int, data binary"
+_PACKETS = "chunk long, bucket int, width int, data binary, second binary"
 _BITS = "chunk long, bucket int, n long, elsewhere binary, earlier binary"
 
 
-def vote(chunks: DataFrame, hashes: Callable[..., np.ndarray], buckets: int, columns: list[str], before: DataFrame | None = None) -> DataFrame:
+def vote(chunks: DataFrame, hashes: Callable[..., tuple[np.ndarray, np.ndarray | None]], buckets: int, columns: list[str], before: DataFrame | None = None) -> DataFrame:
     """What the other chunks say of each chunk's hashes: chunk and an array of (bucket, n, elsewhere, earlier), written.
 
-    hashes(row) gives the sorted, distinct hashes of a chunk, a dict of ``columns`` of ``before`` joined to ``chunks``.
+    hashes(row) gives the sorted, distinct hashes of a chunk, a dict of ``columns`` of ``before`` joined to ``chunks``, and their second halves or None.
     """
     source = chunks if before is None else chunks.join(before.hint("shuffle_hash"), "chunk", "left")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in rows(b):
-                found = list(packets(hashes(row), buckets))
+                h, second = hashes(row)
+                found = list(packets(h, buckets, second))
                 if found:
                     yield pa.RecordBatch.from_pydict(
                         {
@@ -162,6 +179,7 @@ def vote(chunks: DataFrame, hashes: Callable[..., np.ndarray], buckets: int, col
                             "bucket": pa.array([f[0] for f in found], pa.int32()),
                             "width": pa.array([f[1] for f in found], pa.int32()),
                             "data": pa.array([f[2] for f in found], pa.binary()),
+                            "second": pa.array([f[3] for f in found], pa.binary()),
                         }
                     )
 

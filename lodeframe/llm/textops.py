@@ -11,10 +11,6 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15)
-_rng = np.random.Generator(np.random.PCG64(20240607))
-#: A random 64-bit value for each byte.
-BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 #: The white space that separates words: [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -48,54 +44,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
-    p = np.full(max(n, 1), base, np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf on, little-endian, as if zeros followed buf."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
 
-_POWERS = powers(4096)
+#: Keeps the first n bytes of eight.
+_FIRST = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
+_STEP, _SIZE = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte strings buf[starts:ends], which lie in order, don't overlap and aren't empty."""
+def _words(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, number, first): each string in words of eight bytes, the last filled with zeros; string i's are first[i] on, numbered from 0."""
+    wide = (lens + 7) >> 3
+    first = np.zeros(len(wide), np.int64)
+    np.cumsum(wide[:-1], out=first[1:])
+    number = np.arange(first[-1] + wide[-1]) - np.repeat(first, wide)
+    left = np.repeat(lens, wide) - 8 * number
+    return eights(buf)[np.repeat(starts, wide) + 8 * number] & _FIRST[np.minimum(left, 8)], number, first
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte strings buf[starts:ends], which aren't empty. Each eight bytes are mixed with their place before they are added up, so no sum of powers can vanish."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
-    longest = int(lens.max())
-    p = _POWERS if longest <= len(_POWERS) else powers(longest)
-    first = np.zeros(len(starts), np.int64)
-    np.cumsum(lens[:-1], out=first[1:])
-    total = int(first[-1] + lens[-1])
-    at = np.arange(total, dtype=np.int64)
-    at -= np.repeat(first, lens)
-    values = p[at]
-    at += np.repeat(starts, lens)
-    values *= BYTE[buf[at]]
-    h = np.add.reduceat(values, first)
-    h += lens.astype(np.uint64) * U(0xD6E8FEB86659FD93)
+    x, number, first = _words(buf, starts, lens)
+    x += (number + (salt << 40) + 1).astype(np.uint64) * _STEP
+    h = np.add.reduceat(mix(x), first)
+    h += lens.astype(np.uint64) * _SIZE
     return mix(h)
 
 
-_BLOCK = 1 << 17
-_INVERSE = U(pow(int(BASE), -1, 2**64))
-
-
-def rolling(buf: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of all strings of ``width`` bytes that start in buf; windows may cross documents."""
-    n = len(buf) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.empty(n, np.uint64)
-    up, down = powers(_BLOCK), powers(_BLOCK + width, _INVERSE)
-    for a in range(0, n, _BLOCK):
-        m = min(_BLOCK, n - a)
-        s = np.zeros(m + width + 1, np.uint64)
-        np.cumsum(BYTE[buf[a : a + m + width]] * down[: min(m + width, len(buf) - a)], out=s[1 : 1 + min(m + width, len(buf) - a)])
-        h = s[width : width + m] - s[:m]
-        h *= up[:m]
-        out[a : a + m] = h
-    return mix(out)
+def same_spans(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether the i-th strings of two sides (buf, starts, ends) are equal byte for byte; none is empty."""
+    lens = a[2] - a[1]
+    same = lens == b[2] - b[1]
+    i = np.flatnonzero(same)
+    if len(i):
+        x, _, first = _words(a[0], a[1][i], lens[i])
+        y, _, _ = _words(b[0], b[1][i], lens[i])
+        same[i] = np.logical_and.reduceat(x == y, first)
+    return same
 
 
 def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

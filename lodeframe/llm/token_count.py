@@ -4,7 +4,8 @@ The vocabulary's trie gets a failure link for each node: where to go on when no
 child fits, with the number of pieces that are popped on the way worked out
 beforehand. So each byte of a word is read once and no piece is ever built. All
 distinct words of a batch go through the automaton side by side, one byte of
-each at a time.
+each at a time; words of over ``LONG`` bytes go through it one after another, in
+a time that is linear in their length.
 
 A word is ``[^\\x20\\x09-\\x0D]+``, matched with one space before it. All single
 bytes must be in the vocabulary, as they are in byte-level ones.
@@ -23,7 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .job import documents, tune
-from .textops import arrow_bytes, span_hashes, word_spans
+from .textops import arrow_bytes, same_spans, span_hashes, word_spans
+
+
+#: Bytes of the longest words that advance side by side.
+LONG = 256
 
 
 def read_vocabulary(path: str) -> list[bytes]:
@@ -67,10 +72,33 @@ class Automaton:
         self.fail, self.popped = np.array(fail, np.int32), np.array(popped, np.int32)
         self.edge = np.array(sorted(child), np.int64)
         self.to = np.array([child[k] for k in self.edge.tolist()], np.int32)
+        self._plain: tuple | None = None
+
+    def count(self, word: bytes) -> int:
+        """Number of pieces of one word, a step a byte."""
+        if self._plain is None:
+            self._plain = dict(zip(self.edge.tolist(), self.to.tolist(), strict=True)), self.fail.tolist(), self.popped.tolist()
+        child, fail, popped = self._plain
+        at = n = 0
+        for c in word:
+            while (to := child.get(at << 8 | c)) is None:
+                n += popped[at]
+                at = fail[at]
+            at = to
+        while at:
+            n += popped[at]
+            at = fail[at]
+        return n
 
     def counts(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Numbers of pieces of " " + buf[starts:ends]."""
         n = len(starts)
+        long = ends - starts > LONG
+        if long.any():
+            out = np.empty(n, np.int64)
+            out[~long] = self.counts(buf, starts[~long], ends[~long])
+            out[long] = [self.count(b" " + buf[a:z].tobytes()) for a, z in zip(starts[long], ends[long], strict=True)]
+            return out
         order = np.argsort(starts - ends, kind="stable")  # longest first: those still going are a prefix
         begin, size = starts[order], (ends - starts)[order]
         state, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -107,6 +135,8 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             starts, ends, first = word_spans(buf, off)
             _, one, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
             n = automaton.value.counts(buf, starts[one], ends[one])[which]
+            other = np.flatnonzero(~same_spans((buf, starts, ends), (buf, starts[one][which], ends[one][which])))
+            n[other] = automaton.value.counts(buf, starts[other], ends[other])  # words with another's hash
             total = np.concatenate([[0], np.cumsum(n)])
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "n_words": np.diff(first), "n_tokens": np.diff(total[first])})
 

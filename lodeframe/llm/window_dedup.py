@@ -8,8 +8,8 @@ no candidates are left. At the last level a window goes if its words also start
 earlier: in a document with a smaller doc_id, or before it in the same one.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Windows never cross documents and are judged
-on the input. Hashes have 64 bits at the last level; the levels before only
-choose candidates.
+on the input. Hashes have 128 bits at the last level, which decides; the levels
+before only choose candidates, by 64 bits at most.
 
 Cases: a null or empty text has no words; documents shorter than a window keep
 all; repeated rows are documents of their own, in order of (doc_id, text); null
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import answers, scale, chunk_table, rows, vote
+from .exchange import answers, chunk_table, distinct, rows, scale, vote
 from .job import documents, tune
 from .textops import covered, grams, span_hashes, word_spans
 
@@ -45,8 +45,8 @@ class Chunk:
         self.starts, self.ends, self.first = word_spans(self.buf, row["off"])
         self.words = span_hashes(self.buf, self.starts, self.ends)
 
-    def candidates(self, upto: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes) of the candidates of level ``upto``, from the votes on those before."""
+    def candidates(self, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(places, hashes, second halves at the last level) of the candidates of level ``upto``, from the votes on those before."""
         n, steps = len(self.words), levels(self.width)
         count = np.diff(self.first)
         # Runs of the first level that lie in a document of at least ``width`` words.
@@ -55,12 +55,13 @@ class Chunk:
         room = np.repeat(self.first[1:], count) - np.arange(n)  # words up to the document's end
         left[:n] = d >= self.width
         for k, size in enumerate(steps[: upto + 1]):
-            at = np.flatnonzero(left[:n] & (room >= size))
+            at, last = np.flatnonzero(left[:n] & (room >= size)), k == len(steps) - 1
             h = grams(self.words, size)[at] if len(at) else np.zeros(0, np.uint64)
-            if k < len(steps) - 1:
-                h &= self.coarse
+            if last:
+                return at, h, grams(span_hashes(self.buf, self.starts, self.ends, salt=1), size)[at] if len(at) else h
+            h &= self.coarse
             if k == upto:
-                return at, h
+                return at, h, None
             _, group, times = np.unique(h, return_inverse=True, return_counts=True)
             twice = (answers(self.row[f"bits{k}"], "elsewhere") | (times > 1))[group]
             left = np.zeros(n + size + 1, bool)
@@ -70,17 +71,21 @@ class Chunk:
 
 
 def _hashes(width: int, coarse: np.uint64, level: int):
-    return lambda row: np.unique(Chunk(row, width, coarse).candidates(level)[1])
+    def sent(row: dict) -> tuple[np.ndarray, np.ndarray | None]:
+        _, h, second = Chunk(row, width, coarse).candidates(level)
+        one = distinct(h, second)[0]
+        return h[one], None if second is None else second[one]
+
+    return sent
 
 
 def repeated(row: dict, width: int, coarse: np.uint64) -> tuple[Chunk, np.ndarray]:
     """The chunk and which of its words go."""
     c = Chunk(row, width, coarse)
     last = len(levels(width)) - 1
-    at, h = c.candidates(last)
-    _, group = np.unique(h, return_inverse=True)
-    first = np.full(group.max(initial=-1) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, group, at)
+    at, h, second = c.candidates(last)
+    one, group, _ = distinct(h, second)
+    first = at[one]  # the order is stable: the earliest of each
     again = answers(row[f"bits{last}"], "earlier")[group] | (at > first[group]) if len(at) else np.zeros(0, bool)
     return c, covered(at[again], width, len(c.words))
 

@@ -12,8 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodeframe.llm import components, exchange, near_dedup, suffix_dedup, window_dedup
-from lodeframe.llm.textops import arrow_bytes, rolling
-
+from lodeframe.llm.job import written
+from lodeframe.llm.textops import arrow_bytes, same_spans, span_hashes
 
 def sha(b):
     return hashlib.sha256(b).hexdigest()
@@ -87,18 +87,76 @@ def test_windows(docs, null_docs, no_docs, texts, monkeypatch):
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=60, unique=True))
 def test_packets(hashes):
     h = np.sort(np.array(hashes, np.uint64))
-    parts = [exchange.unpack_sorted(w, d) for _, w, d in exchange.packets(h, 16)]
+    parts = [exchange.unpack_sorted(w, d) for _, w, d, _ in exchange.packets(h, 16)]
     assert np.concatenate(parts).tolist() == h.tolist()
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.binary(min_size=0, max_size=400), st.integers(1, 60))
-def test_rolling_hashes(data, width):
-    data = data + data
-    h = rolling(np.frombuffer(data, np.uint8), width)
-    strings = [data[p : p + width] for p in range(len(data) - width + 1)]
-    assert len(h) == len(strings) and len(set(h.tolist())) == len(set(strings))
-    assert len(set(zip(h.tolist(), strings, strict=True))) == len(set(strings))
+@given(st.lists(st.binary(min_size=1, max_size=40), min_size=1, max_size=30))
+def test_span_hashes(strings):
+    off = np.concatenate([[0], np.cumsum([len(x) for x in strings])]).astype(np.int64)
+    side = (np.frombuffer(b"".join(strings), np.uint8), off[:-1], off[1:])
+    h = span_hashes(*side).tolist()
+    assert len(set(h)) == len(set(strings)) == len(set(zip(h, strings, strict=True)))
+    back = (side[0], side[1][::-1], side[2][::-1])
+    assert same_spans(side, back).tolist() == [a == b for a, b in zip(strings, strings[::-1], strict=True)]
+
+
+def thue_morse(n, letters="ab"):
+    """Two different words of 2^n letters whose hashes by powers modulo 2^64 are equal, whatever the base."""
+    w = "".join(letters[bin(i).count("1") % 2] for i in range(2**n))
+    return w, w.translate(str.maketrans(letters, letters[::-1]))
+
+
+def test_words_made_to_collide(spark):
+    x, y = thue_morse(11)
+    rest = " ".join(f"w{k}" for k in range(19))
+    df = spark.createDataFrame([(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, f"{y} {rest}")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["n_removed"] for r in window_dedup.dedup_windows(df).collect()} == {1: 0, 2: 0, 3: 20}
+    alone = spark.createDataFrame([(1, x), (2, y), (3, y)], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(alone).collect()} == {1: 1, 2: 2, 3: 2}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab\0", min_size=45, max_size=160), min_size=1, max_size=8, unique=True), st.sampled_from([21]))
+def test_suffix_order_is_that_of_the_bytes(strings, v):
+    raw = [x.encode() for x in strings]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    text = b"".join(raw)
+    sorter = suffix_dedup.Sorter(np.frombuffer(text, np.uint8), off, v)
+    at = np.concatenate([np.arange(a, z - 44) for a, z in zip(off[:-1], off[1:], strict=True)])
+    suffix = {p: text[p : off[np.searchsorted(off, p, side="right")]] for p in at.tolist()}
+    got = [suffix[p] for p in at[sorter.order(at)[0]].tolist()]
+    assert got == sorted(got)
+    count = Counter(x[:45] for x in suffix.values())
+    assert sorter.repeats(at, 45).tolist() == [count[suffix[p][:45]] > 1 for p in at.tolist()]
+
+
+def test_anchors_are_the_windows_own():
+    r = random.Random(4)
+    text = "".join(r.choice("abc ") for _ in range(3000)) + "z" * 900
+    text = np.frombuffer((text + text[500:1500]).encode(), np.uint8)
+    first, last, key = suffix_dedup.runs(text, np.array([0, len(text)]), 200)
+    assert sum(last - first + 1) == len(text) - 199 and (last - first).max() < 200
+    own = {}
+    for a, z, k in zip(first.tolist(), last.tolist(), key.tolist(), strict=True):
+        for p in range(a, z + 1):
+            assert own.setdefault(text[p : p + 200].tobytes(), k) == k
+
+
+def test_one_anchor_for_very_many_runs():
+    """Buckets are cut between keys only, and equal strings of one key are held once."""
+    r = random.Random(5)
+    middle = bytes(r.choice(b"abcdef") for _ in range(60))
+    strings = [bytes(r.choice(b"xyz") for _ in range(70)) + middle + bytes(r.choice(b"uvw") for _ in range(70)) for _ in range(6)]
+    strings.append(b"q" + strings[0][1:])
+    table = [(7, c, np.array([1000 * c], "<i4").tobytes(), strings[c % 7]) for c in range(40)] + [(8, 50, np.array([5], "<i4").tobytes(), b"g" * 200)]
+    names = ("key", "chunk", "places", "data")
+    batch = lambda rows: pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in rows], pa.int64() if i < 2 else pa.binary()) for i, n in enumerate(names)})
+    out = {}
+    for b in suffix_dedup.sort_buckets(iter([batch(table[i : i + 3]) for i in range(0, 41, 3)]), 200, most=500):
+        out |= {c: np.frombuffer(s, "<i4").tolist() for c, s in zip(b.column("chunk").to_pylist(), b.column("spans").to_pylist(), strict=True)}
+    assert out == {c: [1000 * c, 1000 * c + 200] for c in range(40)}
 
 
 def brute_sets(text):
@@ -175,6 +233,15 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_chains_take_few_rounds(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(components, "written", lambda df, name="part": seen.append(name) or written(df, name))
+    for n in (60, 600):
+        seen.clear()
+        got = {r["component"] for r in components.components(spark.range(1, n).selectExpr("id - 1 AS a", "id AS b")).collect()}
+        assert got == {0} and seen.count("found") <= 8
+
+
 def test_merged_components(spark):
     known = components.components(spark.createDataFrame([(1, 2), (5, 6), (8, 9)], "a long, b long"))
     more = spark.createDataFrame([(6, 2), (9, 30), (40, 41)], "a long, b long")
