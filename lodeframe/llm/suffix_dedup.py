@@ -47,6 +47,8 @@ COVERS = {91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81), 21: (0, 1, 4, 14, 16)}
 GRAM, NARROW = 24, 8
 #: Bytes of runs that are sorted at once.
 BUCKET = 6 << 20
+#: Places whose anchors are found at once.
+BLOCK = 1 << 16
 
 
 def modulus(width: int) -> int:
@@ -66,25 +68,34 @@ def meeting(v: int) -> np.ndarray:
     return (at[(i[None] - i[:, None]) % v] - i[:, None]) % v
 
 
+def _grams(eight: np.ndarray, at: np.ndarray | slice, gram: int) -> np.ndarray:
+    """Hashes of the ``gram`` bytes from each of the places ``at`` on."""
+    h = U(0)
+    for k in range(gram // 8):
+        there = slice(at.start + 8 * k, at.stop + 8 * k) if isinstance(at, slice) else at + 8 * k
+        h = h + mix(eight[there] + U((k + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1))
+    return mix(h)
+
+
 def runs(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, last, key): runs of neighbouring suffixes with one anchor, from place ``first`` to ``last``, and the anchor's hash."""
     gram = GRAM if width >= 4 * GRAM else NARROW
-    n, g, span = len(buf) - width + 1, len(buf) - gram + 1, width - gram + 1
+    n, span = len(buf) - width + 1, width - gram + 1
     size = np.diff(off)
     long = size >= width
     if n <= 0 or not long.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    eight, h = eights(buf), np.zeros(g, np.uint64)
-    for k in range(gram // 8):
-        h += mix(eight[8 * k : 8 * k + g] + U((k + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1))
-    mix(h)
-    # The smallest of each ``span`` hashes and the first place that has it: of blocks of that size, the least up to a place and the least from it on.
-    low = np.full(-(-g // span) * span, 2**64 - 1, np.uint64)
-    low[:g] = (h & U(0xFFFFFFFF00000000)) | np.arange(g, dtype=np.uint64)
-    low = low.reshape(-1, span)
-    upto = np.minimum.accumulate(low, axis=1).ravel()
-    onward = np.minimum.accumulate(low[:, ::-1], axis=1)[:, ::-1].ravel()
-    anchor = (np.minimum(onward[:n], upto[span - 1 : span - 1 + n]) & U(0xFFFFFFFF)).astype(np.int64)
+    eight, anchor = eights(buf), np.empty(n, np.int32 if len(buf) < 2**31 else np.int64)
+    for a in range(0, n, BLOCK):  # in parts that a processor's cache holds
+        m = min(BLOCK, n - a)
+        k = m + span - 1
+        # The smallest of each ``span`` hashes and the first place that has it: of blocks of that size, the least up to a place and the least from it on.
+        low = np.full(-(-k // span) * span, 2**64 - 1, np.uint64)
+        low[:k] = (_grams(eight, slice(a, a + k), gram) & U(0xFFFFFFFF00000000)) | np.arange(k, dtype=np.uint64)
+        low = low.reshape(-1, span)
+        upto = np.minimum.accumulate(low, axis=1).ravel()
+        onward = np.minimum.accumulate(low[:, ::-1], axis=1)[:, ::-1].ravel()
+        anchor[a : a + m] = (np.minimum(onward[:m], upto[span - 1 : span - 1 + m]) & U(0xFFFFFFFF)).astype(np.int64) + a
     step = np.zeros(n + 1, np.int8)
     step[off[:-1][long]] += 1
     step[(off[1:] - width + 1)[long]] -= 1
@@ -92,7 +103,7 @@ def runs(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.n
     change = np.ones(n + 1, bool)
     change[1:n] = (anchor[1:] != anchor[:-1]) | ~good[:-1] | ~good[1:]
     first, last = np.flatnonzero(change[:n] & good), np.flatnonzero(change[1:] & good)
-    return first, last, h[anchor[first]].view(np.int64)
+    return first, last, _grams(eight, anchor[first], gram).view(np.int64)
 
 
 class Sorter:
@@ -108,7 +119,11 @@ class Sorter:
     def _part(self, rank: np.ndarray, active: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Parts groups of equal rank by ``key``; a rank is the number of suffixes in groups before. Returns the active ones in order, their keys and the sizes of their new groups."""
         old = rank[active]
-        order = np.lexsort((key, old))
+        order = np.argsort(key)
+        if old.any():
+            dense = np.empty(len(key), np.int64)
+            dense[order] = np.cumsum(np.append(False, key[order[1:]] != key[order[:-1]]))[: len(key)]
+            order = np.argsort(old << 32 | dense)
         active, key, old = active[order], key[order], old[order]
         group, new = np.ones(len(old), bool), np.ones(len(old), bool)
         group[1:] = old[1:] != old[:-1]

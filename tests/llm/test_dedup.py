@@ -226,9 +226,10 @@ def test_near_copies_chain_into_one_class(spark):
     assert {r["class_id"] for r in near_dedup.classes(df).collect()} == {0}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("together", [0, 12, 1 << 20])
+def test_components(spark, together):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (20, 21), (21, 20), (30, 30)] + [(100, i) for i in range(101, 140)]
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long"), together).collect()}
     assert got == {**dict.fromkeys((1, 2, 3, 4), 1), **dict.fromkeys((7, 8, 9), 7), 20: 20, 21: 20, **dict.fromkeys(range(100, 140), 100)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -238,8 +239,8 @@ def test_chains_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(components, "written", lambda df, name="part": seen.append(name) or written(df, name))
     for n in (60, 600):
         seen.clear()
-        got = {r["component"] for r in components.components(spark.range(1, n).selectExpr("id - 1 AS a", "id AS b")).collect()}
-        assert got == {0} and seen.count("found") <= 8
+        got = {r["component"] for r in components.components(spark.range(1, n).selectExpr("id - 1 AS a", "id AS b"), 5).collect()}
+        assert got == {0} and seen.count("step") <= 14
 
 
 def test_merged_components(spark):
