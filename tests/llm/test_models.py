@@ -2,13 +2,19 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.llm import decontaminate, media, quality, toxicity
+from lodeframe.llm.job import documents
+from lodeframe.llm.lines import line_features
+from lodeframe.llm.textops import arrow_bytes, span_hashes
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +63,32 @@ def test_quality_cases(spark, labelled, docs, null_docs, no_docs):
     assert len(lines["line_good"]) == 4
 
 
+def test_long_documents_equal_short_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    first = np.array([0, 700, 701, 2000])
+    score, pair = rng.normal(size=2000) * 3, rng.normal(size=(2, 2))
+    long = quality.marginals(score, pair, first)
+    monkeypatch.setattr(quality, "LONG", 10**9)
+    assert long == pytest.approx(quality.marginals(score, pair, first))
+
+
+def test_quality_of_a_text_of_many_lines():
+    rng = np.random.default_rng(3)
+    began = time.time()
+    assert len(quality.marginals(rng.normal(size=500_000), rng.normal(size=(2, 2)), np.array([0, 500_000]))) == 500_000
+    assert time.time() - began < 20
+
+
+def test_longer_lines_count_for_more(labelled):
+    """A document of a good and a bad part: its score follows the part with more bytes."""
+    docs, labels = labelled
+    field = quality.train(docs, labels)
+    rows = docs.select("doc_id", "text").join(labels, "doc_id").select("text", "quality").collect()
+    good, bad = (next(r["text"] for r in rows if r["quality"] == q and len(r["text"]) > 60) for q in (1, 0))
+    line = field.raw(*line_features(*arrow_bytes(pa.array([good, bad, "\n".join([good] * 8 + [bad]), "\n".join([good] + [bad] * 8)]))))
+    assert line[0] > line[1] and line[2] > line[3]
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
     first = np.array([0, 4, 4, 5, 8])
@@ -83,9 +115,37 @@ def test_toxicity_on_unseen_rows(spark, labelled):
     got = toxicity.toxicity(docs, labels.filter("doc_id % 5 <> 0")).join(labels, "doc_id").toPandas()
     held = got[got["doc_id"] % 5 == 0]
     assert (held["flagged"] == held["toxic"]).mean() > 0.95
-    assert {"p_toxic_junk", "p_toxic_prose", "p_toxic"} <= set(got.columns)
-    junk = got[(got["toxic"] == 1) & (got["quality"] == 0)]
-    assert junk["p_toxic_junk"].mean() > got[got["toxic"] == 0]["p_toxic_junk"].mean()
+    assert {"held_out", "p_low_quality", "p_toxic"} <= set(got.columns)
+    assert got["p_low_quality"].between(0, 1).all()
+
+
+def test_toxicity_equals_plain_code(spark, labelled, docs, texts):
+    """Scores from the models' weights, with sets of words instead of arrays."""
+    good, labels = labelled
+    marks = labels.selectExpr("doc_id", "1 - quality AS low_quality", "toxic")
+    models = toxicity.train(good, marks, list(toxicity.CHAIN))
+    got = {r["doc_id"]: r for r in toxicity.score(documents(docs), models, list(toxicity.CHAIN)).collect()}
+    number = lambda x: int(span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0])
+    for i, t in texts.items():
+        raw = "".join(c.lower() if c < "\x80" else c for c in t or "").encode()
+        ids = set()
+        for w in re.findall(rb"[a-z0-9\x80-\xff]+", raw):
+            ids |= {number(w) >> 32} | {(number(w[:n]) + n & 2**64 - 1) >> 32 for n in toxicity.BEGINNINGS if len(w) >= n}
+        before = []
+        for model, category in zip(models, toxicity.CHAIN, strict=True):
+            weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+            z = model.bias + sum(weight.get(x, 0.0) for x in ids) + sum(a * b for a, b in zip(model.extra, before, strict=True))
+            before.append(1 / (1 + np.exp(-min(12, max(-12, z)))))
+            assert got[i][f"p_{category}"] == pytest.approx(before[-1])
+        assert got[i]["flagged"] == int(before[-1] >= 0.3)
+
+
+def test_toxicity_learns_nothing_from_held_out_labels(labelled):
+    docs, labels = labelled
+    kept = ~quality.held_out(F.col("doc_id"))
+    other = labels.withColumn("toxic", F.when(kept, F.col("toxic")).otherwise(1 - F.col("toxic")))
+    a, b = (toxicity.toxicity(docs, x).orderBy("doc_id").toPandas() for x in (labels, other))
+    assert a.equals(b)
 
 
 def test_toxicity_cases(labelled, docs, null_docs, no_docs):
@@ -152,9 +212,9 @@ def brute_align(a, b):
 def test_alignment_equals_plain_smith_waterman():
     rng = np.random.default_rng(8)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 6, n)) for n in (12, 5, 30)]
-    items = decontaminate.Items([0, 1, 2], texts)
+    items = decontaminate.Items([[0], [1], [2]], texts)
     words = rng.integers(0, 6, 200)
-    pool = decontaminate.Batch(__import__("pyarrow").array([" ".join(f"w{x}" for x in words)]))
+    pool = decontaminate.Batch(pa.array([" ".join(f"w{x}" for x in words)]))
     lo, hi = np.array([0, 20, 150, 90]), np.array([40, 60, 200, 95])
     item = np.array([0, 1, 2, 2])
     score, begin, end = decontaminate.align(pool.words, lo, hi, items, item)
@@ -178,6 +238,45 @@ def test_edited_copies_beside_a_whole_one(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [9]
 
 
+def preambles(n, docs):
+    """Items and documents that share a preamble; every tenth document holds half of an item's own words, too."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    start = [word() for _ in range(12)]
+    items = [start + [word() for _ in range(20)] for _ in range(n)]
+    texts = []
+    for d in range(docs):
+        own = items[d % n]
+        texts.append(" ".join([word() for _ in range(30)] + (own[:26] if d % 10 == 0 else own[:12]) + [word() for _ in range(30)]))
+    return [" ".join(x) for x in items], texts
+
+
+def test_seeds_that_many_items_share(monkeypatch):
+    items, texts = preambles(200, 60)
+    items.append(items[3])
+    batch = decontaminate.Batch(pa.array(texts))
+    found = []
+    for hot in (2, 10**9):
+        monkeypatch.setattr(decontaminate, "HOT", hot)
+        found.append(decontaminate.matches(batch, decontaminate.Items([[k] for k in range(len(items))], items), 0.5))
+    assert {(d, d) for d in range(0, 60, 10)} <= set(zip(found[0]["doc"], found[0]["item"], strict=True))
+    assert found[0].reset_index(drop=True).equals(found[1].reset_index(drop=True))
+
+
+def test_preambles_stay_cheap():
+    items, texts = preambles(2000, 200)
+    began = time.time()
+    got = decontaminate.matches(decontaminate.Batch(pa.array(texts)), decontaminate.Items([[k] for k in range(2000)], items), 0.5)
+    assert set(zip(got["doc"], got["item"], strict=True)) == {(d, d) for d in range(0, 200, 10)} and time.time() - began < 20
+
+
+def test_equal_items_are_each_found(spark):
+    text = " ".join(f"w{k}" for k in range(12))
+    items = spark.createDataFrame([(1, text), (2, text), (None, text), (3, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "a b " + text), (6, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"] or 0) for r in decontaminate.contaminated(docs, items).collect()) == [(5, 0), (5, 1), (5, 2)]
+
+
 def test_decontamination_cases(spark, docs, null_docs, no_docs):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (None, "some text here and there")], "item_id long, text string")
     for df in (docs, null_docs, no_docs):
@@ -221,6 +320,12 @@ def test_media_digest(docs, null_docs, no_docs, texts):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         file = media.wave(payload)
         assert (r["media_bytes"], r["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest()) and media.unwave(file) == ("mulaw", 8000, payload)
+        pcm = media.resample(media.MULAW[np.frombuffer(payload, np.uint8)], 8000, 4000).astype(int)
+        mu, al = (x[np.frombuffer(payload, np.uint8)].astype(int) for x in (media.MULAW, media.ALAW))
+        ad = [x for k in range(0, len(payload), 64) for x in plain_adpcm(payload[k : k + 64])]
+        law = [f"{n}={sum(map(abs, x.tolist())) // len(x)}/{sum((p < 0) != (q < 0) for p, q in zip(x[:-1].tolist(), x[1:].tolist(), strict=True))}" for n, x in (("mulaw", mu), ("alaw", al))]
+        want = [*law, f"adpcm={sum(map(abs, ad)) // len(ad)}/{max(map(abs, ad))}/{ad[-1]}", f"pcm={sum(map(abs, pcm.tolist())) // len(pcm)}/{max(map(abs, pcm.tolist()))}/{zlib.crc32(pcm.astype('<i2').tobytes()):08x}"]
+        assert r["feature"] == ";".join(want)
     assert got[10]["feature"] == got[11]["feature"] != got[12]["feature"]
     assert media.document_audio(null_docs).count() == 3 and media.document_audio(no_docs).count() == 0
 

@@ -3,6 +3,7 @@
 import base64
 import bisect
 import re
+import time
 import zlib
 
 import numpy as np
@@ -129,3 +130,31 @@ def test_token_counts(docs, null_docs, no_docs, texts):
     assert token_count.token_counts(null_docs, path).count() == 3 and token_count.token_counts(no_docs, path).count() == 0
     with pytest.raises(ValueError):
         token_count.Automaton([b"a", b"ab"])
+
+
+def thue_morse(n):
+    w = "".join("ab"[bin(i).count("1") % 2] for i in range(2**n))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_with_one_hash(spark, tokenizer, monkeypatch):
+    """Two words of one batch, first with hashes by powers, then with any hash made alike."""
+    x, y = thue_morse(10)
+    column = pa.array([x, y, "q " + y])
+    for _ in range(2):
+        ids, first = bpe.Encoder(PATH).encode(*arrow_bytes(column))
+        assert [ids[a:z].tolist() for a, z in zip(first[:-1], first[1:], strict=True)] == [plain_ids(tokenizer, t) for t in column.to_pylist()]
+        monkeypatch.setattr(bpe, "span_hashes", lambda buf, starts, ends: (ends - starts).astype(np.uint64))
+    path = P.path("byte_bpe_50k.tiktoken")
+    df = spark.createDataFrame([(0, x), (1, y)], "doc_id long, text string").coalesce(1)
+    want = [token_count.Automaton(token_count.read_vocabulary(path)).count(b" " + t.encode()) for t in (x, y)]
+    assert [r["n_tokens"] for r in token_count.token_counts(df, path).orderBy("doc_id").collect()] == want
+
+
+def test_very_long_words():
+    automaton = token_count.Automaton(token_count.read_vocabulary(P.path("byte_bpe_50k.tiktoken")))
+    buf = np.random.default_rng(1).choice(np.frombuffer(b"abcdefgh0123456789+/", np.uint8), 3_000_000)
+    began = time.time()
+    n = automaton.counts(buf, np.array([0, 0]), np.array([len(buf), 200]))
+    assert time.time() - began < 20 and 0 < n[1] <= 200 < n[0]
+    assert n[1] == automaton.count(b" " + buf[:200].tobytes())
