@@ -52,10 +52,9 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the chain flags, with the probability of each category."""
     from .toxicity import toxicity
 
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).filter("flagged = 1")
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,13 @@
 """Toxicity by a classifier chain of linear models.
 
 The categories are predicted one after another. The model of each reads which
-words, and which beginnings of words, a text has, and the log odds of all the
-categories before it in the chain. For training, those log odds are out of fold:
-each labelled document's come from a model that was fitted without it.
+words, and which beginnings of words, a text has, and the probabilities of all the
+categories before it in the chain. For training, those probabilities are out of
+fold: each labelled document's come from a model that was fitted without it.
 
-The labels hold one mark of toxicity and one of quality, so the chain here is
-``toxic_junk`` (toxic in a bad text), ``toxic_prose`` (toxic in a good one), then
-``toxic`` itself. ``train`` takes any list of 0/1 columns.
+The labels hold two marks, so the chain here is ``low_quality``, then ``toxic``.
+``train`` takes any list of 0/1 columns. Labels of documents that are held out
+(as in ``quality``) aren't learned.
 
 Models are fitted on the driver, on at most ``SAMPLE`` labelled documents, each
 on at most ``WORDS`` features. All documents are scored in tasks.
@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .job import documents, tune
-from .quality import labelled_sample
+from .quality import held_out, labelled_sample
 from .textops import arrow_bytes, plain_words, span_hashes
 
 SAMPLE, WORDS, FOLDS = 4000, 2048, 4
 #: Bytes of the beginnings of words that count as features besides whole words.
 BEGINNINGS = (5, 6, 7, 8)
-CHAIN = ("toxic_junk", "toxic_prose", "toxic")
+CHAIN = ("low_quality", "toxic")
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +85,9 @@ class Linear:
             z += extra @ self.extra
         return np.clip(z, -12, 12)
 
+    def probability(self, ids: np.ndarray, first: np.ndarray, extra: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.odds(ids, first, extra)))
+
 
 def fit(ids: np.ndarray, first: np.ndarray, extra: np.ndarray, y: np.ndarray, rounds: int = 250) -> Linear:
     """Ridge-logistic model by gradient ascent with momentum (Adam)."""
@@ -112,7 +115,7 @@ def fit(ids: np.ndarray, first: np.ndarray, extra: np.ndarray, y: np.ndarray, ro
 
 
 def chain(ids: np.ndarray, first: np.ndarray, labels: np.ndarray) -> list[Linear]:
-    """A model for each column of labels; each is fitted with the out-of-fold log odds of those before it."""
+    """A model for each column of labels; each is fitted with the out-of-fold probabilities of those before it."""
     n, models = len(labels), []
     fold = np.arange(n) % FOLDS
     extra = np.zeros((n, 0))
@@ -122,7 +125,7 @@ def chain(ids: np.ndarray, first: np.ndarray, labels: np.ndarray) -> list[Linear
         for k in range(FOLDS if j < labels.shape[1] - 1 else 0):
             inn, out = fold != k, fold == k
             part = lambda mask: (ids[mask[doc]], np.concatenate([[0], np.cumsum(np.diff(first)[mask])]).astype(np.int64))
-            outside[out] = fit(*part(inn), extra[inn], y[inn]).odds(*part(out), extra[out])
+            outside[out] = fit(*part(inn), extra[inn], y[inn]).probability(*part(out), extra[out])
         models.append(fit(ids, first, extra, y))
         extra = np.column_stack([extra, outside])
     return models
@@ -137,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
             own = {"doc_id": b.column("doc_id").cast(pa.int64()), "n": np.diff(first).astype(np.int32), "ids": pa.array([ids[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())}
             yield pa.RecordBatch.from_pydict(own | {c: b.column(c).cast(pa.int32()) for c in categories})
 
-    rows = labelled_sample(docs, labels, categories, sample).mapInArrow(extract, schema).toPandas()
+    rows = labelled_sample(docs, labels, categories, sample, ~held_out(F.col("doc_id"))).mapInArrow(extract, schema).toPandas()
     rows = rows.sample(frac=1, random_state=7).sort_values("doc_id", kind="stable")
     ids = np.frombuffer(b"".join(rows["ids"]), np.uint32)
     first = np.concatenate([[0], np.cumsum(rows["n"].to_numpy(np.int64))]).astype(np.int64)
@@ -145,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
 
 
 def score(docs: DataFrame, models: list[Linear], categories: list[str], threshold: float = 0.3) -> DataFrame:
-    """doc_id, p_<category> of each category, and ``flagged``: whether the last reaches the threshold."""
+    """doc_id, held_out, p_<category> of each category, and ``flagged``: whether the last reaches the threshold."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(models)  # at most WORDS weights each
 
@@ -154,18 +157,16 @@ def score(docs: DataFrame, models: list[Linear], categories: list[str], threshol
             ids, first = features(*arrow_bytes(b.column("text")))
             extra = np.zeros((len(b), 0))
             for model in shared.value:
-                extra = np.column_stack([extra, model.odds(ids, first, extra)])
-            p = 1 / (1 + np.exp(-extra))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64())} | {f"p_{c}": p[:, j] for j, c in enumerate(categories)})
+                extra = np.column_stack([extra, model.probability(ids, first, extra)])
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64())} | {f"p_{c}": extra[:, j] for j, c in enumerate(categories)})
 
     scored = docs.select("doc_id", "text").mapInArrow(out, "doc_id long, " + ", ".join(f"`p_{c}` double" for c in categories))
-    return scored.withColumn("flagged", (F.col(f"p_{categories[-1]}") >= threshold).cast("int"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *[f"p_{c}" for c in categories], (F.col(f"p_{categories[-1]}") >= threshold).cast("int").alias("flagged"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Trains the chain on the labels and scores all documents."""
     tune(docs.sparkSession)
     docs = documents(docs, id_col, text_col)
-    toxic, good = F.col("toxic"), F.coalesce(F.col("quality"), F.lit(1))
-    marks = labels.select("doc_id", (toxic * (1 - good)).alias("toxic_junk"), (toxic * good).alias("toxic_prose"), "toxic")
+    marks = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     return score(docs, train(docs, marks, list(CHAIN), sample), list(CHAIN), threshold)
