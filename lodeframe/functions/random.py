@@ -13,10 +13,12 @@ SECOND, PRIME = 48271, 2147483647
 
 
 def uniform(id: Column, salt: int = 0) -> Column:
-    """In (0, 1): a linear step modulo 2^31, then two quadratic ones modulo a prime, so that salts give unrelated numbers. Ids up to 2^32 keep all products within 64 bits."""
-    s = F.pmod(id.cast("long") * MULTIPLIER + (INCREMENT + salt * 7919), F.lit(MODULUS))
+    """In (0, 1): a linear step modulo 2^31, then two quadratic ones modulo a prime, so that salts give unrelated numbers. An id's bits from the 31st on come in after the first step, so all products stay within 64 bits."""
+    id = id.cast("long")
+    high, top = F.pmod(F.shiftright(id, 31), F.lit(1 << 30)), F.pmod(F.shiftright(id, 61), F.lit(8))
+    s = F.pmod(F.pmod(id, F.lit(MODULUS)) * MULTIPLIER + (INCREMENT + salt * 7919), F.lit(MODULUS))
     for k in (1, 2):
-        s = (s * s + s * SECOND + (salt * 104729 + k)) % PRIME
+        s = (s * s + s * SECOND + high * k + top * (1000003 * k) + (salt * 104729 + k)) % PRIME
     return (s + 0.5) / PRIME
 
 
@@ -26,7 +28,7 @@ def normal(id: Column, salt: int = 0) -> Column:
 
 
 def sql_uniform(id: str, salt: int = 0) -> str:
-    """DuckDB SQL of ``uniform``."""
+    """DuckDB SQL of ``uniform`` for ids from 0 to 2^31."""
     s = f"(({id}::BIGINT * {MULTIPLIER} + {INCREMENT + salt * 7919}) % {MODULUS})"
     for k in (1, 2):
         s = f"(({s} * {s} + {s} * {SECOND} + {salt * 104729 + k}) % {PRIME})"

@@ -152,3 +152,8 @@ def standardised(df: DataFrame, names: list[str]) -> DataFrame:
         s = F.col(f"__{c}.s")
         out = out.withColumn(c, (F.col(c) - F.col(f"__{c}.m")) / F.when(s < 1e-6, F.lit(1.0)).otherwise(s))
     return out.drop(*[f"__{c}" for c in names])
+
+
+def collated(each: DataFrame, value: str, *keys: str) -> DataFrame:
+    """Repeats, mean and sample deviation of a metric by method."""
+    return each.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("deviation"))

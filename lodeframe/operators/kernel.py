@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import energy, geometry
+from ..session import prepare
 
 # Crystal sizes in mm (x, y, z) of the front layers and of the rear layer.
 FRONT_CRYSTAL, REAR_CRYSTAL = (3.0, 3.0, 3.0), (2.0, 6.0, 2.0)
@@ -46,36 +51,87 @@ def kernel(e1: Column, e0: float, beta: Column, theta: Column, sigma: Column) ->
     return F.exp(-d * d / (2 * sigma * sigma)) * (F.lit(e0) / (e0 - e1) + (e0 - e1) / e0 - s * s)
 
 
-def rows(located_events: DataFrame, pixels: DataFrame, matrix_long: DataFrame, e0: float, resolution: float, support: float, keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
-    """Normalised rows of events that pass: keys, pixel_id, t, and the effective support 1 / sum t^2, at least ``support``.
+#: Cells (events times pixels) that a task works on at once.
+CELLS = 1 << 20
+
+
+def rows(located_events: DataFrame, pixels: DataFrame, matrix: DataFrame, e0: float, resolution: float, support: float, extra: float = 0.0, source_leg: bool = False) -> DataFrame:
+    """event_id, cp1, t (an array over the pixels) and the effective support 1 / sum t^2 of the events that pass it; rows whose sum isn't positive and finite go.
 
-    The pixel grid is a dimension of fixed size and is broadcast; the matrix is
-    joined by (bin_id, pixel_id). Rows with a zero or missing sum go.
+    Each event meets its first hit's matrix row (bin_id, h) once. Its row of
+    kernels is worked out with numpy, normalised and judged in the same task, so
+    the product of events and pixels is never shuffled. The pixels' centres, of
+    the size of the grid, go along. The steps are those of the column functions
+    above (``energy_sigma``, ``position_sigma``, ``kernel``).
     """
-    hit1, hit2 = tuple(F.col(f"{c}1") for c in "xyz"), tuple(F.col(f"{c}2") for c in "xyz")
-    each = located_events.crossJoin(F.broadcast(pixels.select("pixel_id", *[F.col(c).alias(f"p{c}") for c in "xyz"])))
-    source = tuple(F.col(f"p{c}") for c in "xyz")
-    e1 = F.col("e1")
-    theta = energy.scatter_angle(e1, e0)
-    beta = geometry.angle(geometry.minus(hit1, source), geometry.minus(hit2, hit1))
-    variance = lambda i: tuple(position_variance(F.col(f"rear{i}"), a) for a in range(3))
-    each = each.withColumn("theta", theta).withColumn("beta", beta)
-    se = energy_sigma(e1, e0, resolution, F.col("beta"), F.col("theta"))
-    sp = position_sigma(source, hit1, hit2, variance(1), variance(2))
-    each = each.withColumn("sigma", F.sqrt(F.greatest(se * se + sp * sp, F.lit(1e-12))))
-    each = each.withColumn("k", kernel(e1, e0, F.col("beta"), F.col("theta"), F.col("sigma")))
-    h = matrix_long.select(F.col("bin_id").alias("cp1"), "pixel_id", "h")
-    weighed = each.join(h, ["cp1", "pixel_id"]).select(*keys, "pixel_id", (F.col("k") * F.col("h")).alias("t"))
-    return normalised(weighed, keys, support)
-
-
-def normalised(df: DataFrame, keys: tuple[str, ...], support: float) -> DataFrame:
-    """Rows over their sums, with their effective support; rows that fail go."""
-    w = Window.partitionBy(*keys)
-    bad = F.max((F.isnan("t") | F.col("t").isNull()).cast("int")).over(w)
-    df = df.withColumn("__sum", F.sum("t").over(w)).withColumn("__bad", bad).filter((F.col("__bad") == 0) & (F.col("__sum") > 0))
-    df = df.withColumn("t", F.col("t") / F.col("__sum")).withColumn("support", 1 / F.sum(F.col("t") * F.col("t")).over(w))
-    return df.filter(F.col("support") >= support).drop("__sum", "__bad")
+    grid = np.array([tuple(r) for r in pixels.orderBy("pixel_id").select("x", "y", "z").collect()], float)  # a row a pixel
+    names = ("x1", "y1", "z1", "x2", "y2", "z2", "e1", "rear1", "rear2")
+    met = located_events.join(matrix.select(F.col("bin_id").cast("int").alias("cp1"), "h"), "cp1").select("event_id", "cp1", *[F.col(n).cast("double").alias(n) for n in names], "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // len(grid))
+        for whole in batches:
+            for a in range(0, len(whole), step):
+                b = whole.slice(a, step)
+                column = {n: b.column(n).to_numpy(zero_copy_only=False) for n in names}
+                h = b.column("h").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), -1)
+                t = _kernels(column, grid, e0, resolution, extra, source_leg) * h
+                total = t.sum(axis=1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    t = t / total[:, None]
+                    wide = 1 / (t * t).sum(axis=1)
+                good = np.flatnonzero(np.isfinite(total) & (total > 0) & (wide >= support))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(good) + 1, dtype=np.int32) * len(grid)), pa.array(t[good].ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("event_id").take(pa.array(good)), b.column("cp1").take(pa.array(good)), flat, pa.array(wide[good])], ["event_id", "cp1", "t", "support"])
+
+    prepare(located_events.sparkSession)
+    return met.mapInArrow(run, f"event_id {met.schema['event_id'].dataType.simpleString()}, cp1 int, t array<double>, support double")
+
+
+def _kernels(c: dict[str, np.ndarray], grid: np.ndarray, e0: float, resolution: float, extra: float, source_leg: bool) -> np.ndarray:
+    """(events, pixels): angle kernels of events' columns."""
+    hit1, hit2 = (np.stack([c[f"{axis}{k}"] for axis in "xyz"], axis=1) for k in (1, 2))
+    a, b = hit1[:, None] - grid[None], hit2 - hit1
+    na, nb = np.sqrt((a * a).sum(axis=2)), np.sqrt((b * b).sum(axis=1))[:, None]
+    ab = np.einsum("epk,ek->ep", a, b)
+    e1, edge = c["e1"][:, None], 1 - 1e-7
+    angle = lambda e: np.arccos(np.clip(1 - energy.ELECTRON * e / ((e0 - e) * e0), -edge, edge))
+    theta = angle(e1)
+    beta = np.arccos(np.clip(ab / np.maximum(na * nb, 1e-7), -edge, edge))
+    blur = e1 * (resolution / energy.FWHM) * np.sqrt(e0 / e1)
+    at = lambda e: angle(np.clip(e, 1e-7, e0 - 1e-7))
+    by_energy = np.where(beta >= theta, np.maximum(at(e1 + blur) - theta, 1e-7), np.maximum(theta - at(e1 - blur), 1e-7))
+    na, nb = np.maximum(na, 1e-7), np.maximum(nb, 1e-7)
+    ua, ub = a / na[:, :, None], (b / nb)[:, None]
+    cosine = (ua * ub).sum(axis=2)
+    square = np.maximum(1 - cosine * cosine, 1e-12)
+    by_place = np.zeros_like(cosine)
+    for k in range(3):
+        v1, v2 = (np.where(c[f"rear{i}"] > 0, REAR_CRYSTAL[k] ** 2 / 12, FRONT_CRYSTAL[k] ** 2 / 12)[:, None] + extra * extra for i in (1, 2))
+        across = (ua[:, :, k] - cosine * ub[:, :, k]) / nb
+        along = (ub[:, :, k] - cosine * ua[:, :, k]) / na if source_leg else 0.0
+        by_place += ((across - along) ** 2 * v1 + across**2 * v2) / square
+    sigma2 = np.maximum(by_energy**2 + np.maximum(by_place, 1e-12), 1e-12)
+    d, s = beta - theta, np.sin(beta)
+    return np.exp(-d * d / (2 * sigma2)) * (e0 / (e0 - e1) + (e0 - e1) / e0 - s * s)
+
+
+def weight_array(weights: DataFrame, fine: int, coarse: int) -> np.ndarray:
+    """(fine, coarse) array of weights (fine, coarse, w), which are as many as a grid has pixels."""
+    out = np.zeros((fine, coarse))
+    for r in weights.select("fine", "coarse", "w").collect():
+        out[r["fine"], r["coarse"]] = r["w"]
+    return out
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """event_id, cp1 and t, an array over the pixels in order, of long rows (event_id, cp1, pixel_id, t); every pixel must be there once."""
+    cells = F.sort_array(F.collect_list(F.struct("pixel_id", "t")))
+    return rows.groupBy("event_id", "cp1").agg(F.transform(cells, lambda c: c["t"]).alias("t"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("event_id", "cp1", F.posexplode("t").alias("pixel_id", "t"))
 
 
 def ring_stride(length: int, views: int, wanted: int) -> int:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
@@ -18,23 +22,17 @@ def rejection_sweep(scored: DataFrame, id_col: str, fractions: list[float], buck
     (confidence, id), counted by partition, and numbered within each partition.
     """
     rows = scored.select("confidence", F.col(id_col).alias("id"), F.col("correct").cast("int").alias("correct"))
-    placed = rows.repartitionByRange(buckets, "confidence", "id").withColumn("part", F.spark_partition_id())
+    # Written once: range bounds come from a sample, so two runs may part the rows differently.
+    placed = written(rows.repartitionByRange(buckets, "confidence", "id").withColumn("part", F.spark_partition_id()), "placed")
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
-    total = sizes.agg(F.sum("n").alias("total"))
     ranked = placed.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("confidence", "id"))).join(F.broadcast(before.select("part", "before")), "part")
-    ranked = ranked.select((F.col("before") + F.col("place")).alias("rank"), "confidence", "correct").crossJoin(F.broadcast(total))
-    targets = scored.sparkSession.createDataFrame([(float(f),) for f in fractions], "reject_fraction_target double")
-    cut = F.floor(F.col("reject_fraction_target") * F.col("total"))
-    each = ranked.crossJoin(F.broadcast(targets)).withColumn("cut", cut)
-    kept = F.col("rank") > F.col("cut")
-    out = each.groupBy("reject_fraction_target").agg(
-        F.max("cut").cast("long").alias("reject_count"),
-        F.sum(kept.cast("long")).alias("retained_count"),
-        F.sum(F.when(kept, F.col("correct")).otherwise(0)).cast("long").alias("retained_correct_count"),
-        F.coalesce(F.max(F.when(F.col("rank") == F.col("cut"), F.col("confidence"))), F.lit(0.0)).alias("confidence_threshold"),
-        F.max("total").alias("total"),
-    )
+    rank, total = F.col("before") + F.col("place"), placed.count()
+    cuts = [(float(f), math.floor(f * total)) for f in fractions]
+    sums = [F.coalesce(F.sum(F.when(rank > cut, F.col("correct"))), F.lit(0)).cast("long").alias(f"c{i}") for i, (_, cut) in enumerate(cuts)]
+    last = [F.coalesce(F.max(F.when(rank == cut, F.col("confidence"))), F.lit(0.0)).alias(f"t{i}") for i, (_, cut) in enumerate(cuts)]
+    each = [F.struct(F.lit(f).alias("reject_fraction_target"), F.lit(cut).cast("long").alias("reject_count"), F.lit(total - cut).cast("long").alias("retained_count"), F.col(f"c{i}").alias("retained_correct_count"), F.col(f"t{i}").alias("confidence_threshold"), F.lit(total).cast("long").alias("total")) for i, (f, cut) in enumerate(cuts)]
+    out = ranked.agg(*sums, *last).select(F.inline(F.array(*each)))
     return out.select(
         "reject_fraction_target",
         (F.col("reject_count") / F.col("total")).alias("reject_fraction_actual"),

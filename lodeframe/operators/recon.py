@@ -49,6 +49,44 @@ def sensitivity(matrix: DataFrame, pixels: int, column: str = "h") -> np.ndarray
     return _summed(matrix.select(column), lambda b: _rows(b.column(0)).sum(axis=0), pixels)
 
 
+def _table(ids: list, names: list[str], rows: np.ndarray) -> pa.RecordBatch:
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows).ravel()))
+    return pa.RecordBatch.from_arrays([*ids, flat], names)
+
+
+def normalised_rows(rows: DataFrame, column: str = "t", times: str | None = None) -> DataFrame:
+    """Event rows (an array over the pixels), first times another row if asked, over their sums. Rows whose sum isn't positive and finite go. Other columns stay."""
+    keys = [c for c in rows.columns if c not in (column, times)]
+    df = rows.select(*keys, column, *[times] * (times is not None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                t = b.column(len(keys)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), -1)
+                if times:
+                    t = t * b.column(len(keys) + 1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), -1)
+                total = t.sum(axis=1)
+                good = np.isfinite(total) & (total > 0)
+                if good.any():
+                    yield _table([b.column(k).filter(pa.array(good)) for k in range(len(keys))], [*keys, column], t[good] / total[good, None])
+
+    prepare(df.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
+    return df.mapInArrow(run, f"{schema}, `{column}` array<double>")
+
+
+def through(matrix: DataFrame, weights: np.ndarray, column: str = "h") -> DataFrame:
+    """bin_id and rows (an array over the fine pixels) times weights (fine, coarse): a matrix on a coarse grid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                yield _table([b.column(0)], ["bin_id", column], _rows(b.column(1)) @ weights)
+
+    prepare(matrix.sparkSession)
+    return matrix.select("bin_id", column).mapInArrow(run, f"bin_id {matrix.schema['bin_id'].dataType.simpleString()}, `{column}` array<double>")
+
+
 def forward(matrix: DataFrame, image: np.ndarray) -> DataFrame:
     """bin_id and expected: each bin's row times the image."""
 
@@ -169,3 +207,17 @@ def project_long(matrix: DataFrame, image: DataFrame) -> DataFrame:
 def back_long(matrix: DataFrame, ratio: DataFrame) -> DataFrame:
     """Back-projection of a ratio (bin_id, r) through a long matrix."""
     return matrix.join(ratio, "bin_id").groupBy("pixel_id").agg(F.sum(F.col("h") * F.col("r")).alias("w"))
+
+
+def summed(parts: list[DataFrame]) -> DataFrame:
+    """pixel_id and v: the sum of images (pixel_id, v), as of several energies."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("pixel_id").agg(F.sum("v").alias("v"))
+
+
+def view_sensitivity(rows: DataFrame, back: DataFrame, least: float = FLOOR) -> DataFrame:
+    """pixel_id and s of event rows (view, t: an array over the pixels): summed by view, turned back by the permutation ``back`` (view, pixel_id, src_pixel_id), and kept at ``least`` or more."""
+    by_view = rows.select("view", F.posexplode("t").alias("src_pixel_id", "t")).groupBy("view", "src_pixel_id").agg(F.sum("t").alias("t"))
+    return back.join(F.broadcast(by_view), ["view", "src_pixel_id"]).groupBy("pixel_id").agg(F.greatest(F.sum("t"), F.lit(least)).alias("s"))  # views times pixels

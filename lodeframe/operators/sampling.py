@@ -35,18 +35,52 @@ def thin_expected(counts: DataFrame, n: str, wanted: DataFrame, key: str, total:
     return counts.join(share, key).withColumn("expected", F.col(n) * F.col("__share")).drop("__share")
 
 
+#: Parts of the range of random numbers by which rows are counted before any are ranked.
+PARTS = 4096
+
+
+def first_of_each(df: DataFrame, number: Column, id: str, wanted: Column, *keys: str) -> DataFrame:
+    """The ``wanted`` (of ``n``, the group's rows) rows of each group with the smallest numbers in (0, 1), ties by id.
+
+    Rows are counted by parts of the range first. Parts before the last one go
+    in whole, and only the last part's rows are ranked, so no task ranks a group.
+    """
+    d = df.withColumn("__u", number).withColumn("__part", F.least(F.floor(F.col("__u") * PARTS), F.lit(PARTS - 1)))
+    size = d.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__size"))
+    w = Window.partitionBy(*keys)
+    size = size.withColumn("n", F.sum("__size").over(w)).withColumn("__before", F.sum("__size").over(w.orderBy("__part")) - F.col("__size"))
+    size = size.withColumn("__left", wanted - F.col("__before")).filter("__left > 0").drop("n", "__before")
+    met = d.join(size, [*keys, "__part"])
+    whole = met.filter("__left >= __size")
+    place = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__u", id))
+    part = met.filter("__left < __size").withColumn("__place", place).filter("__place <= __left").drop("__place")
+    return whole.unionByName(part).select(*df.columns)
+
+
 def sample_rows(df: DataFrame, fraction: float, id: str, *keys: str) -> DataFrame:
     """max(1, floor(n * fraction)) rows of each group, the first by a hash of the id."""
-    w = Window.partitionBy(*keys)
-    order = w.orderBy(random.uniform(F.col(id)), id)
-    out = df.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__place", F.row_number().over(order))
-    return out.filter(F.col("__place") <= F.greatest(F.lit(1), F.floor(F.col("__n") * fraction))).drop("__n", "__place")
+    return first_of_each(df, random.uniform(F.col(id)), id, F.greatest(F.lit(1), F.floor(F.col("n") * fraction)), *keys)
+
+
+def subsample_files(df: DataFrame, fraction: float, id: str, file: str, salt: int = 0) -> DataFrame:
+    """max(1, round(n * fraction)) rows of each file; the ids still tell their order."""
+    return first_of_each(df, random.uniform(F.col(id), salt), id, F.greatest(F.lit(1), F.round(F.col("n") * fraction)), file)
 
 
 def capped(df: DataFrame, cap: int, id: str, *keys: str) -> DataFrame:
     """A sample of at most ``cap`` rows of each group."""
-    w = Window.partitionBy(*keys).orderBy(random.uniform(F.col(id)), id)
-    return df.withColumn("__place", F.row_number().over(w)).filter(F.col("__place") <= cap).drop("__place")
+    return first_of_each(df, random.uniform(F.col(id)), id, F.lit(cap), *keys)
+
+
+def halved(y: Column) -> Column:
+    """Half the counts, as a stand-in for thinning."""
+    return y * 0.5
+
+
+def offsets(df: DataFrame, file: str) -> DataFrame:
+    """file, n and ``before``: rows of the files before it. A row a file."""
+    n = df.groupBy(file).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("before", F.sum("n").over(Window.orderBy(file)) - F.col("n"))
 
 
 def random_subset(id: Column, subsets: int, iteration: int = 0) -> Column:

@@ -73,3 +73,10 @@ def noisy(y: Column, id: Column, kind: str = "gaussian") -> Column:
 def weighted_position(e1: Column, e2: Column, a: Column, b: Column) -> Column:
     """Position of two deposits weighted by their energies."""
     return F.when(e1 + e2 > 0, (e1 * a + e2 * b) / (e1 + e2))
+
+
+def energy_weighted(photons: DataFrame, e1: Column, e2: Column, lengths: list[str]) -> DataFrame:
+    """``first_weight`` and ``second_weight``, the deposits' shares of the energy, and each length times the second share."""
+    total = F.greatest(e1 + e2, F.lit(1e-15))
+    out = photons.withColumn("first_weight", e1 / total).withColumn("second_weight", e2 / total)
+    return out.select("*", *[(F.col(c) * F.col("second_weight")).alias(f"weighted_{c}") for c in lengths])

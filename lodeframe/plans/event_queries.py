@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import energy, random
 from ..operators import events as ev
-from ..operators import metrics
+from ..operators import metrics, sampling
 from . import views
 from .catalogue import query
 
@@ -192,10 +192,9 @@ def feature_matrix_28(spark, sf_dir):
     return out.select("event_id", *[F.round(n, 5).alias(n) for n in _FEATURES])
 
 
-@query("""SELECT row_number() OVER (PARTITION BY view ORDER BY event_id)::INTEGER AS place, view, event_id FROM v_event QUALIFY place <= 5""")
+@query(f"""SELECT view, event_id FROM v_event QUALIFY row_number() OVER (PARTITION BY view ORDER BY {random.sql_uniform('event_id')}, event_id) <= 5""")
 def capped_sample(spark, sf_dir):
-    w = Window.partitionBy("view").orderBy("event_id")
-    return views.events(spark, sf_dir).select(F.row_number().over(w).alias("place"), "view", "event_id").filter("place <= 5")
+    return sampling.capped(views.events(spark, sf_dir), 5, "event_id", "view").select("view", "event_id")
 
 
 @query("""SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
@@ -205,7 +204,7 @@ def hourly_counts(spark, sf_dir):
     return e.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
 
 
-@query()
+@query("""SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
 def streaming_counts(spark, sf_dir):
     """The same counts by a stream over the table's files."""
     from ..streaming.events import hourly_counts as stream
@@ -219,3 +218,15 @@ def order_classifier(spark, sf_dir):
     from ..operators.classifier import order_accuracy
 
     return order_accuracy(scored(spark, sf_dir), E0)
+
+
+@query()
+def order_network(spark, sf_dir):
+    """Held-out accuracy of a network by its training rounds, and which model is kept."""
+    from ..operators import classifier
+
+    data, names = classifier.order_data(scored(spark, sf_dir), E0)
+    _, tried = classifier.train_network(data, names, (12,), (5, 15))
+    best = max(a for _, a in tried)
+    kept = next(n for n, a in tried if a == best)
+    return spark.createDataFrame([(n, round(a, 6), n == kept) for n, a in tried], "rounds int, accuracy double, kept boolean")

@@ -81,9 +81,9 @@ def thin_binomial(spark, sf_dir):
     return sampling.thin_binomial(views.counts(spark, sf_dir), "y", 0.5, F.col("bin_id") * 1000 + F.col("unit"))
 
 
-@query(f"SELECT view, count(*)::BIGINT AS n FROM (SELECT *, count(*) OVER (PARTITION BY view) AS total, row_number() OVER (PARTITION BY view ORDER BY {random.sql_uniform('event_id')}, event_id) AS place FROM v_event) WHERE place <= greatest(1, floor(total * 0.3e0)) GROUP BY view")
+@query(f"SELECT view, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS ids FROM (SELECT *, count(*) OVER (PARTITION BY view) AS total, row_number() OVER (PARTITION BY view ORDER BY {random.sql_uniform('event_id')}, event_id) AS place FROM v_event) WHERE place <= greatest(1, floor(total * 0.3e0)) GROUP BY view")
 def event_subsample(spark, sf_dir):
-    return sampling.sample_rows(views.events(spark, sf_dir), 0.3, "event_id", "view").groupBy("view").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.sample_rows(views.events(spark, sf_dir), 0.3, "event_id", "view").groupBy("view").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query(f"SELECT iteration::INTEGER AS iteration, subset, count(*)::BIGINT AS n FROM (SELECT iteration, CASE iteration WHEN 0 THEN least(floor({random.sql_uniform('bin_id', 0)} * 4), 3) ELSE least(floor({random.sql_uniform('bin_id', 1)} * 4), 3) END::INTEGER AS subset FROM v_cnt, range(2) t(iteration)) GROUP BY ALL")

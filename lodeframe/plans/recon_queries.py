@@ -83,8 +83,7 @@ def list_rows(spark, sf_dir):
     """Event rows: the first hit's row, modulated by the event's id and normalised."""
     e = views.events(spark, sf_dir).select("event_id", F.col("cp1").cast("long").alias("bin_id")).join(views.matrix(spark, sf_dir), "bin_id")
     t = F.transform("h", lambda h, j: h * (1 + (F.col("event_id") + j) % 5))
-    total = F.aggregate("__t", F.lit(0.0), lambda a, x: a + x)
-    return e.select("event_id", t.alias("__t")).withColumn("__s", total).select("event_id", F.transform("__t", lambda x: x / F.col("__s")).alias("t"))
+    return recon.normalised_rows(e.select("event_id", t.alias("t")))
 
 
 @query(f"""WITH {_LIST}, sens AS (SELECT pixel_id, 1.2e0 * a + 0.8e0 * b AS s FROM (SELECT pixel_id, sum(h) AS a FROM v_sysmat GROUP BY 1) JOIN (SELECT pixel_id, sum(t) AS b FROM tl GROUP BY 1) USING (pixel_id)),
@@ -115,13 +114,12 @@ def fisher_diag(spark, sf_dir):
     return im.fisher(long_matrix(spark, sf_dir), weights).select("pixel_id", r6("fisher").alias("fisher"), r6("weighted").alias("weighted"))
 
 
-def kernel_rows(spark, sf_dir, support=5.0):
+def kernel_rows(spark, sf_dir, support=5.0, pixels=None, matrix=None):
     """Rows of events that pass the windows; the grid has 64 pixels, so the least support is 5, not 50."""
     from ..functions import energy
 
     e = eq.located(spark, sf_dir).filter(energy.is_kinematic(F.col("e1"), views.E0)).filter(F.abs(F.col("y1") - F.col("y2")) > 0.1)
-    m = long_matrix(spark, sf_dir).withColumn("bin_id", F.col("bin_id").cast("int"))
-    return kernel.rows(e, views.pixels(spark), m, views.E0, eq.RES, support)
+    return kernel.rows(e, views.pixels(spark) if pixels is None else pixels, views.matrix(spark, sf_dir) if matrix is None else matrix, views.E0, eq.RES, support)
 
 
 _TH = "acos(greatest(least(1 - 0.511e0 * {0} / ((0.511e0 - {0}) * 0.511e0), 1 - 1e-7), -1 + 1e-7))"
@@ -143,18 +141,31 @@ _KERNEL = f"""WITH {eq._LOC}, sel AS (SELECT * FROM loc WHERE {eq._WINDOW.format
 @query(f"{_KERNEL} SELECT event_id, count(*)::BIGINT AS pixels, round(max(support), 4) AS support, round(max(tn), 5) AS peak FROM u WHERE support >= 5 GROUP BY event_id")
 def event_kernel_rows(spark, sf_dir):
     t = kernel_rows(spark, sf_dir)
-    return t.groupBy("event_id").agg(F.count(F.lit(1)).alias("pixels"), F.round(F.max("support"), 4).alias("support"), F.round(F.max("t"), 5).alias("peak"))
+    return t.select("event_id", F.size("t").cast("long").alias("pixels"), F.round("support", 4).alias("support"), F.round(F.array_max("t"), 5).alias("peak"))
 
 
 @query(f"{_KERNEL} SELECT pixel_id, round(sum(tn), 4) AS s FROM u WHERE support >= 5 GROUP BY pixel_id")
 def kernel_sensitivity(spark, sf_dir):
-    return kernel_rows(spark, sf_dir).groupBy("pixel_id").agg(F.round(F.sum("t"), 4).alias("s"))
+    t = kernel_rows(spark, sf_dir)
+    return recon.image_table(t, recon.sensitivity(t, P, "t")).select("pixel_id", F.round("v", 4).alias("s"))
+
+
+_COARSE = """cp AS (SELECT (base // 2 + theta_id // 2)::INTEGER AS pixel_id, x, y, z FROM v_pix WHERE theta_id % 2 = 0), ew AS (SELECT pixel_id AS fine, (base // 2 + theta_id // 2)::INTEGER AS coarse, 1 - theta_id % 2 / 2.0e0 AS w FROM v_pix
+    UNION ALL SELECT pixel_id, (base // 2 + (theta_id // 2 + 1) % (n // 2))::INTEGER, 0.5e0 FROM v_pix WHERE theta_id % 2 = 1), ch AS (SELECT bin_id, coarse AS pixel_id, sum(w * h) AS h FROM v_sysmat JOIN ew ON fine = pixel_id GROUP BY bin_id, coarse),"""
+
+
+@query(f"{_KERNEL} SELECT event_id, count(*)::BIGINT AS pixels, round(max(support), 4) AS support, round(max(tn), 5) AS peak FROM u WHERE support >= 3 GROUP BY event_id".replace("WITH ", "WITH " + _COARSE + " ", 1).replace("FROM sel s, v_pix p", "FROM sel s, cp p").replace("JOIN v_sysmat m ON", "JOIN ch m ON"))
+def coarse_kernel_rows(spark, sf_dir):
+    """Event rows on every second pixel of each ring; the matrix comes to that grid by the adjoint of the interpolation."""
+    pixels = views.pixels(spark)
+    some = pixels.join(kernel.reduce_weights(pixels, 2), F.col("pixel_id") == F.col("fine")).select(F.col("coarse").alias("pixel_id"), "x", "y", "z")
+    weights = kernel.weight_array(kernel.expand_weights(pixels, 2), P, P // 2)
+    return kernel_rows(spark, sf_dir, 3.0, some, recon.through(views.matrix(spark, sf_dir), weights)).select("event_id", F.size("t").cast("long").alias("pixels"), F.round("support", 4).alias("support"), F.round(F.array_max("t"), 5).alias("peak"))
 
 
 @query(f"WITH {_LIST}, m AS (SELECT event_id, pixel_id, t * h AS t FROM tl JOIN v_event USING (event_id) JOIN v_sysmat USING (pixel_id) WHERE bin_id = cp1) SELECT event_id, round(1 / sum(power(t / total, 2)), 5) AS support FROM (SELECT *, sum(t) OVER (PARTITION BY event_id) AS total FROM m) GROUP BY event_id")
 def materialize_rows(spark, sf_dir):
     """Rows times their first hit's matrix row, normalised anew."""
     t = list_rows(spark, sf_dir).join(views.events(spark, sf_dir).select("event_id", F.col("cp1").cast("long").alias("bin_id")), "event_id").join(views.matrix(spark, sf_dir), "bin_id")
-    product = t.select("event_id", F.zip_with("t", "h", lambda a, b: a * b).alias("r"))
-    total = lambda f: F.aggregate("r", F.lit(0.0), lambda s, x: s + f(x))
-    return product.select("event_id", F.round(total(lambda x: x) ** 2 / total(lambda x: x * x), 5).alias("support"))
+    product = recon.normalised_rows(t.select("event_id", "t", "h"), "t", times="h")
+    return product.select("event_id", F.round(1 / F.aggregate("t", F.lit(0.0), lambda s, x: s + x * x), 5).alias("support"))

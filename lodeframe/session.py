@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -15,6 +17,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, which driver and executors share. Only where that isn't set and all runs in one machine, a temporary folder serves."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.gettempdir() + "/lodeframe-checkpoints"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: what is worked out once stays the same for all that read it, and survives the loss of executors."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with UTC time, adaptive execution and skew handling."""
     b = SparkSession.builder.appName("lodeframe").config("spark.sql.session.timeZone", "UTC")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,3 +120,70 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str:
         if path.getFileSystem(conf).exists(path):
             return p
     raise FileNotFoundError(f"none of {paths}")
+
+
+def matrix_slice(spark: SparkSession, path: str, pixels: int, bins: int, first: int, last: int, scale: float = 1.0, step: int = 4096) -> DataFrame:
+    """bin_id and h of the bins first..last-1 of a raw float32 matrix with bins running first, read in place.
+
+    Spark reads the file as fixed-length records, one a pixel (the file's own
+    layout), split over tasks; each record gives only the asked bins, in steps of
+    ``step``, which meet again by step. So a file of any size is no single task.
+    """
+    if not 0 <= first < last <= bins:
+        raise ValueError(f"no bins {first} to {last} of {bins}")
+    prepare(spark)
+    records = spark.sparkContext.binaryRecords(path, 4 * bins).zipWithIndex()
+
+    def cut(part):
+        for data, pixel in part:
+            row = np.frombuffer(data, "<f4")[first:last].astype(float) * scale
+            for a in range(0, len(row), step):
+                yield (a // step, int(pixel), row[a : a + step].tobytes())
+
+    parts = spark.createDataFrame(records.mapPartitions(cut), "step long, pixel int, data binary")
+
+    def join(table: pa.Table) -> pa.Table:
+        at = np.argsort(table.column("pixel").to_numpy())
+        if len(at) != pixels:
+            raise ValueError(f"{len(at)} pixels, not {pixels}")
+        data = table.column("data").to_pylist()
+        m = np.stack([np.frombuffer(data[i], float) for i in at], axis=1)
+        low = first + table.column("step")[0].as_py() * step
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * pixels), pa.array(m.ravel()))
+        return pa.table({"bin_id": np.arange(low, low + len(m)), "h": flat})
+
+    return parts.groupBy("step").applyInArrow(join, "bin_id long, h array<double>")
+
+
+def detector_binary(spark: SparkSession, path: str, count: int) -> DataFrame:
+    """det_id (from 1) and p0..p11 of a float32 file that holds the number of detectors and twelve numbers of each. One small file; another number or length is an error."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                v = np.frombuffer(data, "<f4").astype(float)
+                if not len(v) or round(v[0]) != count or len(v) != 1 + 12 * count:
+                    raise ValueError(f"{len(v)} numbers don't hold {count} detectors")
+                m = v[1:].reshape(count, 12)
+                yield pa.RecordBatch.from_pydict({"det_id": np.arange(1, count + 1, dtype=np.int32)} | {f"p{k}": np.ascontiguousarray(m[:, k]) for k in range(12)})
+
+    prepare(spark)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "det_id int, " + ", ".join(f"p{k} double" for k in range(12)))
+
+
+def named_array(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A table from the first of some paths that exists: Parquet, or CSV without a header."""
+    path = first_existing(spark, paths)
+    return spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("inferSchema", "true").csv(path)
+
+
+def kept_or_built(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
+    """The table at ``path`` if it was written in full before and isn't to be rebuilt; else it is built and written there."""
+    try:
+        first_existing(spark, [f"{path}/_SUCCESS"])
+        found = not rebuild
+    except FileNotFoundError:
+        found = False
+    if not found:
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
+
+from ..session import shared_dir
 
 
 def counts(stream: DataFrame, window: str = "1 hour", late: str = "2 days") -> DataFrame:
@@ -13,12 +14,30 @@ def counts(stream: DataFrame, window: str = "1 hour", late: str = "2 days") -> D
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def hourly_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Runs the stream over all files that are there and returns its table."""
+def _is_file(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+
+
+def file_source(spark: SparkSession, path: str) -> DataStreamReader:
+    """A reader of a table's folder, or of a single file as the one of its name in its folder."""
+    return spark.readStream.option("pathGlobFilter", path.rpartition("/")[2]) if _is_file(spark, path) else spark.readStream
+
+
+def hourly_counts(spark: SparkSession, path: str, late: str = "2 days") -> DataFrame:
+    """Runs the stream over all files that are there and returns its table.
+
+    Windows that the watermark closes are appended to a Parquet table, so the
+    state holds open windows only. Those still open at the end, which a next run
+    would close, are counted from the rows the watermark hasn't passed.
+    """
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    source = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*").parquet(folder)
-    table = f"counts_{uuid.uuid4().hex}"
-    run = counts(source).writeStream.outputMode("complete").format("memory").queryName(table).trigger(availableNow=True).start()
+    source = file_source(spark, path).schema(schema).parquet(path if not _is_file(spark, path) else path.rpartition("/")[0])
+    out, checkpoint = shared_dir(spark, "counts"), shared_dir(spark, "stream")
+    run = counts(source, late=late).writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
     run.awaitTermination()
-    return spark.table(table).select(F.col("w.start").alias("hour"), "event_type", "n", F.round("total", 6).alias("total"))
+    shown = lambda df: df.select(F.col("w.start").alias("hour"), "event_type", "n", F.round("total", 6).alias("total"))
+    done = shown(spark.read.schema(counts(spark.read.parquet(path), late=late).schema).parquet(out))
+    open_from = spark.read.parquet(path).agg(F.date_trunc("hour", F.max("ts") - F.expr(f"INTERVAL {late}")).alias("t"))
+    rest = shown(counts(spark.read.parquet(path).join(F.broadcast(open_from), F.col("ts") >= F.col("t")).drop("t"), late=late))
+    return done.unionByName(rest.join(done.select("hour", "event_type"), ["hour", "event_type"], "left_anti"))
