@@ -80,5 +80,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
-#: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+_SUFFIX_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+    b AS (SELECT doc_id, digits, unnest(range((length(digits) // 2 - 199 + 255) // 256)) AS j FROM d WHERE length(digits) >= 400),
+    p AS (SELECT doc_id, 256 * j AS first, substr(digits, 512 * j + 1, 910) AS part FROM b),
+    w AS (SELECT doc_id, unnest(list_transform(range(length(part) // 2 - 199), lambda s: md5_number(substr(part, 2 * s + 1, 400)))) AS print, first + unnest(range(length(part) // 2 - 199)) AS start FROM p),
+    f AS (SELECT doc_id, start FROM w JOIN (SELECT print FROM w GROUP BY print HAVING count(*) > 1) USING (print)),
+    r AS (SELECT doc_id, start, coalesce(start > lag(start) OVER (PARTITION BY doc_id ORDER BY start) + 200, true) AS fresh FROM f),
+    i AS (SELECT doc_id, start, sum(fresh::INTEGER) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM r),
+    s AS (SELECT doc_id, min(start) AS a, max(start) + 200 AS z FROM i GROUP BY doc_id, span),
+    k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS free FROM s),
+    t AS (SELECT doc_id, string_agg(substr(digits, 2 * free + 1, 2 * (a - free)), '' ORDER BY a) || substr(any_value(digits), 2 * max(z) + 1) AS kept, sum(z - a) AS gone, count(*) AS spans FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, (length(digits) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, digits))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+
+_WINDOW_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM d),
+    r AS (SELECT doc_id, i, word, string_agg(word, ' ') OVER ahead AS run, count(*) OVER ahead AS size FROM w WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+    f AS (SELECT doc_id, i, word, size = 20 AND row_number() OVER (PARTITION BY run, size ORDER BY doc_id, i) > 1 AS again FROM r),
+    g AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+    k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+#: DuckDB SQL of the queries that SQL can express. Bytes are compared as digits, cut into stretches first, and counted by their md5.
+ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": _SUFFIX_SQL, "op8_window_dedup": _WINDOW_SQL}
