@@ -51,9 +51,9 @@ def group_slices(volume: DataFrame, size: int, slices: int, excluded: tuple[int,
     """group (from 1) and iz of the slice that stands for each whole group of ``size``: the preferred position if it isn't empty, else the middle one of those that aren't; excluded positions (from 1) don't count. Groups without any go."""
     at = (F.col("iz") % size + 1).cast("int")
     group = (F.floor(F.col("iz") / size) + 1).cast("int")
-    full = volume.filter("v > 0").select("iz").distinct().select(group.alias("group"), at.alias("at"), "iz").filter((F.col("group") <= slices // size) & ~F.col("at").isin(*excluded))
-    held = full.groupBy("group").agg(F.sort_array(F.collect_list("iz")).alias("all"), F.max(F.when(F.col("at") == preferred, F.col("iz"))).alias("wanted"))
-    return held.select("group", F.coalesce("wanted", F.element_at("all", F.ceil(F.size("all") / 2).cast("int"))).alias("iz"))
+    full = volume.filter("v > 0").select("iz").distinct().select(group.alias("slice_group"), at.alias("at"), "iz").filter((F.col("slice_group") <= slices // size) & ~F.col("at").isin(*excluded))
+    held = full.groupBy("slice_group").agg(F.sort_array(F.collect_list("iz")).alias("all"), F.max(F.when(F.col("at") == preferred, F.col("iz"))).alias("wanted"))
+    return held.select("slice_group", F.coalesce("wanted", F.element_at("all", F.ceil(F.size("all") / 2).cast("int"))).alias("iz"))
 
 
 def sample_weights(spark: SparkSession, shape: tuple[int, int, int], spacing: tuple[float, float, float], points: tuple[int, int, int], step: float) -> DataFrame:

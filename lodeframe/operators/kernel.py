@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import energy, geometry
@@ -154,6 +154,25 @@ def expand_weights(pixels: DataFrame, stride: int) -> DataFrame:
     return pixels.select(F.col("pixel_id").alias("fine"), F.explode(two).alias("e")).select("fine", "e.coarse", "e.w").filter("w > 0")
 
 
+def reduce_weights_line(spark: SparkSession, n: int, stride: int) -> DataFrame:
+    """coarse, fine, w on a line of n cells, which doesn't close on itself: the two cells beside the middle of each ``stride``, linearly."""
+    middle = (F.col("id") + 0.5) * stride - 0.5
+    left = F.least(F.greatest(F.floor(middle), F.lit(0)), F.lit(n - 1)).cast("int")
+    right = F.least(left + 1, F.lit(n - 1))
+    share = F.when(right == left, 0.0).otherwise(middle - left)
+    two = F.array(F.struct(left.alias("fine"), (1 - share).alias("w")), F.struct(right.alias("fine"), share.alias("w")))
+    return spark.range(n // stride).select(F.col("id").cast("int").alias("coarse"), F.explode(two).alias("e")).select("coarse", "e.fine", "e.w").filter("w > 0")
+
+
+def expand_weights_line(spark: SparkSession, n: int, stride: int) -> DataFrame:
+    """fine, coarse, w on a line of n cells: linear between the middles of the strides, and the end's value beyond them."""
+    m = n // stride
+    place = F.least(F.greatest((F.col("id") + 0.5) / stride - 0.5, F.lit(0.0)), F.lit(float(m - 1)))
+    left = F.floor(place).cast("int")
+    two = F.array(F.struct(left.alias("coarse"), (1 - (place - left)).alias("w")), F.struct((left + 1).alias("coarse"), (place - left).alias("w")))
+    return spark.range(n).select(F.col("id").cast("int").alias("fine"), F.explode(two).alias("e")).select("fine", "e.coarse", "e.w").filter("w > 0")
+
+
 def weighted(image: DataFrame, weights: DataFrame, source: str, target: str) -> DataFrame:
     """An image (pixel_id, v) through weights (source, target, w): the sum of w v by target. With the ends exchanged it is the adjoint."""
     return image.withColumnRenamed("pixel_id", source).join(F.broadcast(weights), source).groupBy(F.col(target).alias("pixel_id")).agg(F.sum(F.col("w") * F.col("v")).alias("v"))

@@ -15,15 +15,15 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-def rejection_sweep(scored: DataFrame, id_col: str, fractions: list[float], buckets: int = 64) -> DataFrame:
+def rejection_sweep(scored: DataFrame, id_col: str, fractions: list[float], buckets: int | None = None) -> DataFrame:
     """For each fraction f: the floor(f n) rows of lowest confidence go; counts and accuracy of the rest, and the last rejected confidence.
 
     Ranks are global without a single task: rows are range partitioned by
-    (confidence, id), counted by partition, and numbered within each partition.
+    (confidence, id), into ``buckets`` or the session's number of partitions, counted by partition, and numbered within each partition.
     """
     rows = scored.select("confidence", F.col(id_col).alias("id"), F.col("correct").cast("int").alias("correct"))
     # Written once: range bounds come from a sample, so two runs may part the rows differently.
-    placed = written(rows.repartitionByRange(buckets, "confidence", "id").withColumn("part", F.spark_partition_id()), "placed")
+    placed = written(rows.repartitionByRange(*[buckets] * (buckets is not None), "confidence", "id").withColumn("part", F.spark_partition_id()), "placed")
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
     ranked = placed.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("confidence", "id"))).join(F.broadcast(before.select("part", "before")), "part")

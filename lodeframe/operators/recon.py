@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import prepare, written
 
 FLOOR = 1e-12
 
@@ -185,6 +185,96 @@ def joint(measured: DataFrame, events: DataFrame, pixels: int, iterations: int,
     return image
 
 
+def turned_back(images: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """Sum of images (views, pixels), each turned back from its view."""
+    out = np.zeros(images.shape[1])
+    for seen, turn in zip(images, turns, strict=True):
+        out[turn] += seen
+    return out
+
+
+def views_back(measured: DataFrame, image: np.ndarray, turns: np.ndarray, floor: float | None = FLOOR) -> np.ndarray:
+    """Weights of bins over all views, in one pass: measured has h and y, an array over the views; view v sees image[turns[v]]. A batch of rows is multiplied with the images of all views at once."""
+    seen = image[turns].T
+
+    def partial(b: pa.RecordBatch) -> np.ndarray:
+        h, y = _rows(b.column(0)), _rows(b.column(1))
+        expected = h @ seen
+        expected = np.maximum(expected, floor) if floor is not None else np.where(expected == 0, np.nan, expected)
+        return turned_back((h.T @ np.nan_to_num(y / expected)).T, turns)
+
+    return _summed(measured.select("h", "y"), partial, len(image))
+
+
+def views_list_back(events: DataFrame, image: np.ndarray, turns: np.ndarray, floor: float | None = FLOOR) -> np.ndarray:
+    """Weights of event rows (view from 0, t) over all views, in one pass."""
+
+    def partial(b: pa.RecordBatch) -> np.ndarray:
+        t, view = _rows(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(image))
+        for v in np.unique(view):
+            mine = t[view == v]
+            expected = np.maximum(mine @ image[turns[v]], floor if floor is not None else np.finfo(float).tiny)
+            out[turns[v]] += mine.T @ (1 / expected)
+        return out
+
+    return _summed(events.select("t", "view"), partial, len(image))
+
+
+def views_sensitivity(turns: np.ndarray, measured: DataFrame | None = None, events: DataFrame | None = None, alpha: float = 1.0) -> np.ndarray:
+    """Bins: the mean over the views of the rows' sum, turned back; events: the sum of their rows, turned back. Both are mixed as alpha and 2 - alpha."""
+    pixels = turns.shape[1]
+    bins = listed = np.zeros(pixels)
+    if measured is not None:
+        bins = turned_back(np.tile(sensitivity(measured, pixels), (len(turns), 1)), turns) / len(turns)
+
+    def partial(b: pa.RecordBatch) -> np.ndarray:
+        t, view = _rows(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
+        out = np.zeros(pixels)
+        for v in np.unique(view):
+            out[turns[v]] += t[view == v].sum(axis=0)
+        return out
+
+    if events is not None:
+        listed = _summed(events.select("t", "view"), partial, pixels)
+    return bins if events is None else listed if measured is None else alpha * bins + (2 - alpha) * listed
+
+
+def by_subset(df: DataFrame, subset: Column, name: str) -> list[DataFrame]:
+    """The subsets 0, 1, .. of a table, written once in folders of their own, so that an update reads its subset alone."""
+    table = written(df.withColumn("subset", subset.cast("int")), name, "subset")
+    held = sorted(r["subset"] for r in table.select("subset").distinct().collect())  # a row a subset
+    return [table.filter(F.col("subset") == k) for k in range(held[-1] + 1)] if held else []
+
+
+def ordered(turns: np.ndarray, s: np.ndarray, iterations: int, bins: list[DataFrame] | None = None, events: list[DataFrame] | None = None, alpha: float = 1.0, update: str = "safe", save_every: int = 0, denoise: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Ordered subsets over bins (h, y over the views), over events (view, t), or over both with weights alpha and 2 - alpha.
+
+    bins and events: a table a subset (see ``by_subset``). Rows of several
+    energies are just more rows, as all weights of a subset are summed before the
+    image is updated. An update is one pass over its subset for all views and
+    energies. turns (views, pixels): view v sees image[turns[v]]. s: the
+    sensitivity (``views_sensitivity``). Images are saved every so many
+    iterations; ``denoise`` works on each updated image, cut off at 0 then.
+    """
+    image, saved = np.ones(turns.shape[1]), []
+    both = bins is not None and events is not None
+    steps = max(len(x) for x in (bins, events) if x is not None)
+    for i in range(1, iterations + 1):
+        for k in range(steps):
+            w = np.zeros_like(image)
+            if bins is not None and k < len(bins):
+                w += (alpha if both else 1.0) * views_back(bins[k], image, turns)
+            if events is not None and k < len(events):
+                w += (2 - alpha if both else 1.0) * views_list_back(events[k], image, turns)
+            image = UPDATES[update](image, w, s)
+            if denoise is not None:
+                image = np.maximum(denoise(image), 0)
+        if save_every and i % save_every == 0:
+            saved.append((i, image.copy()))
+    return image, saved
+
+
 def image_table(like: DataFrame, image: np.ndarray) -> DataFrame:
     """pixel_id and v of an image."""
     return like.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(image)], "pixel_id int, v double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,23 +16,22 @@ def last_wins(table: DataFrame, key: str, order: str) -> DataFrame:
     return table.groupBy(key).agg(*[F.max_by(c, order).alias(c) for c in columns])
 
 
-def brackets(table: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """Intervals [lo, hi) of a table's key, with the values at both ends; open at both sides of the table, where the end values hold. A small dimension."""
-    w = Window.orderBy(key)
-    out = table.select(F.col(key).alias("lo"), F.lead(key).over(w).alias("hi"), *[F.col(v).alias(f"{v}_lo") for v in values], *[F.lead(v).over(w).alias(f"{v}_hi") for v in values], F.row_number().over(w).alias("__n"))
-    return out
+def interpolated(df: DataFrame, x: str, table: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Values of a small sorted table at x by linear interpolation, held beyond its ends; null x gives null.
 
+    The table, a dimension of a few hundred rows, goes along as sorted arrays, in
+    which each batch of rows is looked up by binary search.
+    """
+    held = [tuple(r) for r in table.select(key, *values).orderBy(key).collect()]  # the table's rows
+    at = np.array([r[0] for r in held], float)
+    fields = ", ".join(f"`{v}` double" for v in values)
 
-def interpolated(df: DataFrame, x: str, table: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """Values of a small sorted table at x by linear interpolation, held beyond its ends; an as-of join against the broadcast brackets."""
-    b = F.broadcast(brackets(table, key, values))
-    at = F.col(x)
-    inside = ((at >= F.col("lo")) | (F.col("__n") == 1)) & (F.col("hi").isNull() | (at < F.col("hi")))
-    met = df.join(b, inside, "left")
-    share = F.least(F.greatest((at - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0))
-    for v in values:
-        met = met.withColumn(v, F.when(F.col("hi").isNull(), F.col(f"{v}_lo")).otherwise(F.col(f"{v}_lo") + share * (F.col(f"{v}_hi") - F.col(f"{v}_lo"))))
-    return met.drop("lo", "hi", "__n", *[f"{v}_{e}" for v in values for e in ("lo", "hi")])
+    @F.pandas_udf(f"struct<{fields.replace(' double', ': double')}>")
+    def looked_up(x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({v: np.interp(x.to_numpy(float), at, [r[k + 1] for r in held]) for k, v in enumerate(values)})
+
+    met = df.withColumn("__at", looked_up(F.col(x).cast("double")))
+    return met.select(*df.columns, *[F.when(F.col(x).isNotNull(), F.col(f"__at.{v}")).alias(v) for v in values])
 
 
 def cosine_table(spark: SparkSession, e0: float, points: int = 513) -> DataFrame:
@@ -63,10 +64,31 @@ def slab(spark: SparkSession, n: int, thickness: float, photo: float, incoherent
     return spark.range(n).select("id", outcome.alias("outcome"))
 
 
+#: Means from which a Poisson number is drawn as a rounded normal one.
+LARGE_MEAN = 64
+
+
+def poisson(mean: Column, id: Column, salt: int = 0) -> Column:
+    """A Poisson number of a row's id: the count of the distribution's steps below a uniform number; from ``LARGE_MEAN`` on a rounded normal number, at least 0. 0 for means of 0 or less."""
+    low = F.least(mean, F.lit(float(LARGE_MEAN)))
+    u = random.uniform(id, salt)
+    start = F.struct(F.lit(0).alias("n"), F.exp(-low).alias("p"), F.exp(-low).alias("below"))
+
+    def step(s: Column, k: Column) -> Column:
+        p = s["p"] * low / k
+        return F.struct((s["n"] + (u >= s["below"]).cast("int")).alias("n"), p.alias("p"), (s["below"] + p).alias("below"))
+
+    few = F.aggregate(F.sequence(F.lit(1), F.lit(3 * LARGE_MEAN)), start, step, lambda s: s["n"]).cast("double")
+    many = F.greatest(F.round(mean + F.sqrt(mean) * random.normal(id, salt + 1)), F.lit(0.0))
+    return F.when(mean <= 0, 0.0).when(mean < LARGE_MEAN, few).otherwise(many)
+
+
 def noisy(y: Column, id: Column, kind: str = "gaussian") -> Column:
-    """Counts with Gaussian noise of their square root, at least 0 and rounded, or as they are."""
+    """Counts with Gaussian noise of their square root, at least 0 and rounded, or Poisson numbers of that mean, or as they are."""
     if kind == "none":
         return y
+    if kind == "poisson":
+        return poisson(y, id)
     return F.greatest(F.round(y + F.sqrt(F.greatest(y, F.lit(0.0))) * random.normal(id)), F.lit(0.0))
 
 

@@ -46,7 +46,7 @@ def contiguous_groups(spark, sf_dir):
 _SLICES = "SELECT vec_id % 53 AS iz, vec_id AS ix, CASE WHEN vec_id % 53 % 6 IN (1, 4) OR vec_id % 53 BETWEEN 20 AND 29 THEN 0 ELSE label + 1 END AS v FROM embeddings"
 
 
-@query(f"""SELECT g::INTEGER AS "group", coalesce(max(iz) FILTER (pos = 5), max(iz) FILTER (place = (n + 1) // 2)) AS iz FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY iz) AS place, count(*) OVER (PARTITION BY g) AS n
+@query(f"""SELECT g::INTEGER AS slice_group, coalesce(max(iz) FILTER (pos = 5), max(iz) FILTER (place = (n + 1) // 2)) AS iz FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY iz) AS place, count(*) OVER (PARTITION BY g) AS n
     FROM (SELECT DISTINCT iz, iz // 8 + 1 AS g, iz % 8 + 1 AS pos FROM ({_SLICES}) WHERE v > 0) WHERE g <= 53 // 8 AND pos NOT IN (3, 8)) GROUP BY g""")
 def group_slices(spark, sf_dir):
     """Each row of ``embeddings`` is a cell of one of 53 slices, some of them empty."""

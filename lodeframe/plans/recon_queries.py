@@ -94,6 +94,93 @@ def joint_update(spark, sf_dir):
     return table(spark, recon.joint(measured(spark, sf_dir), list_rows(spark, sf_dir), P, 1, 1.2))
 
 
+def turn_array(spark) -> np.ndarray:
+    """(views, pixels): the pixel that each view sees in a pixel's place."""
+    from ..operators import rotation
+
+    out = np.zeros((views.VIEWS, P), int)
+    for r in rotation.rotation_map(views.pixels(spark), views.VIEWS).collect():  # views times pixels
+        out[r["view"], r["pixel_id"]] = r["src_pixel_id"]
+    return out
+
+
+def many_views(spark, sf_dir):
+    """Bins of two energies in two subsets, with counts by view; the second energy's rows are the first's, shifted by their place."""
+    v = views.read(spark, sf_dir, "embeddings").withColumn("energy", F.explode(F.array(F.lit(0), F.lit(1))))
+    h = F.transform("embedding", lambda x, j: F.abs(x.cast("double")) + 1e-3 + F.col("energy") * (j % 3) / 10)
+    y = F.transform(F.sequence(F.lit(0), F.lit(views.VIEWS - 1)), lambda k: ((F.col("vec_id") + 3 * k + F.col("energy")) % 13 + 1).cast("double"))
+    return v.select(h.alias("h"), y.alias("y"), (F.col("vec_id") % 2).alias("k"))
+
+
+def viewed_rows(spark, sf_dir):
+    """Event rows with their view from 0 and their subset."""
+    t = list_rows(spark, sf_dir)
+    return t.select("t", (F.col("event_id") % views.VIEWS).cast("int").alias("view"), (F.floor(F.col("event_id") / 8) % 2).alias("k"))
+
+
+_TURN = f"rm AS (SELECT view, pixel_id, (base + (theta_id + view * n // {views.VIEWS}) % n)::INTEGER AS src FROM v_pix, range({views.VIEWS}) t(view))"
+_BINS = f"hm AS MATERIALIZED (SELECT bin_id, energy, pixel_id, h + energy * (pixel_id % 3) / 10 AS h FROM v_sysmat, range(2) t(energy)), cv AS (SELECT bin_id, energy, view, ((bin_id + 3 * view + energy) % 13 + 1)::DOUBLE AS y FROM v_cnt, range(2) a(energy), range({views.VIEWS}) b(view))"
+_BIN_SENS = f"bs AS (SELECT src AS pixel_id, sum(q.s) / {views.VIEWS}.0e0 AS s FROM rm JOIN (SELECT pixel_id, sum(h) AS s FROM hm GROUP BY 1) q ON q.pixel_id = rm.pixel_id GROUP BY src)"
+_ROWS = f"tv AS MATERIALIZED (SELECT event_id, event_id % {views.VIEWS} AS view, event_id // 8 % 2 AS k, pixel_id, t FROM tl)"
+_LIST_SENS = "ls AS (SELECT src AS pixel_id, sum(t) AS s FROM tv JOIN rm USING (view, pixel_id) GROUP BY src)"
+
+
+def _sweep(steps: list[int], single: str | None, listed: str | None, sens: str) -> str:
+    """CTEs x0 .. xn: an update for each subset, over all views and energies, of bins, of events or of both (each with its factor)."""
+    out = [f"x0 AS (SELECT pixel_id, 1.0e0 AS v FROM {sens})"]
+    for i, k in enumerate(steps):
+        out.append(f"g{i} AS (SELECT view, rm.pixel_id, src, v FROM rm JOIN x{i} ON x{i}.pixel_id = src)")
+        parts = []
+        if single:
+            out.append(f"f{i} AS (SELECT bin_id, energy, view, any_value(y) / greatest(sum(h * v), 1e-12) AS r FROM hm JOIN g{i} USING (pixel_id) JOIN cv USING (bin_id, energy, view) WHERE bin_id % 2 = {k} GROUP BY ALL)")
+            parts.append(f"SELECT src AS pixel_id, {single} * sum(h * r) AS w FROM hm JOIN f{i} USING (bin_id, energy) JOIN rm USING (view, pixel_id) GROUP BY src")
+        if listed:
+            out.append(f"e{i} AS (SELECT event_id, 1 / greatest(sum(t * v), 1e-12) AS r FROM tv JOIN g{i} USING (view, pixel_id) WHERE k = {k} GROUP BY event_id)")
+            parts.append(f"SELECT src AS pixel_id, {listed} * sum(t * r) AS w FROM tv JOIN e{i} USING (event_id) JOIN rm USING (view, pixel_id) GROUP BY src")
+        out.append(f"w{i} AS (SELECT pixel_id, sum(w) AS w FROM ({' UNION ALL '.join(parts)}) GROUP BY pixel_id)")
+        out.append(f"x{i + 1} AS (SELECT x{i}.pixel_id, v * greatest(coalesce(w, 0), 0) / s AS v FROM x{i} JOIN {sens} USING (pixel_id) LEFT JOIN w{i} USING (pixel_id))")
+    return ", ".join(out)
+
+
+_STEPS = [0, 1, 0, 1]
+
+
+@query(f"WITH {_TURN}, {_BINS}, {_BIN_SENS}, {_sweep(_STEPS, '1', None, 'bs')} SELECT pixel_id, round(v, 6) AS v FROM x4")
+def osem_views_energies(spark, sf_dir):
+    """Two iterations of two subsets over eight views and two energies."""
+    bins, turns = many_views(spark, sf_dir), turn_array(spark)
+    return table(spark, recon.ordered(turns, recon.views_sensitivity(turns, bins), 2, recon.by_subset(bins, F.col("k"), "bins"))[0])
+
+
+@query(f"WITH {_TURN}, {_LIST}, {_ROWS}, {_LIST_SENS}, {_sweep(_STEPS, None, '1', 'ls')} SELECT pixel_id, round(v, 6) AS v FROM x4")
+def list_mode_osem(spark, sf_dir):
+    """Two iterations of two subsets of events over eight views."""
+    rows, turns = viewed_rows(spark, sf_dir), turn_array(spark)
+    events = recon.by_subset(rows, F.col("k"), "events")
+    return table(spark, recon.ordered(turns, recon.views_sensitivity(turns, events=rows), 2, events=events)[0])
+
+
+@query(f"""WITH {_TURN}, {_BINS}, {_BIN_SENS}, {_LIST}, {_ROWS}, {_LIST_SENS}, js AS (SELECT pixel_id, 1.2e0 * bs.s + 0.8e0 * ls.s AS s FROM bs JOIN ls USING (pixel_id)), {_sweep(_STEPS, '1.2e0', '0.8e0', 'js')}
+    SELECT 1 AS iter, pixel_id, round(v, 6) AS v FROM x2 UNION ALL SELECT 2, pixel_id, round(v, 6) FROM x4""")
+def joint_osem(spark, sf_dir):
+    """Bins of two energies and events together; the images of both iterations are saved."""
+    bins, rows, turns = many_views(spark, sf_dir), viewed_rows(spark, sf_dir), turn_array(spark)
+    s = recon.views_sensitivity(turns, bins, rows, 1.2)
+    saved = recon.ordered(turns, s, 2, recon.by_subset(bins, F.col("k"), "bins"), recon.by_subset(rows, F.col("k"), "events"), 1.2, save_every=1)[1]
+    cells = [(i, p, float(x)) for i, image in saved for p, x in enumerate(image)]
+    return spark.createDataFrame(cells, "iter int, pixel_id int, v double").select("iter", "pixel_id", r6("v").alias("v"))
+
+
+@query("""WITH p AS (SELECT i, (i + 0.5e0) * 4 - 0.5e0 AS middle FROM range(16) t(i)), r AS (SELECT bin_id, i, sum(h * greatest(1 - abs(pixel_id - middle), 0)) AS c FROM v_sysmat, p WHERE abs(pixel_id - middle) < 1 GROUP BY bin_id, i),
+    q AS (SELECT j, least(greatest((j + 0.5e0) / 4 - 0.5e0, 0), 15) AS place FROM range(64) t(j))
+    SELECT j::INTEGER AS pixel_id, round(sum(c * greatest(1 - abs(i - place), 0)), 6) AS v FROM q JOIN r ON abs(i - place) < 1 GROUP BY j""")
+def line_reduce_expand(spark, sf_dir):
+    """The matrix's sum, brought to every fourth cell of a line and back."""
+    sums = long_matrix(spark, sf_dir).groupBy("pixel_id").agg(F.sum("h").alias("v"))
+    coarse = kernel.weighted(sums, kernel.reduce_weights_line(spark, P, 4), "fine", "coarse")
+    return kernel.weighted(coarse, kernel.expand_weights_line(spark, P, 4), "coarse", "fine").select("pixel_id", r6("v").alias("v"))
+
+
 @query(f"WITH {_LIST} SELECT pixel_id, round(sum(t), 6) AS s FROM tl GROUP BY pixel_id")
 def list_sensitivity(spark, sf_dir):
     return table(spark, recon.sensitivity(list_rows(spark, sf_dir), P, "t")).withColumnRenamed("v", "s")

@@ -27,10 +27,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: what is worked out once stays the same for all that read it, and survives the loss of executors."""
+def written(df: DataFrame, name: str = "table", *parts: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, in a folder for each value of ``parts`` if given: what is worked out once stays the same for all that read it, and survives the loss of executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
