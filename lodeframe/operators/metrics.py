@@ -73,10 +73,45 @@ def calibration(df: DataFrame, truth: Column, p: Column, bins: int = 10) -> Data
     return grid.join(got, "bin", "left").select("bin", (F.col("bin") / bins).alias("bin_left"), ((F.col("bin") + 1) / bins).alias("bin_right"), F.coalesce("n", F.lit(0)).alias("n"), "mean_p", "positive_share")
 
 
+#: Half the width, in shares of the rows, of the ranges in which percentiles are looked up; five times the error of the approximate ones.
+NEAR = 5e-4
+#: Rows of a key up to which all of its distinct values are ranked: for few rows such ranges would be narrower than a rank.
+FEW = 20_000
+
+
 def summary(df: DataFrame, value: Column, *keys: str) -> DataFrame:
-    """mean, population std, min, p05, median, p95, max."""
-    p = lambda q: F.percentile(value, q)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), p(0.05).alias("p05"), p(0.5).alias("median"), p(0.95).alias("p95"), F.max(value).alias("max"))
+    """n, mean, population std, min, p05, median, p95 and max by key, the percentiles exact and linear between ranks. Null values are left out; a key without any gives n = 0 and nulls.
+
+    No task holds a key's values. Approximate percentiles give two values about
+    each wanted one; rows below the first are counted, and only the distinct
+    values between them are ranked, by a window that sorts on disk.
+    """
+    shares = {"p05": 0.05, "median": 0.5, "p95": 0.95}
+    rows = written(df.select(*keys, value.cast("double").alias("__v")), "values")  # read twice
+    v, n = F.col("__v"), F.col("n")
+    plain = rows.groupBy(*keys).agg(F.count("__v").alias("n"), F.avg("__v").alias("mean"), F.stddev_pop("__v").alias("std"), F.min("__v").alias("min"), F.max("__v").alias("max"), *[F.percentile_approx("__v", [max(q - NEAR, 0.0), min(q + NEAR, 1.0)], 10_000).alias(f"__{c}") for c, q in shares.items()])
+    plain = written(plain, "summaries")  # a row a key
+    tags = [f"k{i}" for i in range(len(keys))]  # keys may be null and share names with other columns
+    low = plain.select(*[F.col(f"`{k}`").alias(t) for k, t in zip(keys, tags, strict=True)], "n", *[f"__{c}" for c in shares])
+    same = F.lit(True)
+    for k, t in zip(keys, tags, strict=True):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(t))
+    met = rows.filter(v.isNotNull()).join(low, same)
+    low_end = lambda c: F.when(n <= FEW, float("-inf")).otherwise(F.element_at(f"__{c}", 1))
+    high_end = lambda c: F.when(n <= FEW, float("inf")).otherwise(F.element_at(f"__{c}", 2))
+    parts = F.array(*[F.struct(F.lit(c).alias("what"), low_end(c).alias("from"), high_end(c).alias("to"), ((n - 1) * q).alias("place")) for c, q in shares.items()])
+    each = met.select(*tags, "__v", F.explode(parts).alias("p")).select(*tags, "__v", "p.*").filter(v <= F.col("to"))
+    # Values below the range count as one value, which comes first and is never asked for unless it is the least.
+    counted = each.groupBy(*tags, "what", "place", F.when(v >= F.col("from"), v).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*tags, "what").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("upto", F.sum("c").over(w))
+    lower, upper = F.floor("place"), F.ceil("place")
+    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
+    found = ranked.groupBy(*tags, "what").agg(at(lower).alias("a"), at(upper).alias("b"), F.first(F.col("place") - lower).alias("t"))
+    found = found.groupBy(*tags).agg(*[F.max(F.when(F.col("what") == c, F.col("a") + F.col("t") * (F.col("b") - F.col("a")))).alias(c) for c in shares])
+    found = found.select(*tags, *[F.col(c).alias(f"__x{c}") for c in shares])
+    out = plain.join(found if keys else F.broadcast(found), same, "left")  # without keys both have one row at most
+    return out.select(*keys, "n", "mean", "std", "min", *[F.col(f"__x{c}").alias(c) for c in shares], "max")
 
 
 def contrast(df: DataFrame, value: Column, roi: Column, background: Column, true_ratio: float, *keys: str) -> DataFrame:

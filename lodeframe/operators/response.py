@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import energy, geometry
+from . import simulate
 
 # Coefficients of a rational approximation of the error function (error below 1.5e-7).
 ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -57,23 +59,114 @@ def blockers(segments: DataFrame, boxes: DataFrame, radius: float) -> DataFrame:
     return met
 
 
-def response(voxels: DataFrame, front: DataFrame, rear: DataFrame, e0: float, edges: list[float], resolution: float, mu: float) -> DataFrame:
-    """voxel, front, rear, e1_bin, w: seen area, attenuation between the hits, Klein-Nishina density and the Gaussian mass of the first deposit in each bin. Hits at crystal centres; detectors and bins are broadcast."""
-    spark = voxels.sparkSession
-    bins = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))], "e1_bin int, lo double, hi double")
-    f = front.select(F.col("det_id").alias("front"), *[F.col(c).alias(f"f{c}") for c in "xyz"])
-    r = rear.select(F.col("det_id").alias("rear"), *[F.col(c).alias(f"r{c}") for c in "xyz"])
-    cells = voxels.crossJoin(F.broadcast(f)).crossJoin(F.broadcast(r))
-    v, pf, pr = geometry.point(), tuple(F.col(f"f{c}") for c in "xyz"), tuple(F.col(f"r{c}") for c in "xyz")
-    leg1, leg2 = geometry.minus(pf, v), geometry.minus(pr, pf)
-    n1, n2 = geometry.norm(leg1), geometry.norm(leg2)
-    mu1 = geometry.dot(leg1, leg2) / (n1 * n2)
-    deposit = e0 - energy.scattered_energy(mu1, e0)
-    seen = 9.0 * F.abs(leg1[1]) / (4 * math.pi * n1 * n1 * n1)
-    base = seen * F.exp(-mu * n2 / 10) * energy.klein_nishina_pdf(mu1, e0 / energy.ELECTRON) * 6.0 * F.abs(leg2[1]) / (n2 * n2 * n2)
-    each = cells.select("voxel", "front", "rear", base.alias("base"), deposit.alias("deposit")).crossJoin(F.broadcast(bins))
-    sigma = resolution / energy.FWHM * math.sqrt(e0 * 0.2)
-    return each.select("voxel", "front", "rear", "e1_bin", (F.col("base") * bin_mass(F.col("deposit"), sigma, F.col("lo"), F.col("hi"))).alias("w"))
+TINY = 1e-12
+
+
+def integration_cells(detectors: DataFrame, nx: int, ny: int, nz: int) -> DataFrame:
+    """Each crystal (det_id, x, y, z, sx, sy, sz) cut into cells: det_id, cell, centre x, y, z, area of the face, thickness, depth (what of the crystal lies before it, seen from the plane y = 0) and whole, the crystal's thickness."""
+    grid = F.sequence(F.lit(0), F.lit(nx * ny * nz - 1))
+    at = detectors.withColumn("cell", F.explode(grid))
+    ix, iy, iz = F.floor(F.col("cell") / (ny * nz)), F.floor(F.col("cell") / nz) % ny, F.col("cell") % nz
+    share = lambda i, n: (i + 0.5) / n - 0.5
+    outward = F.when(F.col("y") >= 0, 1.0).otherwise(-1.0)
+    return at.select(
+        "det_id",
+        "cell",
+        (F.col("x") + share(ix, nx) * F.col("sx")).alias("x"),
+        (F.col("y") + outward * share(iy, ny) * F.col("sy")).alias("y"),
+        (F.col("z") + share(iz, nz) * F.col("sz")).alias("z"),
+        (F.col("sx") * F.col("sz") / (nx * nz)).alias("area"),
+        (F.col("sy") / ny).alias("thickness"),
+        (iy * F.col("sy") / ny).alias("depth"),
+        F.col("sy").alias("whole"),
+    )
+
+
+def blocked_length(segments: DataFrame, boxes: DataFrame, keys: list[str], ends: list[str]) -> DataFrame:
+    """keys and ``blocked``, what of a segment (sx .. ez) lies in boxes (det_id, x, y, z and sizes) other than those of its ends. Boxes are a machine's crystals; sums are made before the shuffle."""
+    box = F.broadcast(boxes.select(F.col("det_id").alias("box"), *[F.col(c).alias(f"c{c}") for c in "xyz"], *[(F.col(f"s{c}") / 2).alias(f"h{c}") for c in "xyz"]))
+    other = F.lit(True)
+    for e in ends:
+        other = other & (F.col("box") != F.col(e))
+    named = lambda p: tuple(F.col(f"{p}{c}") for c in "xyz")
+    length = geometry.box_length(named("s"), named("e"), named("c"), named("h"))
+    return segments.join(box, other, "left").groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("box").isNotNull(), length)), F.lit(0.0)).alias("blocked"))
+
+
+def density_norm(e0: float, points: int = 4097) -> float:
+    """The Klein-Nishina density over all directions, by trapezoids of the cosine."""
+    mu = np.linspace(-1, 1, points)
+    k = 1 / (1 + e0 / energy.ELECTRON * (1 - mu))
+    f = k * k * (k + 1 / k - (1 - mu * mu))
+    return float(2 * math.pi * ((f[1:] + f[:-1]) / 2 * np.diff(mu)).sum())
+
+
+def response(voxels: DataFrame, first: DataFrame, second: DataFrame, boxes: DataFrame, sections: DataFrame, e0: float, edges: list[float], resolution: float) -> DataFrame:
+    """voxel, first, second, e1_bin and w: how likely a photon of a voxel scatters in one crystal, leaves a first deposit of that bin there, and is stopped in another.
+
+    voxels: voxel, x, y, z. first, second: cells of crystals (``integration_cells``);
+    either may lie in front, so both orders of hits are made by two calls.
+    boxes: all crystals (det_id, x, y, z, sx, sy, sz). sections: energy, total and
+    incoherent in 1/cm, a row an energy. resolution: 0 for deposits without blur.
+    Ways through other crystals attenuate, of which those inside the first crystal
+    after the scatter too. All pairs of cells are wanted, as the tensor is dense:
+    what hangs on the cells alone is worked out once for the machine, and voxels
+    spread over tasks; cells are summed before the shuffle.
+    """
+    v = voxels.select("voxel", *[F.col(c).alias(f"s{c}") for c in "xyz"])
+    f = first.select(F.col("det_id").alias("first"), F.col("cell").alias("cell1"), *[F.col(c).alias(f"e{c}") for c in "xyz"], *[F.col(c).alias(f"{c}1") for c in ("area", "thickness", "depth")])
+    held = {round(r[0], 12): r for r in sections.select("energy", "total", "incoherent").orderBy("energy").collect()}  # a table of a few hundred energies
+    total0, part0 = (float(np.interp(e0, list(held), [r[k] for r in held.values()])) for k in (1, 2))
+    legs = v.crossJoin(F.broadcast(f))  # voxels times a machine's cells
+    legs = legs.join(blocked_length(legs, boxes, ["voxel", "first", "cell1"], ["first"]), ["voxel", "first", "cell1"])
+    way = tuple(F.col(f"e{c}") - F.col(f"s{c}") for c in "xyz")
+    n1 = geometry.norm(way)
+    cos1 = way[1] / n1 * F.when(F.col("ey") >= 0, 1.0).otherwise(-1.0)
+    legs = legs.withColumn("n1", n1).withColumn("cos1", F.when(F.col("n1") > TINY, cos1)).filter("cos1 > 0")
+    reach = F.col("area1") * F.col("cos1") / (4 * math.pi * F.col("n1") * F.col("n1"))
+    inside = F.exp(-total0 * F.col("depth1") / F.col("cos1") / 10) * (1 - F.exp(-total0 * F.col("thickness1") / F.col("cos1") / 10))
+    scatter = reach * inside * (part0 / total0) * F.exp(-total0 * F.col("blocked") / 10)
+    legs = legs.select("voxel", "first", "cell1", *[(w / F.col("n1")).alias(f"u{c}") for c, w in zip("xyz", way, strict=True)], scatter.alias("scatter"))
+
+    start = f.select("first", "cell1", *[F.col(f"e{c}").alias(f"s{c}") for c in "xyz"])
+    end = second.select(F.col("det_id").alias("second"), F.col("cell").alias("cell2"), *[F.col(c).alias(f"e{c}") for c in "xyz"], "area", "thickness", "depth", "whole")
+    pairs = start.crossJoin(F.broadcast(end)).filter("first <> second")  # a machine's pairs of cells
+    pairs = pairs.join(blocked_length(pairs, boxes, ["first", "cell1", "second", "cell2"], ["first", "second"]), ["first", "cell1", "second", "cell2"])
+    own = boxes.select(F.col("det_id").alias("first"), *[F.col(c).alias(f"c{c}") for c in "xyz"], *[(F.col(f"s{c}") / 2).alias(f"h{c}") for c in "xyz"])
+    pairs = pairs.join(F.broadcast(own), "first").withColumn("n2", geometry.norm(way)).filter(F.col("n2") > TINY)
+    pairs = pairs.select("*", *[(w / F.col("n2")).alias(f"o{c}") for c, w in zip("xyz", way, strict=True)])
+    exits = [F.when(F.abs(F.col(f"o{c}")) >= TINY, (F.col(f"c{c}") + F.signum(f"o{c}") * F.col(f"h{c}") - F.col(f"s{c}")) / F.col(f"o{c}")) for c in "xyz"]
+    signed = F.col("oy") * F.when(F.col("ey") >= 0, 1.0).otherwise(-1.0)
+    cos2 = F.abs(signed)
+    before = F.when(signed >= 0, F.col("depth")).otherwise(F.col("whole") - F.col("depth") - F.col("thickness"))
+    pairs = pairs.filter(cos2 > 0).select(
+        "first",
+        "cell1",
+        "second",
+        *[f"o{c}" for c in "xyz"],
+        (F.col("area") * cos2 / (F.col("n2") * F.col("n2"))).alias("seen"),
+        ((F.greatest(F.least(*exits), F.lit(0.0)) + F.col("blocked") + before / cos2) / 10).alias("way_cm"),
+        (F.col("thickness") / cos2 / 10).alias("stop_cm"),
+    )
+    met = legs.join(pairs, ["first", "cell1"]).withColumn("cosine", geometry.clamp(sum(F.col(f"u{c}") * F.col(f"o{c}") for c in "xyz"), -1.0, 1.0))
+    met = met.withColumn("left", energy.scattered_energy(F.col("cosine"), e0))
+    met = simulate.interpolated(met, "left", sections.select(F.col("energy").alias("e"), "total"), "e", ["total"])
+    stopped = F.exp(-F.col("total") * F.col("way_cm")) * (1 - F.exp(-F.col("total") * F.col("stop_cm")))
+    base = F.col("scatter") * energy.klein_nishina_pdf(F.col("cosine"), e0 / energy.ELECTRON) / density_norm(e0) * F.col("seen") * stopped
+    met = met.select("voxel", "first", "second", base.alias("base"), (F.lit(e0) - F.col("left")).alias("deposit"))
+    masses = [F.sum(F.col("base") * centre_mass(F.col("deposit"), e0, resolution, float(a), float(b))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    out = met.groupBy("voxel", "first", "second").agg(F.array(*masses).alias("w"))
+    return out.select("voxel", "first", "second", F.posexplode("w").alias("e1_bin", "w"))
+
+
+def centre_mass(deposit: Column, e0: float, resolution: float, lo: float, hi: float) -> Column:
+    """Mass of a bin of deposits, by the blurred deposit's density at its middle; without blur, whether the deposit lies in it."""
+    middle, width = (lo + hi) / 2, hi - lo
+    if resolution <= 0:
+        return (F.abs(deposit - middle) <= width / 2).cast("double")
+    sigma = F.greatest(deposit * (resolution / energy.FWHM) * F.sqrt(F.lit(e0) / F.greatest(deposit, F.lit(1e-6))), F.lit(1e-6))
+    off = (middle - deposit) / sigma
+    return F.exp(-0.5 * off * off) * (width / math.sqrt(2 * math.pi)) / sigma
 
 
 def tensor_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:

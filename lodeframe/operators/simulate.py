@@ -45,10 +45,10 @@ def cosine_table(spark: SparkSession, e0: float, points: int = 513) -> DataFrame
     return t.withColumn("q", F.col("c") / F.max("c").over(Window.partitionBy())).select("q", "mu")
 
 
-def scattered(spark: SparkSession, n: int, e0: float, table: DataFrame) -> DataFrame:
-    """n scattered photons: id, mu (cosine), energy, attenuation (1/cm) and free path (cm) with its parts along and across the way in."""
-    photons = spark.range(n).withColumn("u", random.uniform(F.col("id"), 1))
-    photons = interpolated(photons, "u", cosine_table(spark, e0), "q", ["mu"])
+def scattered(photons: DataFrame, e0: float, table: DataFrame) -> DataFrame:
+    """A scattered photon for each ``id`` of a table: id, mu (cosine), energy, attenuation (1/cm) and free path (cm) with its parts along and across the way in."""
+    photons = photons.select("id").withColumn("u", random.uniform(F.col("id"), 1))
+    photons = interpolated(photons, "u", cosine_table(photons.sparkSession, e0), "q", ["mu"])
     photons = photons.withColumn("energy", energy.scattered_energy(F.col("mu"), e0))
     photons = interpolated(photons, "energy", last_wins(table, "energy", "line_no").select(F.col("energy").alias("e"), "total"), "e", ["total"])
     path = energy.free_path(random.uniform(F.col("id"), 2), F.col("total") * energy.NAI_DENSITY)
@@ -56,12 +56,12 @@ def scattered(spark: SparkSession, n: int, e0: float, table: DataFrame) -> DataF
     return photons.withColumn("along", F.col("path") * F.col("mu")).withColumn("across", F.col("path") * F.sqrt(1 - F.col("mu") * F.col("mu"))).drop("u", "total")
 
 
-def slab(spark: SparkSession, n: int, thickness: float, photo: float, incoherent: float, escape: float) -> DataFrame:
-    """Outcomes of n photons in a slab: transmitted, photoelectric, or scattered and then absorbed or escaped; coefficients in 1/cm."""
+def slab(photons: DataFrame, thickness: float, photo: float, incoherent: float, escape: float) -> DataFrame:
+    """Outcomes of a table's photons, one for each ``id``, in a slab: transmitted, photoelectric, or scattered and then absorbed or escaped; coefficients in 1/cm."""
     mu = photo + incoherent
     u = [random.uniform(F.col("id"), s) for s in (1, 2, 3)]
     outcome = F.when(energy.free_path(u[0], F.lit(mu)) > thickness, "transmitted").when(u[1] < photo / mu, "photoelectric").when(u[2] < escape, "scatter_escaped").otherwise("scatter_absorbed")
-    return spark.range(n).select("id", outcome.alias("outcome"))
+    return photons.select("id", outcome.alias("outcome"))
 
 
 #: Means from which a Poisson number is drawn as a rounded normal one.

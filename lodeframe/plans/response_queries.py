@@ -63,13 +63,57 @@ def blocker_candidates(spark, sf_dir):
     return rs.blockers(s.crossJoin(F.broadcast(e)), d.select("det_id", "x", "y", "z"), 5.0).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def crystals(spark):
+    """The detectors with their crystals' sizes: thin in front, thick behind."""
+    deep = F.when(F.col("layer") < 4, 6.0).otherwise(10.0)
+    return views.detectors(spark).select("det_id", "layer", "x", "y", "z", F.lit(10.0).alias("sx"), deep.alias("sy"), F.lit(10.0).alias("sz"))
+
+
+def sections(spark):
+    from ..operators import simulate
+
+    t = simulate.last_wins(views.cross_sections(spark), "energy", "line_no")
+    return t.select("energy", *[(F.col(c) * energy.NAI_DENSITY).alias(c) for c in ("total", "incoherent")])
+
+
+_TOTAL0, _PART0 = (f"{[r[k] for r in views.CROSS_SECTIONS if r[0] == views.E0][-1] * energy.NAI_DENSITY!r}::DOUBLE" for k in (3, 1))
+_LEAVES = {c: f"least(1, CASE WHEN abs(e{c} - s{c}) < 1e-12 THEN 1 ELSE greatest((x{c} - h{c} - s{c}) / (e{c} - s{c}), (x{c} + h{c} - s{c}) / (e{c} - s{c})) END)" for c in "xyz"}
+_ENTERS = {c: f"greatest(0, CASE WHEN abs(e{c} - s{c}) < 1e-12 THEN 0 ELSE least((x{c} - h{c} - s{c}) / (e{c} - s{c}), (x{c} + h{c} - s{c}) / (e{c} - s{c})) END)" for c in "xyz"}
+_MISSES = " OR ".join(f"(abs(e{c} - s{c}) < 1e-12 AND abs(s{c} - x{c}) > h{c})" for c in "xyz")
+_IN_BOX = f"CASE WHEN {_MISSES} THEN 0 ELSE greatest(least({', '.join(_LEAVES.values())}) - greatest({', '.join(_ENTERS.values())}), 0) * sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy) + (ez - sz) * (ez - sz)) END"
+_OUT = ", ".join(f"CASE WHEN abs(o{c}) >= 1e-12 THEN (x{c} + sign(o{c}) * h{c} - s{c}) / o{c} END" for c in "xyz")
+_BLUR = f"greatest(d * {eq.RES / energy.FWHM!r}::DOUBLE * sqrt(0.511e0 / greatest(d, 1e-6)), 1e-6)"
+_TENSOR = f"""WITH c AS (SELECT det_id, layer, x, y, z, 10.0e0 AS wide, CASE WHEN layer < 4 THEN 6.0e0 ELSE 10.0e0 END AS deep FROM v_det),
+    box AS (SELECT det_id AS box, x AS xx, y AS xy, z AS xz, 5.0e0 AS hx, deep / 2 AS hy, 5.0e0 AS hz FROM c),
+    cell AS (SELECT det_id, layer, j, x, y + ((j + 0.5e0) / 2 - 0.5e0) * deep AS y, z, j * deep / 2 AS depth, deep / 2 AS thick, deep FROM c, range(2) t(j)),
+    leg AS (SELECT pixel_id AS voxel, p.x AS sx, p.y AS sy, p.z AS sz, det_id, j, c.x AS ex, c.y AS ey, c.z AS ez, depth, thick FROM v_pix p, cell c),
+    shut1 AS (SELECT voxel, det_id, j, sum({_IN_BOX}) AS blocked FROM leg JOIN box ON box <> det_id GROUP BY ALL),
+    way1 AS (SELECT *, sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy) + (ez - sz) * (ez - sz)) AS n1 FROM leg JOIN shut1 USING (voxel, det_id, j)),
+    hit1 AS (SELECT voxel, det_id, j, (ex - sx) / n1 AS ux, (ey - sy) / n1 AS uy, (ez - sz) / n1 AS uz, 100 * c1 / (4 * 3.141592653589793e0 * n1 * n1) * exp(-{_TOTAL0} * depth / c1 / 10) * (1 - exp(-{_TOTAL0} * thick / c1 / 10)) * {_PART0} / {_TOTAL0} * exp(-{_TOTAL0} * blocked / 10) AS scatter
+        FROM (SELECT *, (ey - sy) / n1 AS c1 FROM way1) WHERE c1 > 0),
+    pair AS (SELECT a.det_id, a.j, b.det_id AS other, b.j AS k, a.layer < 4 AS ahead, a.x AS sx, a.y AS sy, a.z AS sz, b.x AS ex, b.y AS ey, b.z AS ez, b.depth, b.thick, b.deep FROM cell a, cell b WHERE (a.layer < 4) <> (b.layer < 4)),
+    shut2 AS (SELECT det_id, j, other, k, sum({_IN_BOX}) AS blocked FROM pair JOIN box ON box <> det_id AND box <> other GROUP BY ALL),
+    way2 AS (SELECT *, (ex - sx) / n2 AS ox, (ey - sy) / n2 AS oy, (ez - sz) / n2 AS oz FROM (SELECT *, sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy) + (ez - sz) * (ez - sz)) AS n2 FROM pair JOIN shut2 USING (det_id, j, other, k))),
+    hit2 AS (SELECT det_id, j, other, ahead, ox, oy, oz, 100 * abs(oy) / (n2 * n2) AS seen, (greatest(least({_OUT}), 0) + blocked + CASE WHEN oy >= 0 THEN depth ELSE deep - depth - thick END / abs(oy)) / 10 AS way_cm, thick / abs(oy) / 10 AS stop_cm FROM way2 JOIN box ON box = det_id),
+    both_hits AS (SELECT *, greatest(least(ux * ox + uy * oy + uz * oz, 1), -1) AS mu FROM hit1 JOIN hit2 USING (det_id, j)),
+    spent AS (SELECT *, 1 / (1 + (1 - mu)) AS ratio, 0.511e0 / (1 + (1 - mu)) AS rest, 0.511e0 - 0.511e0 / (1 + (1 - mu)) AS d FROM both_hits),
+    xs AS (SELECT energy, max_by(total, line_no) * {energy.NAI_DENSITY!r}::DOUBLE AS total FROM v_xs GROUP BY energy), br AS (SELECT energy AS lo, lead(energy) OVER (ORDER BY energy) AS hi, total AS m, lead(total) OVER (ORDER BY energy) AS m2 FROM xs),
+    total AS (SELECT *, m + (rest - lo) / (hi - lo) * (m2 - m) AS att FROM spent ASOF JOIN br ON spent.rest >= br.lo),
+    base AS (SELECT ahead, voxel, det_id, d, scatter * ratio * ratio * (ratio + 1 / ratio - (1 - mu * mu)) / {rs.density_norm(views.E0)!r}::DOUBLE * seen * exp(-att * way_cm) * (1 - exp(-att * stop_cm)) AS w, {_BLUR} AS blur FROM total)
+    SELECT ahead AS front_first, voxel, det_id AS first, bin::INTEGER AS e1_bin, round(1e9 * sum(w * exp(-0.5e0 * power((0.05e0 * bin + 0.075e0 - d) / blur, 2)) * {0.05 / math.sqrt(2 * math.pi)!r}::DOUBLE / blur), 5) AS w FROM base, range(6) t(bin) GROUP BY ALL"""
+
+
+@query(_TENSOR)
 def response_tensor(spark, sf_dir):
-    """Sums of a voxel's response by front detector and energy bin."""
-    d = views.detectors(spark)
-    voxel = views.pixels(spark).filter("pixel_id < 4").select(F.col("pixel_id").alias("voxel"), "x", "y", "z")
-    w = rs.response(voxel, d.filter("layer < 4"), d.filter("layer = 4"), views.E0, [0.05 * i for i in range(1, 8)], eq.RES, 0.325)
-    return w.groupBy("voxel", "front", "e1_bin").agg(F.round(F.sum("w"), 15).alias("w"))
+    """Responses of all voxels to all pairs of a front and a rear crystal, in both orders, in two cells each, summed over the second crystal."""
+    c, voxel = crystals(spark), views.pixels(spark).select(F.col("pixel_id").alias("voxel"), "x", "y", "z")
+    front, rear = (rs.integration_cells(c.filter(f), 1, 2, 1) for f in ("layer < 4", "layer = 4"))
+    out = None
+    for ahead, one, two in ((True, front, rear), (False, rear, front)):
+        w = rs.response(voxel, one, two, c, sections(spark), views.E0, [0.05 * i for i in range(1, 8)], eq.RES)
+        w = w.groupBy("voxel", "first", "e1_bin").agg(F.round(1e9 * F.sum("w"), 5).alias("w")).withColumn("front_first", F.lit(ahead))
+        out = w if out is None else out.unionByName(w)
+    return out
 
 
 @query("SELECT count(h)::BIGINT AS finite, count(*) FILTER (h = 0)::BIGINT AS zeros, round(min(h), 6) AS min, round(max(h), 6) AS max, round(avg(h), 6) AS mean, round(sum(h), 4) AS sum FROM v_sysmat")

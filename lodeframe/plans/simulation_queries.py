@@ -11,7 +11,6 @@ from . import views
 from .catalogue import query
 
 E0 = views.E0
-N = 20_000
 
 
 def r6(c):
@@ -41,21 +40,34 @@ def kn_normalisation(spark, sf_dir):
 _U = [random.sql_uniform("id", s) for s in range(4)]
 
 
-@query(f"""SELECT outcome, count(*)::BIGINT AS n, count(*) / {N}.0e0 AS share FROM (SELECT CASE WHEN -ln(greatest({_U[1]}, 1e-15)) / 0.325e0 > 1.0e0 THEN 'transmitted' WHEN {_U[2]} < 0.058e0 / 0.325e0 THEN 'photoelectric' WHEN {_U[3]} < 0.56e0 THEN 'scatter_escaped' ELSE 'scatter_absorbed' END AS outcome
-    FROM (SELECT i AS id FROM range({N}) t(i))) GROUP BY outcome""".replace("0.325e0", "(0.058e0 + 0.267e0)"))
+def photons(spark, sf_dir):
+    """A photon for each event."""
+    return views.read(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+
+
+@query(f"""SELECT outcome, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) FROM events), 9) AS share FROM (SELECT CASE WHEN -ln(greatest({_U[1]}, 1e-15)) / 0.325e0 > 1.0e0 THEN 'transmitted' WHEN {_U[2]} < 0.058e0 / 0.325e0 THEN 'photoelectric' WHEN {_U[3]} < 0.56e0 THEN 'scatter_escaped' ELSE 'scatter_absorbed' END AS outcome
+    FROM (SELECT event_id AS id FROM events)) GROUP BY outcome""".replace("0.325e0", "(0.058e0 + 0.267e0)"))
 def slab_outcomes(spark, sf_dir):
-    return simulate.slab(spark, N, 1.0, 0.058, 0.267, 0.56).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / float(N)).alias("share"))
+    from pyspark.sql import Window
+
+    n = simulate.slab(photons(spark, sf_dir), 1.0, 0.058, 0.267, 0.56).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9))  # four rows
+
+
+_COSINES = """g AS (SELECT i, i * (2.0e0 / 512) - 1 AS mu, 1 / (1 + (1 - (i * (2.0e0 / 512) - 1))) AS k FROM range(513) t(i)), f AS (SELECT i, mu, k * k * (k + 1 / k - (1 - mu * mu)) AS f FROM g),
+    s AS (SELECT i, mu, coalesce((f + lag(f) OVER (ORDER BY i)) / 2, 0) AS step FROM f), q AS (SELECT mu, sum(step) OVER (ORDER BY i) / (SELECT sum(step) FROM s) AS q FROM s), c AS (SELECT q, mu, lead(q) OVER (ORDER BY q) AS q2, lead(mu) OVER (ORDER BY q) AS mu2 FROM q)"""
 
 
-@query()
+@query(f"""WITH {_XS}, {_COSINES}, p AS (SELECT event_id AS id, {_U[1].replace("id::", "event_id::")} AS u FROM events),
+    m AS (SELECT id, mu + (u - q) / (q2 - q) * (mu2 - mu) AS mu FROM p ASOF JOIN c ON p.u >= c.q), e AS (SELECT id, mu, 0.511e0 / (1 + (1 - mu)) AS energy FROM m),
+    t AS (SELECT id, mu, e.energy, a + (e.energy - lo) / (hi - lo) * (b - a) AS total FROM e ASOF JOIN br ON e.energy >= br.lo),
+    w AS (SELECT unnest(['path', 'energy', 'mu']) AS what, unnest([-ln(greatest({_U[2]}, 1e-15)) / (total * {energy.NAI_DENSITY!r}::DOUBLE), energy, mu]) AS v FROM t)
+    SELECT what, count(*)::BIGINT AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(quantile_cont(v, 0.05), 6) AS p05, round(median(v), 6) AS median, round(quantile_cont(v, 0.95), 6) AS p95, round(max(v), 6) AS max FROM w GROUP BY what""")
 def freepath_summary(spark, sf_dir):
     """Summaries of scattered photons' free paths and energies; tests hold them against the published means."""
-    p = simulate.scattered(spark, N, E0, views.cross_sections(spark))
-    out = None
-    for what in ("path", "energy", "mu"):
-        row = metrics.summary(p, F.col(what)).select(F.lit(what).alias("what"), "n", *[r6(c).alias(c) for c in ("mean", "std", "min", "p05", "median", "p95", "max")])
-        out = row if out is None else out.unionByName(row)
-    return out
+    p = simulate.scattered(photons(spark, sf_dir), E0, views.cross_sections(spark))
+    each = p.select(F.inline(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("v")) for c in ("path", "energy", "mu")])))
+    return metrics.summary(each, F.col("v"), "what").select("what", "n", *[r6(c).alias(c) for c in ("mean", "std", "min", "p05", "median", "p95", "max")])
 
 
 @query(f"SELECT o_orderkey, round(greatest(round(y + sqrt(y) * {random.sql_normal('o_orderkey')}), 0), 6) AS noisy FROM (SELECT o_orderkey, o_totalprice / 1000 AS y FROM orders)")

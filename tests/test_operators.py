@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.functions import energy, random
-from lodeframe.operators import classifier, image, kernel, recon, rotation, sampling, simulate, variance
+from lodeframe.operators import classifier, image, kernel, metrics, recon, response, rotation, sampling, simulate, variance
 from lodeframe.plans import event_queries, recon_queries, views
 from lodeframe.sources import macros, readers, writers
 
@@ -106,14 +106,14 @@ def test_random_numbers_do_not_depend_on_partitions(spark):
 
 def test_free_paths_near_published_means(spark):
     """Published means for 511 keV: free path 1.8893 cm, scatter angle 69.676 degrees; 20,000 photons here."""
-    p = simulate.scattered(spark, 20_000, 0.511, views.cross_sections(spark)).select(F.avg("path"), F.avg(F.degrees(F.acos("mu")))).first()
+    p = simulate.scattered(spark.range(20_000), 0.511, views.cross_sections(spark)).select(F.avg("path"), F.avg(F.degrees(F.acos("mu")))).first()
     assert p[0] == pytest.approx(1.8893, rel=0.06) and p[1] == pytest.approx(69.676, rel=0.02)
 
 
 def test_slab_outcomes_near_published_shares(spark):
     """Transmission follows exp(-mu t); published share for 10 mm: 0.72175."""
     mu = 0.08883 * energy.NAI_DENSITY
-    n = simulate.slab(spark, 20_000, 1.0, 0.01595 * energy.NAI_DENSITY, mu - 0.01595 * energy.NAI_DENSITY, 0.56).groupBy("outcome").count().toPandas().set_index("outcome")["count"]
+    n = simulate.slab(spark.range(20_000), 1.0, 0.01595 * energy.NAI_DENSITY, mu - 0.01595 * energy.NAI_DENSITY, 0.56).groupBy("outcome").count().toPandas().set_index("outcome")["count"]
     assert n.sum() == 20_000 and n["transmitted"] / 20_000 == pytest.approx(0.72175, abs=4 * 0.0032)
 
 
@@ -187,3 +187,40 @@ def test_names_and_writers(spark, tmp_path):
 def test_macros_without_sources(spark):
     lines = spark.createDataFrame([("a.mac", 1, "/run/beamOn 5"), ("a.mac", 2, "/gps/particle gamma")], "file string, line_no int, line string")
     assert macros.parse(lines).count() == 0
+
+
+def test_exact_percentiles(spark, monkeypatch):
+    """Ranges about approximate percentiles give numpy's numbers, with ties, a hot key, a null key, nulls and an empty table."""
+    monkeypatch.setattr(metrics, "FEW", 50)
+    monkeypatch.setattr(metrics, "NEAR", 0.01)
+    id = F.col("id")
+    rows = spark.range(9000).select(F.when(id % 7 > 0, "hot").when(id % 14 == 0, "few").alias("k"), F.when(id % 11 > 0, F.floor(id * id % 1013 / 3).cast("double")).alias("v"))
+    rows = rows.filter("k <> 'few' OR k IS NULL OR v < 9").unionByName(spark.sql("SELECT 'none' AS k, CAST(NULL AS DOUBLE) AS v"))
+    got = {r["k"]: r for r in metrics.summary(rows, F.col("v"), "k").collect()}
+    frame = rows.toPandas()
+    for k, r in got.items():
+        v = frame[frame.k.isna() if k is None else frame.k == k].v.dropna().to_numpy()
+        assert r["n"] == len(v)
+        if k == "none":
+            assert r["median"] is None and r["mean"] is None
+            continue
+        assert [r["p05"], r["median"], r["p95"]] == pytest.approx(np.quantile(v, [0.05, 0.5, 0.95]))
+        assert (r["min"], r["max"]) == (v.min(), v.max())
+    assert set(got) == {"hot", "few", None, "none"}
+    assert metrics.summary(rows.filter("false"), F.col("v"), "k").count() == 0
+    whole = metrics.summary(rows, F.col("v")).first()
+    assert whole["median"] == pytest.approx(np.median(frame.v.dropna()))
+
+
+def test_response_of_cells(spark):
+    """A crystal's cells share its face and thickness, and one voxel's response to one pair of crystals on a line is the product of its parts."""
+    crystal = spark.createDataFrame([(1, 0.0, 100.0, 0.0, 4.0, 6.0, 4.0), (2, 0.0, 200.0, 0.0, 4.0, 8.0, 4.0)], "det_id int, x double, y double, z double, sx double, sy double, sz double")
+    cells = response.integration_cells(crystal, 2, 3, 2).groupBy("det_id").agg(F.sum("area").alias("area"), F.max("depth").alias("depth"), F.min("y").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("det_id").collect()
+    assert [(r["area"], r["depth"], r["n"]) for r in cells] == [(48.0, 4.0, 12), (48.0, pytest.approx(16 / 3), 12)] and cells[0]["y"] == pytest.approx(98.0)
+    table = spark.createDataFrame([(0.1, 2.0, 1.0), (0.511, 1.0, 0.5)], "energy double, total double, incoherent double")
+    voxel = spark.createDataFrame([(7, 0.0, 0.0, 0.0)], "voxel int, x double, y double, z double")
+    one, two = (response.integration_cells(crystal.filter(f"det_id = {i}"), 1, 1, 1) for i in (1, 2))
+    got = response.response(voxel, one, two, crystal, table, 0.511, [-0.1, 0.1, 0.2], 0.0).orderBy("e1_bin").collect()
+    first = 16 / (4 * np.pi * 100**2) * (1 - np.exp(-0.6)) * 0.5
+    second = 2.0 / response.density_norm(0.511) * 16 / 100**2 * np.exp(-0.3) * (1 - np.exp(-0.8))  # straight on: no deposit, half of the first crystal on the way
+    assert [r["w"] for r in got] == [pytest.approx(first * second), 0.0]
