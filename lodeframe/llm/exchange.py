@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .job import shared_dir, written
-from .textops import arrow_bytes
+from .textops import U, arrow_bytes
 
 #: Bytes of texts in a chunk; a longer document is a chunk of its own.
 CHUNK = 4 << 20
-#: Bytes of texts for each bucket of a vote.
-SHARE = 8 << 20
-#: Buckets at most: packets are chunks times buckets, so they mustn't grow with the square of the input.
-MOST_BUCKETS = 4096
+#: Bytes of texts for each bucket of a vote, up to ``MANY`` buckets: packets are chunks times buckets, so more are made only where memory asks for them.
+SHARE, MANY = 8 << 20, 4096
+#: Bytes of texts for each bucket at most, at any size of the input: some 20 million words, at some 45 bytes each.
+MOST_SHARE = 128 << 20
 
 _CHUNKS = "chunk long, doc_ids array<long>, sizes array<long>, payload binary"
 
@@ -86,7 +86,12 @@ def scale(chunks: DataFrame) -> tuple[int, np.uint64]:
     """(buckets, mask) for a vote over the chunks. The mask keeps some 8 bits of a hash more than are needed to count the bytes: enough to choose candidates, which a later vote decides on."""
     total = chunks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     kept = min(64, total.bit_length() + 8)
-    return int(min(MOST_BUCKETS, max(16, total // SHARE))), np.uint64(2**64 - 2 ** (64 - kept))
+    return bucket_count(total), np.uint64(2**64 - 2 ** (64 - kept))
+
+
+def bucket_count(total: int) -> int:
+    """Buckets of a vote over so many bytes of texts: none gets more than ``MOST_SHARE`` bytes' hashes, so their number has no bound."""
+    return max(16, min(MANY, total // SHARE), -(-total // MOST_SHARE))
 
 
 def pack_sorted(h: np.ndarray) -> tuple[int, bytes]:
@@ -126,7 +131,10 @@ def packets(hashes: np.ndarray, buckets: int, second: np.ndarray | None = None)
 
 
 def edge_hashes(buckets: int) -> np.ndarray:
-    return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+    """The first hash of each bucket: equal steps of the range, for any number of buckets."""
+    b = np.arange(buckets, dtype=np.uint64)
+    step, rest = divmod(2**64, buckets)
+    return b * U(step % 2**64) + b * U(rest) // U(buckets)
 
 
 def count_bucket(table: pa.Table) -> pa.Table:

@@ -289,3 +289,12 @@ def test_no_link_within_a_bucket_is_lost(spark, monkeypatch):
         monkeypatch.setattr(near_dedup, "BLOCK", size)
         got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(df).collect()}
         assert got == dict(enumerate(want))
+
+
+def test_buckets_have_no_bound():
+    """A bucket of a vote never stands for more than its share of bytes, and the buckets' first hashes part the range evenly."""
+    for total in (0, 1 << 20, 1 << 30, 1 << 40, 100 << 40):
+        assert exchange.bucket_count(total) * exchange.MOST_SHARE >= total
+    assert exchange.bucket_count(1 << 40) > exchange.MANY
+    for n in (1, 3, 16, 4097):
+        assert exchange.edge_hashes(n).tolist() == [(b << 64) // n for b in range(n)]
