@@ -75,6 +75,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -100,5 +112,32 @@ _WINDOW_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''
     k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
     SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
+_RESAMPLE_SQL = r"""WITH c AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS step FROM range(256) r(i)),
+    d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+    b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+    w AS (SELECT doc_id, unnest(words) AS word FROM d),
+    u AS (SELECT word, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), (2 * i + 1)::INTEGER, 2))::BIGINT) AS bytes FROM (SELECT word FROM w UNION SELECT word FROM b)),
+    k AS (SELECT word, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(step[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM u, c),
+    s AS (SELECT bucket, count(*) AS s FROM w JOIN k USING (word) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (word) GROUP BY bucket),
+    g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM w) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+    f AS (SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM w JOIN k USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+    a AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN f USING (doc_id)),
+    e AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score, n_features >= 20 AS fit FROM a),
+    r AS (SELECT *, CASE WHEN fit THEN row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) END AS place FROM e)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) FILTER (fit) // 100 FROM e) THEN place END AS rank FROM r"""
+
+_SEARCH_SQL = r"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+    f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    s AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+    t AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM s),
+    m AS (SELECT doc_id, 100 - 50 + (50 * n * docs) // terms AS m FROM s, t),
+    w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM f, t),
+    r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+    o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50"""
+
 #: DuckDB SQL of the queries that SQL can express. Bytes are compared as digits, cut into stretches first, and counted by their md5.
-ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": _SUFFIX_SQL, "op8_window_dedup": _WINDOW_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": _SUFFIX_SQL, "op8_window_dedup": _WINDOW_SQL, "op11_importance_resampling": _RESAMPLE_SQL, "op12_ranked_search": _SEARCH_SQL}

@@ -89,6 +89,16 @@ def same_spans(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray
     return same
 
 
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one, which): a place of each distinct byte string buf[starts:ends], none of which is empty, and for each place the number of its string."""
+    _, one, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    other = np.flatnonzero(~same_spans((buf, starts, ends), (buf, starts[one][which], ends[one][which])))
+    more: dict[bytes, tuple[int, int]] = {}
+    for i in other.tolist():  # strings with another's hash
+        which[i] = more.setdefault(buf[starts[i] : ends[i]].tobytes(), (len(one) + len(more), i))[0]
+    return np.append(one, [i for _, i in more.values()]).astype(np.int64), which
+
+
 def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): the runs of bytes that are ``inside``, cut at documents' borders; runs first[d]:first[d+1] are document d's."""
     n = len(inside)
