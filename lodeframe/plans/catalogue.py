@@ -10,22 +10,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function as the query of its name, with the SQL of the same result."""
+def query(sql: str | None = None, whole: bool = False):
+    """Registers a function as the query of its name, with the SQL of the same result. whole: the SQL names its views itself."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
             from .views import with_views
 
-            ORACLES[f.__name__] = with_views(sql)
+            ORACLES[f.__name__] = sql if whole else with_views(sql)
         return f
 
     return add
 
 
 def _load() -> None:
-    from . import event_queries, geometry_queries, grid_queries, image_queries, recon_queries, response_queries, simulation_queries  # noqa: F401
+    from . import event_queries, geometry_queries, grid_queries, image_queries, recon_queries, response_queries, simulation_queries, variance_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

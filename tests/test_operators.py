@@ -127,14 +127,46 @@ def test_ssim_of_itself_is_one(spark):
     assert image.ssim(v, v, 4, 23.0).agg(F.min("ssim")).first()[0] == pytest.approx(1)
 
 
-def test_contrast_and_variance_solve_the_penalised_system(spark, small):
-    _, h, _ = small
-    d = np.linspace(0.5, 2, 30)
-    df = spark.createDataFrame([(h[i].tolist(), float(d[i])) for i in range(30)], "h array<double>, d double")
-    f, r = h.T @ (d[:, None] * h), np.diag([1, 2, 2, 2, 2, 1]) - np.eye(6, k=1) - np.eye(6, k=-1)
-    inverse = np.linalg.inv(f + 0.1 * r)
-    crc, var = variance.contrast_and_variance(df, 2, 6, 0.1)
-    assert crc == pytest.approx((inverse @ f)[2, 2], rel=1e-5) and var == pytest.approx((inverse @ f @ inverse)[2, 2], rel=1e-5)
+def test_contrast_and_variance_of_all_pixels(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    h = rng.random((40, 12)) * (rng.random((40, 12)) < 0.6)
+    h[3] = 0
+    df = spark.createDataFrame([(r.tolist(),) for r in h], "h array<double>").repartition(3)
+    f, r = h.T @ (h / np.maximum(h.sum(axis=1), 1e-12)[:, None]), np.zeros((12, 12))
+    for i, j, w in variance.penalty_matrix((3, 2, 2), (1.0, 2.0, 0.5)):
+        r[i, j] += w
+    x = rng.random((12, 3))
+    assert np.allclose(variance.penalty_times(x, (3, 2, 2), (1.0, 2.0, 0.5)), r @ x) and np.allclose(r.sum(axis=0), 0)
+    monkeypatch.setattr(variance, "COLUMNS", 7)
+    want = {}
+    for beta in (0.1, 5.0):
+        inverse = np.linalg.inv(f + beta * r)
+        want |= {(beta, p): ((inverse @ f)[p, p], (inverse @ f @ inverse)[p, p]) for p in range(12)}
+    study = variance.contrast_variance(df, (3, 2, 2), [0.1, 5.0], spacing=(1.0, 2.0, 0.5), tolerance=1e-10).collect()
+    assert {(r["beta"], r["pixel_id"]): pytest.approx((r["contrast"], r["variance"]), rel=1e-6) for r in study} == want
+    assert len({r["iterations"] for r in study}) > 1  # each column stops by itself
+    for held in (variance.HELD, 0):  # sums in tasks, and tiles that meet by their place
+        monkeypatch.setattr(variance, "HELD", held)
+        got = np.zeros((12, 12))
+        for e in variance.entries(variance.fisher_tiles(df, 12, 5), 12, 5).collect():
+            got[e["i"], e["j"]] = e["v"]
+        assert np.allclose(got, f)
+    direct = variance.direct_contrast_variance(df, (3, 2, 2), [0.1], 5, [0, 4, 11, 7, 2, 9, 1], (1.0, 2.0, 0.5)).collect()
+    assert {r["pixel_id"]: pytest.approx((r["contrast"], r["variance"]), rel=1e-9) for r in direct} == {p: want[0.1, p] for p in (0, 4, 11, 7, 2, 9, 1)}
+
+
+def test_cholesky_of_a_table_of_tiles(spark):
+    rng = np.random.default_rng(2)
+    m = rng.random((11, 11))
+    m = m @ m.T + np.eye(11)
+    edges = variance._edges(11, 4)
+    tiles = spark.createDataFrame([(i, j, m[slice(*edges[i]), slice(*edges[j])].ravel().tolist()) for i in range(3) for j in range(i + 1)], "i int, j int, tile array<double>")
+    low = np.zeros((11, 11))
+    for t in variance.cholesky(tiles, 11, 4).collect():
+        (a, b), (c, d) = edges[t["i"]], edges[t["j"]]
+        low[a:b, c:d] = np.array(t["tile"]).reshape(b - a, d - c)
+    assert np.allclose(low, np.linalg.cholesky(m))
+    assert variance.beta_schedule(-1, 1) == pytest.approx([0.1, 0.2, 0.5, 1, 2, 5])
 
 
 def test_classifier_beats_chance(spark, sf_dir):
