@@ -63,6 +63,12 @@ def slots(items: DataFrame) -> np.ndarray:
     return out
 
 
+def _lists(parts: list[pa.Array | None], kind: pa.DataType) -> pa.ListArray:
+    """A list column whose rows are arrays."""
+    edge = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.concat_arrays([pa.array([], kind), *[x for x in parts if x is not None]]))
+
+
 def index(docs: DataFrame, kept: np.ndarray) -> DataFrame:
     """The postings of each (block, owner), written by owner. Owner -1 has the block's totals: documents with a term, and terms."""
     spark = docs.sparkSession
@@ -75,19 +81,21 @@ def index(docs: DataFrame, kept: np.ndarray) -> DataFrame:
             size, ids = np.diff(first), b.column("doc_id").cast(pa.int64()).to_pylist()
             h = span_hashes(lower, starts, ends)
             use = np.flatnonzero(kept[(h >> np.uint64(64 - SLOTS)).astype(np.int64)])
-            doc = np.repeat(np.arange(len(size)), size)[use]
-            one, which = distinct_spans(lower, starts[use], ends[use])
-            owner = (h[use][one] % np.uint64(OWNERS)).astype(np.int64)
-            key, tf = np.unique(which.astype(np.int64) * max(1, len(size)) + doc, return_counts=True)
-            term, place = key // max(1, len(size)), key % max(1, len(size))
-            rows = [{"block": part << 24 | seq, "owner": -1, "sizes": [int((size > 0).sum()), int(size.sum())]}]
+            doc, a, z, n = np.repeat(np.arange(len(size)), size)[use], starts[use], ends[use], max(1, len(size))
+            one, which = distinct_spans(lower, a, z)
+            owner = (h[use[one]] % np.uint64(OWNERS)).astype(np.int64)
+            byte = lower.tobytes()
+            terms = np.array([byte[x:y] for x, y in zip(a[one].tolist(), z[one].tolist(), strict=True)] + [b""], object)[:-1]
+            key, tf = np.unique(which * n + doc, return_counts=True)
+            term, place = key // n, key % n
+            held = np.bincount(term, minlength=len(one))
+            rows = [(-1, None, pa.array([int((size > 0).sum()), int(size.sum())], pa.int64()), None, None, None, None)]
             for o in range(OWNERS):
+                of = owner[term] == o
                 mine = np.flatnonzero(owner == o)
-                of = np.isin(term, mine)
-                counts = np.bincount(term[of], minlength=len(one))[mine]
-                spans = [lower[starts[use][i] : ends[use][i]].tobytes() for i in one[mine].tolist()]
-                rows.append({"block": part << 24 | seq, "owner": o, "doc_ids": ids, "sizes": size.tolist(), "terms": spans, "places": np.cumsum(counts).tolist(), "docs": place[of].tolist(), "counts": tf[of].tolist()})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("block", pa.int64()), ("owner", pa.int32()), *[(k, pa.list_(pa.int64())) for k in ("doc_ids", "sizes")], ("terms", pa.list_(pa.binary())), *[(k, pa.list_(pa.int32())) for k in ("places", "docs", "counts")]]))
+                rows.append((o, pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(terms[mine].tolist(), pa.binary()), *[pa.array(x, pa.int32()) for x in (np.cumsum(held[mine]), place[of], tf[of])]))
+            columns = [_lists([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([part << 24 | seq] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), *columns], ["block", "owner", "doc_ids", "sizes", "terms", "places", "docs", "counts"])
 
     path = f"{shared_dir(spark)}/index"
     docs.mapInArrow(post, _INDEX).write.partitionBy("owner").option("compression", "zstd").parquet(path)
@@ -191,15 +199,14 @@ def _pass(posted: DataFrame, part: DataFrame, df: DataFrame, n_docs: int, n_term
     names, bundles = [r["item_id"] for r in rows], -(-len(rows) // BUNDLE)
     sent = spark.sparkContext.broadcast({t: (w, np.array(i)) for t, (w, i) in weight.items()})
 
-    def visit(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, pa.Table]]:
+    def visit(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, dict[str, pa.Array]]]:
         """(bundle, sums) of the bundles at one block after this owner's contributions."""
-        posting = right.slice(0, 1).to_pylist()[0]
-        size = np.array(posting["sizes"], np.int64)
-        place, tf = np.array(posting["docs"], np.int64), np.array(posting["counts"], np.int64)
+        posting = {k: right.column(k)[0].values for k in ("doc_ids", "sizes", "terms", "places", "docs", "counts")}
+        size, place, tf = (posting[k].to_numpy().astype(np.int64) for k in ("sizes", "docs", "counts"))
         m = 100 - share + (share * size * n_docs) // max(1, n_terms)
         gain = 1_000_000_000 * tf // (1000 * tf + 20 * m[place])
         hits, a = [], 0
-        for term, z in zip(posting["terms"], posting["places"], strict=True):
+        for term, z in zip(posting["terms"].to_pylist(), posting["places"].to_pylist(), strict=True):
             if term in sent.value:
                 hits.append((*sent.value[term], a, z))
             a = z
@@ -220,10 +227,11 @@ def _pass(posted: DataFrame, part: DataFrame, df: DataFrame, n_docs: int, n_term
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
         block, out = right.column("block")[0].as_py(), []
         for bundle, sums, posting in visit(left, right):
-            ids = np.array([2**63 - 1 if x is None else x for x in posting["doc_ids"]], np.int64)
+            named = posting["doc_ids"].to_pylist()
+            ids = np.array([2**63 - 1 if x is None else x for x in named], np.int64)
             for i in range(len(sums)):
                 for j in best(sums[i], ids, top).tolist():
-                    out.append((names[bundle * BUNDLE + i], posting["doc_ids"][j], int(sums[i, j]), block, j))
+                    out.append((names[bundle * BUNDLE + i], named[j], int(sums[i, j]), block, j))
         kinds = [pa.int64()] * 4 + [pa.int32()]
         return pa.table({k: pa.array([x[i] for x in out], kinds[i]) for i, k in enumerate(("item_id", "doc_id", "score", "block", "place"))})
 
