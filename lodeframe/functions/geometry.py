@@ -53,6 +53,10 @@ def in_ellipsoid(p: Point, centre: tuple[float, float, float], axes: tuple[float
     return reduce(lambda s, t: s + t, (((v - c) / a) * ((v - c) / a) for v, c, a in zip(p, centre, axes, strict=True))) <= 1
 
 
+def in_box(p: Point, centre: tuple[float, float, float], half: tuple[float, float, float]) -> Column:
+    return reduce(lambda s, t: s & t, (F.abs(v - c) <= h for v, c, h in zip(p, centre, half, strict=True)))
+
+
 def box_length(start: Point, end: Point, centre: Point, half: tuple[float, float, float]) -> Column:
     """How much of the segment from start to end lies in an axis-aligned box (slab method)."""
     enter, leave, outside = F.lit(0.0), F.lit(1.0), F.lit(False)

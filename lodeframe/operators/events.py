@@ -12,15 +12,29 @@ from ..functions import energy, geometry
 SCORE_EPS = 1e-12
 
 
-def layered(detectors: DataFrame) -> DataFrame:
-    """Detectors with ``layer_rank`` (by distinct |y| to 6 decimals, from 1), ``is_front`` and ``is_rear``; the last layer is the rear. A dimension table: the window runs over its few rows."""
+def layered(detectors: DataFrame, *machine: str) -> DataFrame:
+    """Detectors with ``layer_rank`` (by distinct |y| to 6 decimals, from 1), ``is_front`` and ``is_rear``; a machine's last layer is its rear. A dimension table: the window runs over a machine's few rows."""
     y = F.round(F.abs("y"), 6)
-    rank = F.dense_rank().over(Window.orderBy(y))
+    rank = F.dense_rank().over(Window.partitionBy(*machine).orderBy(y))
     out = detectors.withColumn("layer_rank", rank)
-    last = F.max("layer_rank").over(Window.partitionBy())
+    last = F.max("layer_rank").over(Window.partitionBy(*machine))
     return out.withColumn("is_rear", F.col("layer_rank") == last).withColumn("is_front", F.col("layer_rank") < last)
 
 
+def checked(layers: DataFrame, events: DataFrame | None = None, *machine: str) -> DataFrame:
+    """``layers`` (see ``layered``) if each machine has two layers or more, its ids are whole numbers from 1 on without gaps, and the events' ids are among them; else an error that says what is wrong."""
+    per = layers.groupBy(*machine).agg(F.countDistinct("layer_rank").alias("layers"), F.count(F.lit(1)).alias("n"), F.countDistinct("det_id").alias("ids"), F.min("det_id").alias("least"), F.max("det_id").alias("most"))
+    wrong = per.filter((F.col("layers") < 2) | (F.col("ids") < F.col("n")) | (F.col("least") != 1) | (F.col("most") != F.col("ids"))).first()
+    if wrong:
+        raise ValueError("fewer than two layers" if wrong["layers"] < 2 else "detector ids are missing, repeated or don't begin at 1")
+    if events is not None:
+        ids = events.select(*machine, F.explode(F.array("cp1", "cp2")).alias("det_id")).distinct()
+        lost = ids.join(F.broadcast(layers.select(*machine, "det_id")), [*machine, "det_id"], "left_anti").first()
+        if lost:
+            raise ValueError(f"events name detector {lost['det_id']}, which has no layer")
+    return layers
+
+
 def located(events: DataFrame, detectors: DataFrame) -> DataFrame:
     """Events with both hits' positions and layers (x1, y1, z1, layer1, x2, ...). Ids without a detector go. The detector table is a dimension of the machine's size, not of the data's."""
     for i in (1, 2):

@@ -67,44 +67,17 @@ def sample_weights(spark: SparkSession, shape: tuple[int, int, int], spacing: tu
     return spark.range(total).select(place.alias("index")).groupBy("index").agg((F.count(F.lit(1)) / total).alias("weight"))
 
 
-def weighted_mean(df: DataFrame, weights: DataFrame, key: str, value: str) -> DataFrame:
-    """Sum of value times weight; the weights are as many as the voxels of a grid."""
-    return df.join(F.broadcast(weights), key).agg(F.sum(F.col(value) * F.col("weight")).alias("mean"))
+def weighted_mean(df: DataFrame, weights: DataFrame, key: str, value: str, *groups: str) -> DataFrame:
+    """Sum of value times weight, of each group; the weights are as many as the voxels of a grid."""
+    return df.join(F.broadcast(weights), key).groupBy(*groups).agg(F.sum(F.col(value) * F.col("weight")).alias("mean"))
 
 
-def active(volume: DataFrame, threshold: float = 1e-4) -> DataFrame:
-    """Voxels with activity, with their share of the whole."""
+def active(volume: DataFrame, threshold: float = 1e-4, *groups: str) -> DataFrame:
+    """Voxels with activity, with their share of the whole of their group."""
     some = volume.filter(F.col("v") > threshold)
-    return some.crossJoin(F.broadcast(some.agg(F.sum("v").alias("__all")))).withColumn("share", F.col("v") / F.col("__all")).drop("__all")
-
-
-def polar_weights(points: DataFrame, rings: DataFrame, step: float, ids: list[str]) -> DataFrame:
-    """ids, pixel_id, w: how points (x, y) take their values from polar pixels, linear along the two rings beside them and between these. Rings (ring_id, n, base) have the radii step, 2 step and so on. Inside the first ring its own value at that angle counts; outside the last there is none."""
-    r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) / step - 1
-    inner = F.greatest(F.floor(r), F.lit(0)).cast("int")
-    share = F.greatest(r - F.floor(r), F.lit(0.0))
-    two = F.when(r < 0, F.array(F.struct(F.lit(0).alias("ring_id"), F.lit(1.0).alias("w")))).otherwise(F.array(F.struct(inner.alias("ring_id"), (1 - share).alias("w")), F.struct((inner + 1).alias("ring_id"), share.alias("w"))))
-    last = rings.agg(F.max("ring_id").alias("last"))
-    turn = F.pmod(F.atan2("y", "x"), F.lit(2 * math.pi)) / (2 * math.pi)
-    near = points.crossJoin(F.broadcast(last)).filter(r <= F.col("last")).select(*ids, turn.alias("turn"), F.explode(two).alias("e")).filter("e.w > 0")
-    met = near.join(F.broadcast(rings), near["e.ring_id"] == rings["ring_id"]).withColumn("at", F.col("turn") * F.col("n"))
-    lo = F.floor("at")
-    along = F.array(*[F.struct((F.col("base") + (lo + k) % F.col("n")).cast("int").alias("pixel_id"), (F.col("e.w") * w).alias("w")) for k, w in ((0, 1 - (F.col("at") - lo)), (1, F.col("at") - lo))])
-    return met.select(*ids, F.explode(along).alias("a")).select(*ids, "a.pixel_id", "a.w").filter("w > 0").groupBy(*ids, "pixel_id").agg(F.sum("w").alias("w"))
-
-
-def from_polar(points: DataFrame, weights: DataFrame, image: DataFrame, ids: list[str]) -> DataFrame:
-    """Polar images (pixel_id, v and any keys) on the points; 0 where a point has no pixel."""
-    keys = [c for c in image.columns if c not in ("pixel_id", "v")]
-    got = image.join(F.broadcast(weights), "pixel_id").groupBy(*keys, *ids).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    every = points.select(*ids).crossJoin(image.select(*keys).distinct()) if keys else points.select(*ids)
-    return every.join(got, [*keys, *ids], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-
-
-def resampled(matrix: DataFrame, weights: DataFrame, point: str) -> DataFrame:
-    """A matrix (bin_id, h: an array over the polar pixels) on the points: bin_id, point and h."""
-    long = matrix.select("bin_id", F.posexplode("h").alias("pixel_id", "h"))
-    return long.join(F.broadcast(weights), "pixel_id").groupBy("bin_id", point).agg(F.sum(F.col("h") * F.col("w")).alias("h"))
+    total = some.groupBy(*groups).agg(F.sum("v").alias("__all"))
+    met = some.join(total, list(groups)) if groups else some.crossJoin(F.broadcast(total))
+    return met.withColumn("share", F.col("v") / F.col("__all")).drop("__all")
 
 
 def curve_at(curves: DataFrame, at: DataFrame, x: str, values: list[str], *keys: str) -> DataFrame:
@@ -142,23 +115,23 @@ def gaussian_weights(spark: SparkSession, n: int, sigma: float, radius: int) ->
     return spark.createDataFrame([(i, s, w) for (i, s), w in rows.items()], "i int, src int, w double")
 
 
-def smoothed(volume: DataFrame, values: list[str], shape: tuple[int, int, int], sigma: float, radius: int) -> DataFrame:
-    """Values (ix, iy, iz, values) through a Gaussian window, axis by axis."""
+def smoothed(volume: DataFrame, values: list[str], shape: tuple[int, int, int], sigma: float, radius: int, *groups: str) -> DataFrame:
+    """Values (groups, ix, iy, iz, values) through a Gaussian window, axis by axis."""
     axes = ["ix", "iy", "iz"]
     for axis, n in zip(axes, shape, strict=True):
         w = F.broadcast(gaussian_weights(volume.sparkSession, n, sigma, radius))  # a row a neighbour of a place
         others = [a for a in axes if a != axis]
         met = volume.join(w, volume[axis] == w["src"]).drop(axis).withColumnRenamed("i", axis)
-        volume = met.groupBy(axis, *others).agg(*[F.sum(F.col(v) * F.col("w")).alias(v) for v in values])
+        volume = met.groupBy(*groups, axis, *others).agg(*[F.sum(F.col(v) * F.col("w")).alias(v) for v in values])
     return volume
 
 
-def ssim(a: DataFrame, b: DataFrame, shape: tuple[int, int, int], most: float, sigma: float = 1.5, radius: int = 5) -> DataFrame:
+def ssim(a: DataFrame, b: DataFrame, shape: tuple[int, int, int], most: float, sigma: float = 1.5, radius: int = 5, *groups: str) -> DataFrame:
     """ix, iy, iz, ssim of two volumes (v) in Gaussian windows."""
-    ids = ["ix", "iy", "iz"]
+    ids = [*groups, "ix", "iy", "iz"]
     both = a.select(*ids, F.col("v").alias("x")).join(b.select(*ids, F.col("v").alias("y")), ids)
     names = {"x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")}
-    m = smoothed(both.select(*ids, *[c.alias(n) for n, c in names.items()]), list(names), shape, sigma, radius)
+    m = smoothed(both.select(*ids, *[c.alias(n) for n, c in names.items()]), list(names), shape, sigma, radius, *groups)
     c1, c2 = (0.01 * most) ** 2, (0.03 * most) ** 2
     x, y = F.col("x"), F.col("y")
     top = (2 * x * y + c1) * (2 * (F.col("xy") - x * y) + c2)

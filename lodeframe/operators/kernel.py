@@ -173,6 +173,6 @@ def expand_weights_line(spark: SparkSession, n: int, stride: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("fine"), F.explode(two).alias("e")).select("fine", "e.coarse", "e.w").filter("w > 0")
 
 
-def weighted(image: DataFrame, weights: DataFrame, source: str, target: str) -> DataFrame:
-    """An image (pixel_id, v) through weights (source, target, w): the sum of w v by target. With the ends exchanged it is the adjoint."""
-    return image.withColumnRenamed("pixel_id", source).join(F.broadcast(weights), source).groupBy(F.col(target).alias("pixel_id")).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+def weighted(image: DataFrame, weights: DataFrame, source: str, target: str, *groups: str) -> DataFrame:
+    """Images (groups, pixel_id, v) through weights (source, target, w): the sum of w v by target. With the ends exchanged it is the adjoint."""
+    return image.withColumnRenamed("pixel_id", source).join(F.broadcast(weights), source).groupBy(*groups, F.col(target).alias("pixel_id")).agg(F.sum(F.col("w") * F.col("v")).alias("v"))

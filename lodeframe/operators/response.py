@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import energy, geometry
-from . import simulate
+from . import cells, simulate
 
 # Coefficients of a rational approximation of the error function (error below 1.5e-7).
 ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -49,16 +49,6 @@ def older_kernel(e1: Column, e0: float, resolution: float, d01: Column, d12: Col
     return F.exp(-(beta - theta) * (beta - theta) / (2 * (se * se + sp * sp))) * (F.lit(e0) / rest + rest / e0 - s * s)
 
 
-def blockers(segments: DataFrame, boxes: DataFrame, radius: float) -> DataFrame:
-    """Boxes whose centre comes within a radius of a segment (sx .. ez, between its ends) and aren't its ends a and b. Boxes are a machine's crystals and are broadcast."""
-    start, end, c = tuple(F.col(f"s{k}") for k in "xyz"), tuple(F.col(f"e{k}") for k in "xyz"), geometry.point()
-    way, to = geometry.minus(end, start), geometry.minus(c, start)
-    t = geometry.dot(way, to) / F.greatest(geometry.dot(way, way), F.lit(1e-12))
-    near = tuple(s + F.greatest(F.least(t, F.lit(1.0)), F.lit(0.0)) * w for s, w in zip(start, way, strict=True))
-    met = segments.join(F.broadcast(boxes), (F.col("det_id") != F.col("a")) & (F.col("det_id") != F.col("b")) & (geometry.norm(geometry.minus(c, near)) <= radius) & (t > 0) & (t < 1))
-    return met
-
-
 TINY = 1e-12
 
 
@@ -82,17 +72,6 @@ def integration_cells(detectors: DataFrame, nx: int, ny: int, nz: int) -> DataFr
     )
 
 
-def blocked_length(segments: DataFrame, boxes: DataFrame, keys: list[str], ends: list[str]) -> DataFrame:
-    """keys and ``blocked``, what of a segment (sx .. ez) lies in boxes (det_id, x, y, z and sizes) other than those of its ends. Boxes are a machine's crystals; sums are made before the shuffle."""
-    box = F.broadcast(boxes.select(F.col("det_id").alias("box"), *[F.col(c).alias(f"c{c}") for c in "xyz"], *[(F.col(f"s{c}") / 2).alias(f"h{c}") for c in "xyz"]))
-    other = F.lit(True)
-    for e in ends:
-        other = other & (F.col("box") != F.col(e))
-    named = lambda p: tuple(F.col(f"{p}{c}") for c in "xyz")
-    length = geometry.box_length(named("s"), named("e"), named("c"), named("h"))
-    return segments.join(box, other, "left").groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("box").isNotNull(), length)), F.lit(0.0)).alias("blocked"))
-
-
 def density_norm(e0: float, points: int = 4097) -> float:
     """The Klein-Nishina density over all directions, by trapezoids of the cosine."""
     mu = np.linspace(-1, 1, points)
@@ -118,7 +97,7 @@ def response(voxels: DataFrame, first: DataFrame, second: DataFrame, boxes: Data
     held = {round(r[0], 12): r for r in sections.select("energy", "total", "incoherent").orderBy("energy").collect()}  # a table of a few hundred energies
     total0, part0 = (float(np.interp(e0, list(held), [r[k] for r in held.values()])) for k in (1, 2))
     legs = v.crossJoin(F.broadcast(f))  # voxels times a machine's cells
-    legs = legs.join(blocked_length(legs, boxes, ["voxel", "first", "cell1"], ["first"]), ["voxel", "first", "cell1"])
+    legs = legs.join(cells.blocked_length(legs, boxes, ["voxel", "first", "cell1"], ["first"]), ["voxel", "first", "cell1"])
     way = tuple(F.col(f"e{c}") - F.col(f"s{c}") for c in "xyz")
     n1 = geometry.norm(way)
     cos1 = way[1] / n1 * F.when(F.col("ey") >= 0, 1.0).otherwise(-1.0)
@@ -131,7 +110,7 @@ def response(voxels: DataFrame, first: DataFrame, second: DataFrame, boxes: Data
     start = f.select("first", "cell1", *[F.col(f"e{c}").alias(f"s{c}") for c in "xyz"])
     end = second.select(F.col("det_id").alias("second"), F.col("cell").alias("cell2"), *[F.col(c).alias(f"e{c}") for c in "xyz"], "area", "thickness", "depth", "whole")
     pairs = start.crossJoin(F.broadcast(end)).filter("first <> second")  # a machine's pairs of cells
-    pairs = pairs.join(blocked_length(pairs, boxes, ["first", "cell1", "second", "cell2"], ["first", "second"]), ["first", "cell1", "second", "cell2"])
+    pairs = pairs.join(cells.blocked_length(pairs, boxes, ["first", "cell1", "second", "cell2"], ["first", "second"]), ["first", "cell1", "second", "cell2"])
     own = boxes.select(F.col("det_id").alias("first"), *[F.col(c).alias(f"c{c}") for c in "xyz"], *[(F.col(f"s{c}") / 2).alias(f"h{c}") for c in "xyz"])
     pairs = pairs.join(F.broadcast(own), "first").withColumn("n2", geometry.norm(way)).filter(F.col("n2") > TINY)
     pairs = pairs.select("*", *[(w / F.col("n2")).alias(f"o{c}") for c, w in zip("xyz", way, strict=True)])
@@ -176,11 +155,12 @@ def tensor_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(finite).alias("finite"), F.sum((finite == 0).cast("long")).alias("zeros"), F.min(finite).alias("min"), F.max(finite).alias("max"), F.avg(finite).alias("mean"), F.sum(finite).alias("sum"))
 
 
-def mean_matched(image: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
-    """An image scaled so that its mean over the truth's positive voxels is the truth's."""
+def mean_matched(image: DataFrame, truth: DataFrame, keys: list[str], *groups: str) -> DataFrame:
+    """Images scaled so that their mean over the truth's positive voxels is the truth's; ``groups`` of the keys tell images apart."""
     both = image.join(truth.withColumnRenamed("v", "__t"), keys)
-    w = both.agg(F.avg(F.when(F.col("__t") > 0, F.col("v"))).alias("__a"), F.avg(F.when(F.col("__t") > 0, F.col("__t"))).alias("__b"))
-    return both.crossJoin(F.broadcast(w)).select(*keys, F.when(F.col("__a") != 0, F.col("v") * F.col("__b") / F.col("__a")).otherwise(0.0).alias("v"))  # one row
+    w = both.groupBy(*groups).agg(F.avg(F.when(F.col("__t") > 0, F.col("v"))).alias("__a"), F.avg(F.when(F.col("__t") > 0, F.col("__t"))).alias("__b"))
+    met = both.join(w, list(groups)) if groups else both.crossJoin(F.broadcast(w))  # one row
+    return met.select(*keys, F.when(F.col("__a") != 0, F.col("v") * F.col("__b") / F.col("__a")).otherwise(0.0).alias("v"))
 
 
 def ratio_map(a: DataFrame, b: DataFrame, key: str, floor: float = 1e-12) -> DataFrame:
@@ -200,12 +180,12 @@ def shown_iterations(most: int, step: int) -> list[int]:
     return sorted({min(most, max(step, round(x / step) * step)) for x in wanted})
 
 
-def slices(volume: DataFrame, centre: tuple[int, int, int]) -> DataFrame:
-    """The three orthogonal slices through a voxel: axis, i, j, v."""
-    out = None
+def slices(volume: DataFrame, centre: tuple[int, int, int], *keys: str, flipped: dict[str, int] | None = None) -> DataFrame:
+    """The three orthogonal slices through a voxel of each volume: keys, axis, i, j, v. flipped: axes that run the other way, with their numbers of cells."""
+    out, at_of = None, lambda c: (F.lit(flipped[c] - 1) - F.col(c)).cast("int") if c in (flipped or {}) else F.col(c)
     for axis, at in zip(("ix", "iy", "iz"), centre, strict=True):
         i, j = [c for c in ("ix", "iy", "iz") if c != axis]
-        s = volume.filter(F.col(axis) == at).select(F.lit(axis).alias("axis"), F.col(i).alias("i"), F.col(j).alias("j"), "v")
+        s = volume.filter(at_of(axis) == at).select(*keys, F.lit(axis).alias("axis"), at_of(i).alias("i"), at_of(j).alias("j"), "v")
         out = s if out is None else out.unionByName(s)
     return out
 

@@ -21,10 +21,11 @@ def inverse(rotation: DataFrame) -> DataFrame:
 
 
 def rotate(image: DataFrame, rotation: DataFrame) -> DataFrame:
-    """view, pixel_id, v: an image (pixel_id, v; with view if it differs by view) gathered through a permutation."""
+    """view, pixel_id, v and other keys: images (pixel_id, v; with view if they differ by view) gathered through a permutation."""
     source = image.withColumnRenamed("pixel_id", "src_pixel_id")
     keys = ["view", "src_pixel_id"] if "view" in image.columns else ["src_pixel_id"]
-    return rotation.join(source, keys).select("view", "pixel_id", "v")
+    others = [c for c in image.columns if c not in ("view", "pixel_id", "v")]
+    return rotation.join(source, keys).select(*others, "view", "pixel_id", "v")
 
 
 def all_planes(rotation: DataFrame, layer_size: int, planes: int) -> DataFrame:

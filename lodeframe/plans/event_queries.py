@@ -74,9 +74,16 @@ def kinematic_filter(spark, sf_dir):
     return views.events(spark, sf_dir).filter(energy.is_kinematic(F.col("e1"), E0)).select("event_id", r6(energy.scatter_angle(F.col("e1"), E0)).alias("theta"))
 
 
-@query("SELECT det_id, dense_rank() OVER (ORDER BY round(abs(y), 6))::INTEGER AS layer_rank, y = (SELECT max(y) FROM v_det) AS is_rear, y < (SELECT max(y) FROM v_det) AS is_front FROM v_det")
+_MACHINES = "SELECT p_size AS machine, p_partkey AS det_id, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END * (100 + 20.0e0 * (floor(p_retailprice * 10)::BIGINT % 7)) AS y FROM part"
+
+
+@query(f"SELECT machine, det_id, layer_rank, layer_rank = max(layer_rank) OVER (PARTITION BY machine) AS is_rear, layer_rank < max(layer_rank) OVER (PARTITION BY machine) AS is_front FROM (SELECT *, dense_rank() OVER (PARTITION BY machine ORDER BY round(abs(y), 6))::INTEGER AS layer_rank FROM ({_MACHINES}))")
 def detector_layers(spark, sf_dir):
-    return ev.layered(views.detectors(spark)).select("det_id", "layer_rank", "is_rear", "is_front")
+    """Parts as detectors, of a machine for each size."""
+    p = views.read(spark, sf_dir, "part")
+    y = F.when(F.col("p_partkey") % 2 == 0, 1).otherwise(-1) * (100 + 20.0 * (F.floor(F.col("p_retailprice") * 10) % 7))
+    d = p.select(F.col("p_size").alias("machine"), F.col("p_partkey").alias("det_id"), y.alias("y"))
+    return ev.layered(d, "machine").select("machine", "det_id", "layer_rank", "is_rear", "is_front")
 
 
 @query(f"WITH {_LOC} SELECT event_id, round(sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2) + (z1 - z2) * (z1 - z2)), 6) AS distance FROM loc WHERE abs(y1 - y2) > 0.1e0")

@@ -16,45 +16,59 @@ def r6(c):
 
 
 _ROT = "rot AS (SELECT view::INTEGER AS view, pixel_id, (base + (view * n // 8 + theta_id) % n)::INTEGER AS src_pixel_id FROM v_pix, range(8) t(view))"
-_IMG = "img AS (SELECT pixel_id, ((pixel_id * 37) % 101 + 1)::DOUBLE AS v FROM v_pix)"
+_SPOT = "spot AS (SELECT event_id, ((view - 1) % 8)::INTEGER AS view, (cp1 - 1)::INTEGER AS pixel_id, (event_id % 3)::INTEGER AS z FROM v_event)"
 
 
-def image(spark):
-    return views.pixels(spark).select("pixel_id", ((F.col("pixel_id") * 37) % 101 + 1).cast("double").alias("v"))
+def spots(spark, sf_dir):
+    """An event as a pixel of a view and a plane."""
+    e = views.events(spark, sf_dir)
+    return e.select("event_id", ((F.col("view") - 1) % views.VIEWS).alias("view"), (F.col("cp1") - 1).alias("pixel_id"), (F.col("event_id") % 3).cast("int").alias("z"))
 
 
-@query(f"WITH {_ROT} SELECT view, pixel_id, src_pixel_id FROM rot")
-def rotation_map(spark, sf_dir):
+def turns(spark):
     return rotation.rotation_map(views.pixels(spark), views.VIEWS)
 
 
-@query(f"WITH {_ROT} SELECT view, src_pixel_id AS pixel_id, pixel_id AS src_pixel_id FROM rot")
+@query(f"WITH {_ROT}, {_SPOT} SELECT event_id, view, pixel_id, src_pixel_id FROM spot JOIN rot USING (view, pixel_id)")
+def rotation_map(spark, sf_dir):
+    """Where each event's pixel comes from at its view."""
+    return spots(spark, sf_dir).join(F.broadcast(turns(spark)), ["view", "pixel_id"]).select("event_id", "view", "pixel_id", "src_pixel_id")
+
+
+@query(f"WITH {_ROT}, {_SPOT} SELECT event_id, spot.view, spot.pixel_id, rot.pixel_id AS src_pixel_id FROM spot JOIN rot ON spot.view = rot.view AND spot.pixel_id = src_pixel_id")
 def inverse_rotation(spark, sf_dir):
-    return rotation.inverse(rotation.rotation_map(views.pixels(spark), views.VIEWS))
+    return spots(spark, sf_dir).join(F.broadcast(rotation.inverse(turns(spark))), ["view", "pixel_id"]).select("event_id", "view", "pixel_id", "src_pixel_id")
 
 
-@query(f"WITH {_ROT}, z AS (SELECT i::INTEGER AS z FROM range(3) t(i)) SELECT view, (pixel_id + z * 64)::INTEGER AS pixel_id, (src_pixel_id + z * 64)::INTEGER AS src_pixel_id FROM rot, z")
+@query(f"WITH {_ROT}, {_SPOT} SELECT event_id, view, (pixel_id + z * 64)::INTEGER AS pixel_id, (src_pixel_id + z * 64)::INTEGER AS src_pixel_id FROM spot JOIN rot USING (view, pixel_id)")
 def rotation_all_planes(spark, sf_dir):
-    return rotation.all_planes(rotation.rotation_map(views.pixels(spark), views.VIEWS), views.PIXELS, 3)
+    planes = rotation.all_planes(turns(spark), views.PIXELS, 3)
+    s = spots(spark, sf_dir).select("event_id", "view", (F.col("pixel_id") + F.col("z") * views.PIXELS).alias("pixel_id"))
+    return s.join(F.broadcast(planes), ["view", "pixel_id"]).select("event_id", "view", "pixel_id", "src_pixel_id")
 
 
-@query(f"WITH {_IMG} SELECT view::INTEGER AS view, pixel_id, v FROM img, range(8) t(view)")
+@query("SELECT vec_id, view::INTEGER AS view, pixel_id, v FROM v_img, range(8) t(view)")
 def rotate_image_roundtrip(spark, sf_dir):
-    rot = rotation.rotation_map(views.pixels(spark), views.VIEWS)
-    return rotation.rotate(rotation.rotate(image(spark), rot), rotation.inverse(rot))
+    """Every image turned to all views and back."""
+    rot = F.broadcast(turns(spark))
+    return rotation.rotate(rotation.rotate(views.images(spark, sf_dir), rot), F.broadcast(rotation.inverse(turns(spark))))
 
 
-@query("SELECT run, count(*)::BIGINT AS n, round(min(radius), 6) AS radius FROM (SELECT *, (sum(CASE WHEN abs(radius - before) > 1e-4 THEN 1 ELSE 0 END) OVER (ORDER BY pixel_id))::INTEGER AS run FROM (SELECT pixel_id, sqrt(x * x + y * y) AS radius, lag(sqrt(x * x + y * y)) OVER (ORDER BY pixel_id) AS before FROM v_pix)) GROUP BY run")
+@query("SELECT user_id, run, count(*)::BIGINT AS n, round(min(value), 6) AS least FROM (SELECT user_id, value, (sum(CASE WHEN abs(value - before) > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY value, event_id))::INTEGER AS run FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY value, event_id) AS before FROM events)) GROUP BY user_id, run")
 def ring_runs(spark, sf_dir):
-    p = views.pixels(spark).withColumn("radius", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).withColumn("plane", F.lit(0))
-    return rotation.runs(p, F.col("radius"), ["pixel_id"], 1e-4, "plane").groupBy("run").agg(F.count(F.lit(1)).alias("n"), r6(F.min("radius")).alias("radius"))
+    """Each user's values in runs without a gap of over 20, as rings of pixels are told apart by their radii."""
+    e = views.read(spark, sf_dir, "events")
+    return rotation.runs(e, F.col("value"), ["value", "event_id"], 20.0, "user_id").groupBy("user_id", "run").agg(F.count(F.lit(1)).alias("n"), r6(F.min("value")).alias("least"))
 
 
-@query("SELECT role, place::INTEGER AS place, det_id, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY d2, det_id) AS place FROM (SELECT CASE WHEN layer = 4 THEN 'rear' ELSE 'front' END AS role, det_id, (x - 5.0e0) * (x - 5.0e0) + (z + 3.0e0) * (z + 3.0e0) AS d2 FROM v_det WHERE y > 0)) WHERE place <= 6")
+@query("SELECT p_partkey, role, place::INTEGER AS place, det_id, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey, role ORDER BY d2, det_id) AS place FROM (SELECT p_partkey, CASE WHEN layer = 4 THEN 'rear' ELSE 'front' END AS role, det_id, (x - (p_size - 25.0e0)) * (x - (p_size - 25.0e0)) + (z - p_partkey % 31) * (z - p_partkey % 31) AS d2 FROM part, v_det WHERE y > 0)) WHERE place <= 2")
 def nearest_detectors(spark, sf_dir):
+    """The two nearest detectors of each role to each part's place."""
     d = views.detectors(spark).filter("y > 0").withColumn("role", F.when(F.col("layer") == 4, "rear").otherwise("front"))
-    d2 = (F.col("x") - 5.0) * (F.col("x") - 5.0) + (F.col("z") + 3.0) * (F.col("z") + 3.0)
-    return rotation.nearest(d.withColumn("d2", d2), F.col("d2"), 6, "det_id", "role").select("role", "place", "det_id", r6("d2").alias("d2"))
+    p = views.read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 25.0).alias("px"), (F.col("p_partkey") % 31).alias("pz"))
+    met = p.crossJoin(F.broadcast(d))  # a machine's detectors
+    d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("z") - F.col("pz")) * (F.col("z") - F.col("pz"))
+    return rotation.nearest(met.withColumn("d2", d2), F.col("d2"), 2, "det_id", "p_partkey", "role").select("p_partkey", "role", "place", "det_id", r6("d2").alias("d2"))
 
 
 @query("SELECT p_partkey, (SELECT min_by(l, abs(l - p_retailprice % 200) * 1000 + l) FROM (SELECT DISTINCT y AS l FROM v_det)) AS nearest FROM part")
@@ -118,16 +132,17 @@ def union_intersect_except_bins(spark, sf_dir):
 
 _EXPAND = """ex AS (SELECT pixel_id AS fine, (base // 2 + theta_id // 2)::INTEGER AS coarse, 1 - (theta_id % 2) / 2.0e0 AS w FROM v_pix UNION ALL
     SELECT pixel_id, (base // 2 + (theta_id // 2 + 1) % (n // 2))::INTEGER, (theta_id % 2) / 2.0e0 FROM v_pix WHERE theta_id % 2 = 1)"""
-_COARSE = "coarse AS (SELECT (base // 2 + theta_id // 2)::INTEGER AS pixel_id, v FROM v_pix JOIN img USING (pixel_id) WHERE theta_id % 2 = 0)"
+_COARSE = "coarse AS (SELECT vec_id, (base // 2 + theta_id // 2)::INTEGER AS pixel_id, v FROM v_pix JOIN v_img USING (pixel_id) WHERE theta_id % 2 = 0)"
 
 
-@query(f"WITH {_IMG}, {_COARSE}, {_EXPAND} SELECT fine AS pixel_id, round(sum(w * v), 6) AS v FROM ex JOIN coarse ON ex.coarse = coarse.pixel_id GROUP BY fine")
+@query(f"WITH {_COARSE}, {_EXPAND} SELECT vec_id, fine AS pixel_id, round(sum(w * v), 6) AS v FROM ex JOIN coarse ON ex.coarse = coarse.pixel_id GROUP BY vec_id, fine")
 def coarse_reduce_expand(spark, sf_dir):
+    """Every image on the coarse grid and back."""
     p = views.pixels(spark)
-    coarse = kernel.weighted(image(spark), kernel.reduce_weights(p, 2), "fine", "coarse")
-    return kernel.weighted(coarse, kernel.expand_weights(p, 2), "coarse", "fine").select("pixel_id", r6("v").alias("v"))
+    coarse = kernel.weighted(views.images(spark, sf_dir), kernel.reduce_weights(p, 2), "fine", "coarse", "vec_id")
+    return kernel.weighted(coarse, kernel.expand_weights(p, 2), "coarse", "fine", "vec_id").select("vec_id", "pixel_id", r6("v").alias("v"))
 
 
-@query(f"WITH {_IMG}, {_EXPAND} SELECT coarse AS pixel_id, round(sum(w * v), 6) AS v FROM ex JOIN img ON ex.fine = img.pixel_id GROUP BY coarse")
+@query(f"WITH {_EXPAND} SELECT vec_id, coarse AS pixel_id, round(sum(w * v), 6) AS v FROM ex JOIN v_img ON ex.fine = v_img.pixel_id GROUP BY vec_id, coarse")
 def expand_adjoint(spark, sf_dir):
-    return kernel.weighted(image(spark), kernel.expand_weights(views.pixels(spark), 2), "fine", "coarse").select("pixel_id", r6("v").alias("v"))
+    return kernel.weighted(views.images(spark, sf_dir), kernel.expand_weights(views.pixels(spark), 2), "fine", "coarse", "vec_id").select("vec_id", "pixel_id", r6("v").alias("v"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import random
 from ..operators import events as ev
 from ..operators import grids, kernel, recon, rotation, sampling, simulate
+from ..operators import triangles as tri
 from . import views
 from .catalogue import query
 from .recon_queries import _LIST, list_rows
@@ -20,16 +22,20 @@ def r6(c):
     return F.round(c, 6)
 
 
-@query("SELECT i::INTEGER AS pixel_id, (i % 20 - 9.5e0) * 3.0e0 AS x, (i // 20 - 7.5e0) * 3.0e0 AS y, 12.0e0 AS z FROM range(320) t(i)")
+@query("SELECT pixel_id, x, y, z, n, round(total, 6) AS total FROM (SELECT i::INTEGER AS pixel_id, (i % 20 - 9.5e0) * 3.0e0 AS x, (i // 20 - 7.5e0) * 3.0e0 AS y, 12.0e0 AS z FROM range(320) t(i)) JOIN (SELECT (event_id * 7 % 320)::INTEGER AS pixel_id, count(*)::BIGINT AS n, sum(value) AS total FROM events GROUP BY 1) USING (pixel_id)")
 def plane_grid(spark, sf_dir):
-    return grids.plane(spark, 20, 16, 3.0, 3.0, 12.0)
+    """Events on the pixels of a plane."""
+    e = views.read(spark, sf_dir, "events").groupBy((F.col("event_id") * 7 % 320).cast("int").alias("pixel_id")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
+    return grids.plane(spark, 20, 16, 3.0, 3.0, 12.0).join(e, "pixel_id")
 
 
-@query("SELECT side, count(*)::BIGINT AS n FROM (SELECT unnest(CASE WHEN round(y, 9) > 0 THEN ['front', 'all'] WHEN round(y, 9) < 0 THEN ['rear', 'all'] ELSE ['all'] END) AS side FROM v_pix) GROUP BY side")
+@query("SELECT side, view, count(*)::BIGINT AS n FROM (SELECT view, unnest(CASE WHEN round(y, 9) > 0 THEN ['front', 'all'] WHEN round(y, 9) < 0 THEN ['rear', 'all'] ELSE ['all'] END) AS side FROM v_event JOIN v_pix ON pixel_id = cp1 - 1) GROUP BY ALL")
 def hemispheres(spark, sf_dir):
-    p = views.pixels(spark).withColumn("y", F.round("y", 9))
-    parts = [grids.hemisphere(p, s).select(F.lit(s).alias("side")) for s in ("front", "rear", "all")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    """Events by the side that their first pixel lies on."""
+    p = views.pixels(spark).select((F.col("pixel_id") + 1).alias("cp1"), F.round("y", 9).alias("y"))
+    e = views.events(spark, sf_dir).join(F.broadcast(p), "cp1")
+    parts = [grids.hemisphere(e, s).select(F.lit(s).alias("side"), "view") for s in ("front", "rear", "all")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("side", "view").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_orderkey - 150.0e0 AS place, round(o_totalprice / (SELECT max(o_totalprice) FROM orders), 9) AS value FROM orders")
@@ -55,42 +61,50 @@ def group_slices(spark, sf_dir):
     return grids.group_slices(v, 8, 53, (3, 8), 5)
 
 
-_POINTS = """pts AS (SELECT least(greatest(round_even((i % 9 - 4.0e0) * 7.3e0 / 10 + 9.5e0, 0), 0), 19)::BIGINT + 20 * least(greatest(round_even((i // 9 % 9 - 4.0e0) * 7.3e0 / 10 + 9.5e0, 0), 0), 19)::BIGINT
-    + 400 * least(greatest(round_even((i // 81 - 1.0e0) * 7.3e0 / 12 + 1.5e0, 0), 0), 3)::BIGINT AS index FROM range(243) t(i)), wts AS (SELECT index, count(*) / 243.0e0 AS weight FROM pts GROUP BY index)"""
+_POINTS = """pts AS (SELECT least(greatest(round_even((i % 9 - 4.0e0) * 7.3e0 / 10 + 3.5e0, 0), 0), 7)::BIGINT + 8 * least(greatest(round_even((i // 9 % 9 - 4.0e0) * 7.3e0 / 10 + 3.5e0, 0), 0), 7)::BIGINT
+    + 64 * least(greatest(round_even((i // 81 - 1.0e0) * 7.3e0 / 12 + 3.5e0, 0), 0), 7)::BIGINT AS index FROM range(243) t(i)), wts AS (SELECT index, count(*) / 243.0e0 AS weight FROM pts GROUP BY index)"""
 
 
 def weights(spark):
-    return grids.sample_weights(spark, (20, 20, 4), (10.0, 10.0, 12.0), (9, 9, 3), 7.3)
+    return grids.sample_weights(spark, (8, 8, 8), (10.0, 10.0, 12.0), (9, 9, 3), 7.3)
 
 
-@query(f"WITH {_POINTS} SELECT index, round(weight, 9) AS weight FROM wts")
+def indexed(spark, sf_dir):
+    return views.voxels(spark, sf_dir).select("vol", (F.col("ix") + 8 * F.col("iy") + 64 * F.col("iz")).cast("long").alias("index"), "v")
+
+
+@query(f"WITH {_POINTS} SELECT vol, index, round(weight, 9) AS weight, v FROM v_vox JOIN wts ON index = ix + 8 * iy + 64 * iz")
 def sample_point_weights(spark, sf_dir):
-    return weights(spark).withColumn("weight", F.round("weight", 9))
+    """The sampled voxels of every volume."""
+    return indexed(spark, sf_dir).join(F.broadcast(weights(spark)), "index").select("vol", "index", F.round("weight", 9).alias("weight"), "v")
 
 
-@query(f"WITH {_POINTS} SELECT round(sum(v * weight), 6) AS mean FROM v_vox JOIN wts ON index = ix + 20 * iy + 400 * iz")
+@query(f"WITH {_POINTS} SELECT vol, round(sum(v * weight), 6) AS mean FROM v_vox JOIN wts ON index = ix + 8 * iy + 64 * iz GROUP BY vol")
 def weighted_sample_mean(spark, sf_dir):
-    v = views.voxels(spark).select((F.col("ix") + 20 * F.col("iy") + 400 * F.col("iz")).cast("long").alias("index"), "v")
-    return grids.weighted_mean(v, weights(spark), "index", "v").select(r6("mean").alias("mean"))
+    return grids.weighted_mean(indexed(spark, sf_dir), weights(spark), "index", "v", "vol").select("vol", r6("mean").alias("mean"))
 
 
-@query("SELECT ix, iy, iz, round(v / (SELECT sum(v) FROM v_vox WHERE v > 1.5e0), 9) AS share FROM v_vox WHERE v > 1.5e0 ORDER BY v DESC, ix, iy, iz LIMIT 50")
+@query("SELECT vol, ix, iy, iz, round(share, 9) AS share FROM (SELECT *, v / sum(v) OVER (PARTITION BY vol) AS share, row_number() OVER (PARTITION BY vol ORDER BY v DESC, ix, iy, iz) AS place FROM v_vox WHERE v > 1.5e0) WHERE place <= 5")
 def heaviest_voxels(spark, sf_dir):
-    """The 50 voxels of the largest share (a top-k report)."""
-    some = grids.active(views.voxels(spark), 1.5).orderBy(F.desc("v"), "ix", "iy", "iz").limit(50)
-    return some.select("ix", "iy", "iz", F.round("share", 9).alias("share"))
+    """The five voxels of the largest share of every volume (a top-k report)."""
+    from pyspark.sql import Window
 
+    place = F.row_number().over(Window.partitionBy("vol").orderBy(F.desc("v"), "ix", "iy", "iz"))
+    some = grids.active(views.voxels(spark, sf_dir), 1.5, "vol").withColumn("place", place).filter("place <= 5")
+    return some.select("vol", "ix", "iy", "iz", F.round("share", 9).alias("share"))
 
-@query("SELECT (ix * 7 + iy + iz) % 3 AS kind, count(*)::BIGINT AS n FROM v_vox GROUP BY kind")
+
+@query("SELECT vol, (v % 3)::INTEGER AS kind, count(*)::BIGINT AS n FROM v_vox GROUP BY ALL")
 def crystal_counts(spark, sf_dir):
-    return views.voxels(spark).groupBy(((F.col("ix") * 7 + F.col("iy") + F.col("iz")) % 3).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """How many voxels of every volume are of each kind."""
+    return views.voxels(spark, sf_dir).groupBy("vol", (F.col("v") % 3).cast("int").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_CURVE = "curve AS (SELECT p_type AS rod, p_size AS iteration, avg(p_retailprice) AS mean, coalesce(stddev_pop(p_retailprice), 0) AS deviation FROM part WHERE p_size % 5 <> 2 GROUP BY 1, 2)"
+_CURVE = "curve AS (SELECT p_type AS rod, p_size AS iteration, avg(p_retailprice) AS mean, coalesce(stddev_pop(p_retailprice), 0) AS deviation FROM part GROUP BY 1, 2)"
 
 
 def curves(spark, sf_dir):
-    p = views.read(spark, sf_dir, "part").filter("p_size % 5 <> 2")
+    p = views.read(spark, sf_dir, "part")
     return p.groupBy(F.col("p_type").alias("rod"), F.col("p_size").alias("iteration")).agg(F.avg("p_retailprice").alias("mean"), F.coalesce(F.stddev_pop("p_retailprice"), F.lit(0.0)).alias("deviation"))
 
 
@@ -127,11 +141,11 @@ def half_counts(spark, sf_dir):
     return views.counts(spark, sf_dir).select("bin_id", sampling.halved(F.col("y")).alias("y"))
 
 
-@query(f"WITH {_LIST} SELECT pixel_id, round(sum(s), 5) AS s FROM (SELECT pixel_id, sum(h) AS s FROM v_sysmat WHERE bin_id % 3 < 2 GROUP BY pixel_id UNION ALL SELECT pixel_id, sum(t) AS s FROM tl GROUP BY pixel_id) GROUP BY pixel_id")
+@query(f"WITH {_LIST} SELECT pixel_id, round(sum(s), 5) AS s FROM (SELECT pixel_id, sum(h) AS s FROM v_sysmat GROUP BY pixel_id UNION ALL SELECT pixel_id, sum(t) AS s FROM tl GROUP BY pixel_id) GROUP BY pixel_id")
 def energy_union_sensitivity(spark, sf_dir):
     """Sensitivities of several energies' matrices and lists, summed."""
     m = views.matrix(spark, sf_dir)
-    parts = [recon.image_table(m, recon.sensitivity(m.filter(F.col("bin_id") % 3 == k), P)) for k in range(2)]
+    parts = [recon.image_table(m, recon.sensitivity(m.filter(F.col("bin_id") % 3 == k), P)) for k in range(3)]
     parts.append(recon.image_table(m, recon.sensitivity(list_rows(spark, sf_dir), P, "t")))
     return recon.summed(parts).select("pixel_id", F.round("v", 5).alias("s"))
 
@@ -154,35 +168,59 @@ def list_sensitivity_by_view(spark, sf_dir):
     return recon.view_sensitivity(list_rows(spark, sf_dir).join(e, "event_id"), back).select("pixel_id", r6("s").alias("s"))
 
 
-_POLAR = "((pixel_id * 37) % 101 + 1)"
+def _triangles() -> list[tuple]:
+    """The triangles of the polar grid, for SQL: their making is tested by itself."""
+    place = [(6.0 * (r + 1) * math.cos(2 * math.pi * t / n), 6.0 * (r + 1) * math.sin(2 * math.pi * t / n)) for r, n in enumerate(views.RINGS) for t in range(n)]
+    return [(t, *c, *[v for k in c for v in place[k]]) for t, c in enumerate(tri.triangulate(np.array(place)).tolist())]
 
 
-@query(f"""WITH p AS (SELECT i % 15 AS ix, i // 15 AS iy, (i % 15 - 7) * 3.0e0 + 0.01e0 AS x, (i // 15 - 7) * 3.0e0 + 0.02e0 AS y FROM range(225) t(i)), q AS (SELECT *, sqrt(x * x + y * y) / 6 - 1 AS r, CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + {2 * math.pi!r} ELSE atan2(y, x) END / {2 * math.pi!r} AS turn FROM p),
-    two AS (SELECT ix, iy, turn, CASE WHEN r < 0 THEN 0 ELSE floor(r) + k END::INTEGER AS ring_id, CASE WHEN r < 0 THEN 1 - k WHEN k = 0 THEN 1 - (r - floor(r)) ELSE r - floor(r) END AS w FROM q, range(2) t(k) WHERE r <= 2),
-    four AS (SELECT ix, iy, (base + (floor(turn * n)::INTEGER + k) % n)::INTEGER AS pixel_id, w * CASE WHEN k = 0 THEN 1 - (turn * n - floor(turn * n)) ELSE turn * n - floor(turn * n) END AS w FROM two JOIN (SELECT DISTINCT ring_id, n, base FROM v_pix) USING (ring_id), range(2) t(k) WHERE w > 0)
-    SELECT ix::INTEGER AS ix, iy::INTEGER AS iy, round(coalesce(v, 0), 6) AS v FROM p LEFT JOIN (SELECT ix, iy, sum(w * {_POLAR}) AS v FROM four GROUP BY ix, iy) USING (ix, iy)""")
-def polar_image_on_grid(spark, sf_dir):
-    points, w = polar_points(spark)
-    image = views.pixels(spark).select("pixel_id", ((F.col("pixel_id") * 37) % 101 + 1).cast("double").alias("v"))
-    return grids.from_polar(points, w, image, ["ix", "iy"]).select("ix", "iy", r6("v").alias("v"))
+_TRI = "tri(t, p0, p1, p2, x0, y0, x1, y1, x2, y2) AS (VALUES " + ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) for v in r) + ")" for r in _triangles()) + ")"
+_WHOLE = "((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0))"
+_ONE, _TWO = f"(((x - x0) * (y2 - y0) - (y - y0) * (x2 - x0)) / {_WHOLE})", f"(((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)) / {_WHOLE})"
+_WITHIN = f"least(1 - {_ONE} - {_TWO}, {_ONE}, {_TWO}) >= -1e-9"
+_LOCATE = f"""{_TRI}, p AS (SELECT i AS point, i % 15 AS ix, i // 15 AS iy, (i % 15 - 7) * 3.0e0 + 0.01e0 AS x, (i // 15 - 7) * 3.0e0 + 0.02e0 AS y FROM range(225) t(i)),
+    hit AS (SELECT point, min_by([1 - {_ONE} - {_TWO}, {_ONE}, {_TWO}], t) AS w, min_by([p0, p1, p2], t) AS c FROM p, tri WHERE {_WITHIN} GROUP BY point), w AS (SELECT point, unnest(c)::INTEGER AS pixel_id, unnest(w) AS w FROM hit)"""
 
 
-def polar_points(spark):
+def polar_triangles(spark):
+    p = views.pixels(spark).select("pixel_id", "x", "y").orderBy("pixel_id").toPandas()  # a machine's pixels
+    return tri.triangle_table(spark, p["pixel_id"].tolist(), p[["x", "y"]].to_numpy())
+
+
+def grid_weights(spark) -> np.ndarray:
     i = F.col("id")
-    points = spark.range(225).select((i % 15).cast("int").alias("ix"), F.floor(i / 15).cast("int").alias("iy"), ((i % 15 - 7) * 3.0 + 0.01).alias("x"), ((F.floor(i / 15) - 7) * 3.0 + 0.02).alias("y"))
-    rings = views.pixels(spark).select("ring_id", "n", "base").distinct()
-    return points, grids.polar_weights(points, rings, 6.0, ["ix", "iy"])
+    points = spark.range(225).select(i.cast("int").alias("point"), ((i % 15 - 7) * 3.0 + 0.01).alias("x"), ((F.floor(i / 15) - 7) * 3.0 + 0.02).alias("y"))
+    return tri.weight_matrix(tri.located(points, polar_triangles(spark), 6.0, ["point"]), "point", P, 225)
 
 
-@query(f"""WITH p AS (SELECT i AS point, (i % 15 - 7) * 3.0e0 + 0.01e0 AS x, (i // 15 - 7) * 3.0e0 + 0.02e0 AS y FROM range(225) t(i)), q AS (SELECT *, sqrt(x * x + y * y) / 6 - 1 AS r, CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + {2 * math.pi!r} ELSE atan2(y, x) END / {2 * math.pi!r} AS turn FROM p),
-    two AS (SELECT point, turn, CASE WHEN r < 0 THEN 0 ELSE floor(r) + k END::INTEGER AS ring_id, CASE WHEN r < 0 THEN 1 - k WHEN k = 0 THEN 1 - (r - floor(r)) ELSE r - floor(r) END AS w FROM q, range(2) t(k) WHERE r <= 2),
-    four AS (SELECT point, (base + (floor(turn * n)::INTEGER + k) % n)::INTEGER AS pixel_id, w * CASE WHEN k = 0 THEN 1 - (turn * n - floor(turn * n)) ELSE turn * n - floor(turn * n) END AS w FROM two JOIN (SELECT DISTINCT ring_id, n, base FROM v_pix) USING (ring_id), range(2) t(k) WHERE w > 0)
-    SELECT bin_id, count(DISTINCT point)::BIGINT AS points, round(sum(w * h), 5) AS total FROM four JOIN v_sysmat USING (pixel_id) GROUP BY bin_id""")
+@query(f"WITH {_LOCATE}, s AS (SELECT vec_id, point, sum(w * v) AS v FROM w JOIN v_img USING (pixel_id) GROUP BY ALL) SELECT vec_id, ix::INTEGER AS ix, iy::INTEGER AS iy, round(v, 6) AS v FROM (SELECT vec_id FROM embeddings) CROSS JOIN p LEFT JOIN s USING (vec_id, point)")
+def polar_image_on_grid(spark, sf_dir):
+    """Every polar image on a display grid: a product of arrays with the triangles' shares, null outside the hull."""
+    e = views.read(spark, sf_dir, "embeddings")
+    value = F.transform("embedding", lambda x: (F.floor(F.abs(x.cast("double")) * 10000) % 101 + 1).cast("double"))
+    out = recon.through(e.select(F.col("vec_id").alias("bin_id"), value.alias("h")), grid_weights(spark)).select(F.col("bin_id").alias("vec_id"), F.posexplode("h").alias("point", "v"))
+    return out.select("vec_id", (F.col("point") % 15).alias("ix"), F.floor(F.col("point") / 15).cast("int").alias("iy"), F.when(~F.isnan("v"), r6("v")).alias("v"))
+
+
+@query(f"WITH {_LOCATE} SELECT bin_id, count(DISTINCT point)::BIGINT AS points, round(sum(w * h), 5) AS total FROM w JOIN v_sysmat USING (pixel_id) GROUP BY bin_id")
 def polar_matrix_on_grid(spark, sf_dir):
-    _, w = polar_points(spark)
-    w = w.select((F.col("iy") * 15 + F.col("ix")).alias("point"), "pixel_id", "w")
-    out = grids.resampled(views.matrix(spark, sf_dir), w, "point")
-    return out.groupBy("bin_id").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("h"), 5).alias("total"))
+    """The system matrix on the display grid, as arrays."""
+    out = recon.through(views.matrix(spark, sf_dir), grid_weights(spark))
+    held = F.filter("h", lambda x: ~F.isnan(x))
+    return out.select("bin_id", F.size(held).cast("long").alias("points"), F.round(F.aggregate(held, F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+_SPREAD = f"""{_TRI}, e AS (SELECT event_id, event_id % (SELECT count(*) FROM embeddings) AS vec_id, value % 41 - 20.03e0 AS x, value * 3 % 37 - 18.02e0 AS y FROM events),
+    hit AS (SELECT event_id, vec_id, min_by([1 - {_ONE} - {_TWO}, {_ONE}, {_TWO}], t) AS w, min_by([p0, p1, p2], t) AS c FROM e, tri WHERE {_WITHIN} GROUP BY ALL), w AS (SELECT event_id, vec_id, unnest(c)::INTEGER AS pixel_id, unnest(w) AS w FROM hit)"""
+
+
+@query(f"WITH {_SPREAD}, s AS (SELECT event_id, sum(w * v) AS v FROM w JOIN v_img USING (vec_id, pixel_id) GROUP BY event_id) SELECT event_id, round(v, 6) AS v FROM e LEFT JOIN s USING (event_id)")
+def scattered_interpolation(spark, sf_dir):
+    """Each event's place in an image of its own, which is known at scattered points: triangles are found by cells, values by pixel; null outside the hull."""
+    n = views.read(spark, sf_dir, "embeddings").count()
+    e = views.read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % n).alias("vec_id"), (F.col("value") % 41 - 20.03).alias("x"), (F.col("value") * 3 % 37 - 18.02).alias("y"))
+    placed = tri.located(e, polar_triangles(spark), 6.0, ["event_id"])
+    return tri.interpolated(e, placed, views.images(spark, sf_dir), ["event_id"], "vec_id").select("event_id", r6("v").alias("v"))
 
 
 @query(f"SELECT view, count(*)::BIGINT AS n, round(avg(e2 / greatest(e1 + e2, 1e-15)), 6) AS second_weight, round(avg(-ln({random.sql_uniform('event_id', 2)}) / 0.34e0 * (e2 / greatest(e1 + e2, 1e-15))), 6) AS path FROM v_event GROUP BY view")
@@ -194,10 +232,10 @@ def energy_weighted_paths(spark, sf_dir):
 
 
 @query("""SELECT energy, system, count(*)::BIGINT AS n FROM (SELECT split_part(label, '_', 1) AS energy, CASE WHEN instr(label, '_') > 0 THEN substr(label, instr(label, '_')) ELSE '' END AS system FROM
-    (SELECT CASE WHEN p_size % 3 = 0 THEN p_size || 'keV' ELSE p_size || 'keV_' || p_brand || '_x' END AS label FROM part WHERE p_retailprice > 0 AND p_partkey % 7 > 0)) GROUP BY ALL""")
+    (SELECT CASE WHEN p_size % 3 = 0 THEN p_size || 'keV' ELSE p_size || 'keV_' || p_brand || '_x' END AS label FROM part WHERE p_retailprice > 0)) GROUP BY ALL""")
 def label_tags(spark, sf_dir):
     """Energy and system of labels whose values are positive."""
-    p = views.read(spark, sf_dir, "part").filter((F.col("p_retailprice") > 0) & (F.col("p_partkey") % 7 > 0))
+    p = views.read(spark, sf_dir, "part").filter(F.col("p_retailprice") > 0)
     label = F.when(F.col("p_size") % 3 == 0, F.concat(F.col("p_size"), F.lit("keV"))).otherwise(F.concat(F.col("p_size"), F.lit("keV_"), F.col("p_brand"), F.lit("_x")))
     energy, system = grids.label_parts(label)
     return p.groupBy(energy.alias("energy"), system.alias("system")).agg(F.count(F.lit(1)).alias("n"))
@@ -207,20 +245,22 @@ def _gauss_sql() -> str:
     """Three passes of a window of 5 places with sigma 1 over the five moments, axis by axis."""
     w = f"exp(-0.5e0 * k * k) / {sum(math.exp(-0.5 * k * k) for k in range(-2, 3))!r}"
     out, source = [], "m0"
-    for step, (axis, n) in enumerate((("ix", 20), ("iy", 20), ("iz", 4))):
+    for step, (axis, n) in enumerate((("ix", 8), ("iy", 8), ("iz", 8))):
         others = [a for a in ("ix", "iy", "iz") if a != axis]
         cols = ", ".join(f"sum(s.{v} * w) AS {v}" for v in ("x", "y", "xx", "yy", "xy"))
-        out.append(f"m{step + 1} AS (SELECT g.i AS {axis}, s.{others[0]}, s.{others[1]}, {cols} FROM (SELECT i, least(greatest(i + k, 0), {n - 1}) AS src, {w} AS w FROM range({n}) a(i), range(-2, 3) b(k)) g JOIN {source} s ON s.{axis} = g.src GROUP BY g.i, s.{others[0]}, s.{others[1]})")
+        out.append(f"m{step + 1} AS (SELECT s.vol, g.i AS {axis}, s.{others[0]}, s.{others[1]}, {cols} FROM (SELECT i, least(greatest(i + k, 0), {n - 1}) AS src, {w} AS w FROM range({n}) a(i), range(-2, 3) b(k)) g JOIN {source} s ON s.{axis} = g.src GROUP BY s.vol, g.i, s.{others[0]}, s.{others[1]})")
         source = f"m{step + 1}"
     return ", ".join(out)
 
 
-@query(f"""WITH v2 AS (SELECT ix, iy, iz, v AS x, (v * 3 + ix) % 23 AS y FROM v_vox), m0 AS (SELECT *, x * x AS xx, y * y AS yy, x * y AS xy FROM v2), {_gauss_sql()}
-    SELECT round(avg((2 * x * y + 0.0529e0) * (2 * (xy - x * y) + 0.4761e0) / ((x * x + y * y + 0.0529e0) * (xx - x * x + yy - y * y + 0.4761e0))), 6) AS ssim FROM m3""")
+@query(f"""WITH v2 AS (SELECT vol, ix, iy, iz, v AS x, (v * 3 + ix) % 23 AS y FROM v_vox WHERE vol < (SELECT count(*) FROM embeddings) // 8), m0 AS (SELECT *, x * x AS xx, y * y AS yy, x * y AS xy FROM v2), {_gauss_sql()}
+    SELECT vol, round(avg((2 * x * y + 0.0529e0) * (2 * (xy - x * y) + 0.4761e0) / ((x * x + y * y + 0.0529e0) * (xx - x * x + yy - y * y + 0.4761e0))), 6) AS ssim FROM m3 GROUP BY vol""")
 def ssim_gaussian(spark, sf_dir):
-    v = views.voxels(spark)
-    w = v.select("ix", "iy", "iz", ((F.col("v") * 3 + F.col("ix")) % 23).alias("v"))
-    return grids.ssim(v, w, (20, 20, 4), 23.0, 1.0, 2).agg(r6(F.avg("ssim")).alias("ssim"))
+    """Similarity in Gaussian windows of every volume that has all its planes."""
+    whole = views.read(spark, sf_dir, "embeddings").count() // 8
+    v = views.voxels(spark, sf_dir).filter(F.col("vol") < whole)
+    w = v.select("vol", "ix", "iy", "iz", ((F.col("v") * 3 + F.col("ix")) % 23).alias("v"))
+    return grids.ssim(v, w, (8, 8, 8), 23.0, 1.0, 2, "vol").groupBy("vol").agg(r6(F.avg("ssim")).alias("ssim"))
 
 
 @query(f"WITH {_LIST} SELECT cp1, count(DISTINCT event_id)::BIGINT AS events, round(sum(t * pixel_id), 4) AS moment FROM tl JOIN v_event USING (event_id) GROUP BY cp1")

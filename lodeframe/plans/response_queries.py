@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import energy, geometry
+from ..operators import cells
 from ..operators import response as rs
 from . import event_queries as eq
 from . import recon_queries, views
@@ -53,14 +54,24 @@ def older_kernel_at_centre(spark, sf_dir):
     return e.select("event_id", r6(weight).alias("weight"))
 
 
-@query("""WITH p AS (SELECT f.det_id AS a, r.det_id AS b, f.x AS sx, f.y AS sy, f.z AS sz, r.x AS ex, r.y AS ey, r.z AS ez FROM v_det f, v_det r WHERE f.layer = 1 AND r.layer = 4),
-    m AS (SELECT a, b, det_id, x, y, z, sx, sy, sz, ex - sx AS wx, ey - sy AS wy, ez - sz AS wz, ((ex - sx) * (x - sx) + (ey - sy) * (y - sy) + (ez - sz) * (z - sz)) / greatest((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy) + (ez - sz) * (ez - sz), 1e-12) AS t FROM p, v_det WHERE det_id <> a AND det_id <> b)
-    SELECT a, b, count(*)::BIGINT AS n FROM m WHERE t > 0 AND t < 1 AND sqrt(power(x - sx - t * wx, 2) + power(y - sy - t * wy, 2) + power(z - sz - t * wz, 2)) <= 5 GROUP BY ALL""")
+_SEGMENT = "seg AS (SELECT event_id, cp1 AS a, cp2 AS b, f.x + event_id % 7 - 3 AS sx, f.y AS sy, f.z + event_id % 5 - 2 AS sz, r.x AS ex, r.y AS ey, r.z + event_id % 3 - 1 AS ez FROM v_event JOIN v_det f ON f.det_id = cp1 JOIN v_det r ON r.det_id = cp2)"
+
+
+def segments(spark, sf_dir):
+    """From each event's first hit to its second, places within the crystals told apart by the event."""
+    d, id = views.detectors(spark), F.col("event_id")
+    e = views.events(spark, sf_dir).select("event_id", F.col("cp1").alias("a"), F.col("cp2").alias("b"))
+    s = d.select(F.col("det_id").alias("a"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
+    t = d.select(F.col("det_id").alias("b"), *[F.col(c).alias(f"e{c}") for c in "xyz"])
+    e = e.join(F.broadcast(s), "a").join(F.broadcast(t), "b")
+    return e.withColumns({"sx": F.col("sx") + id % 7 - 3, "sz": F.col("sz") + id % 5 - 2, "ez": F.col("ez") + id % 3 - 1})
+
+
+@query(f"""WITH {_SEGMENT}, m AS (SELECT event_id, x, y, z, sx, sy, sz, ex - sx AS wx, ey - sy AS wy, ez - sz AS wz, ((ex - sx) * (x - sx) + (ey - sy) * (y - sy) + (ez - sz) * (z - sz)) / greatest((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy) + (ez - sz) * (ez - sz), 1e-12) AS t FROM seg, v_det WHERE det_id <> a AND det_id <> b)
+    SELECT event_id, count(*)::BIGINT AS n FROM m WHERE t > 0 AND t < 1 AND sqrt(power(x - sx - t * wx, 2) + power(y - sy - t * wy, 2) + power(z - sz - t * wz, 2)) <= 5 GROUP BY event_id""")
 def blocker_candidates(spark, sf_dir):
-    d = views.detectors(spark)
-    s = d.filter("layer = 1").select(F.col("det_id").alias("a"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    e = d.filter("layer = 4").select(F.col("det_id").alias("b"), *[F.col(c).alias(f"e{c}") for c in "xyz"])
-    return rs.blockers(s.crossJoin(F.broadcast(e)), d.select("det_id", "x", "y", "z"), 5.0).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    """How many other crystals stand in each event's way; segments and crystals meet by cells of space."""
+    return cells.blockers(segments(spark, sf_dir), views.detectors(spark), 5.0).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def crystals(spark):
@@ -86,7 +97,8 @@ _BLUR = f"greatest(d * {eq.RES / energy.FWHM!r}::DOUBLE * sqrt(0.511e0 / greates
 _TENSOR = f"""WITH c AS (SELECT det_id, layer, x, y, z, 10.0e0 AS wide, CASE WHEN layer < 4 THEN 6.0e0 ELSE 10.0e0 END AS deep FROM v_det),
     box AS (SELECT det_id AS box, x AS xx, y AS xy, z AS xz, 5.0e0 AS hx, deep / 2 AS hy, 5.0e0 AS hz FROM c),
     cell AS (SELECT det_id, layer, j, x, y + ((j + 0.5e0) / 2 - 0.5e0) * deep AS y, z, j * deep / 2 AS depth, deep / 2 AS thick, deep FROM c, range(2) t(j)),
-    leg AS (SELECT pixel_id AS voxel, p.x AS sx, p.y AS sy, p.z AS sz, det_id, j, c.x AS ex, c.y AS ey, c.z AS ez, depth, thick FROM v_pix p, cell c),
+    src AS (SELECT s_suppkey AS voxel, (s_suppkey % 9 - 4) * 4.0e0 AS x, (s_suppkey % 11 - 5) * 2.0e0 AS y, (s_suppkey % 7 - 3) * 4.0e0 AS z FROM supplier),
+    leg AS (SELECT voxel, p.x AS sx, p.y AS sy, p.z AS sz, det_id, j, c.x AS ex, c.y AS ey, c.z AS ez, depth, thick FROM src p, cell c),
     shut1 AS (SELECT voxel, det_id, j, sum({_IN_BOX}) AS blocked FROM leg JOIN box ON box <> det_id GROUP BY ALL),
     way1 AS (SELECT *, sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy) + (ez - sz) * (ez - sz)) AS n1 FROM leg JOIN shut1 USING (voxel, det_id, j)),
     hit1 AS (SELECT voxel, det_id, j, (ex - sx) / n1 AS ux, (ey - sy) / n1 AS uy, (ez - sz) / n1 AS uz, 100 * c1 / (4 * 3.141592653589793e0 * n1 * n1) * exp(-{_TOTAL0} * depth / c1 / 10) * (1 - exp(-{_TOTAL0} * thick / c1 / 10)) * {_PART0} / {_TOTAL0} * exp(-{_TOTAL0} * blocked / 10) AS scatter
@@ -103,10 +115,18 @@ _TENSOR = f"""WITH c AS (SELECT det_id, layer, x, y, z, 10.0e0 AS wide, CASE WHE
     SELECT ahead AS front_first, voxel, det_id AS first, bin::INTEGER AS e1_bin, round(1e9 * sum(w * exp(-0.5e0 * power((0.05e0 * bin + 0.075e0 - d) / blur, 2)) * {0.05 / math.sqrt(2 * math.pi)!r}::DOUBLE / blur), 5) AS w FROM base, range(6) t(bin) GROUP BY ALL"""
 
 
+@query(f"""WITH {_SEGMENT}, box AS (SELECT det_id AS box, x AS xx, y AS xy, z AS xz, 5.0e0 AS hx, CASE WHEN layer < 4 THEN 3.0e0 ELSE 5.0e0 END AS hy, 5.0e0 AS hz FROM v_det)
+    SELECT event_id, round(coalesce(sum({_IN_BOX}), 0), 6) AS blocked FROM seg LEFT JOIN box ON box <> a AND box <> b GROUP BY event_id""")
+def segment_box_length(spark, sf_dir):
+    """What of each event's way lies in other crystals."""
+    return cells.blocked_length(segments(spark, sf_dir), crystals(spark), ["event_id"], ["a", "b"]).select("event_id", r6("blocked").alias("blocked"))
+
+
 @query(_TENSOR)
 def response_tensor(spark, sf_dir):
-    """Responses of all voxels to all pairs of a front and a rear crystal, in both orders, in two cells each, summed over the second crystal."""
-    c, voxel = crystals(spark), views.pixels(spark).select(F.col("pixel_id").alias("voxel"), "x", "y", "z")
+    """Responses of all suppliers' places to all pairs of a front and a rear crystal, in both orders, in two cells each, summed over the second crystal."""
+    key = F.col("s_suppkey")
+    c, voxel = crystals(spark), views.read(spark, sf_dir, "supplier").select(key.alias("voxel"), ((key % 9 - 4) * 4.0).alias("x"), ((key % 11 - 5) * 2.0).alias("y"), ((key % 7 - 3) * 4.0).alias("z"))
     front, rear = (rs.integration_cells(c.filter(f), 1, 2, 1) for f in ("layer < 4", "layer = 4"))
     out = None
     for ahead, one, two in ((True, front, rear), (False, rear, front)):
@@ -122,11 +142,11 @@ def tensor_statistics(spark, sf_dir):
     return out.select("finite", "zeros", *[r6(c).alias(c) for c in ("min", "max", "mean")], F.round("sum", 4).alias("sum"))
 
 
-@query("WITH t AS (SELECT ix, iy, iz, v, CASE WHEN v > 10 THEN v * 3 ELSE 0 END AS t FROM v_vox) SELECT ix, iy, iz, round(v * (SELECT avg(t) FROM t WHERE t > 0) / (SELECT avg(v) FROM t WHERE t > 0), 6) AS v FROM t")
+@query("WITH t AS (SELECT *, CASE WHEN v > 10 THEN v * 3 ELSE 0 END AS t FROM v_vox), m AS (SELECT vol, avg(t) FILTER (t > 0) AS b, avg(v) FILTER (t > 0) AS a FROM t GROUP BY vol) SELECT vol, ix, iy, iz, round(v * b / a, 6) AS v FROM t JOIN m USING (vol)")
 def mean_matching(spark, sf_dir):
-    v = views.voxels(spark)
-    truth = v.select("ix", "iy", "iz", F.when(F.col("v") > 10, F.col("v") * 3).otherwise(0.0).alias("v"))
-    return rs.mean_matched(v, truth, ["ix", "iy", "iz"]).withColumn("v", r6("v"))
+    v, keys = views.voxels(spark, sf_dir), ["vol", "ix", "iy", "iz"]
+    truth = v.select(*keys, F.when(F.col("v") > 10, F.col("v") * 3).otherwise(0.0).alias("v"))
+    return rs.mean_matched(v, truth, keys, "vol").withColumn("v", r6("v"))
 
 
 @query("SELECT pixel_id, round(a / b, 6) AS v FROM (SELECT pixel_id, sum(h) FILTER (bin_id % 2 = 0) AS a, sum(h) FILTER (bin_id % 2 = 1) AS b FROM v_sysmat GROUP BY pixel_id)")
@@ -142,17 +162,18 @@ def grouped_back_projection(spark, sf_dir):
     return rs.grouped_back(e, recon_queries.long_matrix(spark, sf_dir)).select("pixel_id", r6("w").alias("w"))
 
 
-@query("SELECT 'ix' AS axis, iy AS i, iz AS j, v FROM v_vox WHERE ix = 7 UNION ALL SELECT 'iy', ix, iz, v FROM v_vox WHERE iy = 9 UNION ALL SELECT 'iz', ix, iy, v FROM v_vox WHERE iz = 2")
+@query("WITH f AS (SELECT vol, ix, 7 - iy AS iy, iz, v FROM v_vox) SELECT vol, 'ix' AS axis, iy AS i, iz AS j, v FROM f WHERE ix = 3 UNION ALL SELECT vol, 'iy', ix, iz, v FROM f WHERE iy = 5 UNION ALL SELECT vol, 'iz', ix, iy, v FROM f WHERE iz = 2")
 def three_slices(spark, sf_dir):
-    return rs.slices(views.voxels(spark), (7, 9, 2))
+    """Slices of volumes whose second axis runs the other way."""
+    return rs.slices(views.voxels(spark, sf_dir), (3, 5, 2), "vol", flipped={"iy": views.SIDE})
 
 
 _G = math.exp(-0.5)
 
 
-@query(f"SELECT ix, iy, iz, round((v + {_G!r}::DOUBLE * (coalesce(lag(v) OVER w, 0) + coalesce(lead(v) OVER w, 0))) / (1 + {_G!r}::DOUBLE * ((lag(v) OVER w IS NOT NULL)::INTEGER + (lead(v) OVER w IS NOT NULL)::INTEGER)), 6) AS v FROM v_vox WINDOW w AS (PARTITION BY ix, iy ORDER BY iz)")
+@query(f"SELECT vol, ix, iy, iz, round((v + {_G!r}::DOUBLE * (coalesce(lag(v) OVER w, 0) + coalesce(lead(v) OVER w, 0))) / (1 + {_G!r}::DOUBLE * ((lag(v) OVER w IS NOT NULL)::INTEGER + (lead(v) OVER w IS NOT NULL)::INTEGER)), 6) AS v FROM v_vox WINDOW w AS (PARTITION BY vol, ix, iy ORDER BY iz)")
 def smoothing_along_z(spark, sf_dir):
-    return rs.smoothed(views.voxels(spark), 1.0, 1, "ix", "iy").select("ix", "iy", "iz", r6("v").alias("v"))
+    return rs.smoothed(views.voxels(spark, sf_dir), 1.0, 1, "vol", "ix", "iy").select("vol", "ix", "iy", "iz", r6("v").alias("v"))
 
 
 @query("SELECT count(*)::BIGINT AS bins, round(sum(h), 4) AS mass FROM v_sysmat WHERE bin_id IN (SELECT vec_id FROM embeddings WHERE label % 3 = 1)")

@@ -27,14 +27,15 @@ def xs_bracket_interp(spark, sf_dir):
     return simulate.interpolated(e, "x", t, "energy", ["total"]).select("event_id", F.round("total", 10).alias("total"))
 
 
-@query("""WITH g AS (SELECT i, i * (2.0e0 / 4096) - 1 AS mu, 1 / (1 + (1 - (i * (2.0e0 / 4096) - 1))) AS k FROM range(4097) t(i)), f AS (SELECT i, mu, k * k * (k + 1 / k - (1 - mu * mu)) AS f FROM g)
-    SELECT round(2 * 3.141592653589793e0 * sum((f + before) / 2 * step), 6) AS norm FROM (SELECT f, lag(f) OVER (ORDER BY i) AS before, mu - lag(mu) OVER (ORDER BY i) AS step FROM f)""")
+@query("""WITH s AS (SELECT DISTINCT (event_id % 97 + 3) * 0.01e0 AS energy, count(*) OVER (PARTITION BY event_id % 97)::BIGINT AS n FROM events), g AS (SELECT energy, n, i, i * (2.0e0 / 512) - 1 AS mu, 1 / (1 + energy / 0.511e0 * (1 - (i * (2.0e0 / 512) - 1))) AS k FROM s, range(513) t(i)), f AS (SELECT *, k * k * (k + 1 / k - (1 - mu * mu)) AS f FROM g)
+    SELECT energy, n, round(2 * 3.141592653589793e0 * sum((f + before) / 2 * step), 6) AS norm FROM (SELECT *, lag(f) OVER w AS before, mu - lag(mu) OVER w AS step FROM f WINDOW w AS (PARTITION BY energy ORDER BY i)) GROUP BY energy, n""")
 def kn_normalisation(spark, sf_dir):
-    """The trapezoid sum as end and inner weights, so no order is needed."""
-    mu = F.col("id") * (2.0 / 4096) - 1
-    f = energy.klein_nishina_pdf(mu, E0 / energy.ELECTRON)
-    weight = F.when(F.col("id").isin(0, 4096), 0.5).otherwise(1.0)
-    return spark.range(4097).agg(r6(2 * 3.141592653589793 * F.sum(f * weight) * (2.0 / 4096)).alias("norm"))
+    """The density's integral at each incident energy of the events, by trapezoids as end and inner weights, so no order is needed."""
+    e = views.read(spark, sf_dir, "events").groupBy(((F.col("event_id") % 97 + 3) * 0.01).alias("energy")).agg(F.count(F.lit(1)).alias("n"))
+    mu = F.col("i") * (2.0 / 512) - 1
+    f = energy.klein_nishina_pdf(mu, F.col("energy") / energy.ELECTRON)
+    weight = F.when(F.col("i").isin(0, 512), 0.5).otherwise(1.0)
+    return e.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(512)))).groupBy("energy", "n").agg(r6(2 * 3.141592653589793 * F.sum(f * weight) * (2.0 / 512)).alias("norm"))
 
 
 _U = [random.sql_uniform("id", s) for s in range(4)]
@@ -76,41 +77,45 @@ def noisy_projection(spark, sf_dir):
     return o.select("o_orderkey", r6(simulate.noisy(F.col("y"), F.col("o_orderkey"))).alias("noisy"))
 
 
-@query("""SELECT det_id, round(CASE WHEN leave > enter THEN (leave - enter) * len ELSE 0 END, 6) AS length FROM (SELECT det_id, sqrt(x * x + y * y + z * z) AS len,
-    greatest(0, CASE WHEN abs(x) < 1e-12 THEN 0 ELSE least(-10 / x, 10 / x) END, CASE WHEN abs(y) < 1e-12 THEN 0 ELSE least(90 / y, 110 / y) END, CASE WHEN abs(z) < 1e-12 THEN 0 ELSE least(-10 / z, 10 / z) END) AS enter,
-    least(1, CASE WHEN abs(x) < 1e-12 THEN 1 ELSE greatest(-10 / x, 10 / x) END, CASE WHEN abs(y) < 1e-12 THEN 1 ELSE greatest(90 / y, 110 / y) END, CASE WHEN abs(z) < 1e-12 THEN 1 ELSE greatest(-10 / z, 10 / z) END) AS leave FROM v_det)""")
-def segment_box_length(spark, sf_dir):
-    zero, centre = tuple(F.lit(0.0) for _ in range(3)), (F.lit(0.0), F.lit(100.0), F.lit(0.0))
-    return views.detectors(spark).select("det_id", r6(geometry.box_length(zero, geometry.point(), centre, (10.0, 10.0, 10.0))).alias("length"))
+_RESPONSE = """src AS (SELECT s_suppkey AS source, (s_suppkey % 9 - 4) * 4.0e0 AS px, (s_suppkey % 7 - 3) * 4.0e0 AS pz FROM supplier),
+    r AS (SELECT source, f.det_id AS front, b.det_id AS rear, bin, 9.0e0 * f.y / (4 * 3.141592653589793e0 * power((f.x - px) * (f.x - px) + f.y * f.y + (f.z - pz) * (f.z - pz), 1.5e0)) * exp(-0.0325e0 * sqrt((f.x - b.x) * (f.x - b.x) + (f.y - b.y) * (f.y - b.y) + (f.z - b.z) * (f.z - b.z)) / 10) * exp(-0.5e0 * power((0.05e0 + 0.06e0 * bin - 0.2e0) / 0.05e0, 2)) AS weight
+    FROM src, v_det f, v_det b, range(5) t(bin) WHERE f.layer < 4 AND b.layer = 4)"""
+_FLAT = "(((bin * 64 + rear - 1) * 64) + front - 1)"
 
 
-_RESPONSE = """r AS (SELECT f.det_id AS front, b.det_id AS rear, bin, 9.0e0 * f.y / (4 * 3.141592653589793e0 * power(f.x * f.x + f.y * f.y + f.z * f.z, 1.5e0)) * exp(-0.0325e0 * sqrt((f.x - b.x) * (f.x - b.x) + (f.y - b.y) * (f.y - b.y) + (f.z - b.z) * (f.z - b.z)) / 10) * exp(-0.5e0 * power((0.05e0 + 0.06e0 * bin - 0.2e0) / 0.05e0, 2)) AS weight
-    FROM v_det f, v_det b, range(5) t(bin) WHERE f.layer < 4 AND b.layer = 4)"""
-
-
-@query(f"WITH {_RESPONSE} SELECT rank, flat_index, front, rear, bin::INTEGER AS bin, round(weight, 9) AS weight FROM (SELECT *, ((front - 1) * 64 + rear - 1) * 5 + bin AS flat_index, row_number() OVER (ORDER BY round(weight, 12) DESC, ((front - 1) * 64 + rear - 1) * 5 + bin)::INTEGER AS rank FROM r) WHERE rank <= 20")
+@query(f"WITH {_RESPONSE} SELECT source, rank, flat_index, front, rear, bin::INTEGER AS bin, round(weight, 9) AS weight FROM (SELECT *, {_FLAT} AS flat_index, row_number() OVER (PARTITION BY source ORDER BY round(weight, 12) DESC, {_FLAT})::INTEGER AS rank FROM r) WHERE rank <= 5")
 def top_k_response(spark, sf_dir):
-    """The 20 largest entries of a voxel's response over detector pairs and energy bins."""
+    """The five largest entries of each source's response over detector pairs and energy bins, by their place with the first axis running first (a top-k report)."""
+    from pyspark.sql import Window
+
     d = views.detectors(spark)
     name = lambda df, s: df.select(*[F.col(c).alias(f"{s}{c}") for c in ("det_id", "x", "y", "z")])
     f, b = name(d.filter("layer < 4"), "f"), name(d.filter("layer = 4"), "b")
     cells = f.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(spark.range(5).select(F.col("id").cast("int").alias("bin"))))  # a machine's detectors and bins
-    pf, pb = tuple(F.col(f"f{c}") for c in "xyz"), tuple(F.col(f"b{c}") for c in "xyz")
-    area = 9.0 * F.col("fy") / (4 * 3.141592653589793 * F.pow(geometry.dot(pf, pf), F.lit(1.5)))
+    source = views.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), ((F.col("s_suppkey") % 9 - 4) * 4.0).alias("px"), F.lit(0.0).alias("py"), ((F.col("s_suppkey") % 7 - 3) * 4.0).alias("pz"))
+    met = source.crossJoin(F.broadcast(cells))
+    leg, pf, pb = geometry.minus(geometry.point("f"), geometry.point("p")), geometry.point("f"), geometry.point("b")
+    area = 9.0 * F.col("fy") / (4 * 3.141592653589793 * F.pow(geometry.dot(leg, leg), F.lit(1.5)))
     weight = area * F.exp(-0.0325 * geometry.norm(geometry.minus(pf, pb)) / 10) * F.exp(-0.5 * F.pow((0.05 + 0.06 * F.col("bin") - 0.2) / 0.05, F.lit(2)))
-    flat = geometry.flat_index(F.col("fdet_id").cast("long") - 1, F.col("bdet_id") - 1, F.col("bin"), (64, 64, 5)).alias("flat_index")
-    top = cells.select(flat, F.col("fdet_id").alias("front"), F.col("bdet_id").alias("rear"), "bin", weight.alias("weight")).orderBy(F.desc(F.round("weight", 12)), "flat_index").limit(20)
-    from pyspark.sql import Window
+    flat = geometry.flat_index(F.col("fdet_id").cast("long") - 1, F.col("bdet_id") - 1, F.col("bin"), (64, 64, 5), "F").alias("flat_index")
+    every = met.select("source", flat, F.col("fdet_id").alias("front"), F.col("bdet_id").alias("rear"), "bin", weight.alias("weight"))
+    place = Window.partitionBy("source").orderBy(F.desc(F.round("weight", 12)), "flat_index")
+    return every.withColumn("rank", F.row_number().over(place)).filter("rank <= 5").withColumn("weight", F.round("weight", 9))
+
 
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("weight", 12)), "flat_index"))).withColumn("weight", F.round("weight", 9))  # 20 rows
+_SOURCES = "SELECT p_brand || '.mac' AS file, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey))::INTEGER AS n, p_retailprice AS weight, CASE WHEN p_size % 2 = 0 THEN 'Cylinder' ELSE 'Sphere' END AS shape, p_size * 0.5e0 AS x, -1.0e0 * p_size AS y, (p_partkey % 13)::DOUBLE AS z, p_size / 4.0e0 AS radius FROM part"
 
 
-@query("""SELECT n, weight, shape, x, y, z, round(radius, 6) AS radius FROM (VALUES (1, 2.0e0, 'Cylinder', 0.0e0, 10.0e0, -5.0e0, 4.0e0), (2, 1.5e0, 'Sphere', 20.0e0, 0.0e0, 0.0e0, 2.5e0), (3, 0.25e0, 'Cylinder', -3.5e0, 1.0e0, 7.0e0, 1.0e0)) t(n, weight, shape, x, y, z, radius)""")
+@query(f"SELECT file, n, weight, shape, x, y, z, round(radius, 6) AS radius FROM ({_SOURCES})")
 def macro_parse(spark, sf_dir):
-    """Sources written as macro text and parsed again."""
-    sources = [(1, 2.0, "Cylinder", 0.0, 10.0, -5.0, 4.0), (2, 1.5, "Sphere", 20.0, 0.0, 0.0, 2.5), (3, 0.25, "Cylinder", -3.5, 1.0, 7.0, 1.0)]
-    df = spark.createDataFrame(sources, "n int, weight double, shape string, x double, y double, z double, radius double").withColumn("file", F.lit("1.mac"))
-    return macros.parse(macros.text(df)).select("n", "weight", "shape", "x", "y", "z", r6("radius").alias("radius"))
+    """Parts as sources of a macro file for each brand, written as text and parsed again."""
+    from pyspark.sql import Window
+
+    p = views.read(spark, sf_dir, "part")
+    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    shape = F.when(F.col("p_size") % 2 == 0, "Cylinder").otherwise("Sphere")
+    df = p.select(F.concat("p_brand", F.lit(".mac")).alias("file"), n.alias("n"), F.col("p_retailprice").alias("weight"), shape.alias("shape"), (F.col("p_size") * 0.5).alias("x"), (-1.0 * F.col("p_size")).alias("y"), (F.col("p_partkey") % 13).cast("double").alias("z"), (F.col("p_size") / 4.0).alias("radius"))
+    return macros.parse(macros.text(df)).select("file", "n", "weight", "shape", "x", "y", "z", r6("radius").alias("radius"))
 
 
 @query("SELECT bin::INTEGER AS bin, count(*)::BIGINT AS n, round(count(*) / (sum(count(*)) OVER () * 0.0511e0), 6)::DOUBLE AS density FROM (SELECT least(floor(e1 / 0.0511e0), 9) AS bin FROM v_event WHERE e1 >= 0) GROUP BY bin")

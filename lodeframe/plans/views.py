@@ -100,12 +100,21 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.join(d.select("doc_id", "n_chars"), "doc_id").select("doc_id", F.col("quality").alias("truth"), p.alias("p"))
 
 
-def voxels(spark: SparkSession, sf_dir: str = "", shape: tuple[int, int, int] = (20, 20, 4)) -> DataFrame:
-    """A volume: ix, iy, iz (from 0) and v, from an integer formula."""
-    a, b, c = shape
-    i = F.col("id")
-    x, y, z = (i % a).cast("int"), (F.floor(i / a) % b).cast("int"), F.floor(i / (a * b)).cast("int")
-    return spark.range(a * b * c).select(x.alias("ix"), y.alias("iy"), z.alias("iz"), ((x * 7 + y * 13 + z * 29) % 23 + 1).cast("double").alias("v"))
+SIDE = 8
+
+
+def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes of 8 planes of 8 by 8 voxels, a plane an embedding: vol, ix, iy, iz (from 0) and v, a whole number from 1 to 23."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    v = F.floor(F.abs(F.col("e").cast("double")) * 1000) % 23 + 1
+    at = lambda c, name: c.cast("int").alias(name)
+    return e.select(F.floor(F.col("vec_id") / SIDE).alias("vol"), at(F.col("i") % SIDE, "ix"), at(F.floor(F.col("i") / SIDE), "iy"), at(F.col("vec_id") % SIDE, "iz"), v.cast("double").alias("v"))
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images on the polar grid, one an embedding: vec_id, pixel_id and v, a whole number from 1 to 101."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pixel_id", "e"))
+    return e.select("vec_id", "pixel_id", (F.floor(F.abs(F.col("e").cast("double")) * 10000) % 101 + 1).cast("double").alias("v"))
 
 
 _XS = ", ".join(f"({i}, {', '.join(f'{x!r}::DOUBLE' for x in r)})" for i, r in enumerate(CROSS_SECTIONS))
@@ -123,8 +132,9 @@ SQL = {
         6.0e0 * (ring_id + 1) * sin(2 * 3.141592653589793e0 * theta_id / n) AS y, 0.0e0 AS z FROM ({_RINGS})""",
     "v_xs": f"SELECT * FROM (VALUES {_XS}) t(line_no, energy, incoherent, photo, total)",
     "v_pred": "SELECT l.doc_id, quality AS truth, (n_chars % 1000 + 0.5e0) / 1000.0e0 AS p FROM labels l JOIN documents d USING (doc_id)",
-    "v_vox": """SELECT (i % 20)::INTEGER AS ix, (i // 20 % 20)::INTEGER AS iy, (i // 400)::INTEGER AS iz,
-        ((i % 20 * 7 + i // 20 % 20 * 13 + i // 400 * 29) % 23 + 1)::DOUBLE AS v FROM range(1600) t(i)""",
+    "v_vox": """SELECT vec_id // 8 AS vol, (i % 8)::INTEGER AS ix, (i // 8)::INTEGER AS iy, (vec_id % 8)::INTEGER AS iz, (floor(abs(e::DOUBLE) * 1000) % 23 + 1)::DOUBLE AS v
+        FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS e FROM embeddings)""",
+    "v_img": """SELECT vec_id, i::INTEGER AS pixel_id, (floor(abs(e::DOUBLE) * 10000) % 101 + 1)::DOUBLE AS v FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS e FROM embeddings)""",
 }
 
 

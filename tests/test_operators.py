@@ -117,14 +117,14 @@ def test_slab_outcomes_near_published_shares(spark):
     assert n.sum() == 20_000 and n["transmitted"] / 20_000 == pytest.approx(0.72175, abs=4 * 0.0032)
 
 
-def test_laplacian_of_a_constant_is_zero(spark):
-    v = views.voxels(spark).withColumn("v", F.lit(3.0))
-    assert image.laplacian(v).filter("v <> 0").count() == 0
+def test_laplacian_of_a_constant_is_zero(spark, sf_dir):
+    v = views.voxels(spark, sf_dir).withColumn("v", F.lit(3.0))
+    assert image.laplacian(v, "vol").filter("v <> 0").count() == 0
 
 
-def test_ssim_of_itself_is_one(spark):
-    v = views.voxels(spark)
-    assert image.ssim(v, v, 4, 23.0).agg(F.min("ssim")).first()[0] == pytest.approx(1)
+def test_ssim_of_itself_is_one(spark, sf_dir):
+    v = views.voxels(spark, sf_dir)
+    assert image.ssim(v, v, 4, 23.0, "vol").agg(F.min("ssim")).first()[0] == pytest.approx(1)
 
 
 def test_contrast_and_variance_of_all_pixels(spark, monkeypatch):
