@@ -14,10 +14,10 @@ from .events import order_features
 from .sampling import split
 
 
-def order_data(scored: DataFrame, e0: float, held_share: float = 0.25) -> tuple[DataFrame, list[str]]:
-    """Features, label and ``held`` (whether the row's view is held out), and the features' names."""
+def order_data(scored: DataFrame, e0: float, held_share: float = 0.25, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Features, label, columns to ``keep`` and ``held`` (whether the row's view is held out), and the features' names."""
     named = order_features(scored, e0)
-    data = scored.select("view", F.col("front_first"), F.col("correct").cast("double").alias("by_score"), *[c.alias(n) for n, c in named])
+    data = scored.select(*(keep or []), "view", F.col("front_first"), F.col("correct").cast("double").alias("by_score"), *[c.alias(n) for n, c in named])
     return split(data, "view", held_share).withColumn("label", F.col("front_first").cast("double")), [n for n, _ in named]
 
 

@@ -171,3 +171,26 @@ def standardised(df: DataFrame, names: list[str]) -> DataFrame:
 def collated(each: DataFrame, value: str, *keys: str) -> DataFrame:
     """Repeats, mean and sample deviation of a metric by method."""
     return each.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("deviation"))
+
+
+def count_maps(events: DataFrame, value: str, *keys: str) -> DataFrame:
+    """keys and counts, a map of each value to its number of rows; values are few (categories). Rows without a value count as "none"."""
+    n = events.groupBy(*keys, F.coalesce(F.col(value).cast("string"), F.lit("none")).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+    return n.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("__k", "__n")))).alias("counts"))
+
+
+def added_maps(maps: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Maps of numbers added up key by key, within ``keys``; what a map doesn't have counts as 0. Entries are added before maps are made, so no group holds more than its values."""
+    n = maps.select(*keys, F.explode(name).alias("__k", "__n")).groupBy(*keys, "__k").agg(F.sum("__n").alias("__n"))
+    return n.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("__k", "__n")))).alias(name))
+
+
+def map_difference(a: str, b: str) -> Column:
+    """Map a less map b, key by key."""
+    return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0)))
+
+
+def map_shares(name: str) -> Column:
+    """A map of counts as shares of their sum."""
+    total = F.aggregate(F.map_values(name), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.transform_values(name, lambda _, x: x / total)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,7 @@ def kernel(e1: Column, e0: float, beta: Column, theta: Column, sigma: Column) ->
 CELLS = 1 << 20
 
 
-def rows(located_events: DataFrame, pixels: DataFrame, matrix: DataFrame, e0: float, resolution: float, support: float, extra: float = 0.0, source_leg: bool = False) -> DataFrame:
+def rows(located_events: DataFrame, pixels: DataFrame, matrix: DataFrame, e0: float, resolution: float, support: float, extra: float = 0.0, source_leg: bool = False, generate: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """event_id, cp1, t (an array over the pixels) and the effective support 1 / sum t^2 of the events that pass it; rows whose sum isn't positive and finite go.
 
     Each event meets its first hit's matrix row (bin_id, h) once. Its row of
@@ -63,8 +64,15 @@ def rows(located_events: DataFrame, pixels: DataFrame, matrix: DataFrame, e0: fl
     the product of events and pixels is never shuffled. The pixels' centres, of
     the size of the grid, go along. The steps are those of the column functions
     above (``energy_sigma``, ``position_sigma``, ``kernel``).
+
+    generate: a hook on the kernels before they meet the matrix, each over its
+    largest number, as images (events, side, side) of a square grid; other grids,
+    as coarse ones are, are refused.
     """
     grid = np.array([tuple(r) for r in pixels.orderBy("pixel_id").select("x", "y", "z").collect()], float)  # a row a pixel
+    side = math.isqrt(len(grid))
+    if generate is not None and side * side != len(grid):
+        raise ValueError("generated kernels need a square grid")
     names = ("x1", "y1", "z1", "x2", "y2", "z2", "e1", "rear1", "rear2")
     met = located_events.join(matrix.select(F.col("bin_id").cast("int").alias("cp1"), "h"), "cp1").select("event_id", "cp1", *[F.col(n).cast("double").alias(n) for n in names], "h")
 
@@ -75,7 +83,10 @@ def rows(located_events: DataFrame, pixels: DataFrame, matrix: DataFrame, e0: fl
                 b = whole.slice(a, step)
                 column = {n: b.column(n).to_numpy(zero_copy_only=False) for n in names}
                 h = b.column("h").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), -1)
-                t = _kernels(column, grid, e0, resolution, extra, source_leg) * h
+                t = _kernels(column, grid, e0, resolution, extra, source_leg)
+                if generate is not None:
+                    t = np.asarray(generate((t / t.max(axis=1, keepdims=True)).reshape(len(t), side, side)), float).reshape(len(t), -1)
+                t = t * h
                 total = t.sum(axis=1)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     t = t / total[:, None]

@@ -125,3 +125,28 @@ def contrast(df: DataFrame, value: Column, roi: Column, background: Column, true
     )
     gain = ratio(F.col("roi_mean"), F.col("background_mean")) - 1
     return out.select("*", (gain / (true_ratio - 1)).alias("crc"), ratio(F.col("roi_mean") - F.col("background_mean"), F.col("background_std")).alias("cnr"))
+
+
+#: Bits of a sketch's index, and the standard error of its count.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def cubed(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Values by all subsets of the keys, with ``level``: a bit for each key, the first key's the highest, that is 1 where the key is left out."""
+    return df.cube(*keys).agg(*[c.alias(n) for n, c in values.items()], F.grouping_id(*keys).alias("level"))
+
+
+def grouped_sets(df: DataFrame, sets: list[list[str]], keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Values by the given sets of keys in one pass, with ``level`` as in ``cubed``."""
+    return df.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(*[c.alias(n) for n, c in values.items()], F.grouping_id(*keys).alias("level"))
+
+
+def sketched(df: DataFrame, columns: list[str], *keys: str) -> DataFrame:
+    """A sketch of each column's distinct values by keys: a few KB however many rows there are, and mergeable, so that new files only add theirs."""
+    return df.groupBy(*keys).agg(*[F.hll_sketch_agg(c, SKETCH_BITS).alias(c) for c in columns])
+
+
+def merged_sketches(sketches: DataFrame, columns: list[str], *keys: str) -> DataFrame:
+    """Counts of distinct values from sketches, merged by fewer keys."""
+    return sketches.groupBy(*keys).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])

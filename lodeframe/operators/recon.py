@@ -242,7 +242,7 @@ def views_sensitivity(turns: np.ndarray, measured: DataFrame | None = None, even
 
 def by_subset(df: DataFrame, subset: Column, name: str) -> list[DataFrame]:
     """The subsets 0, 1, .. of a table, written once in folders of their own, so that an update reads its subset alone."""
-    table = written(df.withColumn("subset", subset.cast("int")), name, "subset")
+    table = written(df.withColumn("subset", subset.cast("int")).repartition("subset", F.spark_partition_id() % 8), name, "subset")  # some files a subset, not one of each task
     held = sorted(r["subset"] for r in table.select("subset").distinct().collect())  # a row a subset
     return [table.filter(F.col("subset") == k) for k in range(held[-1] + 1)] if held else []
 

@@ -25,7 +25,7 @@ def query(sql: str | None = None, whole: bool = False):
 
 
 def _load() -> None:
-    from . import event_queries, geometry_queries, grid_queries, image_queries, recon_queries, response_queries, simulation_queries, variance_queries  # noqa: F401
+    from . import event_queries, geometry_queries, grid_queries, image_queries, recon_queries, response_queries, simulation_queries, study_queries, variance_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,8 +8,9 @@ from dataclasses import dataclass, fields, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import recon
+from ..operators import kernel, recon
 
 #: A hook on an image on its square grid, as a denoiser: shape (ny, nx) in and out.
 Hook = Callable[[np.ndarray], np.ndarray]
@@ -51,22 +52,34 @@ def parsed(words: list[str] | None = None) -> Run:
     return Run(**vars(p.parse_args(words))).checked()
 
 
-def reconstruct(measured: DataFrame, run: Run, denoise: Hook | None = None, generate: Callable | None = None) -> list[tuple[int, np.ndarray]]:
-    """Saved images (iteration, image) of MLEM over ``measured`` (bin_id, h, y). ``denoise`` works on the square image after each update; ``generate``, a hook on event kernels, isn't for sparse rows."""
+def reconstruct(measured: DataFrame | None, run: Run, denoise: Hook | None = None, events: DataFrame | None = None, turns: np.ndarray | None = None) -> list[tuple[int, np.ndarray]]:
+    """Saved images (iteration, image) of a run with all its options: ordered subsets over all views of bins (bin_id, h, y: an array over the views, or one number for one view), of events (event_id, view from 0, t), or of both with the run's alpha.
+
+    turns (views, pixels): view v sees image[turns[v]]; without it no view is
+    turned. ``denoise`` works on the square image after each update.
+    """
     run = run.checked()
-    if generate is not None and run.sparse:
-        raise ValueError("kernels of sparse rows can't be generated")
     pixels = run.nx * run.ny
-    s, image, out = recon.sensitivity(measured, pixels), np.ones(pixels), []
-    measured = measured.persist()
-    for k in range(1, run.iterations + 1):
-        image = recon.UPDATES["safe"](image, recon.back(measured, image), s)
-        if denoise is not None:
-            image = np.asarray(denoise(image.reshape(run.ny, run.nx)), float).reshape(-1)
-        if k % (run.iterations // run.saves) == 0:
-            out.append((k, image.copy()))
-    measured.unpersist()
-    return out
+    turns = np.tile(np.arange(pixels), (run.views, 1)) if turns is None else np.asarray(turns)
+    if turns.shape != (run.views, pixels):
+        raise ValueError(f"turns must have {run.views} views of {pixels} pixels")
+    if measured is None and events is None:
+        raise ValueError("nothing to reconstruct from")
+    if measured is not None and measured.schema["y"].dataType.typeName() != "array":
+        measured = measured.withColumn("y", F.array(*[F.col("y")] * run.views))
+    part = lambda id_col: F.pmod(F.xxhash64(id_col), F.lit(run.subsets))
+    bins = None if measured is None else recon.by_subset(measured, part("bin_id"), "bins")
+    lists = None if events is None else recon.by_subset(events, part("event_id"), "events")
+    s = recon.views_sensitivity(turns, measured, events, run.alpha)
+    square = None if denoise is None else (lambda image: np.asarray(denoise(image.reshape(run.ny, run.nx)), float).reshape(-1))
+    return recon.ordered(turns, s, run.iterations, bins, lists, run.alpha, save_every=run.iterations // run.saves, denoise=square)[1]
+
+
+def event_rows(located_events: DataFrame, pixels: DataFrame, matrix: DataFrame, run: Run, e0: float, resolution: float, support: float, generate: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Event rows of a run (see ``kernel.rows``); kernels of sparse rows and coarse grids can't be generated."""
+    if generate is not None and (run.checked().sparse or run.stride > 1):
+        raise ValueError("kernels of sparse rows can't be generated")
+    return kernel.rows(located_events, pixels, matrix, e0, resolution, support, generate=generate)
 
 
 def experiment(base: Run, changes: Iterable[dict], one: Callable[[Run], dict]) -> list[dict]:

@@ -135,7 +135,9 @@ def test_runs_and_hooks(spark):
     saved = runs.reconstruct(df, run, lambda image: seen.append(image.shape) or np.full_like(image, image.mean()))
     assert [k for k, _ in saved] == [2, 4] and seen == [(2, 2)] * 4 and np.ptp(saved[-1][1]) == 0
     with pytest.raises(ValueError):
-        runs.reconstruct(df, runs.Run(nx=2, ny=2, sparse=True), generate=lambda k: k)
+        runs.event_rows(df, df, df, runs.Run(nx=2, ny=2, sparse=True), 0.5, 0.1, 1.0, generate=lambda k: k)
+    with pytest.raises(ValueError):
+        runs.reconstruct(None, run)
     told = runs.experiment(run, [{"iterations": 4}, {"iterations": 5}], lambda r: {"n": r.iterations})
     assert told[0]["n"] == 4 and told[1]["error"]
 
