@@ -6,7 +6,9 @@ Where a seed occurs in a document, the words around it, if enough of them are
 words of the item for a score of ``MIN_SCORE``, are aligned with the item by
 Smith-Waterman on words (match 2, mismatch -1, gap -1), and the best score is
 divided by that of a perfect copy, so edited and paraphrased copies are found and
-measured, too. Pairs from ``MIN_SCORE`` on are contaminated.
+measured, too. Pairs from ``MIN_SCORE`` on are contaminated. Every pair with such a
+score that shares three words in a row with its item is found, with its full score;
+one that shares no three, as where every third word is another, isn't.
 
 A rare seed is joined with all its items. For a seed of over ``HOT`` items, as in
 a preamble that many share, the rare words decide, without loss: a score of s
@@ -160,16 +162,22 @@ def joined(b: Batch, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         lo = hi
 
 
-def windows(b: Batch, items: Items, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, item, from, to): stretches of words around the seeds' occurrences, one for each run of occurrences on nearby diagonals."""
+def windows(b: Batch, items: Items, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray, min_score: float = MIN_SCORE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, item, from, to): stretches of words around the seeds' occurrences, one for each run of occurrences on nearby diagonals.
+
+    An alignment that scores ``min_score`` has at most so many gaps that its points
+    are worth more than they cost; by so many diagonals it can leave a seed's. No
+    stretch is cut where a gap of that size may lie, nor at its ends.
+    """
     order = np.lexsort((diagonal, item, doc))
     doc, item, diagonal = doc[order], item[order], diagonal[order]
     size = np.diff(items.first)[item]
+    reach = np.floor(MATCH * size * (1 - min_score) / -GAP + 1e-9).astype(np.int64)
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 2)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > reach[1:])
     i = np.flatnonzero(new)
     last = np.append(i[1:], len(doc)) - 1 if len(i) else i
-    slack = size[i] // 4 + 2
+    slack = reach[i]
     lo = np.maximum(b.first[doc[i]], diagonal[i] - slack)
     hi = np.minimum(b.first[doc[i] + 1], diagonal[last] + size[i] + slack)
     return doc[i], item[i], lo, hi
@@ -257,7 +265,7 @@ def matches(batch: Batch, own: Items, min_score: float) -> pd.DataFrame:
     """doc, item, score, begin and end (words) of a batch's pairs."""
     parts = []
     for found in joined(batch, own):
-        doc, item, lo, hi = windows(batch, own, *found)
+        doc, item, lo, hi = windows(batch, own, *found, min_score)
         keep = reachable(batch, own, item, lo, hi, min_score)
         doc, item, lo, hi = doc[keep], item[keep], lo[keep], hi[keep]
         score, begin, end = align(batch.words, lo, hi, own, item)

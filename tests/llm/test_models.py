@@ -307,7 +307,8 @@ def test_tables_and_blocks():
 
 def test_resampling():
     x = np.array([0, 100, -100, 7], np.int16)
-    assert media.resample(x, 8000, 16000).tolist() == [0, 50, 100, 0, -100, -47, 7, 7]
+    up = media.resample(x, 8000, 16000)
+    assert up[::2].tolist() == x.tolist() and len(up) == 8
     assert media.resample(x, 8000, 8000).tolist() == x.tolist() and len(media.resample(x, 8000, 6000)) == 3
 
 
@@ -320,7 +321,7 @@ def test_media_digest(docs, null_docs, no_docs, texts):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         file = media.wave(payload)
         assert (r["media_bytes"], r["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest()) and media.unwave(file) == ("mulaw", 8000, payload)
-        pcm = media.resample(media.MULAW[np.frombuffer(payload, np.uint8)], 8000, 4000).astype(int)
+        pcm = media.resample(media.MULAW[np.frombuffer(payload, np.uint8)], 8000, media.STORED_RATE).astype(int)
         mu, al = (x[np.frombuffer(payload, np.uint8)].astype(int) for x in (media.MULAW, media.ALAW))
         ad = [x for k in range(0, len(payload), 64) for x in plain_adpcm(payload[k : k + 64])]
         law = [f"{n}={sum(map(abs, x.tolist())) // len(x)}/{sum((p < 0) != (q < 0) for p, q in zip(x[:-1].tolist(), x[1:].tolist(), strict=True))}" for n, x in (("mulaw", mu), ("alaw", al))]
@@ -341,3 +342,57 @@ def test_store_and_expand(spark):
     assert got["pcm"] == media.adpcm_blocks(blocks).astype("<i2").tobytes()
     odd = spark.createDataFrame([(1, b"not a file"), (2, None)], "doc_id long, media binary")
     assert [r["pcm"] for r in media.expand(odd).collect()] == [None, None]
+
+
+@pytest.mark.parametrize(("rate", "to"), [(8000, 16000), (8000, 4000), (8000, 11025), (44100, 8000)])
+def test_resampling_equals_a_plain_windowed_sinc(rate, to):
+    rng = np.random.default_rng(rate + to)
+    x = rng.integers(-20000, 20000, 300).astype(np.int16)
+    low = min(1.0, to / rate)
+    reach = int(np.ceil(media.REACH / low))
+    want = []
+    for i in range(len(x) * to // rate):
+        left, part = i * rate // to, i * rate % to / to
+        near = range(left + 1 - reach, left + reach + 1)
+        w = [low * np.sinc(low * (j - left - part)) * np.cos(np.pi * np.clip((j - left - part) / reach, -1, 1) / 2) ** 2 for j in near]
+        want.append(sum(a * float(x[min(max(j, 0), 299)]) for a, j in zip(w, near, strict=True)) / sum(w))
+    assert np.abs(media.resample(x, rate, to) - np.array(want)).max() <= 0.51
+    t = np.arange(4000) / rate
+    loud = lambda hertz: np.abs(media.resample((10000 * np.sin(2 * np.pi * hertz * t)).astype(np.int16), rate, to)[100:-100].astype(float)).max()
+    assert loud(500) > 9000
+    if to < rate:
+        assert loud(0.45 * rate) < 600  # what the new rate can't hold is gone, not folded down
+
+
+def plain_score(text, item):
+    h = np.zeros((len(item) + 1, len(text) + 1), int)
+    for i in range(1, len(item) + 1):
+        for j in range(1, len(text) + 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if item[i - 1] == text[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    return h.max() / (2 * len(item))
+
+
+def test_pairs_equal_all_alignments_insertions_included():
+    rng = np.random.default_rng(12)
+    items, texts = [], []
+    for k in range(80):
+        n = int(rng.integers(12, 45))
+        item = [f"i{k}w{x}" for x in range(n)]
+        edited = item.copy()
+        for i in rng.integers(0, n, int(rng.integers(0, n // 6 + 1))):
+            edited[i] = f"e{rng.integers(10**6)}"
+        for _ in range(int(rng.integers(1, 3))):  # long insertions
+            at, gap = int(rng.integers(1, len(edited))), int(rng.integers(0, n))
+            edited[at:at] = [f"g{rng.integers(10**6)}" for _ in range(gap)]
+        items.append(" ".join(item))
+        texts.append(" ".join([f"b{x}" for x in range(int(rng.integers(0, 60)))] + edited + [f"c{x}" for x in range(30)]))
+    got = decontaminate.matches(decontaminate.Batch(pa.array(texts)), decontaminate.Items([[k] for k in range(80)], items), 0.5)
+    score = {(int(r.doc), int(r.item)): r.score for r in got.itertuples()}
+    want = {}
+    for k in range(80):
+        text, item = texts[k].split(), items[k].split()
+        triples = {tuple(item[i : i + 3]) for i in range(len(item) - 2)}
+        s = plain_score(text, item)
+        if s >= 0.5 and any(tuple(text[i : i + 3]) in triples for i in range(len(text) - 2)):
+            want[k, k] = s
+    assert len(want) > 40 and score == pytest.approx(want)
