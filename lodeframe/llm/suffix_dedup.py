@@ -6,6 +6,10 @@ with the smallest hash (the first of equal ones). Suffixes that share ``width``
 bytes have the same anchor, and neighbours mostly do too, so a run of neighbours
 with one anchor goes to its bucket as one string of bytes. Anchors are counted
 first, and runs whose anchor occurs once in all documents stay where they are.
+A bucket with over ``HEAVY`` bytes, as a phrase that many documents hold makes, is
+split by a second anchor of more bytes, and so on (``levels``); the last has all
+``width`` bytes, so its buckets hold one string each. Suffixes that share
+``width`` bytes have equal anchors of all sizes, so they meet all the same.
 
 Each task sorts its buckets one after another, some ``BUCKET`` bytes at a time,
 by the bytes themselves. Of a bucket's text, the places whose number modulo v is
@@ -15,8 +19,8 @@ Those that still tie are parted by a pivot of their group: for any two places p
 and q some d < v puts both p + d and q + d in the sample, so two ranks settle
 which is smaller, however long the tie. Neighbours in that order are compared
 byte by byte, and those that share ``width`` bytes repeat. Equal strings of a
-bucket are sorted once. Memory is that of one bucket: its different strings and a
-few numbers for each run.
+bucket are sorted once. Memory is that of one bucket: its different strings, of
+``HEAVY`` bytes at most, and a few numbers for each run.
 
 Matches never cross documents. A byte goes if a string of ``width`` bytes covers
 it that also starts anywhere else, its own document included.
@@ -29,7 +33,7 @@ long enough; null ids are kept; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,8 @@ COVERS = {91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81), 21: (0, 1, 4, 14, 16)}
 GRAM, NARROW = 24, 8
 #: Bytes of runs that are sorted at once.
 BUCKET = 6 << 20
+#: Bytes of a bucket's runs from which on it is split by longer anchors.
+HEAVY = 6 << 20
 #: Places whose anchors are found at once.
 BLOCK = 1 << 16
 
@@ -68,24 +74,72 @@ def meeting(v: int) -> np.ndarray:
     return (at[(i[None] - i[:, None]) % v] - i[:, None]) % v
 
 
+def levels(width: int) -> list[int]:
+    """Bytes of the anchors by which buckets are split, one level after another."""
+    first = GRAM if width >= 4 * GRAM else NARROW
+    return sorted({first, *(x for x in (width * 12 // 25 // 8 * 8, width * 19 // 25 // 8 * 8) if x > first), width})
+
+
 def _grams(eight: np.ndarray, at: np.ndarray | slice, gram: int) -> np.ndarray:
-    """Hashes of the ``gram`` bytes from each of the places ``at`` on."""
+    """Hashes of the ``gram`` bytes, 8 or more, from each of the places ``at`` on."""
     h = U(0)
-    for k in range(gram // 8):
-        there = slice(at.start + 8 * k, at.stop + 8 * k) if isinstance(at, slice) else at + 8 * k
+    for k, by in enumerate([*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]):
+        there = slice(at.start + by, at.stop + by) if isinstance(at, slice) else at + by
         h = h + mix(eight[there] + U((k + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1))
     return mix(h)
 
 
-def runs(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, key): runs of neighbouring suffixes with one anchor, from place ``first`` to ``last``, and the anchor's hash."""
-    gram = GRAM if width >= 4 * GRAM else NARROW
-    n, span = len(buf) - width + 1, width - gram + 1
+def _held(sorted_keys: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted ones."""
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, key), len(sorted_keys) - 1)] == key if len(sorted_keys) else np.zeros(len(key), bool)
+
+
+def runs(buf: np.ndarray, off: np.ndarray, width: int, heavy: Sequence[np.ndarray] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, key, level): runs of neighbouring suffixes with one anchor, from place ``first`` to ``last``, and the anchor's hash. heavy: for each level the sorted keys whose runs the next level splits; a key of that level then stands for all anchors up to it."""
     size = np.diff(off)
     long = size >= width
+    n = len(buf) - width + 1
     if n <= 0 or not long.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    eight, anchor = eights(buf), np.empty(n, np.int32 if len(buf) < 2**31 else np.int64)
+        return *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.int8)
+    step = np.zeros(n + 1, np.int8)
+    step[off[:-1][long]] += 1
+    step[(off[1:] - width + 1)[long]] -= 1
+    good = np.cumsum(step[:n], dtype=np.int8) > 0
+    eight = eights(buf)
+    change = np.ones(n + 1, bool)
+    change[1:n] = ~good[:-1] | ~good[1:]
+    key = level = None
+    for k, gram in enumerate(levels(width)[: 1 + len(heavy)]):
+        if k:  # only in what a heavy key holds
+            split = np.zeros(len(first), bool)
+            split[level == k - 1] = _held(heavy[k - 1], key[level == k - 1])
+            if not split.any():
+                break
+        anchor = _anchors(eight, n, width, gram)
+        if k == 0:
+            change[1:n] |= anchor[1:] != anchor[:-1]
+        else:
+            inside = np.repeat(split, last - first + 1)
+            place = np.repeat(first - np.concatenate([[0], np.cumsum(last - first + 1)[:-1]]), last - first + 1) + np.arange((last - first + 1).sum())
+            place = place[inside]
+            change[place[place > 0]] |= anchor[place[place > 0]] != anchor[place[place > 0] - 1]
+            before, held = (key, level), (first, split)
+        first, last = np.flatnonzero(change[:n] & good), np.flatnonzero(change[1:] & good)
+        if k == 0:
+            key, level = _grams(eight, anchor[first], gram).view(np.int64), np.zeros(len(first), np.int8)
+        else:
+            of = np.searchsorted(held[0], first, side="right") - 1  # the run that it is a part of
+            key, level = before[0][of], before[1][of]
+            new = held[1][of]
+            key[new] = mix((key[new].view(np.uint64) ^ _grams(eight, anchor[first[new]], gram)) + U(k)).view(np.int64)
+            level[new] = k
+    return first, last, key, level
+
+
+def _anchors(eight: np.ndarray, n: int, width: int, gram: int) -> np.ndarray:
+    """The anchor of ``gram`` bytes of each of n suffixes: its place."""
+    span = width - gram + 1
+    anchor = np.empty(n, np.int32 if len(eight) <= 2**31 else np.int64)
     for a in range(0, n, BLOCK):  # in parts that a processor's cache holds
         m = min(BLOCK, n - a)
         k = m + span - 1
@@ -96,14 +150,7 @@ def runs(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.n
         upto = np.minimum.accumulate(low, axis=1).ravel()
         onward = np.minimum.accumulate(low[:, ::-1], axis=1)[:, ::-1].ravel()
         anchor[a : a + m] = (np.minimum(onward[:m], upto[span - 1 : span - 1 + m]) & U(0xFFFFFFFF)).astype(np.int64) + a
-    step = np.zeros(n + 1, np.int8)
-    step[off[:-1][long]] += 1
-    step[(off[1:] - width + 1)[long]] -= 1
-    good = np.cumsum(step[:n], dtype=np.int8) > 0
-    change = np.ones(n + 1, bool)
-    change[1:n] = (anchor[1:] != anchor[:-1]) | ~good[:-1] | ~good[1:]
-    first, last = np.flatnonzero(change[:n] & good), np.flatnonzero(change[1:] & good)
-    return first, last, _grams(eight, anchor[first], gram).view(np.int64)
+    return anchor
 
 
 class Sorter:
@@ -264,19 +311,35 @@ def sort_buckets(batches: Iterator[pa.RecordBatch], width: int, most: int | None
 
 def removed_spans(chunks: DataFrame, width: int) -> DataFrame:
     """chunk and a list of spans of the bytes that go, written."""
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in rows(b):
-                key, times = np.unique(runs(row["payload"], row["off"], width)[2], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"key": key, "chunk": np.full(len(key), row["chunk"]), "times": times})
+    last_level = len(levels(width)) - 1
+
+    def listed(b: pa.RecordBatch, i: int) -> list[np.ndarray]:
+        """A chunk's heavy keys, level by level."""
+        return [np.sort(b.column(f"heavy{k}")[i].values.to_numpy()) if b.column(f"heavy{k}")[i].is_valid else np.zeros(0, np.int64) for k in range(last_level) if f"heavy{k}" in b.schema.names]
+
+    def anchors(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i, row in enumerate(rows(b)):
+                    first, last, key, at = runs(row["payload"], row["off"], width, listed(b, i))
+                    own = at == level
+                    key, which, times = np.unique(key[own], return_inverse=True, return_counts=True)
+                    # Equal strings count once; their ends and lengths tell them apart well enough for a size.
+                    eight, a, z = eights(row["payload"]), first[own], (last + width)[own]
+                    print_ = mix(key[which].view(np.uint64) + mix(eight[a] + U(1)) + mix(eight[z - 8] + U(2)) + (z - a).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+                    one = np.unique(print_, return_index=True)[1]
+                    size = np.bincount(which[one], weights=(z - a)[one], minlength=len(key)).astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({"key": key, "chunk": np.full(len(key), row["chunk"]), "times": times, "size": size})
+
+        return count
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, row in enumerate(rows(b)):
-                first, last, key = runs(row["payload"], row["off"], width)
-                wanted = np.sort(b.column("keys")[i].values.to_numpy())
-                go = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
+                first, last, key, _ = runs(row["payload"], row["off"], width, listed(b, i))
+                go = np.flatnonzero(_held(np.sort(b.column("keys")[i].values.to_numpy()), key))
+                if not len(go):
+                    continue
                 raw = row["payload"].tobytes()
                 data = pa.array([raw[x:y] for x, y in zip(first[go].tolist(), (last[go] + width).tolist(), strict=True)], pa.binary()).dictionary_encode()
                 which = data.indices.to_numpy()
@@ -285,10 +348,21 @@ def removed_spans(chunks: DataFrame, width: int) -> DataFrame:
                 places = np.split(first[go][order].astype("<i4"), head[1:])
                 yield pa.RecordBatch.from_pydict({"key": key[go][order[head]], "chunk": np.full(len(head), row["chunk"]), "places": pa.array([p.tobytes() for p in places], pa.binary()), "data": data.dictionary})
 
-    seen = chunks.select("chunk", "sizes", "payload").mapInArrow(anchors, "key long, chunk long, times long")
-    shared = seen.withColumn("n", F.sum("times").over(Window.partitionBy("key"))).filter("n > 1")
-    wanted = shared.groupBy("chunk").agg(F.collect_list("key").alias("keys"))  # as many as the chunk has runs
-    sent = chunks.join(wanted.hint("shuffle_hash"), "chunk").select("chunk", "sizes", "payload", "keys").mapInArrow(send, "key long, chunk long, places binary, data binary")
+    wanted, source = None, chunks.select("chunk", "sizes", "payload")
+    for level in range(last_level + 1):
+        seen = source.mapInArrow(anchors(level), "key long, chunk long, times long, size long")
+        same = Window.partitionBy("key")
+        shared = seen.select("key", "chunk", F.sum("times").over(same).alias("n"), (F.sum("size").over(same) > HEAVY).alias("heavy") if level < last_level else F.lit(False).alias("heavy")).filter("n > 1")
+        own = shared.groupBy("chunk").agg(F.collect_list(F.when(~F.col("heavy"), F.col("key"))).alias("keys"), F.collect_list(F.when(F.col("heavy"), F.col("key"))).alias(f"heavy{level}"))  # as many as the chunk has runs
+        if wanted is not None:
+            own = wanted.join(own.withColumnRenamed("keys", "more"), "chunk", "left").withColumn("keys", F.concat("keys", F.coalesce("more", F.array().cast("array<long>")))).drop("more")
+        wanted = written(own, "keys")
+        some = wanted.filter(F.size(F.coalesce(f"heavy{level}", F.array().cast("array<long>"))) > 0)
+        if level == last_level or some.isEmpty():
+            break
+        source = chunks.join(some.select("chunk", *[f"heavy{k}" for k in range(level + 1)]).hint("shuffle_hash"), "chunk").select("chunk", "sizes", "payload", *[f"heavy{k}" for k in range(level + 1)])
+    heavies = [c for c in wanted.columns if c.startswith("heavy")]
+    sent = chunks.join(wanted.hint("shuffle_hash"), "chunk").select("chunk", "sizes", "payload", "keys", *heavies).mapInArrow(send, "key long, chunk long, places binary, data binary")
     found = sent.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: sort_buckets(batches, width), "chunk long, spans binary")
     return written(found.groupBy("chunk").agg(F.collect_list("spans").alias("spans")), "spans")
 

@@ -59,6 +59,36 @@ def test_suffixes(docs, null_docs, no_docs, texts, width, monkeypatch):
     assert suffix_dedup.dedup_suffixes(null_docs, width).count() == 3 and suffix_dedup.dedup_suffixes(no_docs, width).count() == 0
 
 
+@pytest.mark.parametrize(("heavy", "width"), [(3000, 200), (0, 200), (0, 45), (20000, 200)])
+def test_heavy_buckets_are_split_by_longer_anchors(spark, monkeypatch, heavy, width):
+    monkeypatch.setattr(exchange, "CHUNK", 3000)
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
+    r = random.Random(3)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    phrase, header = some(70), some(320)
+    texts = {i: some(150) + phrase + some(180) + (header if i % 3 == 0 else "") + some(r.choice((0, 40))) for i in range(60)}
+    texts |= {100 + i: header[:190] + some(100) for i in range(20)} | {200: texts[5], 201: phrase * 9, 202: "x" * 700}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, suffix_dedup.dedup_suffixes(df, width).collect())) == brute_suffix(list(texts.items()), width)
+
+
+def test_split_keys_go_with_the_windows():
+    r = random.Random(8)
+    phrase = "".join(r.choice("pqrs") for _ in range(60))
+    text = "".join("".join(r.choice("abc ") for _ in range(150)) + phrase + "".join(r.choice("abc ") for _ in range(150)) for _ in range(20))
+    text = np.frombuffer((text + text[700:1500]).encode(), np.uint8)
+    off, heavy = np.array([0, 3000, len(text)]), []
+    for k in range(len(suffix_dedup.levels(200))):
+        first, last, key, level = suffix_dedup.runs(text, off, 200, heavy)
+        assert level.max() == k and sum(last - first + 1) == len(text) - 2 * 199
+        own: dict[bytes, int] = {}
+        for a, z, x in zip(first.tolist(), last.tolist(), key.tolist(), strict=True):
+            for p in range(a, z + 1):
+                assert own.setdefault(text[p : p + 200].tobytes(), x) == x
+        heavy.append(np.unique(key[level == k])[::2])  # every second one is split
+    assert len({x for x, k in zip(key, level, strict=True) if k == 3}) == len({text[p : p + 200].tobytes() for a, z, k in zip(first, last, level, strict=True) if k == 3 for p in range(a, z + 1)})
+
+
 def test_suffix_texts_and_limits(spark):
     shared = "é" * 150
     df = spark.createDataFrame([(1, "a" + shared + "b"), (2, "c" + shared + "d")], "doc_id long, text string")
@@ -136,7 +166,7 @@ def test_anchors_are_the_windows_own():
     r = random.Random(4)
     text = "".join(r.choice("abc ") for _ in range(3000)) + "z" * 900
     text = np.frombuffer((text + text[500:1500]).encode(), np.uint8)
-    first, last, key = suffix_dedup.runs(text, np.array([0, len(text)]), 200)
+    first, last, key, _ = suffix_dedup.runs(text, np.array([0, len(text)]), 200)
     assert sum(last - first + 1) == len(text) - 199 and (last - first).max() < 200
     own = {}
     for a, z, k in zip(first.tolist(), last.tolist(), key.tolist(), strict=True):
