@@ -17,8 +17,10 @@ from ..session import prepare
 FRONT_CRYSTAL, REAR_CRYSTAL = (3.0, 3.0, 3.0), (2.0, 6.0, 2.0)
 
 
-def position_variance(rear: Column, axis: int, extra: float = 0.0) -> Column:
-    """Variance of a hit's coordinate in a crystal of its layer: size squared over 12, plus extra squared."""
+def position_variance(rear: Column, axis: int, extra: float = 0.0, layers: int = 4) -> Column:
+    """Variance of a hit's coordinate in a crystal of its layer: size squared over 12, plus extra squared. Crystals' sizes are known of machines with four layers; of others only extra counts."""
+    if layers != 4:
+        return F.lit(max(extra, 0.0) ** 2)
     return F.when(rear, REAR_CRYSTAL[axis] ** 2 / 12).otherwise(FRONT_CRYSTAL[axis] ** 2 / 12) + extra * extra
 
 
@@ -56,7 +58,7 @@ def kernel(e1: Column, e0: float, beta: Column, theta: Column, sigma: Column) ->
 CELLS = 1 << 20
 
 
-def rows(located_events: DataFrame, pixels: DataFrame, matrix: DataFrame, e0: float, resolution: float, support: float, extra: float = 0.0, source_leg: bool = False, generate: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def rows(located_events: DataFrame, pixels: DataFrame, matrix: DataFrame, e0: float, resolution: float, support: float, extra: float = 0.0, source_leg: bool = False, layers: int = 4, generate: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """event_id, cp1, t (an array over the pixels) and the effective support 1 / sum t^2 of the events that pass it; rows whose sum isn't positive and finite go.
 
     Each event meets its first hit's matrix row (bin_id, h) once. Its row of
@@ -83,7 +85,7 @@ def rows(located_events: DataFrame, pixels: DataFrame, matrix: DataFrame, e0: fl
                 b = whole.slice(a, step)
                 column = {n: b.column(n).to_numpy(zero_copy_only=False) for n in names}
                 h = b.column("h").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), -1)
-                t = _kernels(column, grid, e0, resolution, extra, source_leg)
+                t = _kernels(column, grid, e0, resolution, extra, source_leg, layers)
                 if generate is not None:
                     t = np.asarray(generate((t / t.max(axis=1, keepdims=True)).reshape(len(t), side, side)), float).reshape(len(t), -1)
                 t = t * h
@@ -99,7 +101,7 @@ def rows(located_events: DataFrame, pixels: DataFrame, matrix: DataFrame, e0: fl
     return met.mapInArrow(run, f"event_id {met.schema['event_id'].dataType.simpleString()}, cp1 int, t array<double>, support double")
 
 
-def _kernels(c: dict[str, np.ndarray], grid: np.ndarray, e0: float, resolution: float, extra: float, source_leg: bool) -> np.ndarray:
+def _kernels(c: dict[str, np.ndarray], grid: np.ndarray, e0: float, resolution: float, extra: float, source_leg: bool, layers: int = 4) -> np.ndarray:
     """(events, pixels): angle kernels of events' columns."""
     hit1, hit2 = (np.stack([c[f"{axis}{k}"] for axis in "xyz"], axis=1) for k in (1, 2))
     a, b = hit1[:, None] - grid[None], hit2 - hit1
@@ -118,7 +120,7 @@ def _kernels(c: dict[str, np.ndarray], grid: np.ndarray, e0: float, resolution:
     square = np.maximum(1 - cosine * cosine, 1e-12)
     by_place = np.zeros_like(cosine)
     for k in range(3):
-        v1, v2 = (np.where(c[f"rear{i}"] > 0, REAR_CRYSTAL[k] ** 2 / 12, FRONT_CRYSTAL[k] ** 2 / 12)[:, None] + extra * extra for i in (1, 2))
+        v1, v2 = (np.where(c[f"rear{i}"] > 0, REAR_CRYSTAL[k] ** 2 / 12, FRONT_CRYSTAL[k] ** 2 / 12)[:, None] * (layers == 4) + max(extra, 0.0) ** 2 for i in (1, 2))
         across = (ua[:, :, k] - cosine * ub[:, :, k]) / nb
         along = (ub[:, :, k] - cosine * ua[:, :, k]) / na if source_leg else 0.0
         by_place += ((across - along) ** 2 * v1 + across**2 * v2) / square

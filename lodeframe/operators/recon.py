@@ -305,9 +305,3 @@ def summed(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy("pixel_id").agg(F.sum("v").alias("v"))
-
-
-def view_sensitivity(rows: DataFrame, back: DataFrame, least: float = FLOOR) -> DataFrame:
-    """pixel_id and s of event rows (view, t: an array over the pixels): summed by view, turned back by the permutation ``back`` (view, pixel_id, src_pixel_id), and kept at ``least`` or more."""
-    by_view = rows.select("view", F.posexplode("t").alias("src_pixel_id", "t")).groupBy("view", "src_pixel_id").agg(F.sum("t").alias("t"))
-    return back.join(F.broadcast(by_view), ["view", "src_pixel_id"]).groupBy("pixel_id").agg(F.greatest(F.sum("t"), F.lit(least)).alias("s"))  # views times pixels

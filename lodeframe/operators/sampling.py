@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,35 @@ def thin_without_replacement(counts: DataFrame, n: str, keep: Column, order: Col
     return counts.join(chosen.groupBy(*ids).agg(F.count(F.lit(1)).alias("kept")), ids, "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
 
 
+#: Expected units, on the rarer side, from which on a binomial number is a rounded normal one.
+MANY = 2000
+
+
+def binomial(n: Column, p: float, id: Column, salt: int = 0) -> Column:
+    """How many of n units stay with probability p each: the steps of the distribution below one uniform number of the row's id. Of many units a rounded normal number between 0 and n."""
+    rare = min(p, 1 - p)  # the side on which the first probability doesn't vanish
+    u = random.uniform(id, salt)
+    size = F.greatest(n, F.lit(0)).cast("long")
+    few = F.least(size, F.lit(int(MANY / max(rare, 1e-9))))
+    if rare <= 0:
+        return size if p >= 1 else F.lit(0).cast("long")
+    first = F.exp(few * math.log1p(-rare))
+    start = F.struct(F.lit(0).cast("long").alias("k"), first.alias("p"), first.alias("below"))
+
+    def step(s: Column, k: Column) -> Column:
+        q = s["p"] * (few - k + 1) / k * (rare / (1 - rare))
+        return F.struct((s["k"] + (u >= s["below"]).cast("int")).alias("k"), q.alias("p"), (s["below"] + q).alias("below"))
+
+    steps = F.least(few, F.ceil(few * rare + 12 * F.sqrt(few * rare * (1 - rare)) + 12).cast("long"))
+    counted = F.when(few > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(steps, F.lit(1))), start, step, lambda s: s["k"])).otherwise(0)
+    wide = F.greatest(F.lit(0), F.least(size, F.round(size * rare + F.sqrt(size * rare * (1 - rare)) * random.normal(id, salt + 1)).cast("long")))
+    of_rare = F.when(size * rare <= MANY / 3, counted).otherwise(wide)
+    return of_rare if p <= 0.5 else size - of_rare
+
+
 def thin_binomial(counts: DataFrame, n: str, p: float, id: Column) -> DataFrame:
-    """Each unit stays with probability p, by a uniform number of its id."""
-    ids = [c for c in counts.columns if c != n]
-    kept = units(counts, n).filter(random.uniform(id) < p).groupBy(*ids).agg(F.count(F.lit(1)).alias("kept"))
-    return counts.join(kept, ids, "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    """Each unit stays with probability p: a binomial number for each row, from a uniform number of its id. No row is made for a unit."""
+    return counts.withColumn("kept", binomial(F.col(n), p, id))
 
 
 def thin_expected(counts: DataFrame, n: str, wanted: DataFrame, key: str, total: str) -> DataFrame:

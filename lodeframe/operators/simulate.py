@@ -69,7 +69,7 @@ LARGE_MEAN = 64
 
 
 def poisson(mean: Column, id: Column, salt: int = 0) -> Column:
-    """A Poisson number of a row's id: the count of the distribution's steps below a uniform number; from ``LARGE_MEAN`` on a rounded normal number, at least 0. 0 for means of 0 or less."""
+    """A Poisson number of a row's id, in some mean + 12 (deviation + 1) steps: the count of the distribution's steps below a uniform number; from ``LARGE_MEAN`` on a rounded normal number, at least 0. 0 for means of 0 or less."""
     low = F.least(mean, F.lit(float(LARGE_MEAN)))
     u = random.uniform(id, salt)
     start = F.struct(F.lit(0).alias("n"), F.exp(-low).alias("p"), F.exp(-low).alias("below"))
@@ -78,7 +78,7 @@ def poisson(mean: Column, id: Column, salt: int = 0) -> Column:
         p = s["p"] * low / k
         return F.struct((s["n"] + (u >= s["below"]).cast("int")).alias("n"), p.alias("p"), (s["below"] + p).alias("below"))
 
-    few = F.aggregate(F.sequence(F.lit(1), F.lit(3 * LARGE_MEAN)), start, step, lambda s: s["n"]).cast("double")
+    few = F.aggregate(F.sequence(F.lit(1), F.ceil(F.greatest(low, F.lit(0.0)) + 12 * F.sqrt(F.greatest(low, F.lit(0.0))) + 12).cast("int")), start, step, lambda s: s["n"]).cast("double")
     many = F.greatest(F.round(mean + F.sqrt(mean) * random.normal(id, salt + 1)), F.lit(0.0))
     return F.when(mean <= 0, 0.0).when(mean < LARGE_MEAN, few).otherwise(many)
 

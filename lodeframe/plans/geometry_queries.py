@@ -77,10 +77,11 @@ def nearest_layer(spark, sf_dir):
     return rotation.nearest_value(p, "value", views.detectors(spark), "y").select("p_partkey", "nearest")
 
 
-@query("SELECT bin_id, y, least(y, greatest(0, 5 - (cumulative - y)))::BIGINT AS kept FROM (SELECT bin_id, y, bin_id % 10 AS view, sum(y) OVER (PARTITION BY bin_id % 10 ORDER BY bin_id) AS cumulative FROM v_cnt) WHERE y > 0".replace("greatest(0, 5 -", "greatest(0, 40 -"))
+@query(f"SELECT bin_id, y, coalesce(kept, 0)::BIGINT AS kept FROM v_cnt LEFT JOIN (SELECT bin_id, count(*) AS kept FROM (SELECT bin_id, row_number() OVER (PARTITION BY bin_id % 10 ORDER BY {random.sql_uniform('(bin_id * 1000 + unit)', 5)}, bin_id, unit) AS place FROM (SELECT bin_id, unnest(range(1, y::INTEGER + 1)) AS unit FROM v_cnt)) WHERE place <= 40 GROUP BY bin_id) USING (bin_id) WHERE y > 0")
 def thin_without_replacement(spark, sf_dir):
+    """Forty units of each view, in a random order."""
     c = views.counts(spark, sf_dir).withColumn("view", F.col("bin_id") % 10)
-    return sampling.thin_without_replacement(c, "y", F.lit(40), F.col("bin_id"), "view").select("bin_id", "y", "kept")
+    return sampling.thin_without_replacement(c, "y", F.lit(40), random.uniform(F.col("bin_id") * 1000 + F.col("unit"), 5), "view").select("bin_id", "y", "kept")
 
 
 @query("SELECT bin_id, round(y * wanted / own, 6) AS expected FROM (SELECT bin_id, y, bin_id % 10 AS view, sum(y) OVER (PARTITION BY bin_id % 10) AS own FROM v_cnt) JOIN (SELECT view % 10 AS view, count(*)::DOUBLE AS wanted FROM v_event GROUP BY 1) USING (view)")
@@ -90,9 +91,10 @@ def thin_expected(spark, sf_dir):
     return sampling.thin_expected(c, "y", wanted, "view", "wanted").select("bin_id", r6("expected").alias("expected"))
 
 
-@query(f"SELECT bin_id, y, coalesce(kept, 0)::BIGINT AS kept FROM v_cnt LEFT JOIN (SELECT bin_id, count(*) AS kept FROM (SELECT bin_id, unnest(range(1, y::INTEGER + 1)) AS unit FROM v_cnt) WHERE {random.sql_uniform('(bin_id * 1000 + unit)')} < 0.5e0 GROUP BY bin_id) USING (bin_id)")
+@query(f"""WITH u AS (SELECT bin_id, y, {random.sql_uniform('bin_id')} AS u, unnest(range(y::INTEGER)) AS k FROM v_cnt), c AS (SELECT bin_id, u, sum(exp(lgamma(y + 1) - lgamma(k + 1) - lgamma(y - k + 1) + k * ln(0.3e0) + (y - k) * ln(0.7e0))) OVER (PARTITION BY bin_id ORDER BY k) AS below FROM u)
+    SELECT bin_id, y, coalesce(kept, 0)::BIGINT AS kept FROM v_cnt LEFT JOIN (SELECT bin_id, count(*) FILTER (u >= below) AS kept FROM c GROUP BY bin_id) USING (bin_id)""")
 def thin_binomial(spark, sf_dir):
-    return sampling.thin_binomial(views.counts(spark, sf_dir), "y", 0.5, F.col("bin_id") * 1000 + F.col("unit"))
+    return sampling.thin_binomial(views.counts(spark, sf_dir), "y", 0.3, F.col("bin_id"))
 
 
 @query(f"SELECT view, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS ids FROM (SELECT *, count(*) OVER (PARTITION BY view) AS total, row_number() OVER (PARTITION BY view ORDER BY {random.sql_uniform('event_id')}, event_id) AS place FROM v_event) WHERE place <= greatest(1, floor(total * 0.3e0)) GROUP BY view")

@@ -164,8 +164,11 @@ def energy_zip(spark, sf_dir):
 def list_sensitivity_by_view(spark, sf_dir):
     """Sums of event rows by view, each turned back, added up and kept over 0."""
     e = views.events(spark, sf_dir).select("event_id", ((F.col("view") - 1) % views.VIEWS).alias("view"))
-    back = rotation.inverse(rotation.rotation_map(views.pixels(spark), views.VIEWS))
-    return recon.view_sensitivity(list_rows(spark, sf_dir).join(e, "event_id"), back).select("pixel_id", r6("s").alias("s"))
+    turns = np.zeros((views.VIEWS, P), int)
+    for r in rotation.rotation_map(views.pixels(spark), views.VIEWS).collect():  # a machine's views times pixels
+        turns[r["view"], r["pixel_id"]] = r["src_pixel_id"]
+    s = recon.views_sensitivity(turns, events=list_rows(spark, sf_dir).join(e, "event_id"))
+    return recon.image_table(e, np.maximum(s, recon.FLOOR)).select("pixel_id", r6("v").alias("s"))
 
 
 def _triangles() -> list[tuple]:

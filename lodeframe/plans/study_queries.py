@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import classifier, metrics, morphology, network
+from ..functions import energy, random
+from ..operators import classifier, metrics, morphology, network, recon, rotation, simulate
 from ..operators import events as ev
 from ..session import shared_dir
 from ..sources import shards
@@ -116,3 +118,30 @@ def category_maps(spark, sf_dir):
     look = lambda m, k, zero: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(zero))
     text = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
     return parts.select("part", look(F.col("counts"), "same_layer", 0).alias("same_layer"), look(F.col("counts"), "front_rear", 0).alias("front_rear"), r6(look(share, "front_rear", 0.0)).alias("share"), F.size("counts").cast("long").alias("categories"), text.alias("all_"))
+
+
+@query(eq._scored_sql("SELECT event_id, round(1 / (1 + exp(-least(greatest(log_ratio, -60), 60))), 6) AS p FROM scored"))
+def order_score_probability(spark, sf_dir):
+    """The probability that the front hit came first, by the scores' log ratio."""
+    return eq.scored(spark, sf_dir).select("event_id", r6(energy.sigmoid(F.col("log_ratio"))).alias("p"))
+
+
+@query(f"WITH {eq._LOC} SELECT event_id, {', '.join(f'round(CASE WHEN e1 + e2 > 0 THEN (e1 * {c}1 + e2 * {c}2) / (e1 + e2) END, 6) AS {c}' for c in 'xyz')} FROM loc")
+def energy_weighted_positions(spark, sf_dir):
+    """Where each event's energy lies between its hits."""
+    e = eq.located(spark, sf_dir, False)
+    return e.select("event_id", *[r6(simulate.weighted_position(F.col("e1"), F.col("e2"), F.col(f"{c}1"), F.col(f"{c}2"))).alias(c) for c in "xyz"])
+
+
+@query(f"""WITH img AS (SELECT pixel_id, avg(v) AS v FROM v_img GROUP BY pixel_id), rot AS (SELECT view::INTEGER AS view, pixel_id, (base + (view * n // 8 + theta_id) % n)::INTEGER AS src FROM v_pix, range(8) t(view)),
+    seen AS (SELECT view, rot.pixel_id, v FROM rot JOIN img ON src = img.pixel_id), f AS (SELECT bin_id, view, sum(h * v) AS y FROM v_sysmat JOIN seen USING (pixel_id) GROUP BY ALL)
+    SELECT bin_id, view, round(greatest(round(y + sqrt(y) * {random.sql_normal('(bin_id * 8 + view)')}), 0), 6) AS counts FROM f""")
+def noisy_view_projections(spark, sf_dir):
+    """The mean image turned to all views, projected and made noisy: the counts of a simulated run."""
+    mean = views.images(spark, sf_dir).groupBy("pixel_id").agg(F.avg("v").alias("v"))
+    turned = rotation.rotate(mean, rotation.rotation_map(views.pixels(spark), views.VIEWS))
+    images = np.zeros((views.PIXELS, views.VIEWS))
+    for r in turned.collect():  # a machine's views times pixels
+        images[r["pixel_id"], r["view"]] = r["v"]
+    y = recon.through(views.matrix(spark, sf_dir), images).select("bin_id", F.posexplode("h").alias("view", "y"))
+    return y.select("bin_id", "view", r6(simulate.noisy(F.col("y"), F.col("bin_id") * 8 + F.col("view"))).alias("counts"))

@@ -51,39 +51,40 @@ def cross_sections(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("line_no", *[part(k, n) for k, n in enumerate(("energy", "incoherent", "photo", "total"))]).dropna()
 
 
-def float_matrix(spark: SparkSession, path: str, pixels: int, scale: float = 1.0) -> DataFrame:
-    """bin_id (from 0) and h of a raw float32 matrix with bins running first; the number of bins comes from the file's length. Persist it as Parquet once: a raw file is one task."""
+def _length(spark: SparkSession, path: str) -> int:
+    """Bytes of a file; its content isn't read."""
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first()["n"] or 0
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                if len(data) % (4 * pixels):
-                    raise ValueError(f"{len(data)} bytes don't hold rows of {pixels} pixels")
-                m = np.frombuffer(data, "<f4").reshape(pixels, -1).T.astype(float) * scale
-                for a in range(0, len(m), 1024):
-                    part = m[a : a + 1024]
-                    offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * pixels)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part))), pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(part).ravel()))], ["bin_id", "h"])
 
-    prepare(spark)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "bin_id long, h array<double>")
+def float_matrix(spark: SparkSession, path: str, pixels: int, scale: float = 1.0) -> DataFrame:
+    """bin_id (from 0) and h of a raw float32 matrix with bins running first; the number of bins comes from the file's length. Tasks read ranges of the file (see ``matrix_slice``)."""
+    size = _length(spark, path)
+    if size % (4 * pixels):
+        raise ValueError(f"{size} bytes don't hold rows of {pixels} pixels")
+    bins = size // (4 * pixels)
+    return matrix_slice(spark, path, pixels, bins, 0, bins, scale) if bins else spark.createDataFrame([], "bin_id long, h array<double>")
 
 
 def float_tensor(spark: SparkSession, path: str, shape: tuple[int, ...], kind: str = "<f4", order: str = "F") -> DataFrame:
-    """i0, i1, .. (from 0) and v of a raw tensor of a fixed shape; another number of elements is an error."""
-    names = [f"i{k}" for k in range(len(shape))]
+    """i0, i1, .. (from 0) and v of a raw tensor of a fixed shape; another number of elements is an error. Tasks read slabs of the file, one for each place on the axis that runs last."""
+    names, size = [f"i{k}" for k in range(len(shape))], _length(spark, path)
+    if size != np.prod(shape) * np.dtype(kind).itemsize:
+        raise ValueError(f"{size} bytes, not {shape} of {kind}")
+    slab = int(size // (shape[-1] if order == "F" else shape[0]))
+    rest = shape[:-1] if order == "F" else shape[1:]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
+            for data, last in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 v = np.frombuffer(data, kind)
-                if v.size != np.prod(shape):
-                    raise ValueError(f"{v.size} elements, not {shape}")
-                at = np.unravel_index(np.arange(v.size), shape, order=order)
-                yield pa.RecordBatch.from_pydict({n: a.astype(np.int32) for n, a in zip(names, at, strict=True)} | {"v": v.astype(float)})
+                at = [x.astype(np.int32) for x in np.unravel_index(np.arange(v.size), rest, order=order)] if rest else []
+                own = np.full(v.size, last, np.int32)
+                at = [*at, own] if order == "F" else [own, *at]
+                yield pa.RecordBatch.from_pydict(dict(zip(names, at, strict=True)) | {"v": v.astype(float)})
 
     prepare(spark)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, ", ".join(f"{n} int" for n in names) + ", v double")
+    records = spark.sparkContext.binaryRecords(path, slab).zipWithIndex().map(lambda x: (x[0], int(x[1])))
+    return spark.createDataFrame(records, "data binary, last long").mapInArrow(parse, ", ".join(f"{n} int" for n in names) + ", v double")
 
 
 def counts_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -111,3 +111,24 @@ def kept_or_built(spark: SparkSession, path: str, rows: Callable[[], DataFrame],
     """The manifest of finished shards with at most these rows a chunk, which are made only if there are none (or if ``force``)."""
     told = None if force else manifest(spark, path)
     return told if told is not None else write(rows(), path, chunk_rows)
+
+
+def dealt(rows: list[int], parts: int) -> list[int]:
+    """The part of each chunk, in order: a part ends with the chunk that gives it its share of all rows, as long as each later part can still have a chunk."""
+    out, part, held, share = [], 0, 0, sum(rows) / parts
+    for i, n in enumerate(rows):
+        out.append(part)
+        held += n
+        if part + 1 < parts and held >= share and len(rows) - i - 1 >= parts - part - 1:
+            part, held = part + 1, 0
+    return out
+
+
+def packed_plan(told: DataFrame, parts: int) -> DataFrame:
+    """energy, view, subset, chunk and part: the manifest's shards that have rows, dealt in order to parts of about equal rows within each energy and view. A manifest has a row a shard."""
+    groups: dict[tuple, list] = {}
+    for r in told.filter("rows > 0").orderBy(*SHARD).collect():
+        groups.setdefault((r["energy"], r["view"]), []).append(r)
+    plan = [(*[r[k] for k in SHARD], p) for held in groups.values() for r, p in zip(held, dealt([r["rows"] for r in held], parts), strict=True)]
+    kinds = ", ".join(f"{k} {told.schema[k].dataType.simpleString()}" for k in SHARD)
+    return told.sparkSession.createDataFrame(plan, f"{kinds}, part int")

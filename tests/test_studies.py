@@ -271,3 +271,54 @@ def test_maps_and_sketches(spark):
     many = spark.range(40000).select((F.col("id") % 9).alias("file"), (F.col("id") % 15000).alias("v"))
     got = metrics.merged_sketches(metrics.sketched(many, ["v"], "file"), ["v"]).first()["v"]
     assert abs(got - 15000) <= 5 * metrics.SKETCH_ERROR * 15000
+
+
+def test_chunks_are_dealt_to_parts(spark):
+    assert shards.dealt([5, 5, 5, 5], 2) == [0, 0, 1, 1]
+    assert shards.dealt([90, 1, 1], 3) == [0, 1, 1]
+    assert shards.dealt([1, 1, 90, 1], 3) == [0, 0, 0, 1]
+    told = spark.createDataFrame([(1, v, 0, c, 10 * (c > 0), 5) for v in (1, 2) for c in range(5)], "energy int, view int, subset int, chunk int, rows int, chunks int")
+    plan = shards.packed_plan(told, 2).collect()
+    assert sorted((r["view"], r["chunk"], r["part"]) for r in plan) == [(v, c, int(c > 2)) for v in (1, 2) for c in range(1, 5)]
+
+
+def test_binomial_numbers_follow_their_distribution(spark):
+    from lodeframe.operators import sampling
+
+    for n, p in ((0, 0.5), (1, 0.3), (37, 0.3), (37, 0.9), (5000, 0.01), (10**7, 0.4), (12, 0.0), (12, 1.0)):
+        k = sampling.binomial(F.lit(n), p, F.col("id"), 3)
+        got = spark.range(4000).select(k.alias("k")).agg(F.avg("k").alias("m"), F.var_pop("k").alias("v"), F.min("k").alias("lo"), F.max("k").alias("hi")).first()
+        spread = n * p * (1 - p)
+        assert got["m"] == pytest.approx(n * p, abs=5 * (spread / 4000) ** 0.5 + 1e-9) and got["v"] == pytest.approx(spread, rel=0.2, abs=1e-9)
+        assert 0 <= got["lo"] <= got["hi"] <= n
+
+
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from lodeframe.streaming import events as stream
+
+    path, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    rows = lambda days: spark.range(0, 48 * days).select(F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 30 * id)").alias("ts"), F.lit("a").alias("event_type"), F.lit(1.0).alias("value"))
+    rows(10).write.parquet(path)
+    first = stream.hourly_counts(spark, path, folder=folder).collect()
+    assert len(first) == 240 and {r["n"] for r in first} == {2}
+    late = rows(12).filter("ts >= '2024-01-10 12:00'")
+    late.write.mode("append").parquet(path)
+    again = {r["hour"].day * 24 + r["hour"].hour: r["n"] for r in stream.hourly_counts(spark, path, folder=folder).collect()}
+    assert len(again) == 288 and sum(again.values()) == 480 + late.count()  # open windows took the new rows, and no old row counts twice
+
+
+def test_small_helpers(spark, tmp_path):
+    from lodeframe.operators import response
+    from lodeframe.sources import readers
+
+    assert response.shown_iterations(1000, 50) == [50, 100, 500, 1000]
+    (tmp_path / "a.mhd").write_text("NDims = 3\nElementDataFile = a.raw = b\n\nnothing\n")
+    assert {(r["key"], r["value"]) for r in readers.headers(spark, str(tmp_path / "a.mhd")).collect()} == {("NDims", "3"), ("ElementDataFile", "a.raw = b")}
+    one = spark.range(1).select(*[kernel.position_variance(F.lit(rear), 1, 0.5, layers).alias(f"v{rear}{layers}") for rear in (False, True) for layers in (3, 4)]).first()
+    assert list(one) == pytest.approx([0.25, 9 / 12 + 0.25, 0.25, 36 / 12 + 0.25])
+
+
+def test_rows_of_other_machines_have_no_crystal_sizes(spark, sf_dir):
+    located = event_queries.located(spark, sf_dir).limit(10)
+    rows = [kernel.rows(located, views.pixels(spark), views.matrix(spark, sf_dir), views.E0, event_queries.RES, 1.0, layers=n).select("event_id", "t").collect() for n in (3, 4)]
+    assert any(a["t"] != b["t"] for a, b in zip(*rows, strict=False))
