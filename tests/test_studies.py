@@ -276,7 +276,7 @@ def test_maps_and_sketches(spark):
 def test_chunks_are_dealt_to_parts(spark):
     assert shards.dealt([5, 5, 5, 5], 2) == [0, 0, 1, 1]
     assert shards.dealt([90, 1, 1], 3) == [0, 1, 1]
-    assert shards.dealt([1, 1, 90, 1], 3) == [0, 0, 0, 1]
+    assert shards.dealt([1, 1, 90, 1], 3) == [0, 0, 0, 0]
     told = spark.createDataFrame([(1, v, 0, c, 10 * (c > 0), 5) for v in (1, 2) for c in range(5)], "energy int, view int, subset int, chunk int, rows int, chunks int")
     plan = shards.packed_plan(told, 2).collect()
     assert sorted((r["view"], r["chunk"], r["part"]) for r in plan) == [(v, c, int(c > 2)) for v in (1, 2) for c in range(1, 5)]
