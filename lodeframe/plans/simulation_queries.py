@@ -118,6 +118,17 @@ def macro_parse(spark, sf_dir):
     return macros.parse(macros.text(df)).select("file", "n", "weight", "shape", "x", "y", "z", r6("radius").alias("radius"))
 
 
+@query("""SELECT vol, view::INTEGER AS view, row_number() OVER (PARTITION BY vol, view ORDER BY iz, iy, ix)::INTEGER AS n, CASE WHEN row_number() OVER (PARTITION BY vol, view ORDER BY iz, iy, ix) = 1 THEN 1 ELSE round(v / max(v) OVER (PARTITION BY vol, view), 8) END AS weight,
+    round(((ix - 3.5e0) * 4) * cos(radians(-90.0e0 * view)) - ((iy - 3.5e0) * 4) * sin(radians(-90.0e0 * view)) + 1.5e0, 3) + 0.0e0 AS x, round(((ix - 3.5e0) * 4) * sin(radians(-90.0e0 * view)) + ((iy - 3.5e0) * 4) * cos(radians(-90.0e0 * view)) - 2.5e0, 3) + 0.0e0 AS y, (iz - 3.5e0) * 5 AS z, 2.5e0 AS halfz
+    FROM v_vox, range(4) t(view) WHERE v > 18""")
+def turned_macros(spark, sf_dir):
+    """Bright voxels of every volume as sources of four turned runs, written as macro text and parsed again."""
+    v = views.voxels(spark, sf_dir).filter("v > 18")
+    sources = macros.turned(macros.voxel_sources(v, (8, 8, 8), (4.0, 4.0, 5.0), "vol"), 4, (1.5, -2.5))
+    back = macros.parsed(macros.run_text(sources, 511, 1000, "vol", "view"), "vol", "view")
+    return back.select("vol", "view", "n", F.round("weight", 8).alias("weight"), *[(F.round(c, 3) + 0.0).alias(c) for c in "xy"], "z", "halfz")
+
+
 @query("SELECT bin::INTEGER AS bin, count(*)::BIGINT AS n, round(count(*) / (sum(count(*)) OVER () * 0.0511e0), 6)::DOUBLE AS density FROM (SELECT least(floor(e1 / 0.0511e0), 9) AS bin FROM v_event WHERE e1 >= 0) GROUP BY bin")
 def histogram_density(spark, sf_dir):
     from pyspark.sql import Window

@@ -25,7 +25,7 @@ def event_row_shards(spark, sf_dir):
     e = views.events(spark, sf_dir).select("event_id", "view")
     rows = recon_queries.list_rows(spark, sf_dir).join(e, "event_id").select("event_id", (F.col("event_id") % 3).alias("energy"), "view", (F.col("event_id") % 4).alias("subset"), "t")
     path = shared_dir(spark, "shards")
-    told = shards.kept_or_built(spark, path, lambda: rows, chunk_rows=40)
+    told = shards.kept_or_built(spark, path, lambda: rows, chunk_rows=1000)
     plan = told.select("energy", "view", "subset").distinct()
     moment = F.aggregate(F.transform("t", lambda t, i: t * i), F.lit(0.0), lambda a, x: a + x)
     back = shards.read(spark, path, plan).groupBy("energy", "view", "subset").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(moment), 4).alias("moment"))

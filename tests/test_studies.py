@@ -322,3 +322,23 @@ def test_rows_of_other_machines_have_no_crystal_sizes(spark, sf_dir):
     located = event_queries.located(spark, sf_dir).limit(10)
     rows = [kernel.rows(located, views.pixels(spark), views.matrix(spark, sf_dir), views.E0, event_queries.RES, 1.0, layers=n).select("event_id", "t").collect() for n in (3, 4)]
     assert any(a["t"] != b["t"] for a, b in zip(*rows, strict=False))
+
+
+def test_macros_of_turned_phantoms(spark, tmp_path):
+    from lodeframe.sources import macros
+
+    rods = macros.contrast_rods(spark, [37.0, 28.0, 22.0], 240.0, 60.0, 4.0)
+    lines = macros.run_text(macros.turned(rods, 6, (1.0, 2.0)), 511, 77, "view")
+    one = [r["line"] for r in lines.filter("view = 1").orderBy("line_no").collect()]
+    assert one[0] == "/gps/particle gamma" and one[-1] == "/run/beamOn 77" and sum(x.startswith("/gps/source/add") for x in one) == 3
+    assert "/gps/pos/radius 120.0000 mm" in one and "/gps/pos/halfz 30.0000 mm" in one and not any("halfx" in x for x in one)
+    back = {(r["view"], r["n"]): r for r in macros.parsed(lines, "view").collect()}
+    assert len(back) == 24
+    for (view, n), r in back.items():
+        angle = 2 * np.pi * (n - 2) / 3 - 2 * np.pi * view / 6
+        want = (1.0, 2.0) if n == 1 else (60 * np.cos(angle) + 1, 60 * np.sin(angle) + 2)
+        assert (r["x"], r["y"]) == pytest.approx(want, abs=1e-4) and r["weight"] == pytest.approx(1.0 if n == 1 else 3 * (37, 28, 22)[n - 2] ** 2 / 240**2, abs=1e-8)
+    macros.write(lines, str(tmp_path / "m"), "view")
+    assert [x for f in sorted((tmp_path / "m" / "view=1").glob("part-*")) for x in f.read_text().splitlines()] == one
+    spheres = macros.parsed(macros.run_text(macros.point_array(spark, (2, 3, 2), (10.0, 4.0, 6.0), 1.5).withColumn("view", F.lit(0)), 140, 5, "view"), "view").collect()
+    assert sorted((r["x"], r["y"], r["z"]) for r in spheres) == [(x, y, z) for x in (-5.0, 5.0) for y in (-4.0, 0.0, 4.0) for z in (-3.0, 3.0)] and {r["radius"] for r in spheres} == {1.5}
