@@ -46,9 +46,9 @@ def segment_cells(segments: DataFrame, cell: float) -> DataFrame:
     middles = F.zip_with(F.slice(F.col("__cuts"), 1, F.size("__cuts") - 1), F.slice(F.col("__cuts"), 2, F.size("__cuts") - 1), lambda a, b: (a + b) / 2)
     place = lambda t: F.struct(*[F.floor((F.col(f"s{a}") + t * (F.col(f"e{a}") - F.col(f"s{a}"))) / cell).cast("long").alias(f"c{a}") for a in AXES])
     out = segments.withColumn("__cuts", cuts).withColumn("__cells", F.transform(middles, place)).drop("__cuts")
-    out = out.select("*", F.posexplode("__cells").alias("__at", "__cell"))
-    before = F.when(F.col("__at") > 0, F.get("__cells", F.col("__at") - 1))
-    return out.select(*segments.columns, *[F.col(f"__cell.c{a}").alias(f"c{a}") for a in AXES], *[before[f"c{a}"].alias(f"before_{a}") for a in AXES])
+    earlier = F.concat(F.array(F.lit(None)), F.slice("__cells", 1, F.size("__cells") - 1))
+    out = out.select(*segments.columns, F.explode(F.zip_with("__cells", earlier, lambda cell, before: F.struct(cell.alias("cell"), before.alias("before")))).alias("__at"))
+    return out.select(*segments.columns, *[F.col(f"__at.cell.c{a}").alias(f"c{a}") for a in AXES], *[F.col(f"__at.before.c{a}").alias(f"before_{a}") for a in AXES])
 
 
 def met_boxes(segments: DataFrame, boxes: DataFrame, cell: float, how: str = "inner") -> DataFrame:
