@@ -71,13 +71,15 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def parsed(lines: DataFrame, *run: str) -> DataFrame:
-    """``run``, n, weight (1 where a run's first source has none), shape, x, y, z and all sizes of each source of a run's lines."""
+    """``run``, n, weight (1 for a first source without one), shape, x, y, z and all sizes of each source of a run's lines."""
     w = Window.partitionBy(*run).orderBy("line_no")
     command = F.regexp_extract("line", r"^/gps/([a-z/A-Z]+)\s+(.*)$", 1)
     value = F.regexp_extract("line", r"^/gps/([a-z/A-Z]+)\s+(.*)$", 2)
     rows = lines.filter(F.col("line").startswith(PREFIX)).select(*run, "line_no", command.alias("c"), value.alias("v"))
     adds = F.sum((F.col("c") == "source/add").cast("int")).over(w)
-    bare = F.min(F.when(F.col("c") != "source/add", F.col("line_no"))).over(Window.partitionBy(*run)) < F.coalesce(F.min(F.when(F.col("c") == "source/add", F.col("line_no"))).over(Window.partitionBy(*run)), F.lit(1 << 60))
+    own = Window.partitionBy(*run)
+    begun = lambda c: F.coalesce(F.min(F.when(c, F.col("line_no"))).over(own), F.lit(1 << 60))
+    bare = begun(F.col("c") == "pos/shape") < begun(F.col("c") == "source/add")  # a run's first source may have no weight
     rows = rows.withColumn("n", (adds + bare.cast("int")).cast("int")).filter("n > 0")
     get = lambda c: F.max(F.when(F.col("c") == c, F.col("v")))
     got = rows.groupBy(*run, "n").agg(get("source/add").alias("weight"), get("pos/shape").alias("shape"), F.split(get("pos/centre"), r"\s+").alias("p"), *[get(f"pos/{c}").alias(c) for c in ALL_SIZES])
