@@ -45,12 +45,12 @@ RAW = frozenset("script style template noscript iframe svg math object canvas au
 BAD_ELEMENTS = frozenset("nav aside footer form menu dialog select button datalist search".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form note status".split())
 BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert alerts popup modal overlay"
-    " newsletter subscribe subscription signup login signin menu menus nav navbar navigation breadcrumb breadcrumbs sidebar aside widget widgets rail footer header masthead topbar toolbar pagination pager comment comments"
-    " commentlist disqus respond reply replies discussion share sharing social related recommended recommendations trending teaser outbrain taboola search searchbox hidden copyright disclaimer legal skip".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert alerts popup modal overlay"
+    " newsletter subscribe subscription signup login signin menu menus nav navbar navigation breadcrumb breadcrumbs side sidebar sidebars aside asides widget widgets rail footer header masthead topbar toolbar pagination pager comment comments"
+    " commentlist disqus respond reply replies discussion share sharing social related recommended recommendations trending outbrain taboola search searchbox hidden copyright disclaimer legal skip".split()
 )
-#: Before or beside a bad word in one class name, these say that it's about the whole page, or that the header is the article's own.
-PAGE_WORDS, OWN_WORDS = frozenset("with has no without left right is page layout".split()), frozenset("article entry post story headline title content".split())
+#: Before or beside a bad word in one class name, these say that it's about what else the page has, or that the header is the article's own.
+PAGE_WORDS, OWN_WORDS = frozenset("with has no without".split()), frozenset("article entry post story headline title content".split())
 
 #: Those by which an inline element says so.
 INLINE_WORDS = frozenset("ad ads advert advertisement sponsored promo share social hidden cookie".split())

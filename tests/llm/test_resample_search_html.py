@@ -146,6 +146,7 @@ PAGES = {
     "form and notice in the article": (f"<article><p>{PROSE}</p><div role='alert'>{PROSE}</div><form><p>{PROSE}</p><input></form><div class='cookieNotice'>{PROSE}</div><header class='entry-header'>Own head</header></article>", f"{PROSE}\nOwn head"),
     "hidden, line break, list": (f"<article><ul><li>One<br>two<li hidden>gone<li>three</ul><p style='display: none'>{PROSE}</p><p>{PROSE}</p></article>", f"One two\nthree\n{PROSE}"),
     "inline advert": (f"<article><p>{PROSE} <span class=ad>Buy!</span> End.</p></article>", f"{PROSE} End."),
+    "whole class names": (f"<body><div class='left-sidebar'><p>{PROSE}</p></div><div class='page-header'>Site</div><div class='content has-sidebar no-comments'><p>{PROSE}</p><p>More.</p></div><div class='page-footer'><p>{PROSE}</p></div></body>", f"{PROSE}\nMore."),
     "nothing": ("<html><head><title>x</title></head><body><nav>menu</nav></body></html>", ""),
     "head without an end": (f"<head><title>x</title><meta a><p>{PROSE}</p>", PROSE),
 }
