@@ -29,8 +29,8 @@ from .job import documents, tune, written
 from .textops import arrow_bytes
 
 RATE = 8000
-#: Samples a second of the PCM that is stored for documents: all that the containers hold.
-STORED_RATE = RATE
+#: Samples a second of the PCM that is stored for documents: the containers' samples and one between each two.
+STORED_RATE = 2 * RATE
 #: Samples on each side of a place that resampling reads, where the rate doesn't fall.
 REACH = 16
 #: How hard the two stored tables are compressed.
@@ -89,16 +89,25 @@ def adpcm_blocks(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
+#: Resampling weights are whole numbers of this many bits after the point, so that every machine gets the same samples.
+WEIGHT_BITS = 30
+
+
 @lru_cache(64)
 def sinc_weights(rate: int, to: int) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, weights): for each phase of the new rate the weights of the samples around a place, a windowed sinc that ends at the lower rate's half and adds up to 1."""
+    """(offsets, weights): for each phase of the new rate the weights of the samples around a place, a windowed sinc that ends at the lower rate's half and adds up to 1, in units of ``WEIGHT_BITS``."""
     low = min(1.0, to / rate)
     reach = math.ceil(REACH / low)
     offsets = np.arange(1 - reach, reach + 1)
     phase = np.arange(to // math.gcd(rate, to)) * rate % to / to
     x = offsets[None] - phase[:, None]
     w = low * np.sinc(low * x) * np.cos(np.pi * np.clip(x / reach, -1, 1) / 2) ** 2
-    return offsets, w / w.sum(axis=1, keepdims=True)
+    return offsets, np.rint(w / w.sum(axis=1, keepdims=True) * (1 << WEIGHT_BITS)).astype(np.int64)
+
+
+def _sample(total: np.ndarray) -> np.ndarray:
+    """16-bit samples of weighted sums."""
+    return np.clip(total + (1 << WEIGHT_BITS - 1) >> WEIGHT_BITS, -32768, 32767).astype(np.int16)
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
@@ -106,15 +115,37 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     if rate == to or not len(pcm):
         return pcm
     n, (offsets, weights) = len(pcm) * to // rate, sinc_weights(rate, to)
-    x, out = pcm.astype(float), np.empty(n, np.int16)
+    x, out = pcm.astype(np.int64), np.empty(n, np.int16)
+    if to % rate == 0:  # each phase is one filter, and the first one keeps the samples
+        near = np.pad(x, (-offsets[0], offsets[-1]), "edge")
+        out[:: len(weights)] = pcm
+        for p in range(1, len(weights)):
+            out[p :: len(weights)] = _sample(np.correlate(near, weights[p], "valid"))
+        return out
     step = max(1, (1 << 20) // len(offsets))
     for a in range(0, n, step):
         at = np.arange(a, min(a + step, n), dtype=np.int64)
         near = np.clip((at * rate // to)[:, None] + offsets, 0, len(x) - 1)
-        out[a : a + step] = np.clip(np.rint((x[near] * weights[at % len(weights)]).sum(axis=1)), -32768, 32767)
+        out[a : a + step] = _sample((x[near] * weights[at % len(weights)]).sum(axis=1))
     return out
 
 
+def packed(pcm: np.ndarray, rate: int, to: int) -> tuple[bytes, bytes | None]:
+    """PCM without loss, as it comes from ``rate``: the samples at the old places, and what all samples differ by from those resampled (null if by nothing). Where the new rate isn't a multiple, all samples are kept."""
+    kept = pcm[:: to // rate] if to % rate == 0 else pcm
+    rest = pcm - resample(kept, rate, to) if len(kept) < len(pcm) else np.zeros(0, np.int16)
+    return kept.astype("<i2").tobytes(), rest.astype("<i2").tobytes() if rest.any() else None
+
+
+def unpacked(kept: bytes, rest: bytes | None, rate: int, to: int) -> np.ndarray:
+    """The PCM that was packed."""
+    pcm = np.frombuffer(kept, "<i2").astype(np.int16)
+    if to % rate:
+        return pcm
+    pcm = resample(pcm, rate, to)
+    return pcm if rest is None else pcm + np.frombuffer(rest, "<i2").astype(np.int16)
+
+
 def wave(payload: bytes, codec: str = "mulaw", rate: int = RATE) -> bytes:
     """A WAVE file around coded bytes, which stay as they are."""
     bits, align = (4, BLOCK) if codec == "adpcm" else (8, 1)
@@ -220,13 +251,14 @@ def text_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def digest(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and pcm of an expanded table (doc_id, n_bytes, media, pcm): the payloads are read back from the stored files."""
+def digest(media: DataFrame, to_rate: int = STORED_RATE) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm and rest of an expanded table (doc_id, n_bytes, media, pcm): the payloads are read back from the stored files, and the PCM at ``to_rate`` is packed."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             files = b.column("media").to_pylist()
             payloads = [unwave(x)[2] for x in files]
+            pcm = [packed(np.frombuffer(x, "<i2").astype(np.int16), RATE, to_rate) for x in b.column("pcm").to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": b.column("doc_id").cast(pa.int64()),
@@ -237,26 +269,28 @@ def digest(media: DataFrame) -> DataFrame:
                     "media_bytes": [len(x) for x in files],
                     "media_sha256": [hashlib.sha256(x).hexdigest() for x in files],
                     "feature": features(payloads),
-                    "pcm": b.column("pcm"),
+                    "pcm": pa.array([k for k, _ in pcm], pa.binary()),
+                    "rest": pa.array([r for _, r in pcm], pa.binary()),
                 }
             )
 
-    return media.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(read, _DIGEST + ", pcm binary")
+    return media.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(read, _DIGEST + ", pcm binary, rest binary")
 
 
-def heard(stored: DataFrame) -> DataFrame:
-    """A digest whose ``pcm`` column gives way to its feature, read from what is stored."""
+def heard(stored: DataFrame, to_rate: int = STORED_RATE) -> DataFrame:
+    """A digest whose PCM gives way to its feature, read from what is stored and unpacked to ``to_rate``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [f"{f};{pcm_feature(x)}" for f, x in zip(b.column("feature").to_pylist(), b.column("pcm").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({n: own if n == "feature" else b.column(n) for n in b.schema.names if n != "pcm"})
+            rows = zip(*[b.column(c).to_pylist() for c in ("feature", "pcm", "rest")], strict=True)
+            own = [f"{f};{pcm_feature(unpacked(k, r, RATE, to_rate).astype('<i2').tobytes())}" for f, k, r in rows]
+            yield pa.RecordBatch.from_pydict({n: own if n == "feature" else b.column(n) for n in b.schema.names if n not in ("pcm", "rest")})
 
     return stored.mapInArrow(read, _DIGEST)
 
 
 def document_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to_rate: int = STORED_RATE) -> DataFrame:
-    """Texts stored as mu-law WAVE files in a table of the shared folder; these are read back, described and expanded, their resampled PCM is stored in a second table, and its feature is read back from there."""
+    """Texts stored as mu-law WAVE files in a table of the shared folder; these are read back, described and expanded, their resampled PCM is stored without loss in a second table, and its feature is read back from there."""
     tune(docs.sparkSession)
     stored = written(store(text_payloads(docs, id_col, text_col), "payload").drop("payload"), "media", **PACKED)
-    return heard(written(digest(expand(stored, to_rate=to_rate)), "pcm", **PACKED))
+    return heard(written(digest(expand(stored, to_rate=to_rate), to_rate), "pcm", **PACKED), to_rate)

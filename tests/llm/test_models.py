@@ -331,6 +331,26 @@ def test_media_digest(docs, null_docs, no_docs, texts):
     assert media.document_audio(null_docs).count() == 3 and media.document_audio(no_docs).count() == 0
 
 
+def test_stored_pcm_is_resampled_and_whole(docs, texts):
+    """The feature is that of 16 kHz PCM, whose samples between the old ones come from the filter; packing loses nothing, whatever lies between them."""
+    assert media.STORED_RATE == 16000
+    got = {r["doc_id"]: r["feature"] for r in media.document_audio(docs).collect()}
+    for i in (1, 7, 10, 14):
+        raw = (texts[i] or "").encode()
+        flat = media.MULAW[np.frombuffer(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0"), np.uint8)]
+        x = np.pad(flat.astype(float), 16, "edge")
+        w = np.array([np.sinc(k - 0.5) * np.cos(np.pi * (k - 0.5) / 32) ** 2 for k in range(-15, 17)])
+        want = np.empty(2 * len(flat))
+        want[::2], want[1::2] = flat, [(w * x[k + 1 : k + 33]).sum() / w.sum() for k in range(len(flat))]
+        up = media.resample(flat, 8000, 16000)
+        assert np.abs(up - np.clip(want, -32768, 32767)).max() <= 0.51
+        assert got[i].endswith(media.pcm_feature(up.astype("<i2").tobytes())) and not got[i].endswith(media.pcm_feature(flat.astype("<i2").tobytes()))
+    pcm = np.random.default_rng(3).integers(-32768, 32768, 500).astype(np.int16)
+    for x, to in ((pcm, 16000), (media.resample(pcm, 8000, 16000), 16000), (pcm, 8000), (pcm, 11025), (pcm[:0], 16000)):
+        assert media.unpacked(*media.packed(x, 8000, to), 8000, to).tolist() == x.tolist()
+    assert media.packed(media.resample(pcm, 8000, 16000), 8000, 16000) == (pcm.astype("<i2").tobytes(), None)
+
+
 def test_store_and_expand(spark):
     rows = [(1, bytes(range(256))), (2, b""), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, payload binary")
