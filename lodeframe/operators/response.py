@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -138,6 +139,14 @@ def response(voxels: DataFrame, first: DataFrame, second: DataFrame, boxes: Data
     return out.select("voxel", "first", "second", F.posexplode("w").alias("e1_bin", "w"))
 
 
+def by_place(sources: DataFrame, place: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``sources`` with what ``work`` makes of their places: it gets each distinct place once and keeps its columns, so what sources share isn't worked out anew for each."""
+    made = work(sources.select(*place).distinct())
+    made = made.withColumnsRenamed({c: f"__{c}" for c in place})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in place]
+    return sources.join(made, same).drop(*[f"__{c}" for c in place])
+
+
 def centre_mass(deposit: Column, e0: float, resolution: float, lo: float, hi: float) -> Column:
     """Mass of a bin of deposits, by the blurred deposit's density at its middle; without blur, whether the deposit lies in it."""
     middle, width = (lo + hi) / 2, hi - lo

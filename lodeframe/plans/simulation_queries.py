@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import energy, geometry, random
-from ..operators import metrics, simulate
+from ..operators import metrics, response, simulate
 from ..sources import macros
 from . import views
 from .catalogue import query
@@ -93,14 +93,19 @@ def top_k_response(spark, sf_dir):
     f, b = name(d.filter("layer < 4"), "f"), name(d.filter("layer = 4"), "b")
     cells = f.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(spark.range(5).select(F.col("id").cast("int").alias("bin"))))  # a machine's detectors and bins
     source = views.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), ((F.col("s_suppkey") % 9 - 4) * 4.0).alias("px"), F.lit(0.0).alias("py"), ((F.col("s_suppkey") % 7 - 3) * 4.0).alias("pz"))
-    met = source.crossJoin(F.broadcast(cells))
-    leg, pf, pb = geometry.minus(geometry.point("f"), geometry.point("p")), geometry.point("f"), geometry.point("b")
-    area = 9.0 * F.col("fy") / (4 * 3.141592653589793 * F.pow(geometry.dot(leg, leg), F.lit(1.5)))
-    weight = area * F.exp(-0.0325 * geometry.norm(geometry.minus(pf, pb)) / 10) * F.exp(-0.5 * F.pow((0.05 + 0.06 * F.col("bin") - 0.2) / 0.05, F.lit(2)))
-    flat = geometry.flat_index(F.col("fdet_id").cast("long") - 1, F.col("bdet_id") - 1, F.col("bin"), (64, 64, 5), "F").alias("flat_index")
-    every = met.select("source", flat, F.col("fdet_id").alias("front"), F.col("bdet_id").alias("rear"), "bin", weight.alias("weight"))
-    place = Window.partitionBy("source").orderBy(F.desc(F.round("weight", 12)), "flat_index")
-    return every.withColumn("rank", F.row_number().over(place)).filter("rank <= 5").withColumn("weight", F.round("weight", 9))
+    place = ["px", "py", "pz"]
+
+    def largest(places):
+        met = places.crossJoin(F.broadcast(cells))
+        leg, pf, pb = geometry.minus(geometry.point("f"), geometry.point("p")), geometry.point("f"), geometry.point("b")
+        area = 9.0 * F.col("fy") / (4 * 3.141592653589793 * F.pow(geometry.dot(leg, leg), F.lit(1.5)))
+        weight = area * F.exp(-0.0325 * geometry.norm(geometry.minus(pf, pb)) / 10) * F.exp(-0.5 * F.pow((0.05 + 0.06 * F.col("bin") - 0.2) / 0.05, F.lit(2)))
+        flat = geometry.flat_index(F.col("fdet_id").cast("long") - 1, F.col("bdet_id") - 1, F.col("bin"), (64, 64, 5), "F").alias("flat_index")
+        every = met.select(*place, flat, F.col("fdet_id").alias("front"), F.col("bdet_id").alias("rear"), "bin", weight.alias("weight"))
+        rank = F.row_number().over(Window.partitionBy(*place).orderBy(F.desc(F.round("weight", 12)), "flat_index"))
+        return every.withColumn("rank", rank).filter("rank <= 5").withColumn("weight", F.round("weight", 9))
+
+    return response.by_place(source, place, largest).drop(*place)
 
 
 _SOURCES = "SELECT p_brand || '.mac' AS file, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey))::INTEGER AS n, p_retailprice AS weight, CASE WHEN p_size % 2 = 0 THEN 'Cylinder' ELSE 'Sphere' END AS shape, p_size * 0.5e0 AS x, -1.0e0 * p_size AS y, (p_partkey % 13)::DOUBLE AS z, p_size / 4.0e0 AS radius FROM part"

@@ -256,3 +256,34 @@ def test_response_of_cells(spark):
     first = 16 / (4 * np.pi * 100**2) * (1 - np.exp(-0.6)) * 0.5
     second = 2.0 / response.density_norm(0.511) * 16 / 100**2 * np.exp(-0.3) * (1 - np.exp(-0.8))  # straight on: no deposit, half of the first crystal on the way
     assert [r["w"] for r in got] == [pytest.approx(first * second), 0.0]
+
+
+def test_places_are_worked_on_once(spark):
+    """What hangs on a place alone is made once for it, and comes to all sources there, those without a place too."""
+    sources = spark.createDataFrame([(i, None if i % 5 == 4 else float(i % 5), 0.5 * (i % 2)) for i in range(40)], "id int, x double, y double")
+    seen = []
+
+    def work(places):
+        seen.append(places.count())
+        return places.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("w", F.coalesce("x", F.lit(-1.0)) * 10 + F.col("y") + F.col("k"))
+
+    got = response.by_place(sources, ["x", "y"], work)
+    assert seen == [10] and got.columns == ["id", "x", "y", "k", "w"]
+    want = {(i, k, (-1.0 if i % 5 == 4 else i % 5) * 10 + 0.5 * (i % 2) + k) for i in range(40) for k in (1, 2)}
+    assert got.count() == 80 and {(r["id"], r["k"], r["w"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["top_k_response"])
+def test_responses_are_made_by_place(name, spark, sf_dir, tmp_path):
+    """Sources at one place have the same response, and no more places are made than there are."""
+    from lodeframe.plans import catalogue
+
+    twice = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey < 3")
+    period = 9 * 7 * 11
+    twice.unionByName(twice.withColumn("s_suppkey", F.col("s_suppkey") + period)).write.parquet(f"{tmp_path}/supplier.parquet")
+    out = catalogue.queries()[name](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    key = "source" if name == "top_k_response" else "voxel"
+    assert f"Aggregate [{'px' if key == 'source' else 'x'}#" in plan  # distinct places
+    first, again = (sorted(tuple(v for c, v in r.asDict().items() if c != key) for r in out.filter(c).collect()) for c in (f"{key} < {period}", f"{key} >= {period}"))
+    assert first and first == again
