@@ -128,12 +128,16 @@ def response_tensor(spark, sf_dir):
     key = F.col("s_suppkey")
     c, voxel = crystals(spark), views.read(spark, sf_dir, "supplier").select(key.alias("voxel"), ((key % 9 - 4) * 4.0).alias("x"), ((key % 11 - 5) * 2.0).alias("y"), ((key % 7 - 3) * 4.0).alias("z"))
     front, rear = (rs.integration_cells(c.filter(f), 1, 2, 1) for f in ("layer < 4", "layer = 4"))
-    out = None
-    for ahead, one, two in ((True, front, rear), (False, rear, front)):
-        w = rs.response(voxel, one, two, c, sections(spark), views.E0, [0.05 * i for i in range(1, 8)], eq.RES)
-        w = w.groupBy("voxel", "first", "e1_bin").agg(F.round(1e9 * F.sum("w"), 5).alias("w")).withColumn("front_first", F.lit(ahead))
-        out = w if out is None else out.unionByName(w)
-    return out
+
+    def sums(places):
+        out, voxel = None, places.select(F.struct("x", "y", "z").alias("voxel"), "x", "y", "z")
+        for ahead, one, two in ((True, front, rear), (False, rear, front)):
+            w = rs.response(voxel, one, two, c, sections(spark), views.E0, [0.05 * i for i in range(1, 8)], eq.RES)
+            w = w.groupBy("voxel", "first", "e1_bin").agg(F.round(1e9 * F.sum("w"), 5).alias("w")).withColumn("front_first", F.lit(ahead))
+            out = w if out is None else out.unionByName(w)
+        return out.select("voxel.*", "first", "e1_bin", "w", "front_first")
+
+    return rs.by_place(voxel, ["x", "y", "z"], sums).drop("x", "y", "z")
 
 
 @query("SELECT count(h)::BIGINT AS finite, count(*) FILTER (h = 0)::BIGINT AS zeros, round(min(h), 6) AS min, round(max(h), 6) AS max, round(avg(h), 6) AS mean, round(sum(h), 4) AS sum FROM v_sysmat")

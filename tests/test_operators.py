@@ -273,7 +273,7 @@ def test_places_are_worked_on_once(spark):
     assert got.count() == 80 and {(r["id"], r["k"], r["w"]) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("name", ["top_k_response"])
+@pytest.mark.parametrize("name", ["top_k_response", "response_tensor"])
 def test_responses_are_made_by_place(name, spark, sf_dir, tmp_path):
     """Sources at one place have the same response, and no more places are made than there are."""
     from lodeframe.plans import catalogue
