@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +44,12 @@ def runs(df: DataFrame, value: Column, order: list[str], tolerance: float, *keys
     return df.withColumn("__new", new).withColumn("run", F.sum("__new").over(w).cast("int")).drop("__new")
 
 
-def nearest(df: DataFrame, distance: Column, k: int, tie: str, *keys: str) -> DataFrame:
-    """The k rows of each key with the smallest distance."""
-    w = Window.partitionBy(*keys).orderBy(distance, tie)
-    return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+def nearest(df: DataFrame, dimension: DataFrame, distance: Callable[[Column], Column], k: int, tie: str, role: str) -> DataFrame:
+    """``df`` with role, place (from 1), the tie's value and d2 of the k entries of each role of a small dimension that are nearest, equal ones by the tie. distance: of an entry, as a struct of the dimension's columns. The dimension goes along as an array a role, so a row is worked on by itself: nothing is shuffled, and only its own entries are sorted."""
+    entries = dimension.groupBy(role).agg(F.collect_list(F.struct(*[c for c in dimension.columns if c != role])).alias("__all"))
+    best = F.slice(F.sort_array(F.transform("__all", lambda d: F.struct(distance(d).alias("d2"), d[tie].alias(tie)))), 1, k)
+    met = df.crossJoin(F.broadcast(entries))  # a row a role
+    return met.select(*df.columns, role, F.posexplode(best).alias("place", "__best")).select(*df.columns, role, (F.col("place") + 1).alias("place"), f"__best.{tie}", "__best.d2")
 
 
 def nearest_value(df: DataFrame, value: str, dimension: DataFrame, entry: str) -> DataFrame:

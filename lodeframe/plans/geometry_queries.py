@@ -66,9 +66,8 @@ def nearest_detectors(spark, sf_dir):
     """The two nearest detectors of each role to each part's place."""
     d = views.detectors(spark).filter("y > 0").withColumn("role", F.when(F.col("layer") == 4, "rear").otherwise("front"))
     p = views.read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 25.0).alias("px"), (F.col("p_partkey") % 31).alias("pz"))
-    met = p.crossJoin(F.broadcast(d))  # a machine's detectors
-    d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("z") - F.col("pz")) * (F.col("z") - F.col("pz"))
-    return rotation.nearest(met.withColumn("d2", d2), F.col("d2"), 2, "det_id", "p_partkey", "role").select("p_partkey", "role", "place", "det_id", r6("d2").alias("d2"))
+    d2 = lambda e: (e["x"] - F.col("px")) * (e["x"] - F.col("px")) + (e["z"] - F.col("pz")) * (e["z"] - F.col("pz"))
+    return rotation.nearest(p, d, d2, 2, "det_id", "role").select("p_partkey", "role", "place", "det_id", r6("d2").alias("d2"))
 
 
 @query("SELECT p_partkey, (SELECT min_by(l, abs(l - p_retailprice % 200) * 1000 + l) FROM (SELECT DISTINCT y AS l FROM v_det)) AS nearest FROM part")

@@ -287,3 +287,21 @@ def test_responses_are_made_by_place(name, spark, sf_dir, tmp_path):
     assert f"Aggregate [{'px' if key == 'source' else 'x'}#" in plan  # distinct places
     first, again = (sorted(tuple(v for c, v in r.asDict().items() if c != key) for r in out.filter(c).collect()) for c in (f"{key} < {period}", f"{key} >= {period}"))
     assert first and first == again
+
+
+def test_nearest_needs_no_shuffle(spark):
+    rng = np.random.default_rng(8)
+    places = [(i, float(a)) for i, a in enumerate(rng.integers(-5, 6, 60))] + [(99, None)]
+    entries = [(i, "a" if i % 3 else "b", float(v)) for i, v in enumerate(rng.integers(-6, 7, 20))] + [(50, "c", 0.0)]
+    p = spark.createDataFrame(places, "id int, px double")
+    d = spark.createDataFrame(entries, "det int, kind string, x double")
+    got = rotation.nearest(p, d, lambda e: F.abs(e["x"] - F.col("px")), 2, "det", "kind")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    found = {(r["id"], r["kind"], r["place"]): (r["d2"], r["det"]) for r in got.collect()}
+    want = {}
+    for i, x in places:
+        for kind in "abc":
+            best = sorted((0 if x is None else abs(v - x), det) for det, k, v in entries if k == kind)[:2]
+            want |= {(i, kind, n + 1): (None if x is None else b[0], b[1]) for n, b in enumerate(best)}
+    assert found == want
