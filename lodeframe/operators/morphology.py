@@ -10,7 +10,8 @@ whole parts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,50 +33,70 @@ def ball(radius: int, flat: bool = False) -> list[tuple[int, int, int]]:
 CROSS = [o for o in ball(1) if any(o)]
 
 
-def in_blocks(mask: DataFrame, halo: int, *groups: str, size: int = BLOCK) -> DataFrame:
-    """``mask`` with block, an array of the three numbers of each block whose cells, or whose halo, it lies in."""
+def in_blocks(mask: DataFrame, halo: tuple[int, int, int], *groups: str, size: int = BLOCK) -> DataFrame:
+    """``mask`` with block, an array of the three numbers of each block whose cells, or whose halo (cells by axis), it lies in."""
     out = mask.select(*groups, *AXES)
-    for a in AXES:
+    for a, h in zip(AXES, halo, strict=True):
         at = lambda by, a=a: F.floor((F.col(a) + by) / size)
-        out = out.withColumn(f"__{a}", F.explode(F.sequence(at(-halo), at(halo)).cast("array<int>")))
+        place = F.explode(F.sequence(at(-h), at(h)).cast("array<int>")) if h else at(0).cast("int")
+        out = out.withColumn(f"__{a}", place)
     return out.withColumn("block", F.array(*[F.col(f"__{a}") for a in AXES])).drop(*[f"__{a}" for a in AXES])
 
 
-def _kinds(df: DataFrame, groups: tuple[str, ...]) -> str:
-    return ", ".join([*[f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups], "ix int, iy int, iz int"])
+#: Cells of blocks that a task works on at once.
+CELLS = 1 << 20
+
+
+def _by_blocks(mask: DataFrame, halo: tuple[int, int, int], groups: tuple[str, ...], size: int, work: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, dict[str, np.ndarray]]], kinds: str) -> DataFrame:
+    """What ``work`` makes of blocks with their halo, many at a time.
+
+    A block travels as one row: its groups, its number and the places of its cells
+    that are on. work gets (cells on, origins) of some blocks, as arrays (blocks,
+    x, y, z) and (blocks, 3), and gives rows (block in the array, ix, iy, iz) and
+    further columns. kinds: the schema of the rows, groups first.
+    """
+    wide = [size + 2 * h for h in halo]
+    place = F.lit(0)
+    for k, (a, h, w) in enumerate(zip(AXES, halo, wide, strict=True)):
+        place = place * w + (F.col(a) - F.col("block")[k] * size + h)
+    rows = in_blocks(mask, halo, *groups, size=size).groupBy(*groups, "block").agg(F.collect_list(place.cast("int")).alias("on"))
+    step = max(1, CELLS // math.prod(wide))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), step):
+                b = whole.slice(start, step)
+                lists = b.column("on")
+                on = np.zeros((len(b), math.prod(wide)), bool)
+                on[np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
+                origin = b.column("block").flatten().to_numpy().reshape(-1, 3).astype(int) * size - np.array(halo)
+                at, more = work(on.reshape(-1, *wide), origin)
+                own = {g: b.column(g).take(pa.array(at[:, 0])) for g in groups}
+                yield pa.RecordBatch.from_pydict(own | {a: pa.array(at[:, 1 + k].astype(np.int32)) for k, a in enumerate(AXES)} | {n: pa.FixedSizeListArray.from_arrays(pa.array(v.astype(np.int32).ravel()), 3).cast(pa.list_(pa.int32())) for n, v in more.items()})
 
-
-def _dense(table: pa.Table, size: int, halo: int, outside: bool = False, shape: tuple[int, int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(cells on, origin) of a block with its halo; ``outside``: cells beyond a grid of ``shape`` count as on."""
-    origin = np.array(table.column("block")[0].as_py()) * size - halo
-    on = np.zeros((size + 2 * halo,) * 3, bool)
-    if outside:
-        for k, n in enumerate(shape):
-            at = np.arange(origin[k], origin[k] + on.shape[k])
-            on[tuple([slice(None)] * k + [(at < 0) | (at >= n)])] = True
-    place = [table.column(a).to_numpy().astype(int) - o for a, o in zip(AXES, origin, strict=True)]
-    on[tuple(place)] = True
-    return on, origin
+    prepare(mask.sparkSession)
+    return rows.mapInArrow(run, kinds)
 
 
-def _sparse(table: pa.Table, on: np.ndarray, origin: np.ndarray, groups: tuple[str, ...], shape: tuple[int, int, int]) -> pa.Table:
-    at = np.stack(np.nonzero(on), axis=1) + origin
-    at = at[((at >= 0) & (at < np.array(shape))).all(axis=1)]
-    same = {g: pa.array([table.column(g)[0].as_py()] * len(at), table.column(g).type) for g in groups}
-    return pa.table(same | {a: pa.array(at[:, k].astype(np.int32)) for k, a in enumerate(AXES)})
+def _kinds(df: DataFrame, groups: tuple[str, ...]) -> str:
+    return ", ".join([*[f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups], "ix int, iy int, iz int"])
 
 
 def _windowed(mask: DataFrame, shape: tuple[int, int, int], offsets: list[tuple[int, int, int]], every: bool, groups: tuple[str, ...], size: int) -> DataFrame:
-    halo = max(max(map(abs, o)) for o in offsets)
+    halo = tuple(max(abs(o[k]) for o in offsets) for k in range(3))
 
-    def run(table: pa.Table) -> pa.Table:
-        on, origin = _dense(table, size, halo, every, shape)
-        inner = lambda o: on[tuple(slice(halo + d, halo + d + size) for d in o)]
-        out = np.logical_and.reduce([inner(o) for o in offsets]) if every else np.logical_or.reduce([inner(o) for o in offsets])
-        return _sparse(table, out, origin + halo, groups, shape)
+    def work(on: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        if every:  # what lies beyond the grid counts as on
+            for k, n in enumerate(shape):
+                at = origin[:, k, None] + np.arange(on.shape[1 + k])
+                on |= np.expand_dims((at < 0) | (at >= n), tuple(j for j in (1, 2, 3) if j != 1 + k))
+        inner = lambda o: on[(slice(None), *[slice(h + d, h + d + size) for h, d in zip(halo, o, strict=True)])]
+        out = (np.logical_and if every else np.logical_or).reduce([inner(o) for o in offsets])
+        at = np.stack(np.nonzero(out), axis=1)
+        at[:, 1:] += origin[at[:, 0]] + np.array(halo)
+        return at[((at[:, 1:] >= 0) & (at[:, 1:] < np.array(shape))).all(axis=1)], {}
 
-    prepare(mask.sparkSession)
-    return in_blocks(mask, halo, *groups, size=size).groupBy(*groups, "block").applyInArrow(run, _kinds(mask, groups))
+    return _by_blocks(mask, halo, groups, size, work, _kinds(mask, groups))
 
 
 def dilated(mask: DataFrame, shape: tuple[int, int, int], offsets: list[tuple[int, int, int]], *groups: str, size: int = BLOCK) -> DataFrame:
@@ -97,17 +118,17 @@ def closed(mask: DataFrame, shape: tuple[int, int, int], offsets: list[tuple[int
 
 
 def _parts(on: np.ndarray, near: list[tuple[int, int, int]]) -> np.ndarray:
-    """Number, from 1, of each cell's part within an array; 0 where it is off. Cells take the least number around them, and then that cell's, until nothing changes."""
-    n = on.size
-    name = np.where(on, np.arange(1, n + 1).reshape(on.shape), 0)
+    """Number, from 1, of each cell's part within its block of an array (blocks, x, y, z); 0 where it is off. Cells take the least number around them, and then that cell's, until nothing changes."""
+    n = on[0].size
+    name = np.where(on, np.arange(1, n + 1).reshape(on.shape[1:]), 0)
     while True:
-        wide = np.pad(np.where(on, name, n + 1), 1, constant_values=n + 1)
+        wide = np.pad(np.where(on, name, n + 1), ((0, 0), (1, 1), (1, 1), (1, 1)), constant_values=n + 1)
         least = name.copy()
         for o in near:
-            least = np.minimum(least, wide[tuple(slice(1 + d, 1 + d + s) for d, s in zip(o, on.shape, strict=True))])
+            least = np.minimum(least, wide[(slice(None), *[slice(1 + d, 1 + d + s) for d, s in zip(o, on.shape[1:], strict=True)])])
         least = np.where(on, least, 0)
-        jump = np.concatenate([[0], least.ravel()])
-        least = np.where(on, jump[least], 0)
+        jump = np.pad(least.reshape(len(on), n), ((0, 0), (1, 0)))
+        least = np.where(on, np.take_along_axis(jump, least.reshape(len(on), n), axis=1).reshape(on.shape), 0)
         if (least == name).all():
             return name
         name = least
@@ -133,16 +154,13 @@ def labelled(mask: DataFrame, *groups: str, near: list[tuple[int, int, int]] | N
     near = near or CROSS
     kinds = _kinds(mask, groups)
 
-    def inside(table: pa.Table) -> pa.Table:
-        on, origin = _dense(table, size, 0)
-        name = _parts(on, near)
+    def inside(on: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         at = np.stack(np.nonzero(on), axis=1)
-        out = _sparse(table, on, origin, groups, (1 << 30,) * 3)
-        first = np.stack(np.unravel_index(name[tuple(at.T)] - 1, on.shape), axis=1) + origin  # the part's first cell
-        return out.append_column("first", pa.array([row.tolist() for row in first.astype(np.int32)], pa.list_(pa.int32())))
+        first = np.stack(np.unravel_index(_parts(on, near)[tuple(at.T)] - 1, on.shape[1:]), axis=1) + origin[at[:, 0]]  # the part's first cell
+        at[:, 1:] += origin[at[:, 0]]
+        return at, {"first": first}
 
-    prepare(mask.sparkSession)
-    local = in_blocks(mask, 0, *groups, size=size).groupBy(*groups, "block").applyInArrow(inside, f"{kinds}, first array<int>")
+    local = _by_blocks(mask, (0, 0, 0), groups, size, inside, f"{kinds}, first array<int>")
     node = F.struct(*[F.col(g) for g in groups], F.col("first"))
     local = written(local.withColumn("node", node).drop("first"), "local")
     half = [o for o in near if o > (0, 0, 0)]

@@ -9,8 +9,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Arrow batches that go to Python hold about this many bytes, so that a worker's memory doesn't grow with the length of the rows.
+BATCH_BYTES = 4 << 20
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers find this package where they share the driver's disk."""
+    """Bounds the Arrow batches, and lets Python workers find this package where they share the driver's disk."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
     if here not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (here, env.get("PYTHONPATH")) if x)

@@ -206,6 +206,30 @@ def test_masks_equal_plain_loops(spark):
     assert cells_of(morphology.filled(mask, shape, "vol", size=4)) == full and (3, 2, 2) in full
 
 
+def test_many_blocks_are_worked_on_at_once(spark, monkeypatch):
+    """Blocks of several volumes go together, in any portions, and give what each volume gives by itself."""
+    rng = np.random.default_rng(16)
+    shape, volumes = (7, 6, 5), [rng.random((7, 6, 5)) < p for p in (0.3, 0.5, 0.6, 1.0)]
+    mask = spark.createDataFrame([(f"v{k}", *map(int, c)) for k, on in enumerate(volumes) for c in np.argwhere(on)], "vol string, ix int, iy int, iz int")
+    disk = morphology.ball(1, flat=True)
+    assert morphology.in_blocks(mask, (1, 1, 0), "vol", size=3).filter("block[2] <> floor(iz / 3)").isEmpty()  # a flat disk has no halo along z
+    for cells_at_once in (1, 60, 1 << 20):
+        monkeypatch.setattr(morphology, "CELLS", cells_at_once)
+        closed = {tuple(r) for r in morphology.closed(mask, shape, disk, "vol", size=3).collect()}
+        parts = {}
+        for r in morphology.labelled(mask, "vol", size=3).collect():
+            parts.setdefault((r["vol"], tuple(r["part"])), set()).add((r["ix"], r["iy"], r["iz"]))
+        for k, on in enumerate(volumes):
+            within = lambda i, j: 0 <= i < 7 and 0 <= j < 6
+            wide = {(i, j, z) for i, j, z in np.ndindex(shape) if any(within(i + a, j + b) and on[i + a, j + b, z] for a, b, _ in disk)}
+            want = {(f"v{k}", i, j, z) for i, j, z in np.ndindex(shape) if all(not within(i + a, j + b) or (i + a, j + b, z) in wide for a, b, _ in disk)}
+            assert {r for r in closed if r[0] == f"v{k}"} == want
+            groups = {}
+            for c, root in plain_parts(on).items():
+                groups.setdefault(root, set()).add(tuple(map(int, c)))
+            assert sorted(sorted(v) for (vol, _), v in parts.items() if vol == f"v{k}") == sorted(map(sorted, groups.values()))
+
+
 def test_long_parts_are_named_in_few_rounds(spark):
     n = 3000
     pairs = spark.range(n).select(((F.col("id") * 7919) % (n + 1)).alias("a"), (((F.col("id") + 1) * 7919) % (n + 1)).alias("b"))
