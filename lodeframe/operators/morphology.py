@@ -134,15 +134,20 @@ def _parts(on: np.ndarray, near: list[tuple[int, int, int]]) -> np.ndarray:
         name = least
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Tables of cells and parts grow with the masks, and their files are far smaller than their rows: joins with them must not send them to the driver."""
+    return df.hint("merge")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """node and root, the least node that it hangs together with, of pairs (a, b). Each round every node takes the least root around it and then that root's own; rounds grow with the logarithm of a part's length, and each is written."""
     both = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
     roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
     while True:
-        seen = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        hung = roots.join(seen, "node").select("node", F.col("root").alias("before"), F.least("root", "r").alias("low"))
+        seen = both.join(_spread(roots.select(F.col("node").alias("b"), F.col("root").alias("r"))), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
+        hung = roots.join(_spread(seen), "node").select("node", F.col("root").alias("before"), F.least("root", "r").alias("low"))
         told = hung.groupBy(F.col("before").alias("top")).agg(F.min("low").alias("its"))  # a root hears what its nodes have found
-        next_ = hung.join(told, hung["low"] == told["top"], "left").join(told.select(F.col("top").alias("old"), F.col("its").alias("olds")), hung["before"] == F.col("old"), "left")
+        next_ = hung.join(_spread(told), hung["low"] == told["top"], "left").join(_spread(told.select(F.col("top").alias("old"), F.col("its").alias("olds"))), hung["before"] == F.col("old"), "left")
         next_ = written(next_.select("node", "before", F.least("low", F.coalesce("its", "low"), F.coalesce("olds", "low")).alias("root")), "roots")
         if next_.filter("root <> before").isEmpty():
             return next_.select("node", "root")
@@ -167,12 +172,12 @@ def labelled(mask: DataFrame, *groups: str, near: list[tuple[int, int, int]] | N
     outer = lambda a: (F.col(a) % size == 0) | (F.col(a) % size == size - 1)
     rim = local.filter(outer("ix") | outer("iy") | outer("iz"))
     ask = rim.select(*groups, F.col("node").alias("a"), F.explode(F.array(*[F.struct(*[(F.col(c) + d).alias(c) for c, d in zip(AXES, o, strict=True)]) for o in half])).alias("to")).select(*groups, "a", "to.*")
-    met = ask.join(rim.select(*groups, *AXES, F.col("node").alias("b")), [*groups, *AXES]).filter(F.col("a") != F.col("b")).select("a", "b").distinct()
+    met = ask.join(_spread(rim.select(*groups, *AXES, F.col("node").alias("b"))), [*groups, *AXES]).filter(F.col("a") != F.col("b")).select("a", "b").distinct()
     met = written(met, "touching")
     if met.isEmpty():
         named = local.withColumn("root", F.col("node"))
     else:
-        named = local.join(components(met), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = local.join(_spread(components(met)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     return named.select(*groups, *AXES, F.col("root.first").alias("part"))
 
 
@@ -180,7 +185,7 @@ def largest(parts: DataFrame, *groups: str) -> DataFrame:
     """The cells of each group's largest part, of equal ones the one with the least name."""
     sizes = parts.groupBy(*groups, "part").agg(F.count(F.lit(1)).alias("n"))
     best = sizes.groupBy(*groups).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("part"))).alias("b")).select(*groups, F.col("b.part").alias("part"))
-    return parts.join(best, [*groups, "part"], "left_semi")
+    return parts.join(_spread(best), [*groups, "part"], "left_semi")
 
 
 def complement(mask: DataFrame, shape: tuple[int, int, int], *groups: str) -> DataFrame:
@@ -189,7 +194,7 @@ def complement(mask: DataFrame, shape: tuple[int, int, int], *groups: str) -> Da
     every = mask.select(*groups).distinct() if groups else mask.limit(1).select(F.lit(0).alias("__one"))
     for a, n in zip(AXES, shape, strict=True):
         every = every.withColumn(a, F.explode(axis(n)))
-    return every.join(mask.select(*groups, *AXES), [*groups, *AXES], "left_anti").select(*groups, *AXES)
+    return every.join(_spread(mask.select(*groups, *AXES)), [*groups, *AXES], "left_anti").select(*groups, *AXES)
 
 
 def filled(mask: DataFrame, shape: tuple[int, int, int], *groups: str, flat: bool = False, size: int = BLOCK) -> DataFrame:
@@ -201,5 +206,5 @@ def filled(mask: DataFrame, shape: tuple[int, int, int], *groups: str, flat: boo
     for a, n in sides:
         rim = rim | (F.col(a) == 0) | (F.col(a) == n - 1)
     open_ = parts.filter(rim).select(*groups, "part").distinct()
-    holes = parts.join(open_, [*groups, "part"], "left_anti").select(*groups, *AXES)
+    holes = parts.join(_spread(open_), [*groups, "part"], "left_anti").select(*groups, *AXES)
     return mask.select(*groups, *AXES).unionByName(holes)

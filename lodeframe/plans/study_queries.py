@@ -66,7 +66,7 @@ def mask_parts(spark, sf_dir):
     cell = F.col("ix") * 64 + F.col("iy") * 8 + F.col("iz")
     best = morphology.largest(parts, "vol").groupBy("vol").agg(F.count(F.lit(1)).alias("largest"), F.min(cell).alias("first_cell"))
     full = morphology.filled(mask, shape, "vol", size=4).groupBy("vol").agg(F.count(F.lit(1)).alias("filled"))
-    return parts.groupBy("vol").agg(F.countDistinct("part").alias("parts")).join(best, "vol").join(full, "vol")
+    return parts.groupBy("vol").agg(F.countDistinct("part").alias("parts")).join(best.hint("merge"), "vol").join(full.hint("merge"), "vol")  # a row a volume
 
 
 _DISK = "(VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy)"

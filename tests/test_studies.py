@@ -230,6 +230,13 @@ def test_many_blocks_are_worked_on_at_once(spark, monkeypatch):
             assert sorted(sorted(v) for (vol, _), v in parts.items() if vol == f"v{k}") == sorted(map(sorted, groups.values()))
 
 
+def test_parts_are_not_broadcast(spark, sf_dir):
+    """Small files of many rows don't make a join send them to the driver."""
+    from lodeframe.plans import catalogue
+
+    assert "Broadcast" not in catalogue.queries()["mask_parts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_parts_are_named_in_few_rounds(spark):
     n = 3000
     pairs = spark.range(n).select(((F.col("id") * 7919) % (n + 1)).alias("a"), (((F.col("id") + 1) * 7919) % (n + 1)).alias("b"))
