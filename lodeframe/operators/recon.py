@@ -44,9 +44,18 @@ def _summed(df: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray | None
     return out
 
 
-def sensitivity(matrix: DataFrame, pixels: int, column: str = "h") -> np.ndarray:
-    """Sum of the rows."""
-    return _summed(matrix.select(column), lambda b: _rows(b.column(0)).sum(axis=0), pixels)
+def _whole(column) -> np.ndarray:
+    """Rows over their sums; those whose sum isn't positive and finite go."""
+    t = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    total = t.sum(axis=1)
+    good = np.isfinite(total) & (total > 0)
+    return t[good] / total[good, None]
+
+
+def sensitivity(matrix: DataFrame, pixels: int, column: str = "h", normalised: bool = False) -> np.ndarray:
+    """Sum of the rows; ``normalised``: of the rows over their sums, as ``normalised_rows`` makes them, within the same worker."""
+    part = _whole if normalised else _rows
+    return _summed(matrix.select(column), lambda b: part(b.column(0)).sum(axis=0), pixels)
 
 
 def _table(ids: list, names: list[str], rows: np.ndarray) -> pa.RecordBatch:

@@ -13,7 +13,7 @@ from ..operators import grids, kernel, recon, rotation, sampling, simulate
 from ..operators import triangles as tri
 from . import views
 from .catalogue import query
-from .recon_queries import _LIST, list_rows
+from .recon_queries import _LIST, list_events, list_rows, raw_rows
 
 P = views.PIXELS
 
@@ -146,7 +146,7 @@ def energy_union_sensitivity(spark, sf_dir):
     """Sensitivities of several energies' matrices and lists, summed."""
     m = views.matrix(spark, sf_dir)
     parts = [recon.image_table(m, recon.sensitivity(m.filter(F.col("bin_id") % 3 == k), P)) for k in range(3)]
-    parts.append(recon.image_table(m, recon.sensitivity(list_rows(spark, sf_dir), P, "t")))
+    parts.append(recon.image_table(m, recon.sensitivity(raw_rows(spark, sf_dir, list_events(spark, sf_dir)), P, "t", normalised=True)))
     return recon.summed(parts).select("pixel_id", F.round("v", 5).alias("s"))
 
 
@@ -163,12 +163,12 @@ def energy_zip(spark, sf_dir):
     SELECT src AS pixel_id, round(greatest(sum(t), 1e-12), 6) AS s FROM (SELECT view, pixel_id AS src, (base + (view * n // 8 + theta_id) % n)::INTEGER AS pixel_id FROM v_pix, range(8) t(view)) JOIN s USING (view, pixel_id) GROUP BY src""".replace("SELECT view, pixel_id AS src, (base + (view * n // 8 + theta_id) % n)::INTEGER AS pixel_id", "SELECT view, (base + (view * n // 8 + theta_id) % n)::INTEGER AS src, pixel_id"))
 def list_sensitivity_by_view(spark, sf_dir):
     """Sums of event rows by view, each turned back, added up and kept over 0."""
-    e = views.events(spark, sf_dir).select("event_id", ((F.col("view") - 1) % views.VIEWS).alias("view"))
     turns = np.zeros((views.VIEWS, P), int)
     for r in rotation.rotation_map(views.pixels(spark), views.VIEWS).collect():  # a machine's views times pixels
         turns[r["view"], r["pixel_id"]] = r["src_pixel_id"]
-    s = recon.views_sensitivity(turns, events=list_rows(spark, sf_dir).join(e, "event_id"))
-    return recon.image_table(e, np.maximum(s, recon.FLOOR)).select("pixel_id", r6("v").alias("s"))
+    rows = list_rows(spark, sf_dir, "view").withColumn("view", (F.col("view") - 1) % views.VIEWS)
+    s = recon.views_sensitivity(turns, events=rows)
+    return recon.image_table(rows, np.maximum(s, recon.FLOOR)).select("pixel_id", r6("v").alias("s"))
 
 
 def _triangles() -> list[tuple]:
@@ -269,8 +269,7 @@ def ssim_gaussian(spark, sf_dir):
 @query(f"WITH {_LIST} SELECT cp1, count(DISTINCT event_id)::BIGINT AS events, round(sum(t * pixel_id), 4) AS moment FROM tl JOIN v_event USING (event_id) GROUP BY cp1")
 def packed_rows(spark, sf_dir):
     """Event rows packed with their first hit, and unpacked again."""
-    e = views.events(spark, sf_dir).select("event_id", "cp1")
-    long = list_rows(spark, sf_dir).join(e, "event_id").select("event_id", "cp1", F.posexplode("t").alias("pixel_id", "t"))
+    long = list_rows(spark, sf_dir, "cp1").select("event_id", "cp1", F.posexplode("t").alias("pixel_id", "t"))
     out = kernel.unpacked(kernel.packed(long))
     return out.groupBy("cp1").agg(F.countDistinct("event_id").alias("events"), F.round(F.sum(F.col("t") * F.col("pixel_id")), 4).alias("moment"))
 

@@ -10,6 +10,7 @@ RINGS = (8, 16, 40)
 RADII = (6.0, 12.0, 18.0)
 VIEWS = 8
 PIXELS = sum(RINGS)
+DETECTORS = 64
 # Cross sections of NaI by energy in MeV (incoherent, photoelectric, total, cm^2/g); the K edge occurs twice.
 CROSS_SECTIONS = (
     (0.01, 0.06731, 137.5, 137.6),

@@ -150,3 +150,22 @@ def test_network_is_saved_with_its_scaling(spark, sf_dir, tmp_path):
     held = data.filter("held")
     right = again.transform(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     assert right == max(a for _, a in tried)
+
+
+def test_event_rows_meet_their_matrix_without_a_shuffle(spark, sf_dir):
+    """The machine's rows of the matrix go to the events, whatever the tables' sizes, and columns of the events come along."""
+    from lodeframe.plans import recon_queries
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = recon_queries.list_rows(spark, sf_dir, "view", "cp1")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plan and plan.count("Join") == 1
+
+
+def test_sums_of_normalised_rows_take_one_worker(spark):
+    from lodeframe.operators import recon
+
+    rows = spark.createDataFrame([(1, [1.0, 3.0]), (2, [0.0, 0.0]), (3, [2.0, float("nan")]), (4, [5.0, 5.0]), (5, [-2.0, 1.0])], "event_id int, t array<double>")
+    assert recon.sensitivity(rows, 2, "t", normalised=True).tolist() == [0.75, 1.25] == recon.sensitivity(recon.normalised_rows(rows), 2, "t").tolist()
