@@ -22,10 +22,10 @@ def r6(c):
 @query(f"WITH {recon_queries._LIST}, s AS (SELECT event_id % 3 AS energy, view, event_id % 4 AS subset, event_id, sum(t * pixel_id) AS m FROM tl JOIN v_event USING (event_id) GROUP BY ALL) SELECT energy, view, subset, count(*)::BIGINT AS rows, round(sum(m), 4) AS moment, 0::BIGINT AS damaged FROM s GROUP BY ALL")
 def event_row_shards(spark, sf_dir):
     """Event rows written as shards, read back by a plan of subsets, with the number of damaged ones."""
-    e = views.events(spark, sf_dir).select("event_id", "view")
-    rows = recon_queries.list_rows(spark, sf_dir).join(e, "event_id").select("event_id", (F.col("event_id") % 3).alias("energy"), "view", (F.col("event_id") % 4).alias("subset"), "t")
+    e = recon_queries.list_events(spark, sf_dir).select("*", (F.col("event_id") % 3).alias("energy"), (F.col("event_id") % 4).alias("subset"))
+    made = lambda placed: recon_queries.made_rows(spark, sf_dir, placed, *shards.SHARD)
     path = shared_dir(spark, "shards")
-    told = shards.kept_or_built(spark, path, lambda: rows, chunk_rows=1000)
+    told = shards.kept_or_built(spark, path, lambda: e, chunk_rows=1000, made=made)
     plan = told.select("energy", "view", "subset").distinct()
     moment = F.aggregate(F.transform("t", lambda t, i: t * i), F.lit(0.0), lambda a, x: a + x)
     back = shards.read(spark, path, plan).groupBy("energy", "view", "subset").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(moment), 4).alias("moment"))

@@ -11,12 +11,15 @@ without one was never finished.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 KEYS = ["energy", "view", "subset"]
 SHARD = [*KEYS, "chunk"]
 
@@ -38,19 +41,29 @@ def described(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*SHARD).agg(F.count(F.lit(1)).alias("rows"), F.sum(_hash(own)).cast("string").alias("checksum"))
 
 
-def write(rows: DataFrame, path: str, chunk_rows: int = 4096, id_col: str = "event_id") -> DataFrame:
-    """Writes ``rows`` (energy, view, subset, the id and what else they have) and gives the manifest."""
+#: Rows that a task makes of dealt ones and writes.
+TASK_ROWS = 1 << 16
+
+
+def write(rows: DataFrame, path: str, chunk_rows: int = 4096, id_col: str = "event_id", made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Writes ``rows`` (energy, view, subset, the id and what else they have) and gives the manifest. made: makes the rows to write of those, within their tasks, keeping energy, view, subset and chunk; so short rows are counted and dealt, and long ones never travel."""
     groups = rows.groupBy(*KEYS).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / chunk_rows)).cast("int").alias("chunks"))
-    _put(_assigned(rows, groups, id_col), f"{path}/rows")
+    if made is not None:
+        groups = written(groups, "groups")
+    parts = made and max(1, math.ceil(groups.agg(F.sum("chunks")).first()[0] or 0) * chunk_rows // TASK_ROWS)
+    like = _put(_assigned(rows, groups, id_col), f"{path}/rows", parts, made)
     spark = rows.sparkSession
-    held = described(_rows(spark, path, rows)).join(F.broadcast(groups), KEYS)
+    held = described(_rows(spark, path, like)).join(F.broadcast(groups), KEYS)
     held.write.mode("overwrite").parquet(f"{path}/manifest")
     return manifest(spark, path)
 
 
-def _put(placed: DataFrame, path: str) -> None:
-    """A file a shard; only the folders that rows go to are replaced."""
-    placed.repartition(*SHARD).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SHARD).parquet(path)
+def _put(placed: DataFrame, path: str, parts: int | None = None, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """A file a shard; only the folders that rows go to are replaced. Gives the rows written."""
+    dealt_ = placed.repartition(*[parts] * (parts is not None), *SHARD)
+    out = made(dealt_) if made else dealt_
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SHARD).parquet(path)
+    return out
 
 
 def _rows(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
@@ -107,10 +120,10 @@ def mend(spark: SparkSession, path: str, rows: Callable[[DataFrame], DataFrame]
     return len(bad)
 
 
-def kept_or_built(spark: SparkSession, path: str, rows: Callable[[], DataFrame], chunk_rows: int = 4096, force: bool = False) -> DataFrame:
+def kept_or_built(spark: SparkSession, path: str, rows: Callable[[], DataFrame], chunk_rows: int = 4096, force: bool = False, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The manifest of finished shards with at most these rows a chunk, which are made only if there are none (or if ``force``)."""
     told = None if force else manifest(spark, path)
-    return told if told is not None else write(rows(), path, chunk_rows)
+    return told if told is not None else write(rows(), path, chunk_rows, made=made)
 
 
 def dealt(rows: list[int], parts: int) -> list[int]:

@@ -152,6 +152,25 @@ def test_network_is_saved_with_its_scaling(spark, sf_dir, tmp_path):
     assert right == max(a for _, a in tried)
 
 
+def test_dealt_rows_are_made_after_they_travel(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lodeframe.sources import shards
+
+    ids = spark.range(500).select(F.col("id").alias("event_id"), (F.col("id") % 2).alias("energy"), F.lit(1).alias("view"), (F.col("id") % 3).alias("subset"))
+    seen = []
+
+    def made(placed):
+        seen.append(placed.columns)
+        return placed.filter("event_id <> 7").withColumn("t", F.array(F.col("event_id") * 0.5))
+
+    path = str(tmp_path / "s")
+    told = shards.kept_or_built(spark, path, lambda: ids, chunk_rows=20, made=made)
+    assert seen == [[*shards.KEYS, "event_id", "chunk"]] and told.agg(F.sum("rows")).first()[0] == 499
+    assert shards.damaged(spark, path).count() == 0
+    assert {(r["event_id"], r["t"][0]) for r in shards.read(spark, path).collect()} == {(i, i / 2) for i in range(500) if i != 7}
+
+
 def test_event_rows_meet_their_matrix_without_a_shuffle(spark, sf_dir):
     """The machine's rows of the matrix go to the events, whatever the tables' sizes, and columns of the events come along."""
     from lodeframe.plans import recon_queries
