@@ -137,10 +137,24 @@ def weight_array(weights: DataFrame, fine: int, coarse: int) -> np.ndarray:
     return out
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long rows as stretches: pixels of one event that follow one another, as their first pixel and the array of their values."""
+    for b in batches:
+        if len(b):
+            event, cp1, pixel = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            new = (event[1:] != event[:-1]) | (cp1[1:] != cp1[:-1]) | (pixel[1:] != pixel[:-1] + 1)
+            start = np.concatenate([[0], np.flatnonzero(new) + 1])
+            t = pa.ListArray.from_arrays(pa.array(np.append(start, len(b)).astype(np.int32)), b.column(3))
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(start)) for k in range(3)], t], ["event_id", "cp1", "pixel_id", "t"])
+
+
 def packed(rows: DataFrame) -> DataFrame:
-    """event_id, cp1 and t, an array over the pixels in order, of long rows (event_id, cp1, pixel_id, t); every pixel must be there once."""
+    """event_id, cp1 and t, an array over the pixels in order, of long rows (event_id, cp1, pixel_id, t); every pixel must be there once. Rows that lie beside each other are put together before they travel, so a value costs its own bytes and not a row's."""
+    prepare(rows.sparkSession)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("event_id", "cp1", "pixel_id"))
+    some = rows.select("event_id", "cp1", "pixel_id", "t").mapInArrow(_stretches, f"{kinds}, t array<double>")
     cells = F.sort_array(F.collect_list(F.struct("pixel_id", "t")))
-    return rows.groupBy("event_id", "cp1").agg(F.transform(cells, lambda c: c["t"]).alias("t"))
+    return some.repartition("event_id", "cp1").groupBy("event_id", "cp1").agg(F.flatten(F.transform(cells, lambda c: c["t"])).alias("t"))
 
 
 def unpacked(rows: DataFrame) -> DataFrame:

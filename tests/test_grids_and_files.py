@@ -152,6 +152,19 @@ def test_network_is_saved_with_its_scaling(spark, sf_dir, tmp_path):
     assert right == max(a for _, a in tried)
 
 
+def test_long_rows_travel_as_stretches(spark):
+    """Packing puts the pixels of an event in order, wherever its rows lie, and rows beside each other travel as one."""
+    from pyspark.sql import functions as F
+
+    from lodeframe.operators import kernel
+
+    long = spark.range(30).select(F.col("id").alias("event_id"), (F.col("id") % 4).cast("int").alias("cp1"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.col("id") * 10.0 + j)).alias("pixel_id", "t"))
+    want = {(i, i % 4): [i * 10.0 + j for j in range(8)] for i in range(30)}
+    for rows in (long, long.repartition(5), long.orderBy(F.desc("pixel_id"), "event_id")):
+        assert {(r["event_id"], r["cp1"]): r["t"] for r in kernel.packed(rows).collect()} == want
+    assert long.mapInArrow(kernel._stretches, "event_id long, cp1 int, pixel_id int, t array<double>").count() == 30
+
+
 def test_dealt_rows_are_made_after_they_travel(spark, tmp_path):
     from pyspark.sql import functions as F
 
