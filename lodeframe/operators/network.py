@@ -24,6 +24,8 @@ from ..session import prepare, written
 from .variance import summed_block
 
 NAME_X, NAME_Y = "x", "y"
+#: Files of a slice, which as many tasks can read.
+FILES = 8
 
 
 @dataclass
@@ -103,7 +105,8 @@ def train(training: DataFrame, validation: DataFrame, names: list[str], label: s
     spark = training.sparkSession
     prepare(spark)
     own = rows_of(training, names, label, id_col).withColumn("slice", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(slices)).cast("int"))
-    own = written(own.repartition("slice"), "slices", "slice")
+    # Some files a slice, so that a step, which reads one slice of a large table, is more than one task.
+    own = written(own.repartition(slices * FILES, "slice", F.pmod(F.xxhash64("id"), F.lit(FILES))), "slices", "slice")
     held = written(rows_of(validation, names, label, id_col), "validation")
     n = len(names)
 

@@ -160,6 +160,22 @@ def test_network_gradients_and_training(spark):
     assert got.agg(F.avg(((F.col("p") >= 0.5) == (F.col("y") > 0.5)).cast("int"))).first()[0] == pytest.approx(best)  # the best state is kept
 
 
+def test_slices_are_read_by_many_tasks(spark, monkeypatch):
+    """A slice of a table has several files, as a step reads one slice alone."""
+    df = spark.range(4000).select(F.col("id").alias("event_id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("label"))
+    seen, before = [], network.written
+
+    def written(df, name="table", *parts):
+        out = before(df, name, *parts)
+        if name == "slices":
+            seen.append((len(out.filter("slice = 1").inputFiles()), out.count()))
+        return out
+
+    monkeypatch.setattr(network, "written", written)
+    network.train(df.filter("event_id < 3000"), df.filter("event_id >= 3000"), ["a"], hidden=(4,), epochs=1, batch=4000, slices=2)
+    assert seen[0][0] >= 4 and seen[0][1] == 3000
+
+
 def plain_parts(on):
     name = {c: c for c in zip(*map(list, np.nonzero(on)), strict=True)}
     changed = True
